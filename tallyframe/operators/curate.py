@@ -120,7 +120,7 @@ def classify(dash: DataFrame) -> DataFrame:
     is_watch = (buy_n >= 2) | ((score >= 55) & (net > 10000))
     rec = F.when(is_sell, "sell").when(is_buy, "buy").when(is_watch, "watch").otherwise("hold")
     reasons = (F.when(is_sell, sell_r).when(is_buy, buy_r).when(is_watch, watch_r).otherwise(hold_r))
-    return dash.withColumn("recommendation", rec).withColumn("recommendation_reasons", reasons)
+    return dash.select("*", rec.alias("recommendation"), reasons.alias("recommendation_reasons"))
 
 
 def transfer_picks(dash: DataFrame) -> DataFrame:

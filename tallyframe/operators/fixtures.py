@@ -21,10 +21,10 @@ def with_team_names(df: DataFrame, teams: DataFrame, id_col: str, prefix: str) -
     tm = teams.select(F.col("team_id").alias("_tid"), F.col("team_name").alias("_tname"),
                       F.col("team_short").alias("_tshort"))
     out = df.join(tm, df[id_col] == tm["_tid"], "left")
-    return (out.withColumn(f"{prefix}name", F.coalesce(F.col("_tname"),
-                                                       F.concat(F.lit("Team "), F.col(id_col).cast("string"))))
-               .withColumn(f"{prefix}short", F.coalesce(F.col("_tshort"), F.lit(UNKNOWN_SHORT)))
-               .drop("_tid", "_tname", "_tshort"))
+    return out.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.coalesce(F.col("_tname"), F.concat(F.lit("Team "), F.col(id_col).cast("string"))).alias(f"{prefix}name"),
+        F.coalesce(F.col("_tshort"), F.lit(UNKNOWN_SHORT)).alias(f"{prefix}short"))
 
 
 def remaining_fixtures(fixtures: DataFrame, current_gw: int) -> DataFrame:

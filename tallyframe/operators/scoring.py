@@ -67,9 +67,8 @@ def compute_scores(players: DataFrame, fdr: DataFrame, weights: dict | None = No
     comps["injury_risk"] = clip(F.lit(100.0) - F.coalesce(F.col("injury_risk"), F.lit(2)).cast("double") * F.lit(10.0), 0.0, 100.0)
     s = s.select("*", *[comps[c].alias(f"_c_{c}") for c in DEFAULT_WEIGHTS])
     total = weighted_sum([(w[c], f"_c_{c}") for c in DEFAULT_WEIGHTS])
-    s = s.withColumn("fpl_score", clip(F.bround(total, 1), 0.0, 100.0))
-    for c, name in CONTRIBUTION_NAMES.items():
-        s = s.withColumn(name, F.bround(F.lit(float(w[c])) * F.col(f"_c_{c}"), 1))
-    drop = [x for x in s.columns if x.startswith(("_r_", "_lo_", "_hi_", "_c_"))]
-    s = s.drop(*drop)
+    keep = [F.col(f"`{x}`") for x in s.columns if not x.startswith(("_r_", "_lo_", "_hi_", "_c_"))]
+    s = s.select(*keep, clip(F.bround(total, 1), 0.0, 100.0).alias("fpl_score"),
+                 *[F.bround(F.lit(float(w[c])) * F.col(f"_c_{c}"), 1).alias(name)
+                   for c, name in CONTRIBUTION_NAMES.items()])
     return min_rank_desc_bounded(s, "fpl_score", "fpl_score_rank")

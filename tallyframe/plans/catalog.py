@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 def query(name: str):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Context(spark, sf_dir))
+            return fn(Context.get(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -100,7 +100,7 @@ def _(c: Context):
 @query("briefing_lists")
 def _(c: Context):
     """The briefing's top-k lists in long form."""
-    return curate.briefing_lists(c.dashboard, c.picks, c.fdr, c.teams)
+    return curate.briefing_lists(c.dashboard_shared, c.picks_shared, c.fdr, c.teams)
 
 
 # --- fixture insights -------------------------------------------------------

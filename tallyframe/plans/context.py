@@ -10,11 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.operators import curate, fixtures as fx
+from tallyframe.session import ensure_checkpoint_dir
 from tallyframe.sources import standins
 from tallyframe.sources.tables import Tables
 
 
 class Context:
+    """Lazily built, immutable DataFrame plans for one session + directory.
+
+    Plans are reused across queries (building a plan costs thousands of
+    Python->JVM calls); results are never cached implicitly.
+    """
+
+    _cache: dict = {}
+
+    @classmethod
+    def get(cls, spark: SparkSession, sf_dir: str) -> "Context":
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        ctx = cls._cache.get(key)
+        if ctx is None:
+            ctx = cls._cache[key] = cls(spark, sf_dir)
+        return ctx
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.t = Tables(spark, sf_dir)
@@ -52,6 +69,20 @@ class Context:
     def picks(self) -> DataFrame:
         return curate.transfer_picks(self.dashboard)
 
+    @cached_property
+    def dashboard_shared(self) -> DataFrame:
+        """The dashboard materialised once (reliable checkpoint in the shared
+        ``spark.checkpoint.dir``) for queries that read it in many branches."""
+        return self.materialize(self.dashboard)
+
+    @cached_property
+    def picks_shared(self) -> DataFrame:
+        return curate.transfer_picks(self.dashboard_shared)
+
+    def materialize(self, df: DataFrame) -> DataFrame:
+        ensure_checkpoint_dir(self.spark)
+        return df.checkpoint(eager=True)
+
 
 def flat(df: DataFrame, sep: str = "|") -> DataFrame:
     """Comparison view: arrays become ``sep``-joined strings, structs/maps JSON."""

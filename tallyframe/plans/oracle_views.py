@@ -104,7 +104,8 @@ FROM nation""")
 view("v_fixtures", (), f"""
 SELECT * FROM (
   SELECT o.o_orderkey AS fixture_id,
-         CAST((year(o.o_orderdate) - 1995) * 12 + month(o.o_orderdate) AS INTEGER) AS event,
+         CASE WHEN o.o_orderkey % 29 = 0 THEN NULL
+              ELSE CAST((year(o.o_orderdate) - 1995) * 12 + month(o.o_orderdate) AS INTEGER) END AS event,
          CAST(c.c_nationkey AS INTEGER) AS team_h,
          CAST(o.o_orderkey % {N_FIXTURE_TEAMS} AS INTEGER) AS team_a,
          CASE WHEN o.o_orderkey % 17 = 0 THEN NULL ELSE CAST(o.o_orderkey % 5 + 1 AS INTEGER) END AS team_h_difficulty,
@@ -210,3 +211,14 @@ SELECT s.player_id, s.web_name, s.first_name || ' ' || s.second_name AS full_nam
        '{SEASON}' AS season, CAST({GW} AS INTEGER) AS gameweek, CAST({GW + 1} AS INTEGER) AS advice_gameweek,
        s.src_pos
 FROM v_scores s LEFT JOIN v_teams t ON s.team_id = t.team_id""")
+
+_SS_NAME = """CASE WHEN k % 3 = 0 THEN upper(split_part(c_name, '#', 1) || '-' || split_part(c_name, '#', 2))
+            WHEN k % 3 = 1 THEN c_name ELSE 'O''' || c_name END"""
+
+view("v_second_source", ("v_players_base",), f"""
+SELECT {_SS_NAME} AS player_name, CAST(n_f AS VARCHAR) || '.5' AS "xG",
+       CASE WHEN k % 17 = 0 THEN 'n/a' ELSE CAST(n_o AS VARCHAR) END AS shots, k * 2 AS src_pos
+FROM v_players_base
+UNION ALL
+SELECT {_SS_NAME} AS player_name, '99.0' AS "xG", '0' AS shots, k * 2 + 1 AS src_pos
+FROM v_players_base WHERE k % 10 = 0""")

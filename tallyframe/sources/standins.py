@@ -48,7 +48,7 @@ def players(t: Tables) -> DataFrame:
     n_u = F.coalesce(F.col("n_urgent"), F.lit(0)).cast("bigint")
     total_points = n + F.lit(2) * n_f + F.lit(3) * n_u
     risk = F.when(k % 7 == 0, F.lit(None)).otherwise((k % 11).cast("int"))
-    odd = k % 2 == 0
+    even_id = k % 2 == 0
     return j.select(
         k.alias("player_id"),
         F.col("c_name").alias("web_name"),
@@ -73,9 +73,9 @@ def players(t: Tables) -> DataFrame:
         (n_o * 1000 + (k % 7) * 2000).alias("transfers_in"),
         (n_p * 1000 + (k % 3) * 1500).alias("transfers_out"),
         F.when(k % 3 == 0, F.lit(None)).otherwise(n_f * F.lit(0.75)).alias("expected_goals"),
-        F.when(odd, F.lit(None)).otherwise((n_f + n_p) * F.lit(0.5)).alias("understat_xg"),
-        F.when(odd, F.lit(None)).otherwise(n_o * F.lit(0.25)).alias("understat_xa"),
-        F.when(odd, F.lit(None)).otherwise(n_p * F.lit(0.5)).alias("understat_npxg"),
+        F.when(even_id, F.lit(None)).otherwise((n_f + n_p) * F.lit(0.5)).alias("understat_xg"),
+        F.when(even_id, F.lit(None)).otherwise(n_o * F.lit(0.25)).alias("understat_xa"),
+        F.when(even_id, F.lit(None)).otherwise(n_p * F.lit(0.5)).alias("understat_npxg"),
         (n_f * F.lit(10.5)).alias("influence"),
         (n_o * F.lit(7.25)).alias("creativity"),
         (n_p * F.lit(12.0)).alias("threat"),
@@ -118,7 +118,9 @@ def fixtures(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_nationkey")
     k = F.col("o_orderkey")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
-    ev = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")).cast("int")
+    # Every 29th order is "unscheduled" (null event), as in the raw feed.
+    ev = F.when(k % 29 == 0, F.lit(None)).otherwise(
+        ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")).cast("int"))
     out = j.select(
         k.alias("fixture_id"),
         ev.alias("event"),
@@ -129,3 +131,30 @@ def fixtures(t: Tables) -> DataFrame:
         F.when(k % 23 == 0, F.lit(None)).otherwise(F.col("o_orderdate")).alias("kickoff_time"),
     )
     return out.where(F.col("team_h") != F.col("team_a"))
+
+
+def second_source(t: Tables) -> DataFrame:
+    """Second-source stats keyed by a display name, numbers as strings.
+
+    Name variants per customer: k%3==0 full name upper-cased with a hyphen
+    (matches the normalised full name), k%3==1 the short name (fallback
+    path), k%3==2 an unmatched name.  Every 10th customer appears twice
+    (first occurrence by ``src_pos`` wins).
+    """
+    c = t.customer
+    agg = player_orders(t)
+    j = c.join(agg, c.c_custkey == agg.player_id, "left")
+    k = F.col("c_custkey")
+    n_f = F.coalesce(F.col("n_f"), F.lit(0))
+    n_o = F.coalesce(F.col("n_o"), F.lit(0))
+    name = (F.when(k % 3 == 0, F.upper(F.concat(F.split_part(F.col("c_name"), F.lit("#"), F.lit(1)), F.lit("-"),
+                                                  F.split_part(F.col("c_name"), F.lit("#"), F.lit(2)))))
+             .when(k % 3 == 1, F.col("c_name"))
+             .otherwise(F.concat(F.lit("O'"), F.col("c_name"))))
+    base = j.select(name.alias("player_name"),
+                    F.concat(n_f.cast("string"), F.lit(".5")).alias("xG"),
+                    F.when(k % 17 == 0, F.lit("n/a")).otherwise(n_o.cast("string")).alias("shots"),
+                    (k * 2).alias("src_pos"))
+    dup = j.where(k % 10 == 0).select(name.alias("player_name"), F.lit("99.0").alias("xG"),
+                                      F.lit("0").alias("shots"), (k * 2 + 1).alias("src_pos"))
+    return base.unionByName(dup)
