@@ -41,3 +41,27 @@ def nth_smallest_bounded(df: DataFrame, value: str, nth_expr, group_cols=()) ->
                .withColumn("_n", F.sum("_c").over(wg)))
     sel = cum.where(F.col("_cum") > nth_expr)
     return sel.groupBy(*g).agg(F.min(value).alias(value))
+
+
+def position_within_key(df: DataFrame, key_cols, order_cols, out: str = "pos",
+                        num_partitions: int | None = None) -> DataFrame:
+    """0-based position of every row inside its key group, in ``order_cols``
+    order, WITHOUT putting a whole key group into one task.
+
+    ``repartitionByRange`` on (key, order) splits even a key holding a third
+    of all rows across many range partitions; each partition is sorted, a
+    small (partition, key) -> (first id, count) table gives every partition
+    its offset inside the key (running sum over <= #partitions rows per
+    key), and the position is offset + local index.  ``row_number`` over
+    ``partitionBy(key)`` would sort the hot key in a single task instead.
+    """
+    key_cols, order_cols = list(key_cols), list(order_cols)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = df.repartitionByRange(n, *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
+    t = s.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    stats = t.groupBy("_pid", *key_cols).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.select("_pid", *key_cols, "_m0", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    j = t.join(stats, ["_pid", *key_cols], "inner")
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    return j.select(*keep, (F.col("_off") + F.col("_mid") - F.col("_m0")).alias(out))

@@ -158,3 +158,34 @@ def second_source(t: Tables) -> DataFrame:
     dup = j.where(k % 10 == 0).select(name.alias("player_name"), F.lit("99.0").alias("xG"),
                                       F.lit("0").alias("shots"), (k * 2 + 1).alias("src_pos"))
     return base.unionByName(dup)
+
+
+ARTICLE_BASE_DATE = "2024-01-01"
+
+
+def articles(t: Tables) -> DataFrame:
+    """News articles from ``documents``: partition date = base + doc_id % 7
+    days; every 9th is published a day later than its partition."""
+    d = t.documents
+    k = F.col("doc_id")
+    day = F.date_add(F.lit(ARTICLE_BASE_DATE).cast("date"), (k % 7).cast("int"))
+    return d.select("doc_id", F.col("text").alias("summary"), F.lit("").alias("title"), "source", "lang",
+                    day.alias("date"),
+                    F.when(k % 9 == 0, F.date_add(day, 1)).otherwise(day).alias("published"))
+
+
+def enrichment_results(t: Tables) -> DataFrame:
+    """Long-form enricher outputs from ``labels``: two enrichers per labelled
+    document; every 11th toxic result is null (failed item)."""
+    lb = t.labels
+    k = F.col("doc_id")
+    q = lb.select("doc_id", F.lit("quality").alias("enricher"),
+                  F.struct(F.col("quality").alias("score"),
+                           F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label")).alias("enrichment"),
+                  k.alias("seq"))
+    x = lb.select("doc_id", F.lit("toxic").alias("enricher"),
+                  F.when(k % 11 == 0, F.lit(None)).otherwise(
+                      F.struct(F.col("toxic").alias("score"),
+                               F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("label")))
+                  .alias("enrichment"), k.alias("seq"))
+    return q.unionByName(x)
