@@ -13,17 +13,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def min_rank_desc_bounded(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Min-rank (ties share the lowest rank) of ``value`` descending.
+def min_rank_desc_bounded(df: DataFrame, value: str, out: str, group_cols=()) -> DataFrame:
+    """Min-rank (ties share the lowest rank) of ``value`` descending, within
+    optional groups.
 
     Only valid when ``value`` takes a bounded number of distinct values
-    (scores rounded to 0.1 in [0, 100]); nulls get a null rank.
+    (scores rounded to 0.1); nulls get a null rank.  Without groups the
+    histogram has <= 1001 rows and is broadcast; with groups it is joined
+    back on (group, value) and sized by AQE.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = hist.select(F.col(value).alias("_v"),
+    g = list(group_cols)
+    hist = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(*g) if g else Window).orderBy(F.col(value).desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    ranks = hist.select(*[F.col(c).alias(f"_g_{c}") for c in g], F.col(value).alias("_v"),
                         (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).cast("bigint").alias(out))
-    return df.join(F.broadcast(ranks), df[value] == F.col("_v"), "left").drop("_v")
+    cond = df[value] == F.col("_v")
+    for c in g:
+        cond = cond & (df[c] == F.col(f"_g_{c}"))
+    side = ranks if g else F.broadcast(ranks)
+    return df.join(side, cond, "left").drop("_v", *[f"_g_{c}" for c in g])
 
 
 def nth_smallest_bounded(df: DataFrame, value: str, nth_expr, group_cols=()) -> DataFrame:

@@ -189,3 +189,23 @@ def enrichment_results(t: Tables) -> DataFrame:
                                F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("label")))
                   .alias("enrichment"), k.alias("seq"))
     return q.unionByName(x)
+
+
+HISTORY_SEASON = SEASON
+
+
+def history(t: Tables) -> DataFrame:
+    """Per-gameweek player history from ``events``: gameweek = day of month,
+    player = user; score = mean event value (exact decimal mean, 1 dp)."""
+    from tallyframe.operators.ranking import min_rank_desc_bounded
+
+    e = t.events
+    g = e.groupBy(F.col("user_id").alias("player_id"), F.dayofmonth("ts").cast("int").alias("gameweek")).agg(
+        F.sum(F.col("value").cast("decimal(18,2)")).alias("_s"), F.count(F.lit(1)).alias("_n"),
+        F.min("value").alias("_min"))
+    h = g.select("player_id", "gameweek", F.lit(HISTORY_SEASON).alias("season"),
+                 F.bround(F.col("_s").cast("double") / F.col("_n").cast("double"), 1).alias("fpl_score"),
+                 F.bround(F.col("_min") / 10, 1).alias("price"),
+                 F.col("_n").cast("double").alias("ownership_pct"),
+                 (((F.col("player_id") % 21) - 10) / F.lit(10.0)).alias("sentiment_score"))
+    return min_rank_desc_bounded(h, "fpl_score", "fpl_score_rank", ["season", "gameweek"])
