@@ -74,3 +74,28 @@ def position_within_key(df: DataFrame, key_cols, order_cols, out: str = "pos",
     j = t.join(stats, ["_pid", *key_cols], "inner")
     keep = [F.col(f"`{c}`") for c in df.columns]
     return j.select(*keep, (F.col("_off") + F.col("_mid") - F.col("_m0")).alias(out))
+
+
+def prefix_sum_within_key(df: DataFrame, key_cols, order_cols, value: str, out: str,
+                          inclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` inside each key group in ``order_cols`` order
+    (inclusive or exclusive of the current row), skew-safe.
+
+    Same shape as ``position_within_key``: range partitions split a hot key,
+    a local running sum runs per (partition, key) piece (bounded by the
+    partition size), and a small per-(partition, key) total table supplies
+    each piece's offset.
+    """
+    key_cols, order_cols = list(key_cols), list(order_cols)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = df.repartitionByRange(n, *key_cols, *order_cols).select("*", F.spark_partition_id().alias("_pid"))
+    wl = Window.partitionBy("_pid", *key_cols).orderBy(*order_cols)
+    frame = wl.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = t.select("*", F.sum(value).over(frame).alias("_loc"))
+    tot = t.groupBy("_pid", *key_cols).agg(F.sum(value).alias("_tot"))
+    wo = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *key_cols, F.sum("_tot").over(wo).alias("_off"))
+    j = local.join(offs, ["_pid", *key_cols], "inner")
+    run = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    return j.select(*keep, run.alias(out))

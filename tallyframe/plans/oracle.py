@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from tallyframe.plans.oracle_views import GW, SEASON, view, with_views
 
-ORACLE: dict[str, str] = {}
+RAW: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def oracle(name: str, body: str, *views: str) -> None:
-    ORACLE[name] = with_views(body, *views)
+    """Register an oracle; its WITH clause is assembled once every view
+    module is imported (see ``resolve``)."""
+    RAW[name] = (body, views)
+
+
+def resolve() -> dict[str, str]:
+    return {k: with_views(b, *v) for k, (b, v) in RAW.items()}
 
 
 def _case_list(pairs):

@@ -1,7 +1,7 @@
 """Import every catalogue group so QUERIES / ORACLE are complete."""
 
-from tallyframe.plans import catalog, oracle  # noqa: F401
-from tallyframe.plans import group_clean, group_enrich, group_insights, group_lookup  # noqa: F401
+from tallyframe.plans import catalog, oracle
+from tallyframe.plans import group_clean, group_enrich, group_insights, group_ledger, group_lookup  # noqa: F401
 
 QUERIES = catalog.QUERIES
-ORACLE = oracle.ORACLE
+ORACLE = oracle.resolve()
