@@ -269,3 +269,14 @@ def latest_gate(history: DataFrame, season: str, gameweek: int) -> DataFrame:
     return mx.select(F.lit(season).alias("season"), F.lit(gameweek).cast("int").alias("gameweek"),
                      F.col("m.season").alias("max_season"), F.col("m.gameweek").alias("max_gameweek"),
                      (F.col("m").isNull() | (cur >= F.col("m"))).alias("publish"))
+
+
+def latest_gate_many(history: DataFrame, candidates: DataFrame) -> DataFrame:
+    """S10 for many candidate (season, gameweek) pairs: one max aggregate
+    over history (one row, broadcast) compared as a (season, gameweek) pair."""
+    mx = history.agg(F.max(F.struct("season", "gameweek")).alias("m"))
+    j = candidates.crossJoin(F.broadcast(mx))
+    cur = F.struct(F.col("season"), F.col("gameweek"))
+    return j.select("season", "gameweek", F.col("m.season").alias("max_season"),
+                    F.col("m.gameweek").alias("max_gameweek"),
+                    (F.col("m").isNull() | (cur >= F.col("m"))).alias("publish"))
