@@ -5,6 +5,7 @@ text, and the injected-function boundaries (enricher / embedder)."""
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -115,13 +116,71 @@ def containment_join_blocked(names: DataFrame, docs: DataFrame, name_id: str, na
     return v.select(F.col("_nid").alias(name_id), F.col("_did").alias(doc_id)).distinct()
 
 
+_AUTOMATA: dict = {}
+
+
+def containment_join_automaton(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
+                               doc_id: str, text_col: str, broadcast_limit: int = BROADCAST_NAME_LIMIT) -> DataFrame:
+    """J5 for a name list of CHECKED small size: one Aho-Corasick automaton
+    over all lower-cased names (built once per Python worker from a
+    broadcast variable), one linear pass over each lower-cased text.  Cost
+    is O(text) per document instead of O(text x names) for a nested loop.
+    Lower-casing stays in the JVM (same semantics as ``contains``)."""
+    import ahocorasick  # noqa: F401 - fail early on the driver if missing
+
+    rows = (names.select(F.col(name_id).alias("i"), F.lower(F.col(name_col)).alias("n"))
+                 .where(F.length("n") > 0).limit(broadcast_limit + 1).collect())
+    if len(rows) > broadcast_limit:
+        raise ValueError("name list above the broadcast limit; use containment_join_blocked")
+    spark = docs.sparkSession
+    bc = spark.sparkContext.broadcast([(r["i"], r["n"]) for r in rows])
+    token = uuid.uuid4().hex  # cache key of this automaton in reused Python workers
+    id_type = names.schema[name_id].dataType
+    did_type = docs.schema[doc_id].dataType
+
+    def run(batches):
+        import ahocorasick as ac
+        auto = _AUTOMATA.get(token)
+        if auto is None:
+            auto = ac.Automaton()
+            groups: dict = {}
+            for i, n in bc.value:
+                groups.setdefault(n, []).append(i)
+            for n, ids in groups.items():
+                auto.add_word(n, ids)
+            if groups:
+                auto.make_automaton()
+            _AUTOMATA.clear()
+            _AUTOMATA[token] = auto
+        for pdf in batches:
+            out_n, out_d = [], []
+            if len(auto):
+                for d, text in zip(pdf["_did"].tolist(), pdf["_text"].tolist()):
+                    if text is None:
+                        continue
+                    seen = set()
+                    for _end, ids in auto.iter(text):
+                        seen.update(ids)
+                    out_n.extend(seen)
+                    out_d.extend([d] * len(seen))
+            yield pd.DataFrame({name_id: pd.Series(out_n, dtype="int64"), doc_id: pd.Series(out_d, dtype="int64")})
+
+    schema = T.StructType([T.StructField(name_id, id_type), T.StructField(doc_id, did_type)])
+    d = docs.select(F.col(doc_id).alias("_did"), F.lower(F.col(text_col)).alias("_text"))
+    return d.mapInPandas(run, schema)
+
+
 def containment_join(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
                      doc_id: str, text_col: str, broadcast_limit: int = BROADCAST_NAME_LIMIT) -> DataFrame:
-    """J5/J9 dispatcher: broadcast only behind a size check of the name list
-    (one count of the small side), blocked join otherwise."""
+    """J5/J9 dispatcher: the name list is shipped to every task only behind
+    a size check (one bounded count of the small side); above the limit the
+    lossless blocked join runs instead."""
     n = names.where(F.length(F.col(name_col)) > 0).limit(broadcast_limit + 1).count()
     if n <= broadcast_limit:
-        return containment_join_broadcast(names, docs, name_id, name_col, doc_id, text_col)
+        try:
+            return containment_join_automaton(names, docs, name_id, name_col, doc_id, text_col, broadcast_limit)
+        except ImportError:  # pragma: no cover - automaton library absent
+            return containment_join_broadcast(names, docs, name_id, name_col, doc_id, text_col)
     return containment_join_blocked(names, docs, name_id, name_col, doc_id, text_col)
 
 

@@ -34,15 +34,34 @@ def order_stats(df: DataFrame, value: str, index_exprs: dict) -> DataFrame:
     return j.agg(*aggs).crossJoin(n)
 
 
-def exact_median(df: DataFrame, value: str, out: str) -> DataFrame:
+def order_stats_bounded(df: DataFrame, value: str, index_exprs: dict) -> DataFrame:
+    """``order_stats`` for a value on a bounded grid (e.g. 1-dp scores in
+    [0, 100]: at most 1001 distinct values): one partial aggregate to a
+    histogram, a running count over the histogram rows (bounded by the
+    grid, not the data), and the wanted positions read off it."""
+    v = df.where(F.col(value).isNotNull())
+    hist = v.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)  # <= grid size rows
+    cum = hist.select("_v", "_c", F.sum("_c").over(w).alias("_cum"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    idx = [e.alias(k) for k, e in index_exprs.items()]
+    c2 = cum.select("*", *idx)
+    aggs = [F.max(F.when((F.col("_cum") - F.col("_c") <= F.col(k)) & (F.col(k) < F.col("_cum")), F.col("_v"))).alias(k)
+            for k in index_exprs]
+    n = v.agg(F.count(F.lit(1)).alias("_n"))
+    return c2.agg(*aggs).crossJoin(n)
+
+
+def exact_median(df: DataFrame, value: str, out: str, bounded: bool = False) -> DataFrame:
     """Mean of the two middle values (0 when empty)."""
-    s = order_stats(df, value, {"_lo": F.floor((F.col("_n") - 1) / 2), "_hi": F.floor(F.col("_n") / 2)})
+    f = order_stats_bounded if bounded else order_stats
+    s = f(df, value, {"_lo": F.floor((F.col("_n") - 1) / 2), "_hi": F.floor(F.col("_n") / 2)})
     return s.select(F.coalesce((F.col("_lo") + F.col("_hi")) / 2, F.lit(0.0)).alias(out))
 
 
-def upper_median(df: DataFrame, value: str, out: str, default: float) -> DataFrame:
+def upper_median(df: DataFrame, value: str, out: str, default: float, bounded: bool = False) -> DataFrame:
     """``sorted[floor(n/2)]`` (not percentile_disc), default when empty."""
-    s = order_stats(df, value, {"_m": F.floor(F.col("_n") / 2)})
+    f = order_stats_bounded if bounded else order_stats
+    s = f(df, value, {"_m": F.floor(F.col("_n") / 2)})
     return s.select(F.coalesce(F.col("_m").cast("double"), F.lit(default)).alias(out))
 
 
@@ -275,14 +294,24 @@ def verdict(sell: str = "s_", buy: str = "b_") -> F.Column:
 
 def buy_candidates(sells: DataFrame, dash: DataFrame, k: int = 50) -> DataFrame:
     """Per sell candidate, same-position players (not itself), top k by
-    score.  Equi-join on position + inequality, then a partial
-    WindowGroupLimit per sell id."""
+    score.
+
+    Joining sells to ALL players of their position would put every player
+    of a position behind one of four join keys (skew) and emit
+    sells x players pairs.  The top k of a position differ between sells
+    only by the sell itself, so the position's top k+1 are computed once
+    (partial WindowGroupLimit: at most k+1 rows per position per map task),
+    giving a list of at most 4 x (k+1) rows -- a proven bound, broadcast --
+    and each sell keeps the first k that are not itself."""
     cols = ("web_name", "fpl_score", "fdr_next_3", "price")
     s = sells.select(F.col("player_id").alias("sell_id"), F.col("position").alias("_pos"),
                      *[F.col(c).alias(f"s_{c}") for c in cols])
-    b = dash.select(F.col("player_id").alias("buy_id"), F.col("position").alias("_pos"),
-                    *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = s.join(b, "_pos", "inner").where(F.col("sell_id") != F.col("buy_id"))
+    wp = Window.partitionBy("position").orderBy(F.col("fpl_score").desc(), F.col("player_id").asc())
+    top = dash.where(F.col("position").isNotNull()).select("*", F.row_number().over(wp).alias("_pr")) \
+              .where(F.col("_pr") <= k + 1)
+    b = top.select(F.col("player_id").alias("buy_id"), F.col("position").alias("_pos"),
+                   *[F.col(c).alias(f"b_{c}") for c in cols])
+    j = s.join(F.broadcast(b), "_pos", "inner").where(F.col("sell_id") != F.col("buy_id"))
     w = Window.partitionBy("sell_id").orderBy(F.col("b_fpl_score").desc(), F.col("buy_id").asc())
     r = j.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
     return r.select("sell_id", "rank", "buy_id", verdict().alias("verdict"))

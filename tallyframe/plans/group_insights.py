@@ -43,7 +43,7 @@ FROM v_cap ORDER BY captain_score DESC, player_id LIMIT 15""")
 
 
 def _cands(c: Context):
-    return ins.captain_candidates(c.dashboard)
+    return ins.captain_candidates(c.dashboard_shared)
 
 
 @query("captain_scores")
@@ -100,7 +100,7 @@ FROM v_dashboard WHERE ownership_pct < 15""")
 @query("differential_radar")
 def _(c: Context):
     """Top 12 low-ownership differentials."""
-    d = ins.differentials(c.dashboard)
+    d = ins.differentials(c.dashboard_shared)
     t = d.orderBy(F.col("differential_score").desc(), F.col("player_id")).limit(12)
     from pyspark.sql import Window
     w = Window.orderBy(F.col("differential_score").desc(), F.col("player_id"))
@@ -115,17 +115,17 @@ FROM v_diff ORDER BY differential_score DESC, player_id LIMIT 12""", "v_diff")
 
 
 def _team_strength(c: Context):
-    return curate.team_strength(c.dashboard, c.fdr, c.season, c.gw)
+    return curate.team_strength(c.dashboard_shared, c.fdr, c.season, c.gw)
 
 
 def _medians(c: Context):
-    d = ins.differentials(c.dashboard)
+    d = ins.differentials(c.dashboard_shared)
     ts = _team_strength(c)
-    return (ins.exact_median(d, "ownership_pct", "med_own")
-            .crossJoin(ins.exact_median(d, "fpl_score", "med_diff_score"))
-            .crossJoin(ins.upper_median(ts, "avg_fpl_score", "med_score", 48.0))
+    return (ins.exact_median(d, "ownership_pct", "med_own", bounded=True)
+            .crossJoin(ins.exact_median(d, "fpl_score", "med_diff_score", bounded=True))
+            .crossJoin(ins.upper_median(ts, "avg_fpl_score", "med_score", 48.0, bounded=True))
             .crossJoin(ins.upper_median(ts.where(F.col("avg_fdr_remaining").isNotNull()),
-                                        "avg_fdr_remaining", "med_fdr", 3.0)))
+                                        "avg_fdr_remaining", "med_fdr", 3.0, bounded=True)))
 
 
 @query("league_medians")
@@ -183,9 +183,9 @@ SELECT {_upper_med('ownership_pct', 'v_dashboard', 10.0)} AS m_own,
 @query("ownership_outliers")
 def _(c: Context):
     """Top 3 differentials (own < median, value > median) and 2 traps."""
-    d = c.dashboard
-    med = (ins.upper_median(d, "ownership_pct", "m_own", 10.0)
-           .crossJoin(ins.upper_median(d, "points_per_million", "m_ppm", 15.0)))
+    d = c.dashboard_shared
+    med = (ins.upper_median(d, "ownership_pct", "m_own", 10.0, bounded=True)
+           .crossJoin(ins.upper_median(d, "points_per_million", "m_ppm", 15.0, bounded=True)))
     j = d.select("player_id", "ownership_pct", "points_per_million").crossJoin(F.broadcast(med))
     a = (j.where((F.col("ownership_pct") < F.col("m_own")) & (F.col("points_per_million") > F.col("m_ppm")))
           .orderBy(F.col("points_per_million").desc(), "player_id").limit(3)
@@ -214,7 +214,7 @@ SELECT 'trap', player_id FROM (
 @query("xg_outliers")
 def _(c: Context):
     """Top 5 by |goals - xG| and the p99 axis cap ceil(p99 + 1)."""
-    d = c.dashboard.where(F.col("xg").isNotNull())
+    d = c.dashboard_shared.where(F.col("xg").isNotNull())
     vals = d.select(F.explode(F.array(F.col("xg"), F.col("goals_scored").cast("double"))).alias("v"))
     p99 = ins.order_stats(vals, "v", {"_p": F.floor(F.col("_n") * 0.99)}) \
              .select(F.ceil(F.coalesce(F.col("_p"), F.lit(1.0)) + 1).cast("bigint").alias("axis_max"))
@@ -335,7 +335,7 @@ GROUP BY h.player_id""", "v_history")
 @query("score_series")
 def _(c: Context):
     """Dense score series (missing -> 0) for the dashboard's top-10 players."""
-    sel = c.dashboard.orderBy(F.col("fpl_score_rank"), F.col("player_id")).limit(10) \
+    sel = c.dashboard_shared.orderBy(F.col("fpl_score_rank"), F.col("player_id")).limit(10) \
                      .select((F.col("player_id") % 150).alias("player_id")).distinct()
     return ins.score_series(_hist(c), sel, 1, 30)
 
@@ -384,7 +384,7 @@ SELECT * FROM (SELECT 'faller' AS kind, player_id, delta FROM v_deltas ORDER BY
 @query("score_breakdown")
 def _(c: Context):
     """Positive score components in long form."""
-    return ins.score_breakdown(c.dashboard)
+    return ins.score_breakdown(c.dashboard_shared)
 
 
 oracle("score_breakdown", "\nUNION ALL\n".join(
@@ -395,7 +395,7 @@ oracle("score_breakdown", "\nUNION ALL\n".join(
 @query("radar")
 def _(c: Context):
     """Six normalised stats per player (long form)."""
-    return ins.radar(c.dashboard)
+    return ins.radar(c.dashboard_shared)
 
 
 _RADAR = [("Goals", "CAST(goals_scored AS DOUBLE)", "greatest(CAST(goals_scored AS DOUBLE), 20.0::DOUBLE)"),
@@ -411,7 +411,7 @@ oracle("radar", "\nUNION ALL\n".join(
 @query("banding")
 def _(c: Context):
     """Display bands (difficulty class, colours, tier, sentiment, heat)."""
-    return ins.banding(c.dashboard)
+    return ins.banding(c.dashboard_shared)
 
 
 oracle("banding", """
@@ -435,7 +435,7 @@ FROM v_dashboard d CROSS JOIN (SELECT min(points_per_million) lo, max(points_per
 @query("head_to_head")
 def _(c: Context):
     """Each player against the next id, 12 metrics with a winner."""
-    d = c.dashboard
+    d = c.dashboard_shared
     pairs = d.select(F.col("player_id").alias("a_id")).join(
         d.select((F.col("player_id") - 1).alias("a_id"), F.col("player_id").alias("b_id")), "a_id", "inner") \
         .select(F.col("a_id").alias("pair_id"), "a_id", "b_id")
@@ -488,9 +488,9 @@ WHERE rank <= 50""")
 
 
 def _cands_buy(c: Context):
-    sells = c.picks.where(F.col("recommendation") == "sell").select("player_id", "position", "web_name",
+    sells = c.picks_shared.where(F.col("recommendation") == "sell").select("player_id", "position", "web_name",
                                                                     "fpl_score", "fdr_next_3", "price")
-    return ins.buy_candidates(sells, c.dashboard, 50)
+    return ins.buy_candidates(sells, c.dashboard_shared, 50)
 
 
 @query("buy_candidates")
@@ -514,7 +514,7 @@ oracle("transfer_verdict", "SELECT sell_id, buy_id, verdict FROM v_buy_cands WHE
 @query("transfer_hub")
 def _(c: Context):
     """30 easiest-fixture picks (null difficulty treated as 3)."""
-    return ins.transfer_hub(c.picks, "fdr_next_3", 30)
+    return ins.transfer_hub(c.picks_shared, "fdr_next_3", 30)
 
 
 oracle("transfer_hub", """
@@ -579,7 +579,7 @@ FROM v_players p LEFT JOIN (
 @query("snapshot_profile")
 def _(c: Context):
     """Row count, distinct teams and counts per position (long)."""
-    d = c.dashboard
+    d = c.dashboard_shared
     tot = d.agg(F.lit("rows").alias("metric"), F.lit("").alias("key"), F.count(F.lit(1)).alias("value"))
     teams = d.agg(F.lit("teams").alias("metric"), F.lit("").alias("key"),
                   F.count_distinct("team_id").alias("value"))
@@ -598,10 +598,10 @@ GROUP BY coalesce(position, '?')""", "v_dashboard")
 @query("score_distribution")
 def _(c: Context):
     """Mean (exact), median, max and min of the composite score."""
-    d = c.dashboard
+    d = c.dashboard_shared
     a = d.agg(F.bround(curate.exact_mean_1dp("fpl_score"), 6).alias("mean"),
               F.max("fpl_score").alias("max"), F.min("fpl_score").alias("min"))
-    return a.crossJoin(ins.exact_median(d, "fpl_score", "median"))
+    return a.crossJoin(ins.exact_median(d, "fpl_score", "median", bounded=True))
 
 
 oracle("score_distribution", f"""
@@ -629,7 +629,7 @@ FROM v_players ORDER BY own DESC, src_pos LIMIT 300""", "v_players")
 @query("headline_pick")
 def _(c: Context):
     """The first 'buy' in table order."""
-    return c.picks.where(F.col("recommendation") == "buy").orderBy("src_pos").limit(1) \
+    return c.picks_shared.where(F.col("recommendation") == "buy").orderBy("src_pos").limit(1) \
                   .select("player_id", "web_name", "fpl_score")
 
 

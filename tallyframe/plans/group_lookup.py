@@ -37,7 +37,7 @@ GROUP BY r.request_id, r.name""")
 
 
 def _best(c: Context):
-    return lookup.name_lookup(c.dashboard, name_requests(c))
+    return lookup.name_lookup(c.dashboard_shared, name_requests(c))
 
 
 @query("name_lookup")
@@ -56,7 +56,7 @@ OUTLOOK_NOTE = "Single aggregate difficulty score; per-GW breakdown not yet avai
 @query("outlook_lookup")
 def _(c: Context):
     """P20: fixture outlook projection for each found request."""
-    b = _best(c).where("found").join(c.dashboard, "player_id", "inner")
+    b = _best(c).where("found").join(c.dashboard_shared, "player_id", "inner")
     return b.select("request_id", F.col("web_name").alias("player"), F.col("team_name").alias("team"),
                     F.col("fdr_next_3").alias("difficulty"), F.lit(OUTLOOK_NOTE).alias("note"))
 
@@ -70,7 +70,7 @@ FROM v_best_match b JOIN v_dashboard d ON b.player_id = d.player_id""", "v_best_
 @query("injury_lookup")
 def _(c: Context):
     """injury/form projection for each found request."""
-    b = _best(c).where("found").join(c.dashboard, "player_id", "inner")
+    b = _best(c).where("found").join(c.dashboard_shared, "player_id", "inner")
     return b.select("request_id", "web_name", "injury_risk", "form_trend", F.col("llm_summary").alias("summary"))
 
 
@@ -94,7 +94,7 @@ def criteria_requests(c: Context):
 @query("criteria_search")
 def _(c: Context):
     """Per request the top 20 matching players by points."""
-    return lookup.criteria_search(c.dashboard, criteria_requests(c))
+    return lookup.criteria_search(c.dashboard_shared, criteria_requests(c))
 
 
 oracle("criteria_search", """
@@ -114,7 +114,7 @@ WHERE rank <= lim""", "v_dashboard")
 @query("text_search")
 def _(c: Context):
     """Free-text filter over name, team and position."""
-    return lookup.text_search(c.dashboard, "nation_2", ["web_name", "team_name", "position"]) \
+    return lookup.text_search(c.dashboard_shared, "nation_2", ["web_name", "team_name", "position"]) \
         .select("player_id", "web_name", "team_name")
 
 
@@ -212,7 +212,7 @@ MUST_INCLUDE = "0000001"
 
 def _pool(c: Context):
     n = c.t.nation.select(F.col("n_nationkey").cast("int").alias("team_id"), F.col("n_regionkey").alias("league_id"))
-    return c.dashboard.join(n, "team_id", "inner")
+    return c.dashboard_shared.join(n, "team_id", "inner")
 
 
 @query("canned_squad")
