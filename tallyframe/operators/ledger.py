@@ -130,18 +130,47 @@ def rate_admission(requests: DataFrame, short_s: float = 60, short_n: int = 5,
                    long_s: float = 3600, long_n: int = 20) -> DataFrame:
     """W9 batch form over (session_id, request_id, t seconds).
 
-    Parallel over sessions AND over idle-separated segments of a session: a
-    gap longer than the long window empties the state, so segments are
-    independent groups for ``applyInPandas``; inside a segment the scan is
-    sequential by definition (its state is at most ``long_n`` timestamps).
+    Sessions are hash-partitioned and each partition is sorted by
+    (session, t, id); one streaming pass per partition (``mapInPandas``)
+    carries only the current session's state -- at most ``long_n``
+    accepted timestamps -- across Arrow batches.  No session is ever
+    materialised as one group: a session holding a third of all requests
+    is scanned in constant memory (the scan itself is sequential by
+    definition, since a rejection changes every later decision).
     """
-    w = Window.partitionBy("session_id").orderBy("t", "request_id")
-    gap = (F.col("t") - F.lag("t").over(w)) > long_s
-    seg = requests.select("session_id", "request_id", "t", F.when(gap, 1).otherwise(0).alias("_brk"))
-    seg = seg.select("*", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_seg"))
+    from collections import deque
+
+    def run(batches):
+        cur, win = None, deque()
+        for pdf in batches:
+            sid = pdf["session_id"].to_numpy()
+            rid = pdf["request_id"].to_numpy()
+            ts = pdf["t"].to_numpy(dtype="float64")
+            allowed, retry = [], []
+            for s, now in zip(sid, ts):
+                if s != cur:
+                    cur, win = s, deque()
+                while win and win[0] < now - long_s:
+                    win.popleft()
+                in_short = [x for x in win if x >= now - short_s]
+                if len(in_short) >= short_n:
+                    allowed.append(False)
+                    retry.append(max(1, int(short_s - (now - in_short[0]))))
+                elif len(win) >= long_n:
+                    allowed.append(False)
+                    retry.append(max(1, int(long_s - (now - win[0]))))
+                else:
+                    win.append(now)
+                    allowed.append(True)
+                    retry.append(None)
+            yield pd.DataFrame({"session_id": sid, "request_id": rid, "allowed": allowed,
+                                "retry_after": pd.array(retry, dtype="Int64")})
+
     schema = "session_id bigint, request_id bigint, allowed boolean, retry_after bigint"
-    return seg.groupBy("session_id", "_seg").applyInPandas(
-        lambda pdf: _admit(pdf, short_s, short_n, long_s, long_n), schema)
+    r = requests.select("session_id", "request_id", "t")
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (r.repartition(n, "session_id").sortWithinPartitions("session_id", "t", "request_id")
+             .mapInPandas(run, schema))
 
 
 def attempt_rate(requests: DataFrame, span_s: int) -> DataFrame:
