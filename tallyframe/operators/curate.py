@@ -210,7 +210,10 @@ def briefing_lists(dash: DataFrame, picks: DataFrame, fdr: DataFrame, teams: Dat
         return d.select(F.lit(name).alias("list"), F.row_number().over(w).alias("pos"),
                         F.col(id_col).cast("bigint").alias("item_id"), detail.alias("detail"))
 
-    buys = picks.where(F.col("recommendation") == "buy")
+    # Each pick's dashboard detail (summary) attached by id, null if missing.
+    summaries = dash.select("player_id", F.col("llm_summary").alias("_summary"))
+    buys = picks.where(F.col("recommendation") == "buy").drop("llm_summary") \
+                .join(summaries, "player_id", "left")
     sells = picks.where(F.col("recommendation") == "sell")
     inj = dash.where(F.col("injury_risk") >= 5)
     rising = dash.where(F.col("form_trend") == "improving")
@@ -219,7 +222,8 @@ def briefing_lists(dash: DataFrame, picks: DataFrame, fdr: DataFrame, teams: Dat
         "team_id", "team_short", F.bround("fdr_next_3", 1).alias("f3"), F.bround("fdr_next_6", 1).alias("f6"))
     parts = [
         ranked(buys, "top_picks", [F.col("fpl_score").desc(), F.col("src_pos")], 3, "player_id",
-               F.concat_ws("|", F.slice("recommendation_reasons", 1, 3))),
+               F.concat(F.concat_ws("|", F.slice("recommendation_reasons", 1, 3)), F.lit("::"),
+                        F.coalesce(F.col("_summary"), F.lit("")))),
         ranked(sells, "sell_alerts", [F.col("fpl_score").asc(), F.col("src_pos")], 3, "player_id",
                F.concat_ws("|", F.slice("recommendation_reasons", 1, 2))),
         ranked(inj, "injury_alerts", [F.col("injury_risk").desc(), F.col("src_pos")], 5, "player_id",

@@ -57,9 +57,12 @@ def _grams(col, n: int):
 def containment_join_broadcast(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
                                doc_id: str, text_col: str) -> DataFrame:
     """J5 for a name list of CHECKED small size: names broadcast, every
-    document row tests ``contains`` against them (BroadcastNestedLoopJoin)."""
+    document row tests ``contains`` against them (BroadcastNestedLoopJoin).
+    Works on a streaming ``docs`` side too (stream-static join)."""
     n = names.select(F.col(name_id).alias("_nid"), F.lower(F.col(name_col)).alias("_name")) \
              .where(F.length("_name") > 0)
+    if n.limit(BROADCAST_NAME_LIMIT + 1).count() > BROADCAST_NAME_LIMIT:
+        raise ValueError("name list above the broadcast limit; use containment_join_blocked")
     d = docs.select(F.col(doc_id).alias("_did"), F.lower(F.col(text_col)).alias("_text"))
     j = d.join(F.broadcast(n), F.col("_text").contains(F.col("_name")), "inner")
     return j.select(F.col("_nid").alias(name_id), F.col("_did").alias(doc_id))

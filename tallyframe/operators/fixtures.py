@@ -102,10 +102,11 @@ def fixture_grid(rows: DataFrame, teams_df: DataFrame) -> DataFrame:
     cells = rows.groupBy("team_id", "gameweek").agg(
         F.max_by(F.struct("opponent_short", "is_home", "fdr"), F.col("fixture_id")).alias("c"))
     team_ids = rows.select("team_id").distinct()
-    gws = rows.select("gameweek").distinct()
-    # Both sides are distinct keys of a bounded domain (teams x gameweeks of
-    # one season) -- the grid is the product of two small dimension lists.
-    spine = team_ids.crossJoin(F.broadcast(gws))
+    # The gameweeks of the data as ONE row (an array bounded by the season's
+    # gameweek count), exploded per team: the dense spine without a join of
+    # two tables.
+    gws = rows.agg(F.array_sort(F.collect_set("gameweek")).alias("_gws"))
+    spine = team_ids.crossJoin(F.broadcast(gws)).select("team_id", F.explode("_gws").alias("gameweek"))
     g = spine.join(cells, ["team_id", "gameweek"], "left")
     return g.select("team_id", "gameweek",
                     F.col("c.opponent_short").alias("opponent_short"),

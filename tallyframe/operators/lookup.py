@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.enrich import containment_join
 
+MAX_BROADCAST_QUERIES = 10_000   # exact kNN / request lists shipped to every task
+
 
 # --- P18 criteria search ---------------------------------------------------------
 
@@ -34,6 +36,8 @@ def criteria_search(players: DataFrame, requests: DataFrame, order_col: str = "t
         "request_id", F.upper("position").alias("_pos"), "max_price", "min_form", "team", "lim")
     a = with_pos.join(p, (with_pos["_pos"] == p["position"]) & cond(with_pos), "inner")
     any_pos = requests.where(F.col("position").isNull())
+    if any_pos.limit(MAX_BROADCAST_QUERIES + 1).count() > MAX_BROADCAST_QUERIES:
+        raise ValueError("too many position-free criteria requests to broadcast")
     b = p.join(F.broadcast(any_pos), cond(any_pos), "inner")
     cols = ["request_id", "lim", id_col, order_col]
     u = a.select(*cols).unionByName(b.select(*cols))
@@ -89,6 +93,9 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int, q_id: str, b_id: str,
     The query side is the small one and is broadcast behind a size check by
     the caller; the base side streams; ``row_number() <= k`` is planned as a
     partial WindowGroupLimit, so each map task ships only k rows per query."""
+    n_q = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
+    if n_q > MAX_BROADCAST_QUERIES:
+        raise ValueError(f"{n_q}+ query vectors: use knn_cells (exact kNN broadcasts the query side)")
     q = with_unit_vectors(queries.select(F.col(q_id).alias("_qid"), F.col(vec_col).alias("_qv")), "_qv", "_qu")
     b = with_unit_vectors(base.select(F.col(b_id).alias("_bid"), F.col(vec_col).alias("_bv")), "_bv", "_bu")
     j = b.join(F.broadcast(q.select("_qid", "_qu")), F.col("_bid") != F.col("_qid"), "inner")

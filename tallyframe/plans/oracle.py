@@ -144,7 +144,7 @@ FROM v_fdr f LEFT JOIN v_teams t ON f.team_id = t.team_id""")
 
 oracle("briefing_lists", "\nUNION ALL\n".join([
     _list("top_picks", "v_picks", "recommendation = 'buy'", "fpl_score DESC, src_pos", 3, "player_id",
-          "array_to_string(recommendation_reasons[1:3], '|')"),
+          "array_to_string(recommendation_reasons[1:3], '|') || '::' || coalesce(llm_summary, '')"),
     _list("sell_alerts", "v_picks", "recommendation = 'sell'", "fpl_score ASC, src_pos", 3, "player_id",
           "array_to_string(recommendation_reasons[1:2], '|')"),
     _list("injury_alerts", "v_dashboard", "injury_risk >= 5", "injury_risk DESC, src_pos", 5, "player_id",
