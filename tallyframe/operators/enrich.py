@@ -100,17 +100,22 @@ def containment_join_blocked(names: DataFrame, docs: DataFrame, name_id: str, na
     # whole name when shorter than k) -- grams of texts are only generated
     # for these few names' grams.
     few = nt.where(F.size("_t") < 3).select("_nid", "_name")
+    # Texts are only cut into character grams when such names exist (one
+    # cheap existence probe on the name side per branch).
     longf = few.where(F.length("_name") >= k)
-    ng = longf.select("_nid", "_name", F.explode(_grams(F.col("_name"), k)).alias("_g"))
-    dgrams = dl.select("_did", F.explode(_grams(F.col("_text"), k)).alias("_g")) \
-               .join(ng.select("_g").distinct(), "_g", "left_semi")
-    gfreq = dgrams.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    gpick = (ng.join(gfreq, "_g", "inner")
-               .groupBy("_nid", "_name").agg(F.min_by("_g", F.struct("_df", "_g")).alias("_g")))
-    cand = cand.unionByName(dgrams.join(gpick, "_g", "inner").select("_did", "_nid", "_name"))
+    if longf.limit(1).count() > 0:
+        ng = longf.select("_nid", "_name", F.explode(_grams(F.col("_name"), k)).alias("_g"))
+        dgrams = dl.select("_did", F.explode(_grams(F.col("_text"), k)).alias("_g")) \
+                   .join(ng.select("_g").distinct(), "_g", "left_semi")
+        gfreq = dgrams.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+        gpick = (ng.join(gfreq, "_g", "inner")
+                   .groupBy("_nid", "_name").agg(F.min_by("_g", F.struct("_df", "_g")).alias("_g")))
+        cand = cand.unionByName(dgrams.join(gpick, "_g", "inner").select("_did", "_nid", "_name"))
     short = few.where(F.length("_name") < k)
     for m in range(1, k):
         sm = short.where(F.length("_name") == m).select("_nid", "_name", F.col("_name").alias("_g"))
+        if sm.limit(1).count() == 0:
+            continue
         dm = dl.select("_did", F.explode(_grams(F.col("_text"), m)).alias("_g")).join(
             sm.select("_g").distinct(), "_g", "left_semi")
         cand = cand.unionByName(dm.join(sm, "_g", "inner").select("_did", "_nid", "_name"))

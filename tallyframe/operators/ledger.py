@@ -6,11 +6,11 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.ranking import prefix_sum_within_key
+from tallyframe.operators.ranking import prefix_sum_within_key, range_count_within_key
 
 # USD per million tokens (input, output).  Two price lists
 # exist in the product: the enrichment report (unknown model -> 0) and the
@@ -100,32 +100,6 @@ def budget_admission(priced: DataFrame, period_col: str, order_cols, limit_usd:
                     (before < lim).alias("allowed"), ((before < lim) & (after >= lim)).alias("crossed"))
 
 
-def _admit(pdf: pd.DataFrame, short_s: float, short_n: int, long_s: float, long_n: int) -> pd.DataFrame:
-    """W9 for one session segment, in time order: rejected attempts do not
-    enter the window (a recursion no window frame expresses)."""
-    from collections import deque
-
-    pdf = pdf.sort_values(["t", "request_id"])
-    win: deque = deque()
-    allowed, retry = [], []
-    for now in pdf["t"].to_numpy(dtype="float64"):
-        while win and win[0] < now - long_s:
-            win.popleft()
-        in_short = [x for x in win if x >= now - short_s]
-        if len(in_short) >= short_n:
-            allowed.append(False)
-            retry.append(max(1, int(short_s - (now - in_short[0]))))
-        elif len(win) >= long_n:
-            allowed.append(False)
-            retry.append(max(1, int(long_s - (now - win[0]))))
-        else:
-            win.append(now)
-            allowed.append(True)
-            retry.append(None)
-    return pd.DataFrame({"session_id": pdf["session_id"].to_numpy(), "request_id": pdf["request_id"].to_numpy(),
-                         "allowed": allowed, "retry_after": pd.array(retry, dtype="Int64")})
-
-
 def rate_admission(requests: DataFrame, short_s: float = 60, short_n: int = 5,
                    long_s: float = 3600, long_n: int = 20) -> DataFrame:
     """W9 batch form over (session_id, request_id, t seconds).
@@ -174,6 +148,9 @@ def rate_admission(requests: DataFrame, short_s: float = 60, short_n: int = 5,
 
 
 def attempt_rate(requests: DataFrame, span_s: int) -> DataFrame:
-    """T5 batch twin: attempts (admitted or not) in the trailing span."""
-    w = Window.partitionBy("session_id").orderBy("t").rangeBetween(-span_s, 0)
-    return requests.select("session_id", "request_id", F.count(F.lit(1)).over(w).alias("attempts"))
+    """T5 batch twin: attempts (admitted or not) per session in the trailing
+    span -- a RANGE window count computed skew-safe (a hot session is split
+    across range partitions; see ``ranking.range_count_within_key``)."""
+    r = range_count_within_key(requests.select("session_id", "request_id", "t"), ["session_id"], "t",
+                               "request_id", span_s, out="attempts")
+    return r.select("session_id", "request_id", "attempts")

@@ -193,14 +193,14 @@ def canned_squads(pool: DataFrame, league_col: str, must_include: str | None) ->
     start = F.create_map(*[x for kv in STARTER_COUNTS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     porder = F.create_map(*[x for kv in POSITION_ORDER.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     sel = allp.where(F.col("position").isin(list(SQUAD_COUNTS)) & (F.col("idx") <= cnt[F.col("position")]))
+    # A league is complete iff all four positions reach their count: one
+    # aggregate per (league, position), one per league.
     have = sel.groupBy(league_col, "position").agg(F.count(F.lit(1)).alias("_n"))
-    short = have.where(F.col("_n") < cnt[F.col("position")]).select(league_col)
+    full_pos = have.groupBy(league_col).agg(F.count_if(F.col("_n") == cnt[F.col("position")]).alias("_p"))
     leagues = base.select(league_col).distinct()
-    full = leagues.join(have.where(F.col("_n") == cnt[F.col("position")]).groupBy(league_col)
-                        .agg(F.count(F.lit(1)).alias("_p")), league_col, "left")
-    bad = full.where(F.coalesce(F.col("_p"), F.lit(0)) < len(SQUAD_COUNTS)).select(league_col) \
-              .unionByName(short).distinct()
-    good = sel.join(bad, league_col, "left_anti")
+    status = leagues.join(full_pos, league_col, "left")
+    bad = status.where(F.coalesce(F.col("_p"), F.lit(0)) < len(SQUAD_COUNTS)).select(league_col)
+    good = sel.join(status.where(F.col("_p") == len(SQUAD_COUNTS)).select(league_col), league_col, "left_semi")
     bench = F.col("idx") > start[F.col("position")]
     ws = Window.partitionBy(league_col).orderBy(bench.asc(), porder[F.col("position")], F.col("idx"))
     cap = (F.col("position") == "MID") & (F.col("idx") == 1)

@@ -99,3 +99,27 @@ def prefix_sum_within_key(df: DataFrame, key_cols, order_cols, value: str, out:
     run = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
     keep = [F.col(f"`{c}`") for c in df.columns]
     return j.select(*keep, run.alias(out))
+
+
+def range_count_within_key(df: DataFrame, key_cols, ts_col: str, id_col: str, span, out: str = "n") -> DataFrame:
+    """For every row, the number of rows of its key with ``ts`` in
+    ``[ts - span, ts]`` (peers included) -- the value of
+    ``count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN span
+    PRECEDING AND CURRENT ROW)`` -- without sorting a key group in one task.
+
+    Each row contributes two probes, one just before ``ts - span`` and one
+    just after ``ts``; a skew-safe exclusive running count of real rows at
+    each probe (``prefix_sum_within_key``) gives the two boundaries, and the
+    answer is their difference (one aggregate per row id)."""
+    key_cols = list(key_cols)
+    base = df.select(*key_cols, F.col(ts_col).alias("_ts"), F.col(id_col).alias("_id"))
+    real = base.select(*key_cols, "_ts", F.lit(1).alias("_kind"), "_id", F.lit(1).alias("_real"))
+    lo = base.select(*key_cols, (F.col("_ts") - F.lit(span)).alias("_ts"), F.lit(0).alias("_kind"), "_id",
+                     F.lit(0).alias("_real"))
+    hi = base.select(*key_cols, "_ts", F.lit(2).alias("_kind"), "_id", F.lit(0).alias("_real"))
+    allr = real.unionByName(lo).unionByName(hi)
+    pre = prefix_sum_within_key(allr, key_cols, ["_ts", "_kind", "_id"], "_real", "_before", inclusive=False)
+    probes = pre.where(F.col("_kind") != 1).groupBy("_id").agg(
+        (F.max(F.when(F.col("_kind") == 2, F.col("_before"))) - F.max(F.when(F.col("_kind") == 0, F.col("_before"))))
+        .cast("bigint").alias(out))
+    return df.join(probes.withColumnRenamed("_id", id_col), id_col, "inner")

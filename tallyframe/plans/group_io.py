@@ -14,7 +14,7 @@ from tallyframe.operators import curate, enrich, quality
 from tallyframe.plans.catalog import query
 from tallyframe.plans.context import Context
 from tallyframe.plans.oracle import oracle
-from tallyframe.plans.oracle_views import GW, SEASON
+from tallyframe.plans.oracle_views import SEASON
 from tallyframe.session import scratch_path
 from tallyframe.sources import sinks, standins
 from tallyframe.streaming import jobs

@@ -3,7 +3,6 @@ evaluation roll-ups (A12-A15 Q9-Q11 U3 U6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators import evals, ledger
