@@ -334,19 +334,20 @@ GROUP BY h.player_id""", "v_history")
 
 @query("score_series")
 def _(c: Context):
-    """Dense score series (missing -> 0) for the dashboard's top-10 players."""
-    sel = c.dashboard_shared.orderBy(F.col("fpl_score_rank"), F.col("player_id")).limit(10) \
-                     .select((F.col("player_id") % 150).alias("player_id")).distinct()
-    return ins.score_series(_hist(c), sel, 1, 30)
+    """Dense score series (missing -> 0) for the 10 best-ranked
+    players of the latest gameweek."""
+    h = _hist(c)
+    sel = h.where(F.col("gameweek") == 30).orderBy(F.col("fpl_score_rank"), F.col("player_id")).limit(10) \
+           .select("player_id")
+    return ins.score_series(h, sel, 1, 30)
 
 
 oracle("score_series", """
 SELECT s.player_id, s.gameweek, coalesce(h.fpl_score, 0.0::DOUBLE) AS fpl_score FROM (
   SELECT p.player_id, CAST(g.gameweek AS INTEGER) AS gameweek FROM (
-    SELECT DISTINCT player_id % 150 AS player_id FROM (
-      SELECT player_id FROM v_dashboard ORDER BY fpl_score_rank, player_id LIMIT 10) t) p,
+    SELECT player_id FROM v_history WHERE gameweek = 30 ORDER BY fpl_score_rank, player_id LIMIT 10) p,
     range(1, 31) g(gameweek)) s
-LEFT JOIN v_history h ON s.player_id = h.player_id AND s.gameweek = h.gameweek""", "v_dashboard", "v_history")
+LEFT JOIN v_history h ON s.player_id = h.player_id AND s.gameweek = h.gameweek""", "v_history")
 
 
 @query("last10")
