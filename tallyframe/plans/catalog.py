@@ -82,7 +82,7 @@ def _(c: Context):
 @query("team_strength")
 def _(c: Context):
     """Per-team aggregates and top scorer."""
-    return curate.team_strength(c.dashboard, c.fdr, c.season, c.gw)
+    return curate.team_strength(c.dashboard, c.fdr, c.season, c.gw).orderBy("team_name")
 
 
 @query("theme_topk")
