@@ -21,10 +21,15 @@ def criteria_search(players: DataFrame, requests: DataFrame, order_col: str = "t
     """P18 batch form.  ``requests``: (request_id, position, max_price,
     min_form, team, lim) with nulls meaning "no constraint".
 
-    Requests naming a position join on it (equi-join, so big player tables
-    are hash-partitioned); requests without one are few and are broadcast
-    (their count is checked).  Per request the top ``lim`` by points, ties
-    by id -- ``row_number() <= lim`` with a partial WindowGroupLimit."""
+    The request list is small and size-checked, so it is broadcast and the
+    (large) player table is never shuffled for the join: requests naming a
+    position probe a broadcast hash table on position (joining on a
+    four-valued key with a shuffle would put a quarter of all players in
+    one task), position-free requests a broadcast nested loop.  Per request
+    the top ``lim`` by points, ties by id -- ``row_number() <= lim``, which
+    Catalyst plans as a partial WindowGroupLimit before the shuffle."""
+    if requests.limit(MAX_BROADCAST_QUERIES + 1).count() > MAX_BROADCAST_QUERIES:
+        raise ValueError("too many criteria requests to broadcast; split the request list")
     p = players.select(id_col, "position", "price", "form", "team_name", order_col)
 
     def cond(r):
@@ -34,16 +39,18 @@ def criteria_search(players: DataFrame, requests: DataFrame, order_col: str = "t
 
     with_pos = requests.where(F.col("position").isNotNull()).select(
         "request_id", F.upper("position").alias("_pos"), "max_price", "min_form", "team", "lim")
-    a = with_pos.join(p, (with_pos["_pos"] == p["position"]) & cond(with_pos), "inner")
+    a = p.join(F.broadcast(with_pos), (with_pos["_pos"] == p["position"]) & cond(with_pos), "inner")
     any_pos = requests.where(F.col("position").isNull())
-    if any_pos.limit(MAX_BROADCAST_QUERIES + 1).count() > MAX_BROADCAST_QUERIES:
-        raise ValueError("too many position-free criteria requests to broadcast")
     b = p.join(F.broadcast(any_pos), cond(any_pos), "inner")
     cols = ["request_id", "lim", id_col, order_col]
     u = a.select(*cols).unionByName(b.select(*cols))
     w = Window.partitionBy("request_id").orderBy(F.col(order_col).desc(), F.col(id_col).asc())
     r = u.select(*cols, F.row_number().over(w).alias("rank"))
-    return r.where(F.col("rank") <= F.col("lim")).drop("lim")
+    # A literal bound (the largest requested limit, read from the small
+    # request list) lets Catalyst insert the partial WindowGroupLimit; the
+    # per-request limit is applied after it.
+    max_lim = requests.agg(F.max("lim")).first()[0] or 0
+    return r.where(F.col("rank") <= F.lit(int(max_lim))).where(F.col("rank") <= F.col("lim")).drop("lim")
 
 
 # --- P19 P20 P21 J9 name look-ups ------------------------------------------------------
