@@ -51,46 +51,72 @@ def run_available_now(writer, name: str) -> None:
 # --- versioned keyed upsert sink (foreachBatch) -------------------------------------------------
 
 class VersionedUpsert:
-    """A table stored as versions ``{root}/v=<batch_id>``; each micro-batch
-    merges its rows by key into the latest version and writes the next.
+    """A keyed table maintained by ``foreachBatch``: stored as Parquet
+    partitioned by a hash bucket of the key, each micro-batch reads ONLY the
+    buckets its keys fall into, merges, and overwrites just those buckets
+    (dynamic partition overwrite) -- the cost of a batch follows the batch,
+    not the table.
 
     ``merge(old, new) -> DataFrame`` defines the semantics (last-wins,
-    sum, ...).  Re-running a committed batch id is a no-op (idempotent)."""
+    replace, ...); merges are idempotent, and a committed batch id is
+    skipped, so a replay after a failure cannot double-apply.  The merged
+    buckets are staged first because Spark cannot overwrite a path it is
+    reading in the same job."""
 
-    def __init__(self, root: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
+    def __init__(self, root: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+                 keys=None, buckets: int = 64):
         self.root = root.rstrip("/")
         self.merge = merge
+        self.keys = list(keys or getattr(merge, "keys", []))
+        self.buckets = buckets
 
-    def _versions(self, spark: SparkSession) -> list[int]:
+    def _fs(self, spark: SparkSession, path: str):
         jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = p.getFileSystem(conf)
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _exists(self, spark: SparkSession, path: str) -> bool:
+        fs, p = self._fs(spark, path)
+        return fs.exists(p)
 
     def latest(self, spark: SparkSession) -> DataFrame | None:
-        v = self._versions(spark)
-        return spark.read.parquet(f"{self.root}/v={v[-1]}") if v else None
+        state = f"{self.root}/state"
+        if not self._exists(spark, state):
+            return None
+        return spark.read.parquet(state).drop("_bucket")
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id in self._versions(spark):
+        marker = f"{self.root}/_commits/{batch_id}"
+        if self._exists(spark, marker):
             return  # already committed: replay after a failure
-        merged = self.merge(self.latest(spark), batch)
-        merged.write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
+        b = batch.select("*", self._bucket().alias("_bucket"))
+        touched = [r[0] for r in b.select("_bucket").distinct().collect()]  # <= self.buckets values
+        if not touched:
+            fs, p = self._fs(spark, marker)
+            fs.mkdirs(p)
+            return
+        state = f"{self.root}/state"
+        old = None
+        if self._exists(spark, state):
+            old = spark.read.parquet(state).where(F.col("_bucket").isin(touched)).drop("_bucket")
+        merged = self.merge(old, batch).select("*", self._bucket().alias("_bucket"))
+        staging = f"{self.root}/_staging/{batch_id}"
+        merged.write.mode("overwrite").parquet(staging)
+        (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy("_bucket").parquet(state))
+        fs, p = self._fs(spark, marker)
+        fs.mkdirs(p)
 
 
 def last_wins(keys, order_cols):
     def merge(old, new):
         u = new if old is None else old.unionByName(new.select(*old.columns))
         return latest_per_key(u, keys, order_cols)
+    merge.keys = list(keys)
     return merge
 
 
@@ -100,6 +126,7 @@ def replace_keys(keys):
         if old is None:
             return new
         return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
+    merge.keys = list(keys)
     return merge
 
 
