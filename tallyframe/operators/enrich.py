@@ -69,7 +69,7 @@ def containment_join_broadcast(names: DataFrame, docs: DataFrame, name_id: str,
 
 
 def containment_join_blocked(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
-                             doc_id: str, text_col: str, k: int = 3) -> DataFrame:
+                             doc_id: str, text_col: str, k: int = 3, freq_sample: float = 0.05) -> DataFrame:
     """J5 at scale: lossless k-gram blocking, then exact verification.
 
     If a name is a substring of a text, every k-gram of the name is a k-gram
@@ -89,12 +89,20 @@ def containment_join_blocked(names: DataFrame, docs: DataFrame, name_id: str, na
     nt = nm.select("_nid", "_name", toks.alias("_t"))
     inner = nt.where(F.size("_t") >= 3).select(
         "_nid", "_name", F.explode(F.array_distinct(F.slice("_t", 2, F.size("_t") - 2))).alias("_g"))
-    dwords = dl.select("_did", F.explode(F.array_distinct(
-        F.filter(F.split(F.col("_text"), _SEP), lambda x: F.length(x) > 0))).alias("_g"))
+    def words(d):
+        return d.select("_did", F.explode(F.array_distinct(
+            F.filter(F.split(F.col("_text"), _SEP), lambda x: F.length(x) > 0))).alias("_g"))
+
+    dwords = words(dl)
     wanted = inner.select("_g").distinct()
-    freq = dwords.join(wanted, "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    pick = (inner.join(freq, "_g", "inner")  # a word found in no text => the name matches nothing
-                 .groupBy("_nid", "_name").agg(F.min_by("_g", F.struct("_df", "_g")).alias("_g")))
+    # Word rarity only steers the choice (any interior word is lossless), so
+    # it is estimated on a fixed-seed sample of the texts: the full texts are
+    # tokenised once, for the candidate join below.
+    freq = words(dl.sample(fraction=freq_sample, seed=17)).join(wanted, "_g", "left_semi") \
+        .groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    pick = (inner.join(freq, "_g", "left")
+                 .groupBy("_nid", "_name")
+                 .agg(F.min_by("_g", F.struct(F.coalesce(F.col("_df"), F.lit(0)), F.col("_g"))).alias("_g")))
     cand = dwords.join(pick, "_g", "inner").select("_did", "_nid", "_name")
     # (2) Names without an interior word: rarest character k-gram (or the
     # whole name when shorter than k) -- grams of texts are only generated
