@@ -22,6 +22,12 @@ DAILY_LIMIT_USD = "10.0"
 SHORT_S, SHORT_N, LONG_S, LONG_N = 36_000, 5, 2_160_000, 20
 
 
+def _as_double(df, cols):
+    """Exact DECIMAL inside; DOUBLE at the result boundary (a DECIMAL's text
+    form, e.g. 0E-6 vs 0.000000, differs between engines)."""
+    return df.select(*[F.col(x).cast("double").alias(x) if x in cols else F.col(x) for x in df.columns])
+
+
 def usage(c: Context):
     e = c.t.events
     model = F.lit("unknown-model")
@@ -75,13 +81,14 @@ LEFT JOIN {_rates_sql(ledger.AGENT_RATES)} r ON u.model = r.model""")
 @query("cost_report")
 def _(c: Context):
     """Tokens and cost per (node, model) plus the grand total."""
-    return ledger.cost_report(usage(c), ledger.rates_frame(c.spark, ledger.ENRICH_RATES))
+    r = ledger.cost_report(usage(c), ledger.rates_frame(c.spark, ledger.ENRICH_RATES))
+    return _as_double(r, ["cost_usd"])
 
 
 oracle("cost_report", """
 SELECT coalesce(node, 'all') AS node, coalesce(model, 'all') AS model,
        CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-       CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd
+       CAST(CAST(sum(cost_usd) AS DECIMAL(18,6)) AS DOUBLE) AS cost_usd
 FROM v_priced_enrich GROUP BY GROUPING SETS ((node, model), ())""", "v_priced_enrich")
 
 
@@ -92,27 +99,31 @@ def _priced_agent(c: Context):
 @query("budget_ledger")
 def _(c: Context):
     """Daily spend with fallback pricing, remaining budget, exceeded flag."""
-    return ledger.budget_ledger(_priced_agent(c), "day", DAILY_LIMIT_USD)
+    return _as_double(ledger.budget_ledger(_priced_agent(c), "day", DAILY_LIMIT_USD),
+                      ["spend_usd", "limit_usd", "remaining_usd"])
 
 
 oracle("budget_ledger", f"""
+SELECT day, requests, tokens, CAST(spend_usd AS DOUBLE) AS spend_usd, CAST(limit_usd AS DOUBLE) AS limit_usd,
+       CAST(remaining_usd AS DOUBLE) AS remaining_usd, exceeded FROM (
 SELECT day, CAST(count(*) AS BIGINT) AS requests, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens,
        CAST(sum(cost_usd) AS DECIMAL(18,6)) AS spend_usd, CAST('{DAILY_LIMIT_USD}' AS DECIMAL(18,6)) AS limit_usd,
        CAST(greatest(CAST('{DAILY_LIMIT_USD}' AS DECIMAL(18,6)) - CAST(sum(cost_usd) AS DECIMAL(18,6)),
                      CAST(0 AS DECIMAL(18,6))) AS DECIMAL(18,6)) AS remaining_usd,
        CAST(sum(cost_usd) AS DECIMAL(18,6)) >= CAST('{DAILY_LIMIT_USD}' AS DECIMAL(18,6)) AS exceeded
-FROM v_priced_agent GROUP BY day""", "v_priced_agent")
+FROM v_priced_agent GROUP BY day) x""", "v_priced_agent")
 
 
 @query("budget_admission")
 def _(c: Context):
     """Admitted iff the day's spend before the request is under the limit."""
     a = ledger.budget_admission(_priced_agent(c), "day", ["ts", "event_id"], DAILY_LIMIT_USD)
-    return a.select("event_id", "day", "cost_usd", "spend_before", "allowed", "crossed")
+    return _as_double(a.select("event_id", "day", "cost_usd", "spend_before", "allowed", "crossed"),
+                      ["cost_usd", "spend_before"])
 
 
 oracle("budget_admission", f"""
-SELECT event_id, day, cost_usd, spend_before,
+SELECT event_id, day, CAST(cost_usd AS DOUBLE) AS cost_usd, CAST(spend_before AS DOUBLE) AS spend_before,
        spend_before < CAST('{DAILY_LIMIT_USD}' AS DECIMAL(18,6)) AS allowed,
        spend_before < CAST('{DAILY_LIMIT_USD}' AS DECIMAL(18,6))
          AND spend_before + cost_usd >= CAST('{DAILY_LIMIT_USD}' AS DECIMAL(18,6)) AS crossed

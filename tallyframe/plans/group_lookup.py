@@ -182,14 +182,14 @@ def _(c: Context):
     add = e.where(F.col("label") == 1).select((F.col("vec_id") + 1000000).alias("vec_id"), "label", "embedding",
                                               F.lit("new").alias("origin"))
     u = lookup.keyed_upsert(e, upd.unionByName(add), "vec_id")
-    return u.select("vec_id", "label", "origin", F.get("embedding", 0).alias("e0"))
+    return u.select("vec_id", "label", "origin", F.get("embedding", 0).cast("double").alias("e0"))
 
 
 oracle("vector_upsert", """
 SELECT vec_id, label, CASE WHEN label = 0 THEN 'new' ELSE 'old' END AS origin,
-       CASE WHEN label = 0 THEN -embedding[1] ELSE embedding[1] END AS e0 FROM embeddings
+       CAST(CASE WHEN label = 0 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE) AS e0 FROM embeddings
 UNION ALL
-SELECT vec_id + 1000000, label, 'new', embedding[1] FROM embeddings WHERE label = 1""")
+SELECT vec_id + 1000000, label, 'new', CAST(embedding[1] AS DOUBLE) FROM embeddings WHERE label = 1""")
 
 
 @query("vector_parse")
@@ -198,12 +198,12 @@ def _(c: Context):
     e = c.t.embeddings
     txt = F.when(F.col("vec_id") % 50 == 0, F.lit("")).otherwise(F.to_json("embedding"))
     p = e.select("vec_id", lookup.parse_vector(txt).alias("v"))
-    return p.select("vec_id", F.size("v").alias("dim"), F.get("v", 0).alias("e0"))
+    return p.select("vec_id", F.size("v").alias("dim"), F.get("v", 0).cast("double").alias("e0"))
 
 
 oracle("vector_parse", """
 SELECT vec_id, CAST(CASE WHEN vec_id % 50 = 0 THEN 0 ELSE len(embedding) END AS INTEGER) AS dim,
-       CASE WHEN vec_id % 50 = 0 THEN NULL ELSE embedding[1] END AS e0 FROM embeddings""")
+       CAST(CASE WHEN vec_id % 50 = 0 THEN NULL ELSE embedding[1] END AS DOUBLE) AS e0 FROM embeddings""")
 
 # --- W11 J10 S17 A33 ----------------------------------------------------------------------
 
