@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.operators import curate, fixtures as fx
 from tallyframe.plans.context import Context, flat
@@ -17,10 +19,23 @@ from tallyframe.plans.context import Context, flat
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def result_boundary(df: DataFrame) -> DataFrame:
+    """Timestamps leave a query as ISO text with microseconds, so a result
+    hashes the same whatever the client's timestamp unit or zone."""
+    ts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    if not ts:
+        return df
+    return df.select(*[F.date_format(F.col(f"`{c}`"), TS_FORMAT).alias(c) if c in ts else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
 def query(name: str):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Context.get(spark, sf_dir))
+            return result_boundary(fn(Context.get(spark, sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

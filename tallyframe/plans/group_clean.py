@@ -45,7 +45,7 @@ def _(c: Context):
 
 
 oracle("latest_per_key", f"""
-SELECT * FROM lineitem
+SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS l_shipdate) FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
                            ORDER BY {', '.join(c + ' DESC' for c in _LI_ORDER)}) = 1""")
 
@@ -57,7 +57,7 @@ def _(c: Context):
 
 
 oracle("dedupe_keep_last", """
-SELECT * FROM events
+SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts) FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
 
 
@@ -68,7 +68,7 @@ def _(c: Context):
 
 
 oracle("dedupe_keep_first", """
-SELECT * FROM events
+SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts) FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts ASC, event_id ASC) = 1""")
 
 # --- P1 P2 P3 P4 -------------------------------------------------------------------

@@ -72,7 +72,7 @@ FROM v_pick_signals s""")
 
 # --------------------------------------------------------------------------
 
-oracle("fixture_ticker", "SELECT * FROM v_ticker", "v_ticker")
+oracle("fixture_ticker", "SELECT * REPLACE (strftime(kickoff_time, '%Y-%m-%d %H:%M:%S.%f') AS kickoff_time) FROM v_ticker", "v_ticker")
 
 oracle("fixture_fdr", "SELECT * FROM v_fdr", "v_fdr")
 
@@ -160,7 +160,7 @@ oracle("briefing_lists", "\nUNION ALL\n".join([
 oracle("upcoming_fixtures", f"""
 SELECT p.player_id, p.team_id, r.fixture_id, r.gameweek,
        coalesce(o.team_name, 'Team ' || CAST(r.opp_id AS VARCHAR)) AS opponent, r.is_home,
-       CAST(r.fdr AS INTEGER) AS fdr, r.kickoff_time
+       CAST(r.fdr AS INTEGER) AS fdr, strftime(r.kickoff_time, '%Y-%m-%d %H:%M:%S.%f') AS kickoff_time
 FROM v_players p JOIN (
   SELECT fixture_id, event AS gameweek, kickoff_time, team_h AS team_id, team_a AS opp_id, true AS is_home,
          coalesce(team_h_difficulty, 3) AS fdr FROM v_fixtures WHERE event > {GW} AND event <= {GW + 5}
