@@ -284,3 +284,24 @@ def latest_gate_many(history: DataFrame, candidates: DataFrame) -> DataFrame:
     return j.select("season", "gameweek", F.col("m.season").alias("max_season"),
                     F.col("m.gameweek").alias("max_gameweek"),
                     (F.col("m").isNull() | (cur >= F.col("m"))).alias("publish"))
+
+
+BRIEFING_LISTS = ["top_picks", "sell_alerts", "injury_alerts", "best_fixtures", "worst_fixtures",
+                  "rising_players", "falling_players"]
+
+
+def briefing_document(lists: DataFrame, stats: DataFrame, themes: DataFrame, season: str, gameweek: int,
+                      advice_gw) -> DataFrame:
+    """A8 as ONE nested document row: each list becomes an array of
+    (pos, item_id, detail) structs in list order (every list is a bounded
+    top-k, so each collect holds at most k items), plus the summary counters
+    and the trending themes; ``to_json`` of the row is the public document."""
+    per = lists.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("pos", "item_id", "detail"))).alias("items"))
+    wide = per.groupBy().pivot("list", BRIEFING_LISTS).agg(F.first("items"))
+    th = themes.agg(F.collect_list(F.struct("theme", "n")).alias("trending_themes"))
+    doc = wide.crossJoin(th).crossJoin(stats.select(F.struct(*stats.columns).alias("summary_stats")))
+    return doc.select(F.lit(season).alias("season"), F.lit(gameweek).cast("int").alias("gameweek"),
+                      F.lit(advice_gw).cast("int").alias("advice_gameweek"),
+                      *[F.coalesce(F.col(c), F.array().cast(per.schema["items"].dataType)).alias(c)
+                        for c in BRIEFING_LISTS],
+                      "trending_themes", "summary_stats")

@@ -81,19 +81,26 @@ def _(c: Context):
     d = sinks.stamp_version(c.dashboard.select("player_id", "fpl_score", "season", "gameweek"),
                             sinks.SCHEMA_VERSION_CURATED)
     sinks.write_partitioned(d, f"{root}/dashboard", ["season", "gameweek"])
-    sinks.write_document(curate.briefing_stats(c.dashboard, c.picks), f"{root}/public/briefing")
+    dash, picks = c.dashboard_shared, c.picks_shared
+    doc = curate.briefing_document(curate.briefing_lists(dash, picks, c.fdr, c.teams),
+                                   curate.briefing_stats(dash, picks), curate.theme_topk(dash),
+                                   SEASON, LAST_GW, standins.ADVICE_GW)
+    sinks.write_document(doc, f"{root}/public/briefing")
     fx = c.fixtures.select(F.col("fixture_id").alias("id"), F.col("event").alias("gameweek"),
                            F.col("team_h").alias("home_team"), F.col("team_a").alias("away_team"))
     _ok, failed = quality.quarantine_split(fx, quality.FIXTURE_SCHEMA, "id")
     sinks.write_dlq(failed.select("*", F.lit("fixtures").alias("dataset")), f"{root}/dlq", ["dataset"])
     back = sinks.read_partitioned(c.spark, f"{root}/dashboard")
     parts = sinks.existing_partitions(c.spark, f"{root}/dashboard", ["season", "gameweek"])
-    doc = c.spark.read.json(f"{root}/public/briefing")
+    doc_back = c.spark.read.json(f"{root}/public/briefing")
     dlq = c.spark.read.json(f"{root}/dlq")
     a = back.agg(F.count(F.lit(1)).alias("dashboard_rows"), F.max("schema_version").alias("schema_version"),
                  F.bround(F.sum(F.col("fpl_score").cast("decimal(18,1)")).cast("double"), 1).alias("score_sum"))
     return (a.crossJoin(parts.agg(F.count(F.lit(1)).alias("partitions")))
-             .crossJoin(doc.select(F.col("buy_count").cast("bigint").alias("doc_buy_count")))
+             .crossJoin(doc_back.select(F.col("summary_stats.buy_count").cast("bigint").alias("doc_buy_count"),
+                                   sum(F.size(x) for x in curate.BRIEFING_LISTS).cast("bigint")
+                                   .alias("doc_list_items"),
+                                   F.size("trending_themes").cast("bigint").alias("doc_themes")))
              .crossJoin(dlq.agg(F.count(F.lit(1)).alias("dlq_rows"))))
 
 
@@ -102,8 +109,17 @@ SELECT CAST(count(*) AS BIGINT) AS dashboard_rows, '{sinks.SCHEMA_VERSION_CURATE
        round_even(CAST(sum(CAST(fpl_score AS DECIMAL(18,1))) AS DOUBLE), 1) AS score_sum,
        CAST(1 AS BIGINT) AS partitions,
        (SELECT CAST(count_if(recommendation = 'buy') AS BIGINT) FROM v_picks) AS doc_buy_count,
+       CAST(least((SELECT count_if(recommendation = 'buy') FROM v_picks), 3)
+          + least((SELECT count_if(recommendation = 'sell') FROM v_picks), 3)
+          + least((SELECT count_if(injury_risk >= 5) FROM v_dashboard), 5)
+          + 2 * least((SELECT count(*) FROM v_fdr), 3)
+          + least((SELECT count_if(form_trend = 'improving') FROM v_dashboard), 5)
+          + least((SELECT count_if(form_trend = 'declining') FROM v_dashboard), 5) AS BIGINT) AS doc_list_items,
+       CAST(least((SELECT count(DISTINCT t) FROM (SELECT unnest(key_themes) AS t FROM (
+          SELECT key_themes FROM v_dashboard ORDER BY fpl_score_rank, player_id LIMIT 50) a) b), 5) AS BIGINT)
+          AS doc_themes,
        (SELECT CAST(count(*) AS BIGINT) FROM v_fixtures WHERE event IS NULL) AS dlq_rows
-FROM v_dashboard""", "v_dashboard", "v_picks", "v_fixtures")
+FROM v_dashboard""", "v_dashboard", "v_picks", "v_fixtures", "v_fdr")
 
 
 @query("idempotent_write")
