@@ -60,21 +60,21 @@ def _(c: Context):
 @query("player_scores")
 def _(c: Context):
     """Composite score and min-rank."""
-    return c.dashboard.select("player_id", "team_id", "fpl_score", "fpl_score_rank",
+    return c.dashboard_shared.select("player_id", "team_id", "fpl_score", "fpl_score_rank",
                               "fdr_next_3", "fdr_next_6")
 
 
 @query("score_contributions")
 def _(c: Context):
     """A1: the seven rounded weighted contributions."""
-    return c.dashboard.select("player_id", "score_form", "score_value", "score_fixtures",
+    return c.dashboard_shared.select("player_id", "score_form", "score_value", "score_fixtures",
                               "score_xg", "score_momentum", "score_ict", "score_injury")
 
 
 @query("player_dashboard")
 def _(c: Context):
     """The dashboard contract (arrays flattened with '|')."""
-    return flat(c.dashboard)
+    return flat(c.dashboard)  # the flagship keeps its full plan (no checkpoint)
 
 
 # --- curated set ------------------------------------------------------------
@@ -82,7 +82,7 @@ def _(c: Context):
 @query("transfer_picks")
 def _(c: Context):
     """buy/sell/hold/watch and ordered reasons."""
-    return flat(c.picks.select("player_id", "web_name", "team_name", "team_short", "position",
+    return flat(c.picks_shared.select("player_id", "web_name", "team_name", "team_short", "position",
                                "price", "fpl_score", "fpl_score_rank", "recommendation",
                                "recommendation_reasons", "form", "form_trend", "injury_risk",
                                "fdr_next_3", "net_transfers", "season", "gameweek"))
@@ -91,31 +91,31 @@ def _(c: Context):
 @query("recommendation_counts")
 def _(c: Context):
     """Counts per recommendation plus 'all' (ROLLUP)."""
-    return curate.recommendation_counts(c.picks)
+    return curate.recommendation_counts(c.picks_shared)
 
 
 @query("team_strength")
 def _(c: Context):
     """Per-team aggregates and top scorer."""
-    return curate.team_strength(c.dashboard, c.fdr, c.season, c.gw).orderBy("team_name")
+    return curate.team_strength(c.dashboard_shared, c.fdr_shared, c.season, c.gw).orderBy("team_name")
 
 
 @query("theme_topk")
 def _(c: Context):
     """A5: top-5 themes among the top-50 players."""
-    return curate.theme_topk(c.dashboard)
+    return curate.theme_topk(c.dashboard_shared)
 
 
 @query("briefing_stats")
 def _(c: Context):
     """Briefing summary counters."""
-    return curate.briefing_stats(c.dashboard, c.picks)
+    return curate.briefing_stats(c.dashboard_shared, c.picks_shared)
 
 
 @query("briefing_lists")
 def _(c: Context):
     """The briefing's top-k lists in long form."""
-    return curate.briefing_lists(c.dashboard_shared, c.picks_shared, c.fdr, c.teams)
+    return curate.briefing_lists(c.dashboard_shared, c.picks_shared, c.fdr_shared, c.teams)
 
 
 # --- fixture insights -------------------------------------------------------

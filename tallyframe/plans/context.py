@@ -75,6 +75,11 @@ class Context:
         ``spark.checkpoint.dir``) for queries that read it in many branches."""
         return self.materialize(self.dashboard)
 
+    @cached_property
+    def fdr_shared(self) -> DataFrame:
+        """Per-team difficulty (one row per team), materialised once."""
+        return self.materialize(self.fdr)
+
     @cached_property
     def picks_shared(self) -> DataFrame:
         return curate.transfer_picks(self.dashboard_shared)

@@ -115,7 +115,7 @@ FROM v_diff ORDER BY differential_score DESC, player_id LIMIT 12""", "v_diff")
 
 
 def _team_strength(c: Context):
-    return curate.team_strength(c.dashboard_shared, c.fdr, c.season, c.gw)
+    return curate.team_strength(c.dashboard_shared, c.fdr_shared, c.season, c.gw)
 
 
 def _medians(c: Context):

@@ -82,7 +82,7 @@ def _(c: Context):
                             sinks.SCHEMA_VERSION_CURATED)
     sinks.write_partitioned(d, f"{root}/dashboard", ["season", "gameweek"])
     dash, picks = c.dashboard_shared, c.picks_shared
-    doc = curate.briefing_document(curate.briefing_lists(dash, picks, c.fdr, c.teams),
+    doc = curate.briefing_document(curate.briefing_lists(dash, picks, c.fdr_shared, c.teams),
                                    curate.briefing_stats(dash, picks), curate.theme_topk(dash),
                                    SEASON, LAST_GW, standins.ADVICE_GW)
     sinks.write_document(doc, f"{root}/public/briefing")
