@@ -123,4 +123,4 @@ def _(c: Context):
 @query("upcoming_fixtures")
 def _(c: Context):
     """Each player's fixtures in the next 5 gameweeks (long form)."""
-    return fx.upcoming_fixtures(c.players, c.fixtures, c.teams, c.gw, 5)
+    return fx.upcoming_fixtures(c.players, c.fixtures_window(5), c.teams, c.gw, 5)

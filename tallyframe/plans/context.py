@@ -52,9 +52,17 @@ class Context:
         return standins.fixtures(self.t)
 
     # curated chain ---------------------------------------------------------
+    @cached_property
+    def remaining_fixtures(self) -> DataFrame:
+        """Fixtures after the current gameweek, the bound pushed to the scan."""
+        return standins.fixtures(self.t, min_event=self.gw + 1)
+
     @cached_property
     def ticker(self) -> DataFrame:
-        return fx.fixture_ticker(self.fixtures, self.teams, self.gw, self.season)
+        return fx.fixture_ticker(self.remaining_fixtures, self.teams, self.gw, self.season)
+
+    def fixtures_window(self, window: int) -> DataFrame:
+        return standins.fixtures(self.t, min_event=self.gw + 1, max_event=self.gw + window)
 
     @cached_property
     def fdr(self) -> DataFrame:

@@ -135,5 +135,7 @@ def test_scan_prunes_columns(spark):
     import __spark_entry__ as E
     df = E.queries()["fixture_ticker"](spark, "/root/testdata/sf0.001")
     p = df._jdf.queryExecution().executedPlan().toString()
-    # orders is read with only the three columns the fixtures need
+    # orders is read with only the three columns the fixtures need, and the
+    # remaining-gameweek bound reaches the scan as a pushed filter
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in p
+    assert "GreaterThanOrEqual(o_orderdate," in p
