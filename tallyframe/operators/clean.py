@@ -118,6 +118,16 @@ def normalise_name_ascii(c) -> F.Column:
     return F.trim(F.replace(F.replace(F.lower(c), F.lit("-"), F.lit(" ")), F.lit("'"), F.lit("")))
 
 
+def normalise_name_folded(c) -> F.Column:
+    """X1 "folded" mode: the same key under the accent- and case-insensitive
+    ``UNICODE_CI_AI`` collation, so Ødegaard = odegaard and Łukasz = lukasz
+    (the strict NFKD fold drops Ø and Ł instead).  Pure JVM: equality,
+    grouping and joins on the collated key are collation-aware."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.collate(F.trim(F.replace(F.replace(c, F.lit("-"), F.lit(" ")), F.lit("'"), F.lit(""))),
+                     "UNICODE_CI_AI")
+
+
 def fallback_name_join(left: DataFrame, right: DataFrame, full_col: str, short_col: str,
                        right_name: str, right_pos: str, stat_cols, prefix: str = "",
                        norm=normalise_name) -> DataFrame:

@@ -92,3 +92,15 @@ def test_contract_report_counts_rule_violations(spark):
          ("position", "not_null", None)]
     assert rows(quality.contract_report(df, c)) == [("fpl_score", "range", 1), ("position", "not_null", 1),
                                                     ("position", "regex", 1)]
+
+
+def test_folded_mode_matches_accented_names_strict_mode_misses(spark):
+    left = spark.createDataFrame([(1, "Martin Ødegaard", "Ødegaard"), (2, "Łukasz Fabiański", "Fabiański")],
+                                 "player_id int, full_name string, web_name string")
+    right = spark.createDataFrame([("Martin Odegaard", 0.4, 1), ("lukasz fabianski", 0.0, 2)],
+                                  "player_name string, xg double, src_pos int")
+    strict = clean.fallback_name_join(left, right, "full_name", "web_name", "player_name", "src_pos", ["xg"])
+    folded = clean.fallback_name_join(left, right, "full_name", "web_name", "player_name", "src_pos", ["xg"],
+                                      norm=clean.normalise_name_folded)
+    assert rows(strict, "player_id", "matched_on") == [(1, None), (2, None)]
+    assert rows(folded, "player_id", "xg", "matched_on") == [(1, 0.4, "full"), (2, 0.0, "full")]
