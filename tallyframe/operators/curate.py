@@ -59,7 +59,7 @@ def player_dashboard(players: DataFrame, teams: DataFrame, fdr: DataFrame, seaso
         "form_trend", "form_confidence", F.col("summary").alias("llm_summary"),
         "injury_risk", "injury_reasoning", "sentiment_label", "sentiment_score", "key_themes",
         "fdr_next_3", "fdr_next_6", "best_gameweeks", "fixture_recommendation",
-        "fpl_score", "fpl_score_rank",
+        "composite_score", "composite_rank",
         "score_form", "score_value", "score_fixtures", "score_xg", "score_momentum",
         "score_ict", "score_injury",
         F.lit(season).alias("season"), F.lit(gameweek).cast("int").alias("gameweek"),
@@ -78,43 +78,66 @@ def _num(c):
     return F.format_string("%.1f", c)
 
 
+# The recommendation reason texts, as (text before, text after)
+# the printed value, in rule order (sell rules, buy rules, then the extras).
+REASON_TEXT = {
+    "injury_high": ("High injury risk (", "/10)"),
+    "poor_form": ("Poor form (", ")"),
+    "declining": ("Declining form trend", ""),
+    "hard_fixtures": ("Very hard fixtures (FDR ", ")"),
+    "low_score": ("Low FPL score (", ")"),
+    "strong_score": ("Strong FPL score (", ")"),
+    "good_form": ("Good form (", ")"),
+    "improving": ("Improving form trend", ""),
+    "easy_fixtures": ("Favorable fixtures (FDR ", ")"),
+    "fit": ("Minimal injury risk", ""),
+    "value": ("Great value (", " pts/£m)"),
+    "demand": ("High transfer demand (+", ")"),
+    "no_signal": ("FPL score ", " — no strong signals"),
+}
+
+
+def _reason(key: str, value=None):
+    before, after = REASON_TEXT[key]
+    return F.lit(before + after) if value is None else F.concat(F.lit(before), value, F.lit(after))
+
+
 def classify(dash: DataFrame) -> DataFrame:
     """buy/sell/hold/watch + ordered reasons (rules fixed by the product).
 
     Signals are sums of ``when`` flags; the reason lists are filtered arrays,
     so the whole classifier is one projection inside whole-stage codegen.
     """
-    score, form = F.col("fpl_score"), F.col("form")
+    score, form = F.col("composite_score"), F.col("form")
     fdr, inj = F.col("fdr_next_3"), F.col("injury_risk")
     net, trend = F.col("net_transfers"), F.col("form_trend")
     ppm = F.coalesce(F.col("points_per_million"), F.lit(0.0))
     one = lambda cond: F.when(cond, 1).otherwise(0)
     inj_hi = inj.isNotNull() & (inj >= 8)
     sell_conds = [
-        (inj_hi, F.format_string("High injury risk (%d/10)", inj)),
-        (form < 2.0, F.concat(F.lit("Poor form ("), _num(form), F.lit(")"))),
-        (trend == "declining", F.lit("Declining form trend")),
-        (fdr.isNotNull() & (fdr >= 4.0), F.format_string("Very hard fixtures (FDR %.1f)", fdr)),
-        (score < 30, F.concat(F.lit("Low FPL score ("), _num(score), F.lit(")"))),
+        (inj_hi, _reason("injury_high", inj.cast("string"))),
+        (form < 2.0, _reason("poor_form", _num(form))),
+        (trend == "declining", _reason("declining")),
+        (fdr.isNotNull() & (fdr >= 4.0), _reason("hard_fixtures", _num(fdr))),
+        (score < 30, _reason("low_score", _num(score))),
     ]
     sell_n = one(inj_hi) * 2 + one(form < 2.0) + one(trend == "declining") \
         + one(fdr.isNotNull() & (fdr >= 4.0)) + one(score < 30)
     buy_conds = [
-        (score >= 65, F.concat(F.lit("Strong FPL score ("), _num(score), F.lit(")"))),
-        (form >= 5.0, F.concat(F.lit("Good form ("), _num(form), F.lit(")"))),
-        (trend == "improving", F.lit("Improving form trend")),
-        (fdr.isNotNull() & (fdr <= 2.5), F.format_string("Favorable fixtures (FDR %.1f)", fdr)),
-        (inj.isNotNull() & (inj <= 1), F.lit("Minimal injury risk")),
-        (ppm >= 5.0, F.format_string("Great value (%.1f pts/£m)", ppm)),
+        (score >= 65, _reason("strong_score", _num(score))),
+        (form >= 5.0, _reason("good_form", _num(form))),
+        (trend == "improving", _reason("improving")),
+        (fdr.isNotNull() & (fdr <= 2.5), _reason("easy_fixtures", _num(fdr))),
+        (inj.isNotNull() & (inj <= 1), _reason("fit")),
+        (ppm >= 5.0, _reason("value", _num(ppm))),
     ]
     buy_n = sum((one(c) for c, _ in buy_conds), F.lit(0))
     sell_r = _reasons(*sell_conds)
     buy_r = _reasons(*buy_conds)
-    demand = F.concat(F.lit("High transfer demand (+"), F.format_number(net, 0), F.lit(")"))
+    demand = _reason("demand", F.format_number(net, 0))
     watch_base = F.when(F.size(buy_r) > 0, buy_r).otherwise(sell_r)
     watch_r = F.when(net > 10000, F.concat(watch_base, F.array(demand))).otherwise(watch_base)
-    hold_r = F.when(F.size(sell_r) > 0, sell_r).otherwise(
-        F.array(F.concat(F.lit("FPL score "), _num(score), F.lit(" — no strong signals"))))
+    hold_r = F.when(F.size(sell_r) > 0, sell_r).otherwise(F.array(_reason("no_signal", _num(score))))
     is_sell = (sell_n >= 2) | (score < 25)
     is_buy = buy_n >= 3
     is_watch = (buy_n >= 2) | ((score >= 55) & (net > 10000))
@@ -127,7 +150,7 @@ def transfer_picks(dash: DataFrame) -> DataFrame:
     """The recommendation projection for every dashboard row."""
     c = classify(dash)
     return c.select("player_id", "web_name", "team_name", "team_short", "position", "price",
-                    "fpl_score", "fpl_score_rank", "recommendation", "recommendation_reasons",
+                    "composite_score", "composite_rank", "recommendation", "recommendation_reasons",
                     "form", "form_trend", "injury_risk", "fdr_next_3", "net_transfers",
                     "points_per_million", "llm_summary", "injury_reasoning", "season", "gameweek",
                     "src_pos")
@@ -155,7 +178,7 @@ def team_strength(dash: DataFrame, fdr: DataFrame, season: str, gameweek: int) -
     on (points, -src_pos) so ties resolve to the earliest row.
     """
     g = dash.groupBy("team_id", "team_name", "team_short").agg(
-        F.bround(exact_mean_1dp("fpl_score"), 1).alias("avg_fpl_score"),
+        F.bround(exact_mean_1dp("composite_score"), 1).alias("avg_composite_score"),
         F.sum("total_points").cast("bigint").alias("total_points"),
         F.bround(exact_mean_1dp("form"), 1).alias("avg_form"),
         F.bround(exact_sum_1dp("price"), 1).alias("squad_value"),
@@ -165,7 +188,7 @@ def team_strength(dash: DataFrame, fdr: DataFrame, season: str, gameweek: int) -
         F.count("llm_summary").alias("enriched_player_count"))
     g = g.join(fdr, "team_id", "left")
     return g.select(
-        "team_id", "team_name", "team_short", "avg_fpl_score", "total_points", "avg_form",
+        "team_id", "team_name", "team_short", "avg_composite_score", "total_points", "avg_form",
         "squad_value", F.col("_top.player_id").alias("top_scorer_id"),
         F.col("_top.web_name").alias("top_scorer_name"),
         F.col("_top.total_points").alias("top_scorer_points"),
@@ -188,11 +211,11 @@ def briefing_stats(dash: DataFrame, picks: DataFrame) -> DataFrame:
 def theme_topk(dash: DataFrame, top_players: int = 50, k: int = 5) -> DataFrame:
     """A5: themes of the top-50 players (by rank, id), counted; top k by
     (count desc, first appearance).  Both limits are the feature."""
-    top = dash.orderBy(F.col("fpl_score_rank").asc(), F.col("player_id").asc()).limit(top_players)
-    th = top.select("fpl_score_rank", "player_id", F.posexplode("key_themes").alias("tpos", "theme"))
+    top = dash.orderBy(F.col("composite_rank").asc(), F.col("player_id").asc()).limit(top_players)
+    th = top.select("composite_rank", "player_id", F.posexplode("key_themes").alias("tpos", "theme"))
     g = th.groupBy("theme").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(F.struct("fpl_score_rank", "player_id", "tpos")).alias("_first"))
+        F.min(F.struct("composite_rank", "player_id", "tpos")).alias("_first"))
     return (g.orderBy(F.col("n").desc(), F.col("_first").asc()).limit(k)
              .select("theme", "n"))
 
@@ -221,10 +244,10 @@ def briefing_lists(dash: DataFrame, picks: DataFrame, fdr: DataFrame, teams: Dat
     tf = with_team_names(fdr, teams, "team_id", "team_").select(
         "team_id", "team_short", F.bround("fdr_next_3", 1).alias("f3"), F.bround("fdr_next_6", 1).alias("f6"))
     parts = [
-        ranked(buys, "top_picks", [F.col("fpl_score").desc(), F.col("src_pos")], 3, "player_id",
+        ranked(buys, "top_picks", [F.col("composite_score").desc(), F.col("src_pos")], 3, "player_id",
                F.concat(F.concat_ws("|", F.slice("recommendation_reasons", 1, 3)), F.lit("::"),
                         F.coalesce(F.col("_summary"), F.lit("")))),
-        ranked(sells, "sell_alerts", [F.col("fpl_score").asc(), F.col("src_pos")], 3, "player_id",
+        ranked(sells, "sell_alerts", [F.col("composite_score").asc(), F.col("src_pos")], 3, "player_id",
                F.concat_ws("|", F.slice("recommendation_reasons", 1, 2))),
         ranked(inj, "injury_alerts", [F.col("injury_risk").desc(), F.col("src_pos")], 5, "player_id",
                F.col("injury_risk").cast("string")),
@@ -232,10 +255,10 @@ def briefing_lists(dash: DataFrame, picks: DataFrame, fdr: DataFrame, teams: Dat
                F.format_string("%.1f", F.col("f6"))),
         ranked(tf, "worst_fixtures", [F.col("f6").desc(), F.col("team_id").desc()], 3, "team_id",
                F.format_string("%.1f", F.col("f6"))),
-        ranked(rising, "rising_players", [F.col("fpl_score").desc(), F.col("src_pos")], 5, "player_id",
-               F.format_string("%.1f", F.col("fpl_score"))),
-        ranked(falling, "falling_players", [F.col("fpl_score").asc(), F.col("src_pos")], 5, "player_id",
-               F.format_string("%.1f", F.col("fpl_score"))),
+        ranked(rising, "rising_players", [F.col("composite_score").desc(), F.col("src_pos")], 5, "player_id",
+               F.format_string("%.1f", F.col("composite_score"))),
+        ranked(falling, "falling_players", [F.col("composite_score").asc(), F.col("src_pos")], 5, "player_id",
+               F.format_string("%.1f", F.col("composite_score"))),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -245,7 +268,7 @@ def briefing_lists(dash: DataFrame, picks: DataFrame, fdr: DataFrame, teams: Dat
 
 HISTORY_FIELDS = [
     "player_id", "web_name", "team_short", "position", "gameweek", "season", "total_points",
-    "form", "price", "ownership_pct", "fpl_score", "fpl_score_rank", "form_trend", "injury_risk",
+    "form", "price", "ownership_pct", "composite_score", "composite_rank", "form_trend", "injury_risk",
     "sentiment_score", "fdr_next_3", "net_transfers", "points_per_million",
 ]
 

@@ -132,19 +132,19 @@ def differentials(dash: DataFrame, position: str | None = None, own_below: float
     d = dash.where(F.col("ownership_pct") < own_below)
     if position:
         d = d.where(F.col("position") == position)
-    return d.select("player_id", "web_name", "position", "ownership_pct", "fpl_score",
-                    (F.col("fpl_score") * (1 - F.col("ownership_pct") / 100)).alias("differential_score"))
+    return d.select("player_id", "web_name", "position", "ownership_pct", "composite_score",
+                    (F.col("composite_score") * (1 - F.col("ownership_pct") / 100)).alias("differential_score"))
 
 
 def quadrants(teams: DataFrame, med: DataFrame) -> DataFrame:
     """Team quadrant against the (one-row, broadcast) medians."""
     t = teams.where(F.col("avg_fdr_remaining").isNotNull()).crossJoin(F.broadcast(med))
-    q = (F.when((F.col("avg_fpl_score") >= F.col("med_score")) & (F.col("avg_fdr_remaining") <= F.col("med_fdr")),
+    q = (F.when((F.col("avg_composite_score") >= F.col("med_score")) & (F.col("avg_fdr_remaining") <= F.col("med_fdr")),
                 "strong_easy")
-         .when((F.col("avg_fpl_score") < F.col("med_score")) & (F.col("avg_fdr_remaining") > F.col("med_fdr")),
+         .when((F.col("avg_composite_score") < F.col("med_score")) & (F.col("avg_fdr_remaining") > F.col("med_fdr")),
                "weak_hard")
          .otherwise("other"))
-    return t.select("team_id", "team_name", "avg_fpl_score", "avg_fdr_remaining", q.alias("quadrant"))
+    return t.select("team_id", "team_name", "avg_composite_score", "avg_fdr_remaining", q.alias("quadrant"))
 
 
 # --- history views --------------------------------------------------------------------------
@@ -154,8 +154,8 @@ def movers(history: DataFrame, first_gw, last_gw, k: int = 5) -> DataFrame:
     aggregate with conditional ``max``), players missing either end dropped;
     the top-k risers and fallers."""
     g = history.where(F.col("gameweek").isin(first_gw, last_gw)).groupBy("player_id").agg(
-        F.max(F.when(F.col("gameweek") == first_gw, F.col("fpl_score"))).alias("_f"),
-        F.max(F.when(F.col("gameweek") == last_gw, F.col("fpl_score"))).alias("_l"))
+        F.max(F.when(F.col("gameweek") == first_gw, F.col("composite_score"))).alias("_f"),
+        F.max(F.when(F.col("gameweek") == last_gw, F.col("composite_score"))).alias("_l"))
     d = g.where(F.col("_f").isNotNull() & F.col("_l").isNotNull()) \
          .select("player_id", F.bround(F.col("_l") - F.col("_f"), 1).alias("delta"))
     up = d.orderBy(F.col("delta").desc(), F.col("player_id")).limit(k).select(F.lit("riser").alias("kind"), "*")
@@ -167,41 +167,41 @@ def last_n(history: DataFrame, n: int = 10) -> DataFrame:
     """Each player's last ``n`` scores in gameweek order (partial
     WindowGroupLimit, then a bounded ordered collect)."""
     w = Window.partitionBy("season", "player_id").orderBy(F.col("gameweek").desc())
-    t = history.select("season", "player_id", "gameweek", "fpl_score", F.row_number().over(w).alias("_r")) \
+    t = history.select("season", "player_id", "gameweek", "composite_score", F.row_number().over(w).alias("_r")) \
                .where(F.col("_r") <= n)
-    g = t.groupBy("season", "player_id").agg(F.array_sort(F.collect_list(F.struct("gameweek", "fpl_score"))).alias("_a"))
-    return g.select("season", "player_id", F.col("_a").getField("fpl_score").alias("last_scores"))
+    g = t.groupBy("season", "player_id").agg(F.array_sort(F.collect_list(F.struct("gameweek", "composite_score"))).alias("_a"))
+    return g.select("season", "player_id", F.col("_a").getField("composite_score").alias("last_scores"))
 
 
 def score_series(history: DataFrame, players: DataFrame, gw_lo: int, gw_hi: int) -> DataFrame:
     """Dense (player x gameweek) series, missing -> 0.  The spine is an
     ``explode(sequence)`` per selected player, joined to the history."""
     spine = players.select("player_id", F.explode(F.sequence(F.lit(gw_lo), F.lit(gw_hi))).alias("gameweek"))
-    h = history.select("player_id", "gameweek", "fpl_score")
+    h = history.select("player_id", "gameweek", "composite_score")
     return spine.join(h, ["player_id", "gameweek"], "left").select(
-        "player_id", "gameweek", F.coalesce(F.col("fpl_score"), F.lit(0.0)).alias("fpl_score"))
+        "player_id", "gameweek", F.coalesce(F.col("composite_score"), F.lit(0.0)).alias("composite_score"))
 
 
 def momentum_matrix(history: DataFrame, latest_gw: int, gws, top: int = 50) -> DataFrame:
     """Top players by latest rank x gameweek scores, pivoted with an
     explicit value list (no extra job to discover the columns)."""
     topn = (history.where(F.col("gameweek") == latest_gw)
-                   .orderBy(F.col("fpl_score_rank").asc(), F.col("player_id").asc()).limit(top)
+                   .orderBy(F.col("composite_rank").asc(), F.col("player_id").asc()).limit(top)
                    .select("player_id"))
     h = history.join(topn, "player_id", "left_semi")
-    return h.groupBy("player_id").pivot("gameweek", list(gws)).agg(F.first("fpl_score"))
+    return h.groupBy("player_id").pivot("gameweek", list(gws)).agg(F.first("composite_score"))
 
 
 # --- P30 P31 P32 ----------------------------------------------------------------------------
 
 def banding(dash: DataFrame) -> DataFrame:
     """Display bands as CASE expressions (JS Math.round = floor(x+.5))."""
-    s = F.col("fpl_score")
+    s = F.col("composite_score")
     fdr_class = F.least(F.greatest(F.floor(F.coalesce(F.col("fdr_next_3"), F.lit(3.0)) + 0.5), F.lit(1)), F.lit(5))
     colour = F.when(s >= 65, "green").when(s >= 45, "neutral").otherwise("red")
     bar = (F.when(s >= 65, "green").when(s >= 50, "emerald").when(s >= 40, "amber")
             .when(s >= 30, "orange").otherwise("red"))
-    rank = F.col("fpl_score_rank")
+    rank = F.col("composite_rank")
     tier = F.when(rank <= 20, "Elite").when(rank <= 50, "High Value")
     sent = F.col("sentiment_score")
     sband = (F.when(sent.isNull(), "none").when(sent > 0.3, "strong_positive").when(sent > 0, "positive")
@@ -243,7 +243,7 @@ def score_breakdown(dash: DataFrame) -> DataFrame:
 
 # --- J12 J16 J17 P29 ------------------------------------------------------------------------
 
-H2H_METRICS = [("fpl_score", True), ("form", True), ("total_points", True), ("price", False),
+H2H_METRICS = [("composite_score", True), ("form", True), ("total_points", True), ("price", False),
                ("points_per_million", True), ("ownership_pct", True), ("fdr_next_3", False),
                ("injury_risk", False), ("xg", True), ("ict_index", True), ("net_transfers", True),
                ("minutes", True)]
@@ -266,29 +266,43 @@ def head_to_head(pairs: DataFrame, dash: DataFrame) -> DataFrame:
     return j.select("pair_id", "a_id", "b_id", F.inline(F.array(*items)))
 
 
+# The transfer verdict texts, pieces in printing order
+# ({buy}/{sell} are names, {d} score gaps, {fb}/{fs} difficulties, {p} price).
+VERDICT_TEXT = {
+    "upgrade": ["Strong upgrade. ", "{buy}", " scores ", "{d}", " points higher than ", "{sell}",
+                " on the FPL Score index."],
+    "lateral": ["Lateral move. The FPL Score difference is only ", "{d}",
+                " points — consider the fixture run before committing."],
+    "downgrade": ["Downgrade. ", "{buy}", " scores ", "{d}", " points lower — only worthwhile if you are freeing "
+                  "budget for a bigger upgrade elsewhere."],
+    "easier": ["Better fixtures ahead: ", "{buy}", " has an easier next-3 FDR (", "{fb}", " vs ", "{fs}", ")."],
+    "tougher": ["Tougher fixtures ahead: ", "{buy}", " faces harder games in the next 3 (", "{fb}", " vs ", "{fs}",
+                ")."],
+    "budget": ["Frees up £", "{p}", "m in budget."],
+}
+
+
+def _text(key: str, **values) -> F.Column:
+    parts = [values[p[1:-1]] if p.startswith("{") and p.endswith("}") else F.lit(p) for p in VERDICT_TEXT[key]]
+    return F.concat(*parts)
+
+
 def verdict(sell: str = "s_", buy: str = "b_") -> F.Column:
     """Text verdict for a (sell, buy) pair (rules fixed by the product):
     +-5 score bands, +-0.5 difficulty, price gap > 0.5 frees budget."""
     f1 = lambda c: F.format_string("%.1f", c)
-    sn, bn = F.col(f"{sell}web_name"), F.col(f"{buy}web_name")
-    diff = F.col(f"{buy}fpl_score") - F.col(f"{sell}fpl_score")
-    head = (F.when(diff > 5, F.concat(F.lit("Strong upgrade. "), bn, F.lit(" scores "), f1(diff),
-                                      F.lit(" points higher than "), sn, F.lit(" on the FPL Score index.")))
-             .when(diff >= -5, F.concat(F.lit("Lateral move. The FPL Score difference is only "), f1(F.abs(diff)),
-                                        F.lit(" points — consider the fixture run before committing.")))
-             .otherwise(F.concat(F.lit("Downgrade. "), bn, F.lit(" scores "), f1(F.abs(diff)),
-                                 F.lit(" points lower — only worthwhile if you are freeing budget for a bigger "
-                                       "upgrade elsewhere."))))
+    names = {"sell": F.col(f"{sell}web_name"), "buy": F.col(f"{buy}web_name")}
+    diff = F.col(f"{buy}composite_score") - F.col(f"{sell}composite_score")
+    head = (F.when(diff > 5, _text("upgrade", d=f1(diff), **names))
+             .when(diff >= -5, _text("lateral", d=f1(F.abs(diff))))
+             .otherwise(_text("downgrade", d=f1(F.abs(diff)), **names)))
     fs = F.coalesce(F.col(f"{sell}fdr_next_3"), F.lit(3.0))
     fb = F.coalesce(F.col(f"{buy}fdr_next_3"), F.lit(3.0))
     fdr_d = fs - fb
-    fix = (F.when(fdr_d > 0.5, F.concat(F.lit("Better fixtures ahead: "), bn, F.lit(" has an easier next-3 FDR ("),
-                                        f1(fb), F.lit(" vs "), f1(fs), F.lit(").")))
-            .when(fdr_d < -0.5, F.concat(F.lit("Tougher fixtures ahead: "), bn,
-                                         F.lit(" faces harder games in the next 3 ("), f1(fb), F.lit(" vs "),
-                                         f1(fs), F.lit(")."))))
+    fix = (F.when(fdr_d > 0.5, _text("easier", fb=f1(fb), fs=f1(fs), **names))
+            .when(fdr_d < -0.5, _text("tougher", fb=f1(fb), fs=f1(fs), **names)))
     pdelta = F.col(f"{sell}price") - F.col(f"{buy}price")
-    price = F.when(pdelta > 0.5, F.concat(F.lit("Frees up £"), f1(pdelta), F.lit("m in budget.")))
+    price = F.when(pdelta > 0.5, _text("budget", p=f1(pdelta)))
     return F.concat_ws(" ", head, fix, price)
 
 
@@ -303,16 +317,16 @@ def buy_candidates(sells: DataFrame, dash: DataFrame, k: int = 50) -> DataFrame:
     (partial WindowGroupLimit: at most k+1 rows per position per map task),
     giving a list of at most 4 x (k+1) rows -- a proven bound, broadcast --
     and each sell keeps the first k that are not itself."""
-    cols = ("web_name", "fpl_score", "fdr_next_3", "price")
+    cols = ("web_name", "composite_score", "fdr_next_3", "price")
     s = sells.select(F.col("player_id").alias("sell_id"), F.col("position").alias("_pos"),
                      *[F.col(c).alias(f"s_{c}") for c in cols])
-    wp = Window.partitionBy("position").orderBy(F.col("fpl_score").desc(), F.col("player_id").asc())
+    wp = Window.partitionBy("position").orderBy(F.col("composite_score").desc(), F.col("player_id").asc())
     top = dash.where(F.col("position").isNotNull()).select("*", F.row_number().over(wp).alias("_pr")) \
               .where(F.col("_pr") <= k + 1)
     b = top.select(F.col("player_id").alias("buy_id"), F.col("position").alias("_pos"),
                    *[F.col(c).alias(f"b_{c}") for c in cols])
     j = s.join(F.broadcast(b), "_pos", "inner").where(F.col("sell_id") != F.col("buy_id"))
-    w = Window.partitionBy("sell_id").orderBy(F.col("b_fpl_score").desc(), F.col("buy_id").asc())
+    w = Window.partitionBy("sell_id").orderBy(F.col("b_composite_score").desc(), F.col("buy_id").asc())
     r = j.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
     return r.select("sell_id", "rank", "buy_id", verdict().alias("verdict"))
 

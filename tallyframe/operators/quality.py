@@ -163,8 +163,8 @@ def validation_status(datasets: dict) -> DataFrame:
 # The dashboard output contract (column, rule) pairs.
 DASHBOARD_CONTRACT = [
     ("position", "regex", r"^(GKP|DEF|MID|FWD)$"),
-    ("fpl_score", "range", (0.0, 100.0)),
-    ("fpl_score_rank", "range", (1, None)),
+    ("composite_score", "range", (0.0, 100.0)),
+    ("composite_rank", "range", (1, None)),
     ("form_trend", "enum", ("improving", "stable", "declining")),
     ("form_confidence", "range", (0.0, 1.0)),
     ("injury_risk", "range", (0, 10)),

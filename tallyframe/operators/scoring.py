@@ -49,7 +49,7 @@ def raw_components(players: DataFrame, fdr: DataFrame) -> DataFrame:
 
 
 def compute_scores(players: DataFrame, fdr: DataFrame, weights: dict | None = None) -> DataFrame:
-    """Add ``fpl_score``, ``fpl_score_rank``, ``fdr_next_3/6`` and the seven
+    """Add ``composite_score``, ``composite_rank``, ``fdr_next_3/6`` and the seven
     rounded weighted contributions ``score_*``.
 
     Min/max of the five scaled components come from ONE aggregate (one row,
@@ -68,7 +68,7 @@ def compute_scores(players: DataFrame, fdr: DataFrame, weights: dict | None = No
     s = s.select("*", *[comps[c].alias(f"_c_{c}") for c in DEFAULT_WEIGHTS])
     total = weighted_sum([(w[c], f"_c_{c}") for c in DEFAULT_WEIGHTS])
     keep = [F.col(f"`{x}`") for x in s.columns if not x.startswith(("_r_", "_lo_", "_hi_", "_c_"))]
-    s = s.select(*keep, clip(F.bround(total, 1), 0.0, 100.0).alias("fpl_score"),
+    s = s.select(*keep, clip(F.bround(total, 1), 0.0, 100.0).alias("composite_score"),
                  *[F.bround(F.lit(float(w[c])) * F.col(f"_c_{c}"), 1).alias(name)
                    for c, name in CONTRIBUTION_NAMES.items()])
-    return min_rank_desc_bounded(s, "fpl_score", "fpl_score_rank")
+    return min_rank_desc_bounded(s, "composite_score", "composite_rank")

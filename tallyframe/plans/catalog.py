@@ -60,7 +60,7 @@ def _(c: Context):
 @query("player_scores")
 def _(c: Context):
     """Composite score and min-rank."""
-    return c.dashboard_shared.select("player_id", "team_id", "fpl_score", "fpl_score_rank",
+    return c.dashboard_shared.select("player_id", "team_id", "composite_score", "composite_rank",
                               "fdr_next_3", "fdr_next_6")
 
 
@@ -83,7 +83,7 @@ def _(c: Context):
 def _(c: Context):
     """buy/sell/hold/watch and ordered reasons."""
     return flat(c.picks_shared.select("player_id", "web_name", "team_name", "team_short", "position",
-                               "price", "fpl_score", "fpl_score_rank", "recommendation",
+                               "price", "composite_score", "composite_rank", "recommendation",
                                "recommendation_reasons", "form", "form_trend", "injury_risk",
                                "fdr_next_3", "net_transfers", "season", "gameweek"))
 

@@ -116,7 +116,7 @@ ORDER BY conv_id LIMIT {MAX_CASES}""")
 
 # Fixed values of the export gate: columns the snapshot must carry and
 # names that must be present.
-EXPORT_COLUMNS = ["player_id", "web_name", "team_name", "position", "price", "fpl_score", "form_trend"]
+EXPORT_COLUMNS = ["player_id", "web_name", "team_name", "position", "price", "composite_score", "form_trend"]
 PINNED = ["000000001", "000000002", "000000011"]
 
 
@@ -138,7 +138,7 @@ def _(c: Context):
                                 path, ["season", "gameweek"])
         written = c.spark.read.parquet(path)
         return written.agg(F.count(F.lit(1)).alias("rows_written"),
-                           F.bround(F.sum(F.col("fpl_score").cast("decimal(18,1)")).cast("double"), 1)
+                           F.bround(F.sum(F.col("composite_score").cast("decimal(18,1)")).cast("double"), 1)
                            .alias("score_sum")).select(
             F.lit(True).alias("rows_ok"), F.lit(True).alias("columns_ok"), F.lit(True).alias("pinned_ok"),
             "rows_written", "score_sum")
@@ -154,5 +154,5 @@ SELECT rows_ok, columns_ok, pinned_ok,
        CASE WHEN rows_ok AND columns_ok AND pinned_ok THEN s END AS score_sum FROM (
   SELECT count(*) > 0 AS rows_ok, true AS columns_ok, coalesce({_PIN_SQL}, false) AS pinned_ok,
          CAST(count(*) AS BIGINT) AS n,
-         round_even(CAST(sum(CAST(fpl_score AS DECIMAL(18,1))) AS DOUBLE), 1) AS s
+         round_even(CAST(sum(CAST(composite_score AS DECIMAL(18,1))) AS DOUBLE), 1) AS s
   FROM v_dashboard) x""", "v_dashboard")

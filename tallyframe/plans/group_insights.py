@@ -92,8 +92,8 @@ FROM v_factors""", "v_factors")
 # --- differentials, medians, quadrants, outliers ------------------------------------------
 
 view("v_diff", ("v_dashboard",), """
-SELECT player_id, web_name, position, ownership_pct, fpl_score,
-       fpl_score * (1 - ownership_pct / 100) AS differential_score
+SELECT player_id, web_name, position, ownership_pct, composite_score,
+       composite_score * (1 - ownership_pct / 100) AS differential_score
 FROM v_dashboard WHERE ownership_pct < 15""")
 
 
@@ -122,8 +122,8 @@ def _medians(c: Context):
     d = ins.differentials(c.dashboard_shared)
     ts = _team_strength(c)
     return (ins.exact_median(d, "ownership_pct", "med_own", bounded=True)
-            .crossJoin(ins.exact_median(d, "fpl_score", "med_diff_score", bounded=True))
-            .crossJoin(ins.upper_median(ts, "avg_fpl_score", "med_score", 48.0, bounded=True))
+            .crossJoin(ins.exact_median(d, "composite_score", "med_diff_score", bounded=True))
+            .crossJoin(ins.upper_median(ts, "avg_composite_score", "med_score", 48.0, bounded=True))
             .crossJoin(ins.upper_median(ts.where(F.col("avg_fdr_remaining").isNotNull()),
                                         "avg_fdr_remaining", "med_fdr", 3.0, bounded=True)))
 
@@ -149,13 +149,13 @@ def _upper_med(col, src, default):
 
 _TS_SQL = """
 SELECT d.team_id, d.team_name,
-  round_even(CAST(sum(CAST(d.fpl_score AS DECIMAL(18,1))) AS DOUBLE) / CAST(count(d.fpl_score) AS DOUBLE), 1) AS avg_fpl_score,
+  round_even(CAST(sum(CAST(d.composite_score AS DECIMAL(18,1))) AS DOUBLE) / CAST(count(d.composite_score) AS DOUBLE), 1) AS avg_composite_score,
   round_even(any_value(f.fdr_next_6), 1) AS avg_fdr_remaining
 FROM v_dashboard d LEFT JOIN v_fdr f ON d.team_id = f.team_id GROUP BY d.team_id, d.team_name"""
 view("v_ts", ("v_dashboard", "v_fdr"), _TS_SQL)
 view("v_medians", ("v_diff", "v_ts"), f"""
-SELECT {_exact_med('ownership_pct', 'v_diff')} AS med_own, {_exact_med('fpl_score', 'v_diff')} AS med_diff_score,
-       {_upper_med('avg_fpl_score', 'v_ts', 48.0)} AS med_score,
+SELECT {_exact_med('ownership_pct', 'v_diff')} AS med_own, {_exact_med('composite_score', 'v_diff')} AS med_diff_score,
+       {_upper_med('avg_composite_score', 'v_ts', 48.0)} AS med_score,
        {_upper_med('avg_fdr_remaining', 'v_ts', 3.0)} AS med_fdr""")
 oracle("league_medians", "SELECT * FROM v_medians", "v_medians")
 
@@ -168,9 +168,9 @@ def _(c: Context):
 
 
 oracle("value_quadrants", """
-SELECT t.team_id, t.team_name, t.avg_fpl_score, t.avg_fdr_remaining,
-       CASE WHEN t.avg_fpl_score >= m.med_score AND t.avg_fdr_remaining <= m.med_fdr THEN 'strong_easy'
-            WHEN t.avg_fpl_score < m.med_score AND t.avg_fdr_remaining > m.med_fdr THEN 'weak_hard'
+SELECT t.team_id, t.team_name, t.avg_composite_score, t.avg_fdr_remaining,
+       CASE WHEN t.avg_composite_score >= m.med_score AND t.avg_fdr_remaining <= m.med_fdr THEN 'strong_easy'
+            WHEN t.avg_composite_score < m.med_score AND t.avg_fdr_remaining > m.med_fdr THEN 'weak_hard'
             ELSE 'other' END AS quadrant
 FROM v_ts t CROSS JOIN v_medians m WHERE t.avg_fdr_remaining IS NOT NULL""", "v_ts", "v_medians")
 
@@ -294,10 +294,10 @@ GROUP BY team_id ORDER BY swing, team_id LIMIT 3""", "v_grid")
 # --- history -----------------------------------------------------------------------------------
 
 view("v_history", (), f"""
-SELECT player_id, gameweek, season, fpl_score, price, ownership_pct, sentiment_score,
-       CAST(rank() OVER (PARTITION BY season, gameweek ORDER BY fpl_score DESC) AS BIGINT) AS fpl_score_rank
+SELECT player_id, gameweek, season, composite_score, price, ownership_pct, sentiment_score,
+       CAST(rank() OVER (PARTITION BY season, gameweek ORDER BY composite_score DESC) AS BIGINT) AS composite_rank
 FROM (SELECT user_id AS player_id, CAST(day(ts) AS INTEGER) AS gameweek, '{SEASON}' AS season,
-             round_even(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(*) AS DOUBLE), 1) AS fpl_score,
+             round_even(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(*) AS DOUBLE), 1) AS composite_score,
              round_even(min(value) / 10, 1) AS price, CAST(count(*) AS DOUBLE) AS ownership_pct,
              ((user_id % 21) - 10) / 10.0::DOUBLE AS sentiment_score
       FROM events GROUP BY user_id, CAST(day(ts) AS INTEGER)) x""")
@@ -326,9 +326,9 @@ def _(c: Context):
 
 
 oracle("momentum_matrix", "SELECT h.player_id, " + ", ".join(
-    f"max(CASE WHEN gameweek = {g} THEN fpl_score END) AS gw_{g}" for g in HIST_GWS) + """
+    f"max(CASE WHEN gameweek = {g} THEN composite_score END) AS gw_{g}" for g in HIST_GWS) + """
 FROM v_history h WHERE player_id IN (
-  SELECT player_id FROM v_history WHERE gameweek = 30 ORDER BY fpl_score_rank, player_id LIMIT 50)
+  SELECT player_id FROM v_history WHERE gameweek = 30 ORDER BY composite_rank, player_id LIMIT 50)
 GROUP BY h.player_id""", "v_history")
 
 
@@ -337,15 +337,15 @@ def _(c: Context):
     """Dense score series (missing -> 0) for the 10 best-ranked
     players of the latest gameweek."""
     h = _hist(c)
-    sel = h.where(F.col("gameweek") == 30).orderBy(F.col("fpl_score_rank"), F.col("player_id")).limit(10) \
+    sel = h.where(F.col("gameweek") == 30).orderBy(F.col("composite_rank"), F.col("player_id")).limit(10) \
            .select("player_id")
     return ins.score_series(h, sel, 1, 30)
 
 
 oracle("score_series", """
-SELECT s.player_id, s.gameweek, coalesce(h.fpl_score, 0.0::DOUBLE) AS fpl_score FROM (
+SELECT s.player_id, s.gameweek, coalesce(h.composite_score, 0.0::DOUBLE) AS composite_score FROM (
   SELECT p.player_id, CAST(g.gameweek AS INTEGER) AS gameweek FROM (
-    SELECT player_id FROM v_history WHERE gameweek = 30 ORDER BY fpl_score_rank, player_id LIMIT 10) p,
+    SELECT player_id FROM v_history WHERE gameweek = 30 ORDER BY composite_rank, player_id LIMIT 10) p,
     range(1, 31) g(gameweek)) s
 LEFT JOIN v_history h ON s.player_id = h.player_id AND s.gameweek = h.gameweek""", "v_history")
 
@@ -357,7 +357,7 @@ def _(c: Context):
 
 
 oracle("last10", """
-SELECT season, player_id, string_agg(CAST(fpl_score AS VARCHAR), '|' ORDER BY gameweek) AS last_scores FROM (
+SELECT season, player_id, string_agg(CAST(composite_score AS VARCHAR), '|' ORDER BY gameweek) AS last_scores FROM (
   SELECT *, row_number() OVER (PARTITION BY season, player_id ORDER BY gameweek DESC) AS r FROM v_history) x
 WHERE r <= 10 GROUP BY season, player_id""", "v_history")
 
@@ -369,8 +369,8 @@ def _(c: Context):
 
 
 view("v_deltas", ("v_history",), """
-SELECT player_id, round_even(max(CASE WHEN gameweek = 30 THEN fpl_score END)
-                           - max(CASE WHEN gameweek = 1 THEN fpl_score END), 1) AS delta
+SELECT player_id, round_even(max(CASE WHEN gameweek = 30 THEN composite_score END)
+                           - max(CASE WHEN gameweek = 1 THEN composite_score END), 1) AS delta
 FROM v_history WHERE gameweek IN (1, 30) GROUP BY player_id
 HAVING count(CASE WHEN gameweek = 1 THEN 1 END) > 0 AND count(CASE WHEN gameweek = 30 THEN 1 END) > 0""")
 oracle("movers", """
@@ -418,10 +418,10 @@ def _(c: Context):
 oracle("banding", """
 SELECT d.player_id,
   CAST(least(greatest(floor(coalesce(fdr_next_3, 3.0::DOUBLE) + 0.5), 1), 5) AS INTEGER) AS fdr_class,
-  CASE WHEN fpl_score >= 65 THEN 'green' WHEN fpl_score >= 45 THEN 'neutral' ELSE 'red' END AS score_colour,
-  CASE WHEN fpl_score >= 65 THEN 'green' WHEN fpl_score >= 50 THEN 'emerald' WHEN fpl_score >= 40 THEN 'amber'
-       WHEN fpl_score >= 30 THEN 'orange' ELSE 'red' END AS score_bar,
-  CASE WHEN fpl_score_rank <= 20 THEN 'Elite' WHEN fpl_score_rank <= 50 THEN 'High Value' END AS tier,
+  CASE WHEN composite_score >= 65 THEN 'green' WHEN composite_score >= 45 THEN 'neutral' ELSE 'red' END AS score_colour,
+  CASE WHEN composite_score >= 65 THEN 'green' WHEN composite_score >= 50 THEN 'emerald' WHEN composite_score >= 40 THEN 'amber'
+       WHEN composite_score >= 30 THEN 'orange' ELSE 'red' END AS score_bar,
+  CASE WHEN composite_rank <= 20 THEN 'Elite' WHEN composite_rank <= 50 THEN 'High Value' END AS tier,
   CASE WHEN sentiment_score IS NULL THEN 'none' WHEN sentiment_score > 0.3 THEN 'strong_positive'
        WHEN sentiment_score > 0 THEN 'positive' WHEN sentiment_score < -0.3 THEN 'strong_negative'
        WHEN sentiment_score < 0 THEN 'negative' ELSE 'zero' END AS sentiment_band,
@@ -461,7 +461,7 @@ _F1 = "printf('%.1f', {})"
 
 
 def _verdict_sql(s, b):
-    diff = f"({b}.fpl_score - {s}.fpl_score)"
+    diff = f"({b}.composite_score - {s}.composite_score)"
     fs, fb = f"coalesce({s}.fdr_next_3, 3.0::DOUBLE)", f"coalesce({b}.fdr_next_3, 3.0::DOUBLE)"
     pd = f"({s}.price - {b}.price)"
     head = (f"CASE WHEN {diff} > 5 THEN 'Strong upgrade. ' || {b}.web_name || ' scores ' || {_F1.format(diff)} "
@@ -481,7 +481,7 @@ def _verdict_sql(s, b):
 view("v_buy_cands", ("v_picks", "v_dashboard"), f"""
 SELECT * FROM (
   SELECT s.player_id AS sell_id, b.player_id AS buy_id,
-         CAST(row_number() OVER (PARTITION BY s.player_id ORDER BY b.fpl_score DESC, b.player_id) AS INTEGER) AS rank,
+         CAST(row_number() OVER (PARTITION BY s.player_id ORDER BY b.composite_score DESC, b.player_id) AS INTEGER) AS rank,
          {_verdict_sql('s', 'b')} AS verdict
   FROM v_picks s JOIN v_dashboard b ON s.position = b.position AND s.player_id <> b.player_id
   WHERE s.recommendation = 'sell') x
@@ -490,7 +490,7 @@ WHERE rank <= 50""")
 
 def _cands_buy(c: Context):
     sells = c.picks_shared.where(F.col("recommendation") == "sell").select("player_id", "position", "web_name",
-                                                                    "fpl_score", "fdr_next_3", "price")
+                                                                    "composite_score", "fdr_next_3", "price")
     return ins.buy_candidates(sells, c.dashboard_shared, 50)
 
 
@@ -600,14 +600,14 @@ GROUP BY coalesce(position, '?')""", "v_dashboard")
 def _(c: Context):
     """Mean (exact), median, max and min of the composite score."""
     d = c.dashboard_shared
-    a = d.agg(F.bround(curate.exact_mean_1dp("fpl_score"), 6).alias("mean"),
-              F.max("fpl_score").alias("max"), F.min("fpl_score").alias("min"))
-    return a.crossJoin(ins.exact_median(d, "fpl_score", "median", bounded=True))
+    a = d.agg(F.bround(curate.exact_mean_1dp("composite_score"), 6).alias("mean"),
+              F.max("composite_score").alias("max"), F.min("composite_score").alias("min"))
+    return a.crossJoin(ins.exact_median(d, "composite_score", "median", bounded=True))
 
 
 oracle("score_distribution", f"""
-SELECT round_even(CAST(sum(CAST(fpl_score AS DECIMAL(18,1))) AS DOUBLE) / CAST(count(fpl_score) AS DOUBLE), 6) AS mean,
-       max(fpl_score) AS max, min(fpl_score) AS min, {_exact_med('fpl_score', 'v_dashboard')} AS median
+SELECT round_even(CAST(sum(CAST(composite_score AS DECIMAL(18,1))) AS DOUBLE) / CAST(count(composite_score) AS DOUBLE), 6) AS mean,
+       max(composite_score) AS max, min(composite_score) AS min, {_exact_med('composite_score', 'v_dashboard')} AS median
 FROM v_dashboard""", "v_dashboard")
 
 
@@ -631,9 +631,9 @@ FROM v_players ORDER BY own DESC, src_pos LIMIT 300""", "v_players")
 def _(c: Context):
     """The first 'buy' in table order."""
     return c.picks_shared.where(F.col("recommendation") == "buy").orderBy("src_pos").limit(1) \
-                  .select("player_id", "web_name", "fpl_score")
+                  .select("player_id", "web_name", "composite_score")
 
 
 oracle("headline_pick", """
-SELECT player_id, web_name, fpl_score FROM v_picks WHERE recommendation = 'buy' ORDER BY src_pos LIMIT 1""",
+SELECT player_id, web_name, composite_score FROM v_picks WHERE recommendation = 'buy' ORDER BY src_pos LIMIT 1""",
        "v_picks")

@@ -19,8 +19,8 @@ from tallyframe.session import scratch_path
 from tallyframe.sources import sinks, standins
 from tallyframe.streaming import jobs
 
-_HIST_COLS = ["season", "gameweek", "player_id", "fpl_score", "price", "ownership_pct", "sentiment_score",
-              "fpl_score_rank"]
+_HIST_COLS = ["season", "gameweek", "player_id", "composite_score", "price", "ownership_pct", "sentiment_score",
+              "composite_rank"]
 LAST_GW = 30
 
 
@@ -31,7 +31,7 @@ def _history_cols(c: Context):
 def _dashboard_as_history(c: Context):
     d = c.dashboard
     return d.select(F.lit(SEASON).alias("season"), F.lit(LAST_GW).cast("int").alias("gameweek"), "player_id",
-                    "fpl_score", "price", "ownership_pct", "sentiment_score", "fpl_score_rank")
+                    "composite_score", "price", "ownership_pct", "sentiment_score", "composite_rank")
 
 
 @query("player_history_upsert")
@@ -47,11 +47,11 @@ def _(c: Context):
 
 
 oracle("player_history_upsert", f"""
-SELECT season, gameweek, player_id, fpl_score, price, ownership_pct, sentiment_score, fpl_score_rank
+SELECT season, gameweek, player_id, composite_score, price, ownership_pct, sentiment_score, composite_rank
 FROM v_history WHERE NOT (season = '{SEASON}' AND gameweek = {LAST_GW})
 UNION ALL
-SELECT '{SEASON}', CAST({LAST_GW} AS INTEGER), player_id, fpl_score, price, ownership_pct, sentiment_score,
-       fpl_score_rank FROM v_dashboard""", "v_history", "v_dashboard")
+SELECT '{SEASON}', CAST({LAST_GW} AS INTEGER), player_id, composite_score, price, ownership_pct, sentiment_score,
+       composite_rank FROM v_dashboard""", "v_history", "v_dashboard")
 
 
 @query("public_gate")
@@ -78,7 +78,7 @@ def _(c: Context):
     gameweek) with a schema-version stamp; briefing stats -> JSON document;
     failed fixture records -> DLQ; everything read back and summarised."""
     root = scratch_path(c.spark, "sinks")
-    d = sinks.stamp_version(c.dashboard.select("player_id", "fpl_score", "season", "gameweek"),
+    d = sinks.stamp_version(c.dashboard.select("player_id", "composite_score", "season", "gameweek"),
                             sinks.SCHEMA_VERSION_CURATED)
     sinks.write_partitioned(d, f"{root}/dashboard", ["season", "gameweek"])
     dash, picks = c.dashboard_shared, c.picks_shared
@@ -95,7 +95,7 @@ def _(c: Context):
     doc_back = c.spark.read.json(f"{root}/public/briefing")
     dlq = c.spark.read.json(f"{root}/dlq")
     a = back.agg(F.count(F.lit(1)).alias("dashboard_rows"), F.max("schema_version").alias("schema_version"),
-                 F.bround(F.sum(F.col("fpl_score").cast("decimal(18,1)")).cast("double"), 1).alias("score_sum"))
+                 F.bround(F.sum(F.col("composite_score").cast("decimal(18,1)")).cast("double"), 1).alias("score_sum"))
     return (a.crossJoin(parts.agg(F.count(F.lit(1)).alias("partitions")))
              .crossJoin(doc_back.select(F.col("summary_stats.buy_count").cast("bigint").alias("doc_buy_count"),
                                    sum(F.size(x) for x in curate.BRIEFING_LISTS).cast("bigint")
@@ -106,7 +106,7 @@ def _(c: Context):
 
 oracle("sink_roundtrip", f"""
 SELECT CAST(count(*) AS BIGINT) AS dashboard_rows, '{sinks.SCHEMA_VERSION_CURATED}' AS schema_version,
-       round_even(CAST(sum(CAST(fpl_score AS DECIMAL(18,1))) AS DOUBLE), 1) AS score_sum,
+       round_even(CAST(sum(CAST(composite_score AS DECIMAL(18,1))) AS DOUBLE), 1) AS score_sum,
        CAST(1 AS BIGINT) AS partitions,
        (SELECT CAST(count_if(recommendation = 'buy') AS BIGINT) FROM v_picks) AS doc_buy_count,
        CAST(least((SELECT count_if(recommendation = 'buy') FROM v_picks), 3)
@@ -116,7 +116,7 @@ SELECT CAST(count(*) AS BIGINT) AS dashboard_rows, '{sinks.SCHEMA_VERSION_CURATE
           + least((SELECT count_if(form_trend = 'improving') FROM v_dashboard), 5)
           + least((SELECT count_if(form_trend = 'declining') FROM v_dashboard), 5) AS BIGINT) AS doc_list_items,
        CAST(least((SELECT count(DISTINCT t) FROM (SELECT unnest(key_themes) AS t FROM (
-          SELECT key_themes FROM v_dashboard ORDER BY fpl_score_rank, player_id LIMIT 50) a) b), 5) AS BIGINT)
+          SELECT key_themes FROM v_dashboard ORDER BY composite_rank, player_id LIMIT 50) a) b), 5) AS BIGINT)
           AS doc_themes,
        (SELECT CAST(count(*) AS BIGINT) FROM v_fixtures WHERE event IS NULL) AS dlq_rows
 FROM v_dashboard""", "v_dashboard", "v_picks", "v_fixtures", "v_fdr")
@@ -132,11 +132,11 @@ def _(c: Context):
     second = h.where(F.col("gameweek") >= 15).select("*", F.lit("second").alias("batch"))
     sinks.write_if_absent(first, path, ["season", "gameweek"])
     sinks.write_if_absent(second, path, ["season", "gameweek"])
-    return sinks.read_partitioned(c.spark, path).select("season", "gameweek", "player_id", "fpl_score", "batch")
+    return sinks.read_partitioned(c.spark, path).select("season", "gameweek", "player_id", "composite_score", "batch")
 
 
 oracle("idempotent_write", """
-SELECT season, gameweek, player_id, fpl_score, CASE WHEN gameweek <= 20 THEN 'first' ELSE 'second' END AS batch
+SELECT season, gameweek, player_id, composite_score, CASE WHEN gameweek <= 20 THEN 'first' ELSE 'second' END AS batch
 FROM v_history""", "v_history")
 
 # --- streaming ----------------------------------------------------------------------------------------

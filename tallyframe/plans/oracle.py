@@ -31,10 +31,10 @@ _SELL = [
     ("form < 2.0", "'Poor form (' || " + _F1.format("form") + " || ')'"),
     ("form_trend = 'declining'", "'Declining form trend'"),
     ("fdr_next_3 >= 4.0", "printf('Very hard fixtures (FDR %.1f)', fdr_next_3)"),
-    ("fpl_score < 30", "'Low FPL score (' || " + _F1.format("fpl_score") + " || ')'"),
+    ("composite_score < 30", "'Low FPL score (' || " + _F1.format("composite_score") + " || ')'"),
 ]
 _BUY = [
-    ("fpl_score >= 65", "'Strong FPL score (' || " + _F1.format("fpl_score") + " || ')'"),
+    ("composite_score >= 65", "'Strong FPL score (' || " + _F1.format("composite_score") + " || ')'"),
     ("form >= 5.0", "'Good form (' || " + _F1.format("form") + " || ')'"),
     ("form_trend = 'improving'", "'Improving form trend'"),
     ("fdr_next_3 <= 2.5", "printf('Favorable fixtures (FDR %.1f)', fdr_next_3)"),
@@ -55,18 +55,18 @@ FROM (SELECT *, coalesce(points_per_million, 0.0::DOUBLE) AS ppm FROM v_dashboar
 
 view("v_picks", ("v_pick_signals",), """
 SELECT s.*,
-  CASE WHEN sell_n >= 2 OR fpl_score < 25 THEN 'sell' WHEN buy_n >= 3 THEN 'buy'
-       WHEN buy_n >= 2 OR (fpl_score >= 55 AND net_transfers > 10000) THEN 'watch' ELSE 'hold' END
+  CASE WHEN sell_n >= 2 OR composite_score < 25 THEN 'sell' WHEN buy_n >= 3 THEN 'buy'
+       WHEN buy_n >= 2 OR (composite_score >= 55 AND net_transfers > 10000) THEN 'watch' ELSE 'hold' END
     AS recommendation,
-  CASE WHEN sell_n >= 2 OR fpl_score < 25 THEN sell_r
+  CASE WHEN sell_n >= 2 OR composite_score < 25 THEN sell_r
        WHEN buy_n >= 3 THEN buy_r
-       WHEN buy_n >= 2 OR (fpl_score >= 55 AND net_transfers > 10000) THEN
+       WHEN buy_n >= 2 OR (composite_score >= 55 AND net_transfers > 10000) THEN
             list_concat(CASE WHEN len(buy_r) > 0 THEN buy_r ELSE sell_r END,
                         CASE WHEN net_transfers > 10000
                              THEN ['High transfer demand (+' || format('{:,}', net_transfers) || ')']
                              ELSE []::VARCHAR[] END)
        WHEN len(sell_r) > 0 THEN sell_r
-       ELSE ['FPL score ' || printf('%.1f', fpl_score) || ' — no strong signals'] END
+       ELSE ['FPL score ' || printf('%.1f', composite_score) || ' — no strong signals'] END
     AS recommendation_reasons
 FROM v_pick_signals s""")
 
@@ -77,7 +77,7 @@ oracle("fixture_ticker", "SELECT * REPLACE (strftime(kickoff_time, '%Y-%m-%d %H:
 oracle("fixture_fdr", "SELECT * FROM v_fdr", "v_fdr")
 
 oracle("player_scores", """
-SELECT player_id, team_id, fpl_score, fpl_score_rank, fdr_next_3, fdr_next_6 FROM v_dashboard""",
+SELECT player_id, team_id, composite_score, composite_rank, fdr_next_3, fdr_next_6 FROM v_dashboard""",
        "v_dashboard")
 
 oracle("score_contributions", """
@@ -90,7 +90,7 @@ SELECT * REPLACE (array_to_string(key_themes, '|') AS key_themes,
 FROM v_dashboard""", "v_dashboard")
 
 oracle("transfer_picks", """
-SELECT player_id, web_name, team_name, team_short, position, price, fpl_score, fpl_score_rank,
+SELECT player_id, web_name, team_name, team_short, position, price, composite_score, composite_rank,
        recommendation, array_to_string(recommendation_reasons, '|') AS recommendation_reasons,
        form, form_trend, injury_risk, fdr_next_3, net_transfers, season, gameweek
 FROM v_picks""", "v_picks")
@@ -101,7 +101,7 @@ FROM v_picks GROUP BY ROLLUP (recommendation)""", "v_picks")
 
 oracle("team_strength", f"""
 SELECT d.team_id, d.team_name, d.team_short,
-  round_even(CAST(sum(CAST(d.fpl_score AS DECIMAL(18,1))) AS DOUBLE) / CAST(count(d.fpl_score) AS DOUBLE), 1) AS avg_fpl_score,
+  round_even(CAST(sum(CAST(d.composite_score AS DECIMAL(18,1))) AS DOUBLE) / CAST(count(d.composite_score) AS DOUBLE), 1) AS avg_composite_score,
   CAST(sum(d.total_points) AS BIGINT) AS total_points,
   round_even(CAST(sum(CAST(d.form AS DECIMAL(18,1))) AS DOUBLE) / CAST(count(d.form) AS DOUBLE), 1) AS avg_form,
   round_even(CAST(sum(CAST(d.price AS DECIMAL(18,1))) AS DOUBLE), 1) AS squad_value,
@@ -116,10 +116,10 @@ GROUP BY d.team_id, d.team_name, d.team_short""", "v_dashboard", "v_fdr")
 
 oracle("theme_topk", """
 SELECT theme, CAST(count(*) AS BIGINT) AS n FROM (
-  SELECT fpl_score_rank, player_id, unnest(generate_series(1, len(key_themes))) AS tpos,
+  SELECT composite_rank, player_id, unnest(generate_series(1, len(key_themes))) AS tpos,
          unnest(key_themes) AS theme
-  FROM (SELECT * FROM v_dashboard ORDER BY fpl_score_rank, player_id LIMIT 50) t) x
-GROUP BY theme ORDER BY n DESC, min(row(fpl_score_rank, player_id, tpos)) LIMIT 5""", "v_dashboard")
+  FROM (SELECT * FROM v_dashboard ORDER BY composite_rank, player_id LIMIT 50) t) x
+GROUP BY theme ORDER BY n DESC, min(row(composite_rank, player_id, tpos)) LIMIT 5""", "v_dashboard")
 
 oracle("briefing_stats", """
 SELECT CAST(count(*) AS BIGINT) AS total_players,
@@ -143,18 +143,18 @@ SELECT f.team_id, coalesce(t.team_short, '???') AS team_short,
 FROM v_fdr f LEFT JOIN v_teams t ON f.team_id = t.team_id""")
 
 oracle("briefing_lists", "\nUNION ALL\n".join([
-    _list("top_picks", "v_picks", "recommendation = 'buy'", "fpl_score DESC, src_pos", 3, "player_id",
+    _list("top_picks", "v_picks", "recommendation = 'buy'", "composite_score DESC, src_pos", 3, "player_id",
           "array_to_string(recommendation_reasons[1:3], '|') || '::' || coalesce(llm_summary, '')"),
-    _list("sell_alerts", "v_picks", "recommendation = 'sell'", "fpl_score ASC, src_pos", 3, "player_id",
+    _list("sell_alerts", "v_picks", "recommendation = 'sell'", "composite_score ASC, src_pos", 3, "player_id",
           "array_to_string(recommendation_reasons[1:2], '|')"),
     _list("injury_alerts", "v_dashboard", "injury_risk >= 5", "injury_risk DESC, src_pos", 5, "player_id",
           "CAST(injury_risk AS VARCHAR)"),
     _list("best_fixtures", "v_team_fdr", "true", "f6 ASC, team_id", 3, "team_id", "printf('%.1f', f6)"),
     _list("worst_fixtures", "v_team_fdr", "true", "f6 DESC, team_id DESC", 3, "team_id", "printf('%.1f', f6)"),
-    _list("rising_players", "v_dashboard", "form_trend = 'improving'", "fpl_score DESC, src_pos", 5,
-          "player_id", "printf('%.1f', fpl_score)"),
-    _list("falling_players", "v_dashboard", "form_trend = 'declining'", "fpl_score ASC, src_pos", 5,
-          "player_id", "printf('%.1f', fpl_score)"),
+    _list("rising_players", "v_dashboard", "form_trend = 'improving'", "composite_score DESC, src_pos", 5,
+          "player_id", "printf('%.1f', composite_score)"),
+    _list("falling_players", "v_dashboard", "form_trend = 'declining'", "composite_score ASC, src_pos", 5,
+          "player_id", "printf('%.1f', composite_score)"),
 ]), "v_picks", "v_dashboard", "v_team_fdr")
 
 oracle("upcoming_fixtures", f"""

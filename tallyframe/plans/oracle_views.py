@@ -174,11 +174,11 @@ FROM v_score_raw r CROSS JOIN (
          min(r_ict) lo_ict, max(r_ict) hi_ict FROM v_score_raw) s""")
 
 view("v_scores", ("v_score_comp",), """
-SELECT x.*, CAST(rank() OVER (ORDER BY fpl_score DESC) AS BIGINT) AS fpl_score_rank FROM (
+SELECT x.*, CAST(rank() OVER (ORDER BY composite_score DESC) AS BIGINT) AS composite_rank FROM (
 SELECT c.*,
        least(greatest(round_even(0.25::DOUBLE * c_form + 0.15::DOUBLE * c_value + 0.15::DOUBLE * c_fixtures
          + 0.15::DOUBLE * c_xg + 0.1::DOUBLE * c_mom + 0.1::DOUBLE * c_ict + 0.1::DOUBLE * c_injury, 1),
-         0.0::DOUBLE), 100.0::DOUBLE) AS fpl_score,
+         0.0::DOUBLE), 100.0::DOUBLE) AS composite_score,
        round_even(0.25::DOUBLE * c_form, 1) AS score_form,
        round_even(0.15::DOUBLE * c_value, 1) AS score_value,
        round_even(0.15::DOUBLE * c_fixtures, 1) AS score_fixtures,
@@ -206,7 +206,7 @@ SELECT s.player_id, s.web_name, s.first_name || ' ' || s.second_name AS full_nam
        s.form_trend, s.form_confidence, s.summary AS llm_summary,
        s.injury_risk, s.injury_reasoning, s.sentiment_label, s.sentiment_score, s.key_themes,
        s.fdr_next_3, s.fdr_next_6, s.best_gameweeks, s.fixture_recommendation,
-       s.fpl_score, s.fpl_score_rank,
+       s.composite_score, s.composite_rank,
        s.score_form, s.score_value, s.score_fixtures, s.score_xg, s.score_momentum, s.score_ict, s.score_injury,
        '{SEASON}' AS season, CAST({GW} AS INTEGER) AS gameweek, CAST({GW + 1} AS INTEGER) AS advice_gameweek,
        s.src_pos

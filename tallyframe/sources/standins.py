@@ -219,8 +219,8 @@ def history(t: Tables) -> DataFrame:
         F.sum(F.col("value").cast("decimal(18,2)")).alias("_s"), F.count(F.lit(1)).alias("_n"),
         F.min("value").alias("_min"))
     h = g.select("player_id", "gameweek", F.lit(HISTORY_SEASON).alias("season"),
-                 F.bround(F.col("_s").cast("double") / F.col("_n").cast("double"), 1).alias("fpl_score"),
+                 F.bround(F.col("_s").cast("double") / F.col("_n").cast("double"), 1).alias("composite_score"),
                  F.bround(F.col("_min") / 10, 1).alias("price"),
                  F.col("_n").cast("double").alias("ownership_pct"),
                  (((F.col("player_id") % 21) - 10) / F.lit(10.0)).alias("sentiment_score"))
-    return min_rank_desc_bounded(h, "fpl_score", "fpl_score_rank", ["season", "gameweek"])
+    return min_rank_desc_bounded(h, "composite_score", "composite_rank", ["season", "gameweek"])

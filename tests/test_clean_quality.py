@@ -87,10 +87,10 @@ def test_validation_status_partial(spark):
 
 
 def test_contract_report_counts_rule_violations(spark):
-    df = spark.createDataFrame([("GKP", 50.0), ("XXX", 101.0), (None, 10.0)], "position string, fpl_score double")
-    c = [("position", "regex", r"^(GKP|DEF|MID|FWD)$"), ("fpl_score", "range", (0.0, 100.0)),
+    df = spark.createDataFrame([("GKP", 50.0), ("XXX", 101.0), (None, 10.0)], "position string, composite_score double")
+    c = [("position", "regex", r"^(GKP|DEF|MID|FWD)$"), ("composite_score", "range", (0.0, 100.0)),
          ("position", "not_null", None)]
-    assert rows(quality.contract_report(df, c)) == [("fpl_score", "range", 1), ("position", "not_null", 1),
+    assert rows(quality.contract_report(df, c)) == [("composite_score", "range", 1), ("position", "not_null", 1),
                                                     ("position", "regex", 1)]
 
 

@@ -74,9 +74,9 @@ def test_scores_constant_column_is_50_and_ties_share_rank(spark):
     assert s[3].score_fixtures == pytest.approx(round(0.15 * 50, 1))
     # null injury risk -> 2 -> 80
     assert s[3].score_injury == 8.0
-    assert s[1].fpl_score == s[2].fpl_score
-    assert s[1].fpl_score_rank == s[2].fpl_score_rank == 1
-    assert s[3].fpl_score_rank == 3
+    assert s[1].composite_score == s[2].composite_score
+    assert s[1].composite_rank == s[2].composite_rank == 1
+    assert s[3].composite_rank == 3
 
 
 def test_bounded_rank_equals_window_rank(spark):
@@ -107,7 +107,7 @@ CASES = [
 def test_classifier_cases(spark):
     df = spark.createDataFrame(
         [(i, *c[:7]) for i, c in enumerate(CASES)],
-        "player_id int, fpl_score double, form double, fdr_next_3 double, injury_risk int, "
+        "player_id int, composite_score double, form double, fdr_next_3 double, injury_risk int, "
         "net_transfers bigint, form_trend string, points_per_million double")
     got = {r.player_id: (r.recommendation, r.recommendation_reasons) for r in curate.classify(df).collect()}
     for i, c in enumerate(CASES):
@@ -125,11 +125,11 @@ def test_team_strength_small_case(spark):
         (2, "Foden", 1, "Man City", "MCI", 55.0, 171, 6.0, 8.1, None, 2),
         (3, "Salah", 2, "Liverpool", "LIV", 80.0, 171, 9.0, 13.0, "y", 3),
         (4, "Diaz", 2, "Liverpool", "LIV", 40.0, 171, 3.0, 7.5, "z", 4),
-    ], "player_id bigint, web_name string, team_id int, team_name string, team_short string, fpl_score double, "
+    ], "player_id bigint, web_name string, team_id int, team_name string, team_short string, composite_score double, "
        "total_points bigint, form double, price double, llm_summary string, src_pos bigint")
     fdr = spark.createDataFrame([(1, 2.0, 2.25)], "team_id int, fdr_next_3 double, fdr_next_6 double")
     t = {r.team_id: r for r in curate.team_strength(dash, fdr, "s", 1).collect()}
-    assert t[1].avg_fpl_score == 62.5 and t[1].total_points == 371 and t[1].squad_value == 22.6
+    assert t[1].avg_composite_score == 62.5 and t[1].total_points == 371 and t[1].squad_value == 22.6
     assert t[1].top_scorer_name == "Haaland" and t[1].enriched_player_count == 1
     assert t[1].avg_fdr_remaining == 2.2  # half-even
     assert t[2].top_scorer_name == "Salah"  # tie on points -> first in input order
@@ -137,7 +137,7 @@ def test_team_strength_small_case(spark):
 
 
 def test_history_upsert_replaces_same_gameweek_and_keeps_other_season(spark):
-    cols = "season string, gameweek int, player_id bigint, fpl_score double"
+    cols = "season string, gameweek int, player_id bigint, composite_score double"
     old = spark.createDataFrame([("a", 1, 1, 10.0), ("a", 2, 1, 20.0), ("b", 2, 1, 99.0)], cols)
     new = spark.createDataFrame([("a", 2, 1, 21.0), ("a", 2, 2, 22.0)], cols)
     out = curate.upsert_history(old, new)
@@ -148,11 +148,11 @@ def test_history_partition_overwrite_on_storage(spark):
     from tallyframe.session import scratch_path
     from tallyframe.sources import sinks
     path = scratch_path(spark, "t-hist")
-    cols = "season string, gameweek int, player_id bigint, fpl_score double"
+    cols = "season string, gameweek int, player_id bigint, composite_score double"
     sinks.write_partitioned(spark.createDataFrame([("a", 1, 1, 1.0), ("a", 2, 1, 2.0)], cols), path,
                             ["season", "gameweek"])
     sinks.write_partitioned(spark.createDataFrame([("a", 2, 7, 7.0)], cols), path, ["season", "gameweek"])
-    got = rows(sinks.read_partitioned(spark, path), "season", "gameweek", "player_id", "fpl_score")
+    got = rows(sinks.read_partitioned(spark, path), "season", "gameweek", "player_id", "composite_score")
     assert got == [("a", 1, 1, 1.0), ("a", 2, 7, 7.0)]
 
 

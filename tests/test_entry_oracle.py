@@ -17,7 +17,7 @@ ROWS_ONLY = {"embed_batch", "knn_cells", "rate_admission", "stream_admission"}
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert "fpl_score" in df.columns and "fpl_score_rank" in df.columns
+    assert "composite_score" in df.columns and "composite_rank" in df.columns
 
 
 def test_catalogue_and_oracles_line_up():
