@@ -7,19 +7,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import word_match  # noqa: F401 - re-exported
 from tallyframe.operators.enrich import containment_join
 
 # Fixed value: proper-name pattern used to find names in free text.
 PROPER_NAME = r"\b([A-Z][a-z]+(?:[\s-][A-Z][a-z]+)+)\b"
 
 
-def word_match(text, needle) -> F.Column:
-    """Case-insensitive whole-word match of a literal needle (Unicode-aware
-    ``(?iu)``, needle quoted with \\Q..\\E)."""
-    pat = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}_])\\Q"), needle, F.lit("\\E(?![\\p{L}\\p{N}_])"))
-    return F.regexp_like(text, pat)
-
-
 def hard_checks(cases: DataFrame, runs: DataFrame) -> DataFrame:
     """A13 + U3: the six checks of every case against its stored run, as
     boolean columns plus their conjunction (one join, one projection)."""

@@ -132,7 +132,7 @@ def differentials(dash: DataFrame, position: str | None = None, own_below: float
     d = dash.where(F.col("ownership_pct") < own_below)
     if position:
         d = d.where(F.col("position") == position)
-    return d.select("player_id", "web_name", "position", "ownership_pct", "composite_score",
+    return d.select("player_id", "web_name", "position", "ownership_pct", "composite_score", "llm_summary",
                     (F.col("composite_score") * (1 - F.col("ownership_pct") / 100)).alias("differential_score"))
 
 

@@ -4,11 +4,10 @@ vector upsert/parse, and squads (canned squad, enrichment, split)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import any_field_contains
 from tallyframe.operators.enrich import containment_join
 
 MAX_BROADCAST_QUERIES = 10_000   # exact kNN / request lists shipped to every task
@@ -74,9 +73,7 @@ def name_lookup(players: DataFrame, requests: DataFrame, req_id: str = "request_
 
 def text_search(df: DataFrame, query: str, fields) -> DataFrame:
     """Any of the fields contains the query (case-insensitive)."""
-    q = query.lower()
-    cond = reduce(lambda a, b: a | b, [F.coalesce(F.lower(F.col(f)).contains(q), F.lit(False)) for f in fields])
-    return df.where(cond)
+    return df.where(any_field_contains(fields, query))
 
 
 # --- J11 kNN ---------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.dates import month_key, season_label
 from tallyframe.operators import clean, quality
 from tallyframe.plans.catalog import query
 from tallyframe.plans.context import Context, flat
@@ -80,13 +81,21 @@ _PROPS = T.StructType([T.StructField("k", T.LongType()), T.StructField("id", T.L
 def _(c: Context):
     """Raw JSON props parsed with a declared schema, renamed, absent
     keys as typed nulls, load metadata as literals."""
-    return clean.flatten_json(c.t.events, "props", _PROPS, keep_cols=("event_id", "user_id"),
+    ev = c.t.events.select("event_id", "user_id", "props", season_label("ts").alias("event_season"),
+                           month_key("ts").alias("event_month"))
+    return clean.flatten_json(ev, "props", _PROPS, keep_cols=("event_id", "user_id", "event_season", "event_month"),
                               rename={"k": "kick_count", "id": "ref_id"},
                               meta={"season": standins.SEASON, "collected_at": LOAD_TS})
 
 
 oracle("flatten_raw", f"""
-SELECT event_id, user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS kick_count,
+SELECT event_id, user_id,
+       CASE WHEN month(ts) >= 8
+            THEN CAST(year(ts) AS VARCHAR) || '-' || lpad(CAST((year(ts) + 1) % 100 AS VARCHAR), 2, '0')
+            ELSE CAST(year(ts) - 1 AS VARCHAR) || '-' || lpad(CAST(year(ts) % 100 AS VARCHAR), 2, '0') END
+         AS event_season,
+       strftime(ts, '%Y-%m') AS event_month,
+       TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS kick_count,
        TRY_CAST(json_extract_string(props, '$.id') AS BIGINT) AS ref_id,
        '{standins.SEASON}' AS season, '{LOAD_TS}' AS collected_at
 FROM events""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import truncate_sentences
 from tallyframe.operators import curate, fixtures as fx, insights as ins
 from tallyframe.plans.catalog import query
 from tallyframe.plans.context import Context, flat
@@ -92,7 +93,7 @@ FROM v_factors""", "v_factors")
 # --- differentials, medians, quadrants, outliers ------------------------------------------
 
 view("v_diff", ("v_dashboard",), """
-SELECT player_id, web_name, position, ownership_pct, composite_score,
+SELECT player_id, web_name, position, ownership_pct, composite_score, llm_summary,
        composite_score * (1 - ownership_pct / 100) AS differential_score
 FROM v_dashboard WHERE ownership_pct < 15""")
 
@@ -105,12 +106,17 @@ def _(c: Context):
     from pyspark.sql import Window
     w = Window.orderBy(F.col("differential_score").desc(), F.col("player_id"))
     return t.select(F.row_number().over(w).alias("rank"), "player_id",
-                    F.bround("differential_score", 6).alias("differential_score"))
+                    F.bround("differential_score", 6).alias("differential_score"),
+                    truncate_sentences("llm_summary", 2).alias("summary_short"))
 
 
 oracle("differential_radar", """
 SELECT CAST(row_number() OVER (ORDER BY differential_score DESC, player_id) AS INTEGER) AS rank, player_id,
-       round_even(differential_score, 6) AS differential_score
+       round_even(differential_score, 6) AS differential_score,
+       CASE WHEN llm_summary IS NULL THEN NULL
+            WHEN len(regexp_extract_all(llm_summary, '[^.!?]+[.!?]+')) = 0 THEN substring(llm_summary, 1, 120)
+            ELSE trim(array_to_string(regexp_extract_all(llm_summary, '[^.!?]+[.!?]+')[1:2], ' ')) END
+         AS summary_short
 FROM v_diff ORDER BY differential_score DESC, player_id LIMIT 12""", "v_diff")
 
 
