@@ -83,3 +83,30 @@ def local_dir(path: str) -> str:
 def makedirs_if_local(path: str) -> None:
     if is_local_path(path):
         os.makedirs(local_dir(path), exist_ok=True)
+
+
+def cluster_sizing(input_bytes: int, executors: int, cores_per_executor: int,
+                   target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a cluster run over ``input_bytes`` of Parquet.
+
+    Scan splits and shuffle partitions aim at ``target_partition_bytes``
+    (256 MB: comfortably inside an executor core's share of memory even
+    after decompression), never fewer than two waves of tasks; AQE then
+    coalesces small shuffle partitions and splits skewed ones (a partition
+    5x the median and over 1 GB is split).  At 100 TB this gives ~400k
+    scan tasks and ~400k initial shuffle partitions, coalesced at runtime.
+    """
+    slots = max(1, executors * cores_per_executor)
+    shuffle = max(2 * slots, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }
