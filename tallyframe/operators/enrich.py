@@ -24,7 +24,7 @@ PL_KEYWORDS = [
 ]
 
 BROADCAST_NAME_LIMIT = 10_000  # names above this go through blocking
-_SEP = r"[^\p{L}\p{N}]+"       # word separator for lossless word blocking
+_WORD = r"[\p{L}\p{N}]+"       # a word = a maximal run of letters/digits (lossless word blocking)
 
 
 def keyword_pattern(keywords) -> str:
@@ -85,13 +85,13 @@ def containment_join_blocked(names: DataFrame, docs: DataFrame, name_id: str, na
     # (1) Word blocking.  A word strictly inside a name (not its first or
     # last token) is bounded by separators inside the name, so wherever the
     # name occurs it is a complete word of the text too: lossless.
-    toks = F.filter(F.split(F.col("_name"), _SEP), lambda x: F.length(x) > 0)
+    toks = F.regexp_extract_all(F.col("_name"), F.lit(_WORD), 0)
     nt = nm.select("_nid", "_name", toks.alias("_t"))
     inner = nt.where(F.size("_t") >= 3).select(
         "_nid", "_name", F.explode(F.array_distinct(F.slice("_t", 2, F.size("_t") - 2))).alias("_g"))
     def words(d):
         return d.select("_did", F.explode(F.array_distinct(
-            F.filter(F.split(F.col("_text"), _SEP), lambda x: F.length(x) > 0))).alias("_g"))
+            F.regexp_extract_all(F.col("_text"), F.lit(_WORD), 0))).alias("_g"))
 
     dwords = words(dl)
     wanted = inner.select("_g").distinct()
