@@ -62,3 +62,27 @@ def test_dropduplicates_within_watermark_removes_redelivery(spark):
     w = s.writeStream.format("parquet").option("path", d["out"]).option("checkpointLocation", d["ckpt"])
     jobs.run_available_now(w, "t_dedupe")
     assert sorted(r.id for r in spark.read.schema(schema).parquet(d["out"]).collect()) == list(range(6))
+
+
+def test_late_rows_after_watermark_are_dropped_in_stream_but_counted_in_batch(spark):
+    d = jobs.fresh_dirs(spark, "t-late")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType()),
+                           T.StructField("tokens", T.LongType())])
+    base = 1_700_000_000
+    on_time = spark.createDataFrame([(i, None, 10) for i in range(6)], "id long, ts timestamp, tokens long") \
+        .select("id", F.timestamp_seconds(F.lit(base) + F.col("id") * 86400).alias("ts"), "tokens")
+    late = spark.createDataFrame([(100, None, 1000)], "id long, ts timestamp, tokens long") \
+        .select("id", F.timestamp_seconds(F.lit(base)).alias("ts"), "tokens")  # day 0, after day 5
+    jobs.land_in_chunks(on_time, d["landing"], F.lit(0), 1)
+    s = jobs.stream_files(spark, d["landing"], schema, files_per_batch=1000)
+    g = (s.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("w"))
+          .agg(F.sum("tokens").alias("tokens"))
+          .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "tokens"))
+    sink = jobs.VersionedUpsert(d["out"], jobs.replace_keys(["day"]))
+    w = g.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", d["ckpt"])
+    jobs.run_available_now(w, "t_late1")
+    jobs.land_in_chunks(late, d["landing"], F.lit(0), 1)   # arrives after the watermark moved on
+    jobs.run_available_now(w, "t_late2")
+    streamed = sum(r.tokens for r in sink.latest(spark).collect())
+    batch = on_time.unionByName(late).agg(F.sum("tokens")).first()[0]
+    assert streamed == 60 and batch == 1060
