@@ -342,3 +342,30 @@ SELECT n.name, CAST(count(*) AS BIGINT) AS pages FROM (
   SELECT DISTINCT unnest(regexp_extract_all(text, '{_NAME_RE}', 1)) AS name FROM documents) n
 JOIN pages p ON strpos(lower(p.html), lower(n.name)) > 0
 GROUP BY n.name""")
+
+SESSION_GAP = "12 hours"
+SESSION_GAP_S = 12 * 3600
+
+
+@query("session_windows")
+def _(c: Context):
+    """T5 batch twin: per-user session windows (a new session after a 12-hour
+    gap, scaled like the other windows) with attempt counts."""
+    e = c.t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    g = e.groupBy("user_id", F.session_window("ts", SESSION_GAP).alias("s")).agg(
+        F.count(F.lit(1)).alias("attempts"))
+    return g.select("user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
+                    F.date_format("s.end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_end"), "attempts")
+
+
+oracle("session_windows", f"""
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+       strftime(max(ts) + INTERVAL {SESSION_GAP_S} SECOND, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
+       CAST(count(*) AS BIGINT) AS attempts
+FROM (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid
+      FROM (SELECT user_id, ts,
+                   CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+                          OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL {SESSION_GAP_S} SECOND
+                        THEN 1 ELSE 0 END AS brk
+            FROM events) a) b
+GROUP BY user_id, sid""")
