@@ -236,3 +236,11 @@ def _(c: Context):
                     F.bround(F.sqrt(F.aggregate(F.col("embedding"), F.lit(0.0),
                                                 lambda a, x: a + x.cast("double") * x.cast("double"))), 3)
                     .alias("norm"))
+
+
+# The embedder's contract, checkable in SQL: every vector has EMBED_DIM
+# components and unit length (zero for texts shorter than one trigram).
+oracle("embed_batch", f"""
+SELECT doc_id, CAST({EMBED_DIM} AS INTEGER) AS dim,
+       CASE WHEN length(text) >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+FROM documents""")

@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from tallyframe.sources.tables import TABLE_NAMES
 from tests.conftest import SF_SMALL
 
-ROWS_ONLY = {"embed_batch", "knn_cells", "rate_admission", "stream_admission"}
+ROWS_ONLY = {"knn_cells", "rate_admission", "stream_admission"}
 
 
 def test_entry_smoke(spark):
@@ -65,5 +65,5 @@ def test_stream_admission_equals_batch(spark):
 
 
 def test_rows_only_queries_run(spark):
-    for n in ["embed_batch", "knn_cells"]:
+    for n in ["knn_cells"]:
         assert E.queries()[n](spark, SF_SMALL).count() > 0
