@@ -369,3 +369,32 @@ FROM (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS U
                         THEN 1 ELSE 0 END AS brk
             FROM events) a) b
 GROUP BY user_id, sid""")
+
+
+def _admission_sql(short_s: int, short_n: int, long_s: int, long_n: int, retry: bool = True) -> str:
+    """W9 oracle: the admission recursion spelled out as a recursive CTE --
+    state = the list of accepted timestamps, one step per request."""
+    inw = "len(list_filter(r.acc, lambda x: x >= q.t - {w}))"
+    s_cnt, l_cnt = inw.format(w=short_s), inw.format(w=long_s)
+    keep = f"list_filter(r.acc, lambda x: x >= q.t - {long_s})"
+    oldest = "list_min(list_filter(r.acc, lambda x: x >= q.t - {w}))"
+    ok = f"({s_cnt} < {short_n} AND {l_cnt} < {long_n})"
+    return f"""
+WITH RECURSIVE q AS (
+  SELECT user_id AS session_id, event_id AS request_id, secs AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY secs, event_id) AS rn FROM v_usage),
+r(session_id, rn, request_id, allowed, retry_after, acc) AS (
+  SELECT session_id, rn, request_id, true, CAST(NULL AS BIGINT), [t] FROM q WHERE rn = 1
+  UNION ALL
+  SELECT q.session_id, q.rn, q.request_id, {ok},
+         CASE WHEN {s_cnt} >= {short_n} THEN greatest(1, {short_s} - (q.t - {oldest.format(w=short_s)}))
+              WHEN {l_cnt} >= {long_n} THEN greatest(1, {long_s} - (q.t - {oldest.format(w=long_s)})) END,
+         CASE WHEN {ok} THEN list_append({keep}, q.t) ELSE {keep} END
+  FROM r JOIN q ON q.session_id = r.session_id AND q.rn = r.rn + 1)
+SELECT session_id, request_id, allowed{", CAST(retry_after AS BIGINT) AS retry_after" if retry else ""} FROM r"""
+
+
+oracle("rate_admission", _admission_sql(SHORT_S, SHORT_N, LONG_S, LONG_N), "v_usage")
+
+# T4 (streaming, one state per session) must agree with the batch recursion.
+oracle("stream_admission", _admission_sql(SHORT_S, SHORT_N, LONG_S, LONG_N, retry=False), "v_usage")

@@ -34,6 +34,10 @@ def with_views(body: str, *needed: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n][1]}\n)" for n in order)
+    head = body.lstrip()
+    if head.upper().startswith("WITH RECURSIVE"):
+        # the body's own (recursive) CTEs continue the WITH clause
+        return f"WITH RECURSIVE {ctes},\n{head[len('WITH RECURSIVE'):].lstrip()}"
     return f"WITH {ctes}\n{body}"
 
 

@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from tallyframe.sources.tables import TABLE_NAMES
 from tests.conftest import SF_SMALL
 
-ROWS_ONLY = {"knn_cells", "rate_admission", "stream_admission"}
+ROWS_ONLY = {"knn_cells"}
 
 
 def test_entry_smoke(spark):
