@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.operators import curate, fixtures as fx
-from tallyframe.session import ensure_checkpoint_dir
+from tallyframe.session import scratch_path
 from tallyframe.sources import standins
 from tallyframe.sources.tables import Tables
 
@@ -79,22 +79,27 @@ class Context:
 
     @cached_property
     def dashboard_shared(self) -> DataFrame:
-        """The dashboard materialised once (reliable checkpoint in the shared
-        ``spark.checkpoint.dir``) for queries that read it in many branches."""
-        return self.materialize(self.dashboard)
+        """The dashboard materialised once (a Parquet table in the shared
+        ``spark.checkpoint.dir``) for the many queries downstream of it."""
+        return self.materialize(self.dashboard, "dashboard")
 
     @cached_property
     def fdr_shared(self) -> DataFrame:
         """Per-team difficulty (one row per team), materialised once."""
-        return self.materialize(self.fdr)
+        return self.materialize(self.fdr, "fdr")
 
     @cached_property
     def picks_shared(self) -> DataFrame:
         return curate.transfer_picks(self.dashboard_shared)
 
-    def materialize(self, df: DataFrame) -> DataFrame:
-        ensure_checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+    def materialize(self, df: DataFrame, name: str = "shared") -> DataFrame:
+        """Cut the lineage by writing a Parquet table into the shared
+        checkpoint folder and reading it back: later queries then get column
+        pruning, predicate pushdown and real size statistics (an RDD
+        checkpoint would give none of these)."""
+        path = scratch_path(self.spark, name)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.parquet(path)
 
 
 def flat(df: DataFrame, sep: str = "|") -> DataFrame:
