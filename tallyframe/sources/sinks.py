@@ -59,7 +59,9 @@ def write_if_absent(df: DataFrame, path: str, partition_cols, force: bool = Fals
     if not force:
         have = existing_partitions(df.sparkSession, path, cols)
         have = have.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in cols])
-        todo = df.join(F.broadcast(have), cols, "left_anti") if cols else df
+        # the existing partition keys are a distinct list; Catalyst/AQE choose
+        # broadcast or shuffle from its measured size
+        todo = df.join(have, cols, "left_anti") if cols else df
     write_partitioned(todo, path, cols, mode="overwrite" if force else "append")
     return todo
 
