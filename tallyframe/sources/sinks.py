@@ -56,12 +56,14 @@ def write_if_absent(df: DataFrame, path: str, partition_cols, force: bool = Fals
     partition keys, not on the rows."""
     cols = list(partition_cols)
     todo = df
-    if not force:
+    if not force and cols:
         have = existing_partitions(df.sparkSession, path, cols)
         have = have.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in cols])
-        # the existing partition keys are a distinct list; Catalyst/AQE choose
-        # broadcast or shuffle from its measured size
-        todo = df.join(have, cols, "left_anti") if cols else df
+        # Freeze the partition list (directory metadata, one row per
+        # partition) before writing into the same folder, so the returned
+        # frame does not change once the new partitions exist.
+        frozen = df.sparkSession.createDataFrame(have.collect(), have.schema)
+        todo = df.join(frozen, cols, "left_anti")
     write_partitioned(todo, path, cols, mode="overwrite" if force else "append")
     return todo
 
