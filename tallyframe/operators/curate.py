@@ -226,10 +226,11 @@ def briefing_lists(dash: DataFrame, picks: DataFrame, fdr: DataFrame, teams: Dat
     Every list is an ``orderBy(...).limit(k)`` (TakeOrderedAndProject, a
     map-side top-k); the lists are unioned, never collected.
     """
-    def ranked(df, name, order, k, id_col, detail):
+    def ranked(df, name, order, k, id_col, detail, pos_order=None):
         d = df.orderBy(*order).limit(k)
-        # Position inside the list: a window over at most k rows.
-        w = Window.orderBy(*order)
+        # Position inside the list: a window over at most k rows (O4: the
+        # worst runs are the tail of the ascending list, kept ascending).
+        w = Window.orderBy(*(pos_order or order))
         return d.select(F.lit(name).alias("list"), F.row_number().over(w).alias("pos"),
                         F.col(id_col).cast("bigint").alias("item_id"), detail.alias("detail"))
 
@@ -254,6 +255,7 @@ def briefing_lists(dash: DataFrame, picks: DataFrame, fdr: DataFrame, teams: Dat
         ranked(tf, "best_fixtures", [F.col("f6").asc(), F.col("team_id")], 3, "team_id",
                F.format_string("%.1f", F.col("f6"))),
         ranked(tf, "worst_fixtures", [F.col("f6").desc(), F.col("team_id").desc()], 3, "team_id",
+               pos_order=[F.col("f6").asc(), F.col("team_id").asc()], detail=
                F.format_string("%.1f", F.col("f6"))),
         ranked(rising, "rising_players", [F.col("composite_score").desc(), F.col("src_pos")], 5, "player_id",
                F.format_string("%.1f", F.col("composite_score"))),

@@ -150,7 +150,9 @@ oracle("briefing_lists", "\nUNION ALL\n".join([
     _list("injury_alerts", "v_dashboard", "injury_risk >= 5", "injury_risk DESC, src_pos", 5, "player_id",
           "CAST(injury_risk AS VARCHAR)"),
     _list("best_fixtures", "v_team_fdr", "true", "f6 ASC, team_id", 3, "team_id", "printf('%.1f', f6)"),
-    _list("worst_fixtures", "v_team_fdr", "true", "f6 DESC, team_id DESC", 3, "team_id", "printf('%.1f', f6)"),
+    ("(SELECT 'worst_fixtures' AS list, CAST(row_number() OVER (ORDER BY f6, team_id) AS INTEGER) AS pos, "
+     "CAST(team_id AS BIGINT) AS item_id, printf('%.1f', f6) AS detail "
+     "FROM (SELECT * FROM v_team_fdr ORDER BY f6 DESC, team_id DESC LIMIT 3) w)"),
     _list("rising_players", "v_dashboard", "form_trend = 'improving'", "composite_score DESC, src_pos", 5,
           "player_id", "printf('%.1f', composite_score)"),
     _list("falling_players", "v_dashboard", "form_trend = 'declining'", "composite_score ASC, src_pos", 5,
