@@ -139,3 +139,21 @@ def test_scan_prunes_columns(spark):
     # remaining-gameweek bound reaches the scan as a pushed filter
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in p
     assert "GreaterThanOrEqual(o_orderdate," in p
+
+
+def test_range_count_matches_range_window(spark, skewed):
+    from tallyframe.operators.ranking import range_count_within_key
+    a = range_count_within_key(skewed, ["k"], "o", "id", 25, out="n")
+    w = Window.partitionBy("k").orderBy("o").rangeBetween(-25, 0)
+    b = skewed.select("id", F.count(F.lit(1)).over(w).alias("n"))
+    assert rows(a, "id", "n") == rows(b, "id", "n")
+
+
+def test_grouped_bounded_rank_matches_window(spark):
+    from tallyframe.operators.ranking import min_rank_desc_bounded
+    rnd = random.Random(4)
+    data = [(i, 0 if i % 3 == 0 else rnd.randint(1, 9), float(rnd.randint(0, 300)) / 10) for i in range(4000)]
+    df = spark.createDataFrame(data, "id long, g int, score double")
+    a = min_rank_desc_bounded(df, "score", "r", ["g"])
+    b = df.select("id", F.rank().over(Window.partitionBy("g").orderBy(F.col("score").desc())).alias("r"))
+    assert rows(a, "id", "r") == rows(b, "id", "r")
