@@ -105,10 +105,15 @@ def _ascii_fold_udf(s: pd.Series) -> pd.Series:
 
 def normalise_name(c) -> F.Column:
     """Name key: accents stripped (NFKD, non-ASCII dropped), lower-cased,
-    '-' -> ' ', apostrophes removed, trimmed.  ASCII rows stay in pure
-    expressions; only non-ASCII rows need the Arrow UDF."""
+    '-' -> ' ', apostrophes removed, trimmed.
+
+    Spark evaluates a Python UDF for every row of the batch even inside a
+    CASE, so the UDF is fed NULL for pure-ASCII names: only non-ASCII
+    strings cross into Python (Arrow batches), ASCII names are folded by
+    the JVM expression alone."""
     c = F.col(c) if isinstance(c, str) else c
-    folded = F.when(c.rlike("^[\\x00-\\x7F]*$"), c).otherwise(_ascii_fold_udf(c))
+    is_ascii = c.rlike("^[\\x00-\\x7F]*$")
+    folded = F.when(is_ascii, c).otherwise(_ascii_fold_udf(F.when(~is_ascii, c)))
     return F.trim(F.replace(F.replace(F.lower(folded), F.lit("-"), F.lit(" ")), F.lit("'"), F.lit("")))
 
 
