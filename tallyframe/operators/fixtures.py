@@ -128,6 +128,9 @@ def fixture_swing(grid: DataFrame, span: int = 3, top: int = 3) -> DataFrame:
     each team's mean of the rolling series; the ``top`` easiest teams."""
     w = Window.partitionBy("team_id").orderBy("gameweek").rangeBetween(0, span - 1)
     r = grid.withColumn("roll", F.avg("fdr").over(w))
+    # No swing at all with fewer than ``span`` gameweeks (one-row count).
+    enough = grid.agg((F.count_distinct("gameweek") >= span).alias("_ok"))
+    r = r.crossJoin(F.broadcast(enough)).where("_ok").drop("_ok")
     t = r.groupBy("team_id").agg(F.avg("roll").alias("swing"))
     t = t.select("team_id", F.bround("swing", 4).alias("swing"))
     # orderBy+limit plans TakeOrderedAndProject: a map-side top-k, no

@@ -295,6 +295,7 @@ oracle("fixture_swing", """
 SELECT team_id, round_even(avg(roll), 4) AS swing FROM (
   SELECT team_id, avg(fdr) OVER (PARTITION BY team_id ORDER BY gameweek RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING)
          AS roll FROM v_grid) x
+WHERE (SELECT count(DISTINCT gameweek) FROM v_grid) >= 3
 GROUP BY team_id ORDER BY swing, team_id LIMIT 3""", "v_grid")
 
 # --- history -----------------------------------------------------------------------------------
