@@ -28,7 +28,8 @@ def with_team_names(df: DataFrame, teams: DataFrame, id_col: str, prefix: str) -
 
 
 def remaining_fixtures(fixtures: DataFrame, current_gw: int) -> DataFrame:
-    """Fixtures with a known event after the current gameweek (pushed to the scan)."""
+    """Fixtures with a known event after the current gameweek (callers that
+    derive the event from a date push the equivalent date bound to the scan)."""
     return fixtures.where(F.col("event").isNotNull() & (F.col("event") > F.lit(current_gw)))
 
 
