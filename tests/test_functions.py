@@ -30,3 +30,12 @@ def test_season_label_august_cutover_and_month_key(spark):
     r = df.select(season_label("d").alias("s"), month_key("d").alias("m")).collect()
     assert [x.s for x in r] == ["2024-25", "2025-26", "2099-00"]
     assert [x.m for x in r] == ["2025-07", "2025-08", "2099-12"]
+
+
+def test_cluster_sizing_scales_partitions_with_input():
+    from tallyframe.session import cluster_sizing
+    small = cluster_sizing(1 << 30, executors=10, cores_per_executor=4)
+    big = cluster_sizing(100 << 40, executors=1000, cores_per_executor=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 80          # two waves of 40 slots
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
