@@ -82,6 +82,13 @@ def containment_join_blocked(names: DataFrame, docs: DataFrame, name_id: str, na
     nm = names.select(F.col(name_id).alias("_nid"), F.lower(F.col(name_col)).alias("_name")) \
               .where(F.length("_name") > 0)
     dl = docs.select(F.col(doc_id).alias("_did"), F.lower(F.col(text_col)).alias("_text"))
+    # Tokenising is the CPU-heavy step: when the text scan yields fewer
+    # splits than the cluster has cores (small inputs, files with few row
+    # groups), spread the texts first.  Large inputs already scan in
+    # thousands of splits and skip this.
+    par = docs.sparkSession.sparkContext.defaultParallelism
+    if dl.rdd.getNumPartitions() < par:
+        dl = dl.repartition(par)
     # (1) Word blocking.  A word strictly inside a name (not its first or
     # last token) is bounded by separators inside the name, so wherever the
     # name occurs it is a complete word of the text too: lossless.
