@@ -190,6 +190,10 @@ def containment_join_automaton(names: DataFrame, docs: DataFrame, name_id: str,
 
     schema = T.StructType([T.StructField(name_id, id_type), T.StructField(doc_id, did_type)])
     d = docs.select(F.col(doc_id).alias("_did"), F.lower(F.col(text_col)).alias("_text"))
+    if not d.isStreaming:
+        par = spark.sparkContext.defaultParallelism
+        if d.rdd.getNumPartitions() < par:  # few splits (small input): spread the scan work
+            d = d.repartition(par)
     return d.mapInPandas(run, schema)
 
 
