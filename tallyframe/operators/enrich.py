@@ -364,4 +364,8 @@ def embed(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[floa
             vecs = fn(s.tolist())
             yield pd.Series([v if v is not None and len(v) == dim else None for v in vecs])
 
+    if not df.isStreaming:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:  # few splits (small input): spread the model work
+            df = df.repartition(par)
     return df.select("*", _emb(F.col(text_col)).alias("embedding"))
