@@ -10,6 +10,7 @@ executor or driver loss cannot double-apply).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -42,7 +43,7 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per
 def run_available_now(writer, name: str) -> None:
     """Process everything that has landed, then stop (bounded test/batch
     mode; on a cluster the same job runs with a processing-time trigger)."""
-    q = writer.trigger(availableNow=True).queryName(name).start()
+    q = writer.trigger(availableNow=True).queryName(f"{name}_{uuid.uuid4().hex[:8]}").start()
     q.awaitTermination()
     if q.exception() is not None:  # pragma: no cover
         raise q.exception()
