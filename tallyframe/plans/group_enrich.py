@@ -244,3 +244,21 @@ oracle("embed_batch", f"""
 SELECT doc_id, CAST({EMBED_DIM} AS INTEGER) AS dim,
        CASE WHEN length(text) >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
 FROM documents""")
+
+
+@query("article_counts")
+def _(c: Context):
+    """J5 per entity: how many articles mention each benchmark passage, 0
+    when none (the long-form pairs stay the attachment; a count per entity
+    replaces the product's per-entity list, which is unbounded)."""
+    pairs = enrich.containment_join(c.t.benchmark, c.t.documents, "item_id", "text", "doc_id", "text")
+    n = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("articles"))
+    return c.t.benchmark.select("item_id").join(n, "item_id", "left").select(
+        "item_id", F.coalesce(F.col("articles"), F.lit(0)).cast("bigint").alias("articles"))
+
+
+oracle("article_counts", """
+SELECT b.item_id, CAST(count(d.doc_id) AS BIGINT) AS articles
+FROM benchmark b LEFT JOIN documents d
+  ON length(b.text) > 0 AND strpos(lower(d.text), lower(b.text)) > 0
+GROUP BY b.item_id""")
