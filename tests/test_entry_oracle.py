@@ -67,3 +67,19 @@ def test_stream_admission_equals_batch(spark):
 def test_rows_only_queries_run(spark):
     for n in ["knn_cells"]:
         assert E.queries()[n](spark, SF_SMALL).count() > 0
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2")
+    out = subprocess.run([sys.executable, os.path.join(root, "bench.py"), "fixture_fdr", "team_strength"],
+                         capture_output=True, text=True, env=env, timeout=600, check=True).stdout
+    lines = [x for x in out.splitlines() if x.strip()]
+    assert len(lines) == 1
+    d = json.loads(lines[0])
+    assert {"metric", "value", "unit", "queries", "sf"} <= set(d) and d["unit"] == "sec"
+    assert set(d["queries"]) == {"fixture_fdr", "team_strength"} and d["sf"] == 0.001
