@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import packing, token_files
+from tallyframe.llm import (
+    fingerprint, jaccard_join, line_dedup, mixing, packing, quality_crf, token_files, toxicity_fm)
 from tallyframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,107 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and likenesses."""
+    return fingerprint.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line deduplication, as counts and a digest."""
+    out = line_dedup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op2_line_dedup"] = """
+WITH parts AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
+  FROM documents),
+keyed AS (
+  SELECT doc_id, n, line,
+         trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+  FROM parts),
+repeated AS (
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT k.doc_id, k.n, k.line, r.key IS NOT NULL AND k.doc_id <> r.last_doc AS dropped
+  FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INT)) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@_query
+def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a machine learnt outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity_fm.score(docs, toxicity_fm.train(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and near-duplicate component of every document."""
+    return jaccard_join.linked_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and the verdict on every document."""
+    docs = _table(spark, sf_dir, "documents")
+    field = quality_crf.train_field(docs, _table(spark, sf_dir, "labels"))
+    return quality_crf.quality_measures(docs, field)
+
+
+@_query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         greatest(0.1::DOUBLE, 1.0::DOUBLE - 10.0::DOUBLE
+                  * len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))
+                  / greatest(length(coalesce(text, '')), 1)) AS weight,
+         -ln((('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE
+              + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS drawn
+  FROM documents),
+per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3
+              WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w
+  FROM sized GROUP BY source),
+caps AS (SELECT *, (2 * source_size)::DOUBLE AS cap, (2 * source_size)::DOUBLE / w AS ratio FROM per),
+levels AS (
+  SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM per)::DOUBLE
+             - coalesce(sum(cap) OVER before, 0.0::DOUBLE))
+            / ((SELECT sum(w) FROM per) - coalesce(sum(w) OVER before, 0.0::DOUBLE)) AS level
+  FROM caps
+  WINDOW before AS (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+settled AS (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, level LIMIT 1),
+targets AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT level FROM settled) * w, cap)) AS target FROM levels),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
+ordered AS (
+  SELECT s.doc_id, s.source, s.size, s.weight, p.source_size, p.target, p.epochs,
+         floor(p.target)::BIGINT - p.epochs * p.source_size
+         - coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.drawn / s.weight, s.doc_id, s.size, s.weight
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, weight, source_size, target,
+       CAST(epochs * size + greatest(0, least(size, room)) AS BIGINT) AS taken
+FROM ordered
+"""
+
+
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
