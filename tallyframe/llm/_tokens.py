@@ -14,7 +14,7 @@ import numpy as np
 
 END_ID = 1
 # Chunks kept by one Python worker; beyond it the table starts anew.
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 700_000
 _SLICE_CHARS = 1 << 22
 # How the tokenizer cuts a lower-case ASCII chunk: fixed by its file.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")

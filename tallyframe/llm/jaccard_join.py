@@ -41,7 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm._text import digest64, mix64, runs, shingle_sets, text_column
@@ -247,6 +247,19 @@ def linked_documents(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """The document with the smallest ``doc_id`` of each component, with all
+    columns.  Rows alike in ``doc_id`` and text stay once; a null ``doc_id``
+    counts as the largest."""
+    found = linked_documents(docs, shingle_words)
+    kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select(F.col("doc_id").alias("_jj_id")).distinct())
+    number = Window.partitionBy("doc_id", "_jj_text").orderBy(F.lit(0))
+    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_jj_id")), "left_semi")
+            .withColumn("_jj_text", F.xxhash64("text")).withColumn("_jj_n", F.row_number().over(number))
+            .where("_jj_n = 1").select(docs.columns))
+
+
 def _admissible(pairs: DataFrame) -> DataFrame:
     """Distinct pairs in one order whose sizes can reach the threshold."""
     ok = (F.col("a") != F.col("b")) & (DEN * F.least("an", "bn") >= NUM * F.greatest("an", "bn"))

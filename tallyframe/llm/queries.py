@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import (
-    fingerprint, jaccard_join, line_dedup, mixing, packing, quality_crf, token_files, toxicity_fm)
+    fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, quality_crf, token_files, toxicity_fm,
+    url_filter)
 from tallyframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,12 +128,24 @@ FROM ordered
 """
 
 
+@_query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices found in all documents, with coverage and spans."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written, read back and digested."""

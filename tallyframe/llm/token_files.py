@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm._text import text_column
+from tallyframe.llm._text import runs, text_column
 from tallyframe.llm._tokens import encoder
 
 ROW_GROUP_BYTES = 32 << 20
@@ -59,14 +59,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         no = TaskContext.get().partitionId()
         at = 0
         for b in batches:
-            ids, off = encoder(tokenizer).encode(text_column(b).to_pylist())
-            n = np.diff(off)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.view(np.int32))),
-                 pa.array(n), pa.array(at + off[:-1]), pa.array(np.full(b.num_rows, no, np.int32)),
-                 *[b.column(c) for c in keep]],
-                [*_OWN, *keep])
-            at += int(off[-1])
+            col = text_column(b)
+            for lo, hi in runs(col):  # small results: few ids are held at a time
+                ids, off = encoder(tokenizer).encode(col.slice(lo, hi - lo).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(lo, hi - lo),
+                     pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.view(np.int32))),
+                     pa.array(np.diff(off)), pa.array(at + off[:-1]), pa.array(np.full(hi - lo, no, np.int32)),
+                     *[b.column(c).slice(lo, hi - lo) for c in keep]],
+                    [*_OWN, *keep])
+                at += int(off[-1])
 
     (ordered.mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, local_start long, file_no int" + kept_schema)
      .write.mode("errorifexists")
