@@ -2,23 +2,59 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
 writes each result as Parquet into the session's shared folder and rereads it
-as the next stage's documents.
+as the next stage's documents.  Every stage works on all that its predecessor
+kept, and all but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import packing
+from tallyframe.llm import jaccard_join, line_dedup, mixing, packing, quality_crf
 from tallyframe.session import scratch_path
 
 
+def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``n_chars``, where there is one, follows a changed text."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules and the line labelling."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_crf.filter_quality(docs, quality_crf.train_field(docs, labels))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many of them share."""
+    return _with_length(line_dedup.drop_lines(docs), docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, the last of a source in part."""
+    return _with_length(mixing.take_documents(docs, mixing.mix(docs)), docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in training sequences (last stage)."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("packing", pack_sequences),
+]
 
 # The line labelling and the tokenizer cannot be stated in SQL.
 ORACLE_SQL = None
