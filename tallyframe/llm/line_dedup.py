@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.llm._text import text_column
 from tallyframe.session import scratch_path
@@ -150,7 +151,8 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     lost = dropped_keys(docs, min_chars, min_docs, batches, fanout).select(
         F.col("doc_id").alias("_ld_id"), F.col("keys").alias("_ld_keys"))
     joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left").drop("_ld_id")
-    schema = docs.schema.add("_ld_lines", "long").add("_ld_dropped", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_ld_lines", T.LongType()),
+                           T.StructField("_ld_dropped", T.LongType())])
 
     def task(batches):
         for b in batches:
