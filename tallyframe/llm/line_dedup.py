@@ -127,7 +127,8 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """(``doc_id``, ``keys``): the key hashes whose lines the document loses."""
     spark = docs.sparkSession
     root = scratch_path(spark, "line-dedup")
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)), reverse=True)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(docs.approxQuantile("doc_id", shares, 0.01)), reverse=True) if shares else []
     batch = F.lit(len(cuts))
     for i in reversed(range(len(cuts))):
         batch = F.when(F.col("doc_id") > cuts[i], i).otherwise(batch)
