@@ -27,7 +27,9 @@ def order_stats(df: DataFrame, value: str, index_exprs: dict) -> DataFrame:
     """
     v = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"))
     n = v.agg(F.count(F.lit(1)).alias("_n"))
-    pos = position_within_key(v, [], ["_v"], out="_pos")
+    # Equal values may take any order, so a row number spreads a value that
+    # very many rows hold over several ranges.
+    pos = position_within_key(v.withColumn("_tie", F.monotonically_increasing_id()), [], ["_v", "_tie"], out="_pos")
     idx = n.select(*[e.alias(k) for k, e in index_exprs.items()], "_n")
     j = pos.join(F.broadcast(idx), F.lit(True))  # idx is one row
     aggs = [F.max(F.when(F.col("_pos") == F.col(k), F.col("_v"))).alias(k) for k in index_exprs]
@@ -266,43 +268,32 @@ def head_to_head(pairs: DataFrame, dash: DataFrame) -> DataFrame:
     return j.select("pair_id", "a_id", "b_id", F.inline(F.array(*items)))
 
 
-# The transfer verdict texts, pieces in printing order
-# ({buy}/{sell} are names, {d} score gaps, {fb}/{fs} difficulties, {p} price).
-VERDICT_TEXT = {
-    "upgrade": ["Strong upgrade. ", "{buy}", " scores ", "{d}", " points higher than ", "{sell}",
-                " on the FPL Score index."],
-    "lateral": ["Lateral move. The FPL Score difference is only ", "{d}",
-                " points — consider the fixture run before committing."],
-    "downgrade": ["Downgrade. ", "{buy}", " scores ", "{d}", " points lower — only worthwhile if you are freeing "
-                  "budget for a bigger upgrade elsewhere."],
-    "easier": ["Better fixtures ahead: ", "{buy}", " has an easier next-3 FDR (", "{fb}", " vs ", "{fs}", ")."],
-    "tougher": ["Tougher fixtures ahead: ", "{buy}", " faces harder games in the next 3 (", "{fb}", " vs ", "{fs}",
-                ")."],
-    "budget": ["Frees up £", "{p}", "m in budget."],
-}
-
-
-def _text(key: str, **values) -> F.Column:
-    parts = [values[p[1:-1]] if p.startswith("{") and p.endswith("}") else F.lit(p) for p in VERDICT_TEXT[key]]
-    return F.concat(*parts)
+# The transfer verdict texts.
+VERDICT_UPGRADE = "Strong upgrade. %s scores %.1f points higher than %s on the FPL Score index."
+VERDICT_LATERAL = ("Lateral move. The FPL Score difference is only %.1f points — "
+                   "consider the fixture run before committing.")
+VERDICT_DOWNGRADE = ("Downgrade. %s scores %.1f points lower — only worthwhile if you are freeing budget for a "
+                     "bigger upgrade elsewhere.")
+VERDICT_EASIER = "Better fixtures ahead: %s has an easier next-3 FDR (%.1f vs %.1f)."
+VERDICT_TOUGHER = "Tougher fixtures ahead: %s faces harder games in the next 3 (%.1f vs %.1f)."
+VERDICT_BUDGET = "Frees up £%.1fm in budget."
 
 
 def verdict(sell: str = "s_", buy: str = "b_") -> F.Column:
     """Text verdict for a (sell, buy) pair (rules fixed by the product):
     +-5 score bands, +-0.5 difficulty, price gap > 0.5 frees budget."""
-    f1 = lambda c: F.format_string("%.1f", c)
-    names = {"sell": F.col(f"{sell}web_name"), "buy": F.col(f"{buy}web_name")}
+    buyer, seller = F.col(f"{buy}web_name"), F.col(f"{sell}web_name")
     diff = F.col(f"{buy}composite_score") - F.col(f"{sell}composite_score")
-    head = (F.when(diff > 5, _text("upgrade", d=f1(diff), **names))
-             .when(diff >= -5, _text("lateral", d=f1(F.abs(diff))))
-             .otherwise(_text("downgrade", d=f1(F.abs(diff)), **names)))
+    head = (F.when(diff > 5, F.format_string(VERDICT_UPGRADE, buyer, diff, seller))
+             .when(diff >= -5, F.format_string(VERDICT_LATERAL, F.abs(diff)))
+             .otherwise(F.format_string(VERDICT_DOWNGRADE, buyer, F.abs(diff))))
     fs = F.coalesce(F.col(f"{sell}fdr_next_3"), F.lit(3.0))
     fb = F.coalesce(F.col(f"{buy}fdr_next_3"), F.lit(3.0))
     fdr_d = fs - fb
-    fix = (F.when(fdr_d > 0.5, _text("easier", fb=f1(fb), fs=f1(fs), **names))
-            .when(fdr_d < -0.5, _text("tougher", fb=f1(fb), fs=f1(fs), **names)))
+    fix = (F.when(fdr_d > 0.5, F.format_string(VERDICT_EASIER, buyer, fb, fs))
+            .when(fdr_d < -0.5, F.format_string(VERDICT_TOUGHER, buyer, fb, fs)))
     pdelta = F.col(f"{sell}price") - F.col(f"{buy}price")
-    price = F.when(pdelta > 0.5, _text("budget", p=f1(pdelta)))
+    price = F.when(pdelta > 0.5, F.format_string(VERDICT_BUDGET, pdelta))
     return F.concat_ws(" ", head, fix, price)
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import scratch_path
+
 
 def min_rank_desc_bounded(df: DataFrame, value: str, out: str, group_cols=()) -> DataFrame:
     """Min-rank (ties share the lowest rank) of ``value`` descending, within
@@ -52,26 +54,51 @@ def nth_smallest_bounded(df: DataFrame, value: str, nth_expr, group_cols=()) ->
     return sel.groupBy(*g).agg(F.min(value).alias(value))
 
 
+def _numbered_pieces(df: DataFrame, key_cols, order_cols, num_partitions: int | None) -> DataFrame:
+    """``df`` ranged by (key, order), each row with its piece ``_pid`` and a
+    row number ``_mid`` ascending in that order within the piece.
+
+    The numbered frame is written once to the shared folder.  Everything
+    derived from it reads that one table, so pieces mean the same for rows
+    and for totals: two plans over ``repartitionByRange`` would each sample
+    their own bounds.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = df.repartitionByRange(n, *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
+    t = s.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    path = scratch_path(df.sparkSession, "ranged")
+    t.write.parquet(path)
+    return df.sparkSession.read.schema(t.schema).parquet(path)
+
+
+def _with_piece_totals(rows: DataFrame, totals: DataFrame, key_cols) -> DataFrame:
+    """Join each row to its (piece, key) total; a null key is a key."""
+    small = totals.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_k_{i}") for i, c in enumerate(key_cols)],
+                          *[c for c in totals.columns if c != "_pid" and c not in key_cols])
+    on = F.col("_pid") == F.col("_p")
+    for i, c in enumerate(key_cols):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{i}"))
+    return rows.join(small, on)
+
+
 def position_within_key(df: DataFrame, key_cols, order_cols, out: str = "pos",
                         num_partitions: int | None = None) -> DataFrame:
     """0-based position of every row inside its key group, in ``order_cols``
     order, WITHOUT putting a whole key group into one task.
 
     ``repartitionByRange`` on (key, order) splits even a key holding a third
-    of all rows across many range partitions; each partition is sorted, a
-    small (partition, key) -> (first id, count) table gives every partition
-    its offset inside the key (running sum over <= #partitions rows per
-    key), and the position is offset + local index.  ``row_number`` over
+    of all rows across many range partitions; each partition is sorted and
+    numbered once (``_numbered_pieces``), a small (piece, key) -> (first
+    number, count) table gives every piece its offset inside the key, and
+    the position is offset + local index.  ``row_number`` over
     ``partitionBy(key)`` would sort the hot key in a single task instead.
     """
     key_cols, order_cols = list(key_cols), list(order_cols)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
-    t = s.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    t = _numbered_pieces(df, key_cols, order_cols, num_partitions)
     stats = t.groupBy("_pid", *key_cols).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.select("_pid", *key_cols, "_m0", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    j = t.join(stats, ["_pid", *key_cols], "inner")
+    j = _with_piece_totals(t, stats, key_cols)
     keep = [F.col(f"`{c}`") for c in df.columns]
     return j.select(*keep, (F.col("_off") + F.col("_mid") - F.col("_m0")).alias(out))
 
@@ -82,20 +109,19 @@ def prefix_sum_within_key(df: DataFrame, key_cols, order_cols, value: str, out:
     (inclusive or exclusive of the current row), skew-safe.
 
     Same shape as ``position_within_key``: range partitions split a hot key,
-    a local running sum runs per (partition, key) piece (bounded by the
-    partition size), and a small per-(partition, key) total table supplies
-    each piece's offset.
+    a local running sum runs per (piece, key) (bounded by the partition
+    size), and a small per-(piece, key) total table supplies each piece's
+    offset.
     """
     key_cols, order_cols = list(key_cols), list(order_cols)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = df.repartitionByRange(n, *key_cols, *order_cols).select("*", F.spark_partition_id().alias("_pid"))
-    wl = Window.partitionBy("_pid", *key_cols).orderBy(*order_cols)
+    t = _numbered_pieces(df, key_cols, order_cols, num_partitions)
+    wl = Window.partitionBy("_pid", *key_cols).orderBy("_mid")
     frame = wl.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = t.select("*", F.sum(value).over(frame).alias("_loc"))
     tot = t.groupBy("_pid", *key_cols).agg(F.sum(value).alias("_tot"))
     wo = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_pid", *key_cols, F.sum("_tot").over(wo).alias("_off"))
-    j = local.join(offs, ["_pid", *key_cols], "inner")
+    j = _with_piece_totals(local, offs, key_cols)
     run = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
     keep = [F.col(f"`{c}`") for c in df.columns]
     return j.select(*keep, run.alias(out))

@@ -37,6 +37,24 @@ def test_prefix_sum_matches_window(spark, skewed):
     assert rows(a, "id", "run") == rows(b, "id", "run")
 
 
+def test_position_and_prefix_sum_beyond_the_range_sampler(spark):
+    """Over a million rows, a third of them in one key, some keys null, and a
+    payload column that is kept and read: numbered and summed as by windows."""
+    n = 1_200_000
+    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 != 1, (F.col("id") * 7919) % 997)
+    df = spark.range(n).select("id", key.alias("k"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("o"),
+                               (F.col("id") % 13).alias("v"), F.concat(F.lit("p"), "id").alias("payload"))
+    w = Window.partitionBy("k").orderBy("o", "id")
+    want = df.select("id", (F.row_number().over(w) - 1).alias("want"),
+                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("want_sum"))
+    pos = position_within_key(df, ["k"], ["o", "id"], out="pos")
+    run = prefix_sum_within_key(pos, ["k"], ["o", "id"], "v", "run")
+    got = run.join(want, "id").agg(
+        F.count(F.lit(1)), F.count_if(F.col("pos") == F.col("want")), F.count_if(F.col("run") == F.col("want_sum")),
+        F.count_if(F.col("payload") == F.concat(F.lit("p"), "id"))).first()
+    assert tuple(got) == (n, n, n, n)
+
+
 def test_order_stats_match_sorted_python(spark, skewed):
     vals = sorted(r.v for r in skewed.select("v").collect())
     n = len(vals)
@@ -57,10 +75,32 @@ def test_containment_forms_agree(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     nm = spark.createDataFrame(list(enumerate(names)), "name_id long, name string")
     brute = sorted((i, j) for i, n in enumerate(names) for j, t in enumerate(texts) if n.lower() in t.lower())
-    for f in (enrich.containment_join_broadcast, enrich.containment_join_blocked,
-              enrich.containment_join_automaton):
-        got = rows(f(nm, docs, "name_id", "name", "doc_id", "text"), "name_id", "doc_id")
-        assert got == brute, f.__name__
+    for k in (2, 3, 5):
+        got = rows(enrich.containment_join(nm, docs, "name_id", "name", "doc_id", "text", k=k), "name_id", "doc_id")
+        assert got == brute, k
+    # ids of any type
+    as_text = enrich.containment_join(nm.withColumn("name_id", F.col("name_id").cast("string")),
+                                      docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")),
+                                      "name_id", "name", "doc_id", "text")
+    assert rows(as_text, "name_id", "doc_id") == sorted((str(i), f"d{j}") for i, j in brute)
+
+
+def test_more_than_ten_thousand_names_and_requests(spark):
+    n = 10_001
+    names = spark.range(n).select(F.col("id").alias("name_id"), F.concat(F.lit("name "), "id", F.lit(" end")).alias("name"))
+    docs = spark.createDataFrame([(1, "a name 7 end b name 10000 end"), (2, "name 7 en")], "doc_id long, text string")
+    assert rows(enrich.containment_join(names, docs, "name_id", "name", "doc_id", "text"),
+                "name_id", "doc_id") == [(7, 1), (10000, 1)]
+    players = spark.createDataFrame([(1, "MID", 5.0, 3.0, "A", 9), (2, "DEF", 4.0, 2.0, "B", 8)],
+                                    "player_id long, position string, price double, form double, team_name string, "
+                                    "total_points long")
+    req = spark.range(n).select(F.col("id").alias("request_id"), F.lit("mid").alias("position"),
+                                F.lit(None).cast("double").alias("max_price"), F.lit(None).cast("double").alias("min_form"),
+                                F.lit(None).cast("string").alias("team"), F.lit(1).alias("lim"))
+    assert lookup.criteria_search(players, req).count() == n
+    vec = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float"))
+                                .alias("embedding"))
+    assert lookup.knn_exact(vec, vec.where("vec_id < 3"), 1, "vec_id", "vec_id", "embedding").count() == n
 
 
 def test_knn_cells_recall_against_exact(spark):
