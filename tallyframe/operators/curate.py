@@ -73,33 +73,20 @@ def _reasons(*pairs):
     return F.filter(F.array(*[F.when(cond, txt) for cond, txt in pairs]), lambda x: x.isNotNull())
 
 
-def _num(c):
-    """Python ``str(float)`` for the 1-dp values we print (e.g. 7.0 -> '7.0')."""
-    return F.format_string("%.1f", c)
-
-
-# The recommendation reason texts, as (text before, text after)
-# the printed value, in rule order (sell rules, buy rules, then the extras).
-REASON_TEXT = {
-    "injury_high": ("High injury risk (", "/10)"),
-    "poor_form": ("Poor form (", ")"),
-    "declining": ("Declining form trend", ""),
-    "hard_fixtures": ("Very hard fixtures (FDR ", ")"),
-    "low_score": ("Low FPL score (", ")"),
-    "strong_score": ("Strong FPL score (", ")"),
-    "good_form": ("Good form (", ")"),
-    "improving": ("Improving form trend", ""),
-    "easy_fixtures": ("Favorable fixtures (FDR ", ")"),
-    "fit": ("Minimal injury risk", ""),
-    "value": ("Great value (", " pts/£m)"),
-    "demand": ("High transfer demand (+", ")"),
-    "no_signal": ("FPL score ", " — no strong signals"),
-}
-
-
-def _reason(key: str, value=None):
-    before, after = REASON_TEXT[key]
-    return F.lit(before + after) if value is None else F.concat(F.lit(before), value, F.lit(after))
+# The recommendation reason texts (sell rules, buy rules, extras).
+REASON_INJURY = "High injury risk (%d/10)"
+REASON_POOR_FORM = "Poor form (%.1f)"
+REASON_DECLINING = "Declining form trend"
+REASON_HARD_FIXTURES = "Very hard fixtures (FDR %.1f)"
+REASON_LOW_SCORE = "Low FPL score (%.1f)"
+REASON_STRONG_SCORE = "Strong FPL score (%.1f)"
+REASON_GOOD_FORM = "Good form (%.1f)"
+REASON_IMPROVING = "Improving form trend"
+REASON_EASY_FIXTURES = "Favorable fixtures (FDR %.1f)"
+REASON_FIT = "Minimal injury risk"
+REASON_VALUE = "Great value (%.1f pts/£m)"
+REASON_DEMAND = "High transfer demand (+%s)"
+REASON_NO_SIGNAL = "FPL score %.1f — no strong signals"
 
 
 def classify(dash: DataFrame) -> DataFrame:
@@ -115,29 +102,29 @@ def classify(dash: DataFrame) -> DataFrame:
     one = lambda cond: F.when(cond, 1).otherwise(0)
     inj_hi = inj.isNotNull() & (inj >= 8)
     sell_conds = [
-        (inj_hi, _reason("injury_high", inj.cast("string"))),
-        (form < 2.0, _reason("poor_form", _num(form))),
-        (trend == "declining", _reason("declining")),
-        (fdr.isNotNull() & (fdr >= 4.0), _reason("hard_fixtures", _num(fdr))),
-        (score < 30, _reason("low_score", _num(score))),
+        (inj_hi, F.format_string(REASON_INJURY, inj)),
+        (form < 2.0, F.format_string(REASON_POOR_FORM, form)),
+        (trend == "declining", F.lit(REASON_DECLINING)),
+        (fdr.isNotNull() & (fdr >= 4.0), F.format_string(REASON_HARD_FIXTURES, fdr)),
+        (score < 30, F.format_string(REASON_LOW_SCORE, score)),
     ]
     sell_n = one(inj_hi) * 2 + one(form < 2.0) + one(trend == "declining") \
         + one(fdr.isNotNull() & (fdr >= 4.0)) + one(score < 30)
     buy_conds = [
-        (score >= 65, _reason("strong_score", _num(score))),
-        (form >= 5.0, _reason("good_form", _num(form))),
-        (trend == "improving", _reason("improving")),
-        (fdr.isNotNull() & (fdr <= 2.5), _reason("easy_fixtures", _num(fdr))),
-        (inj.isNotNull() & (inj <= 1), _reason("fit")),
-        (ppm >= 5.0, _reason("value", _num(ppm))),
+        (score >= 65, F.format_string(REASON_STRONG_SCORE, score)),
+        (form >= 5.0, F.format_string(REASON_GOOD_FORM, form)),
+        (trend == "improving", F.lit(REASON_IMPROVING)),
+        (fdr.isNotNull() & (fdr <= 2.5), F.format_string(REASON_EASY_FIXTURES, fdr)),
+        (inj.isNotNull() & (inj <= 1), F.lit(REASON_FIT)),
+        (ppm >= 5.0, F.format_string(REASON_VALUE, ppm)),
     ]
     buy_n = sum((one(c) for c, _ in buy_conds), F.lit(0))
     sell_r = _reasons(*sell_conds)
     buy_r = _reasons(*buy_conds)
-    demand = _reason("demand", F.format_number(net, 0))
+    demand = F.format_string(REASON_DEMAND, F.format_number(net, 0))
     watch_base = F.when(F.size(buy_r) > 0, buy_r).otherwise(sell_r)
     watch_r = F.when(net > 10000, F.concat(watch_base, F.array(demand))).otherwise(watch_base)
-    hold_r = F.when(F.size(sell_r) > 0, sell_r).otherwise(F.array(_reason("no_signal", _num(score))))
+    hold_r = F.when(F.size(sell_r) > 0, sell_r).otherwise(F.array(F.format_string(REASON_NO_SIGNAL, score)))
     is_sell = (sell_n >= 2) | (score < 25)
     is_buy = buy_n >= 3
     is_watch = (buy_n >= 2) | ((score >= 55) & (net > 10000))
