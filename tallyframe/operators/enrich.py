@@ -5,7 +5,6 @@ text, and the injected-function boundaries (enricher / embedder)."""
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.operators.ranking import position_within_key
+from tallyframe.session import scratch_path
 
 # Premier League relevance keywords for the news filter.
 PL_KEYWORDS = [
@@ -23,7 +23,6 @@ PL_KEYWORDS = [
     "nottingham forest", "southampton", "tottenham", "spurs", "west ham", "wolves", "wolverhampton",
 ]
 
-BROADCAST_NAME_LIMIT = 10_000  # names above this go through blocking
 _WORD = r"[\p{L}\p{N}]+"       # a word = a maximal run of letters/digits (lossless word blocking)
 
 
@@ -54,23 +53,11 @@ def _grams(col, n: int):
                                         lambda i: F.substring(col, i, n)))
 
 
-def containment_join_broadcast(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
-                               doc_id: str, text_col: str) -> DataFrame:
-    """J5 for a name list of CHECKED small size: names broadcast, every
-    document row tests ``contains`` against them (BroadcastNestedLoopJoin).
-    Works on a streaming ``docs`` side too (stream-static join)."""
-    n = names.select(F.col(name_id).alias("_nid"), F.lower(F.col(name_col)).alias("_name")) \
-             .where(F.length("_name") > 0)
-    if n.limit(BROADCAST_NAME_LIMIT + 1).count() > BROADCAST_NAME_LIMIT:
-        raise ValueError("name list above the broadcast limit; use containment_join_blocked")
-    d = docs.select(F.col(doc_id).alias("_did"), F.lower(F.col(text_col)).alias("_text"))
-    j = d.join(F.broadcast(n), F.col("_text").contains(F.col("_name")), "inner")
-    return j.select(F.col("_nid").alias(name_id), F.col("_did").alias(doc_id))
-
-
-def containment_join_blocked(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
+def containment_join(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
                              doc_id: str, text_col: str, k: int = 3, freq_sample: float = 0.05) -> DataFrame:
-    """J5 at scale: lossless k-gram blocking, then exact verification.
+    """Pairs (name, text) where the text contains the name, ignoring
+    case: lossless blocking, then exact verification.  One way for any number
+    of names and any id types, batch or micro-batch.
 
     If a name is a substring of a text, every k-gram of the name is a k-gram
     of the text, so joining on ONE chosen gram per name loses nothing.  Each
@@ -81,14 +68,14 @@ def containment_join_blocked(names: DataFrame, docs: DataFrame, name_id: str, na
     """
     nm = names.select(F.col(name_id).alias("_nid"), F.lower(F.col(name_col)).alias("_name")) \
               .where(F.length("_name") > 0)
+    # The names are read by every branch below: made once, in shared storage.
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "names")
+    nm.write.parquet(path)
+    nm = spark.read.schema(nm.schema).parquet(path)
     dl = docs.select(F.col(doc_id).alias("_did"), F.lower(F.col(text_col)).alias("_text"))
-    # Tokenising is the CPU-heavy step: when the text scan yields fewer
-    # splits than the cluster has cores (small inputs, files with few row
-    # groups), spread the texts first.  Large inputs already scan in
-    # thousands of splits and skip this.
-    par = docs.sparkSession.sparkContext.defaultParallelism
-    if dl.rdd.getNumPartitions() < par:
-        dl = dl.repartition(par)
+    # One exchange of the texts by id serves the tokenising (spread over all
+    # tasks, whatever the files' splits) and the verification join.
+    dl = dl.repartition("_did")
     # (1) Word blocking.  A word strictly inside a name (not its first or
     # last token) is bounded by separators inside the name, so wherever the
     # name occurs it is a complete word of the text too: lossless.
@@ -139,78 +126,6 @@ def containment_join_blocked(names: DataFrame, docs: DataFrame, name_id: str, na
     return v.select(F.col("_nid").alias(name_id), F.col("_did").alias(doc_id)).distinct()
 
 
-_AUTOMATA: dict = {}
-
-
-def containment_join_automaton(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
-                               doc_id: str, text_col: str, broadcast_limit: int = BROADCAST_NAME_LIMIT) -> DataFrame:
-    """J5 for a name list of CHECKED small size: one Aho-Corasick automaton
-    over all lower-cased names (built once per Python worker from a
-    broadcast variable), one linear pass over each lower-cased text.  Cost
-    is O(text) per document instead of O(text x names) for a nested loop.
-    Lower-casing stays in the JVM (same semantics as ``contains``)."""
-    import ahocorasick  # noqa: F401 - fail early on the driver if missing
-
-    rows = (names.select(F.col(name_id).alias("i"), F.lower(F.col(name_col)).alias("n"))
-                 .where(F.length("n") > 0).limit(broadcast_limit + 1).collect())
-    if len(rows) > broadcast_limit:
-        raise ValueError("name list above the broadcast limit; use containment_join_blocked")
-    spark = docs.sparkSession
-    bc = spark.sparkContext.broadcast([(r["i"], r["n"]) for r in rows])
-    token = uuid.uuid4().hex  # cache key of this automaton in reused Python workers
-    id_type = names.schema[name_id].dataType
-    did_type = docs.schema[doc_id].dataType
-
-    def run(batches):
-        import ahocorasick as ac
-        auto = _AUTOMATA.get(token)
-        if auto is None:
-            auto = ac.Automaton()
-            groups: dict = {}
-            for i, n in bc.value:
-                groups.setdefault(n, []).append(i)
-            for n, ids in groups.items():
-                auto.add_word(n, ids)
-            if groups:
-                auto.make_automaton()
-            _AUTOMATA.clear()
-            _AUTOMATA[token] = auto
-        for pdf in batches:
-            out_n, out_d = [], []
-            if len(auto):
-                for d, text in zip(pdf["_did"].tolist(), pdf["_text"].tolist()):
-                    if text is None:
-                        continue
-                    seen = set()
-                    for _end, ids in auto.iter(text):
-                        seen.update(ids)
-                    out_n.extend(seen)
-                    out_d.extend([d] * len(seen))
-            yield pd.DataFrame({name_id: pd.Series(out_n, dtype="int64"), doc_id: pd.Series(out_d, dtype="int64")})
-
-    schema = T.StructType([T.StructField(name_id, id_type), T.StructField(doc_id, did_type)])
-    d = docs.select(F.col(doc_id).alias("_did"), F.lower(F.col(text_col)).alias("_text"))
-    if not d.isStreaming:
-        par = spark.sparkContext.defaultParallelism
-        if d.rdd.getNumPartitions() < par:  # few splits (small input): spread the scan work
-            d = d.repartition(par)
-    return d.mapInPandas(run, schema)
-
-
-def containment_join(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
-                     doc_id: str, text_col: str, broadcast_limit: int = BROADCAST_NAME_LIMIT) -> DataFrame:
-    """J5/J9 dispatcher: the name list is shipped to every task only behind
-    a size check (one bounded count of the small side); above the limit the
-    lossless blocked join runs instead."""
-    n = names.where(F.length(F.col(name_col)) > 0).limit(broadcast_limit + 1).count()
-    if n <= broadcast_limit:
-        try:
-            return containment_join_automaton(names, docs, name_id, name_col, doc_id, text_col, broadcast_limit)
-        except ImportError:  # pragma: no cover - automaton library absent
-            return containment_join_broadcast(names, docs, name_id, name_col, doc_id, text_col)
-    return containment_join_blocked(names, docs, name_id, name_col, doc_id, text_col)
-
-
 # --- J7 merge, Q7 contracts, Q8 pass rate ------------------------------------------
 
 def merge_enrichments(base: DataFrame, results: DataFrame, key: str, enrichers, fields: dict) -> DataFrame:
@@ -303,20 +218,29 @@ def batch_payloads(batched: DataFrame, key_cols, line_col: str) -> DataFrame:
 
 # --- P26 profile text -------------------------------------------------------------------
 
+# Fixed value: the profile text, line by line.
+PROFILE_TEXT = (
+    "%s (%s, %s). Price: £%sm. Form: %s.\n"
+    "Points: %s. Goals: %s, Assists: %s.\n"
+    "Summary: %s\n"
+    "Form trend: %s. Injury risk: %s/10.\n"
+    "Fixture difficulty (next 3): %s/5."
+)
+
+
 def profile_text(df: DataFrame) -> F.Column:
-    """Five-line profile template with N/A defaults."""
-    na = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
-    return F.concat_ws(
-        "\n",
-        F.concat(na("web_name"), F.lit(" ("), na("position"), F.lit(", "), na("team_name"), F.lit(")")),
-        F.concat(F.lit("Price: £"), na("price"), F.lit("m | Points: "), na("total_points"),
-                 F.lit(" | Form: "), na("form")),
-        F.concat(F.lit("Goals: "), na("goals_scored"), F.lit(" | Assists: "), na("assists"),
-                 F.lit(" | Minutes: "), na("minutes")),
-        F.concat(F.lit("Trend: "), na("form_trend"), F.lit(" | Injury risk: "), na("injury_risk"),
-                 F.lit(" | Fixture difficulty: "), na("fdr_next_3")),
-        F.concat(F.lit("Summary: "), na("llm_summary")),
-    )
+    """Five-line profile text; a missing name is "Unknown", a missing or
+    empty summary "No summary available", anything else missing "N/A"."""
+    def known(c, default="N/A"):
+        return F.coalesce(F.col(c).cast("string"), F.lit(default))
+
+    def filled(c, default):
+        return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default))
+    return F.format_string(
+        PROFILE_TEXT, known("web_name", "Unknown"), known("position"), known("team_name"), known("price"),
+        known("form"), known("total_points"), known("goals_scored"), known("assists"),
+        filled("llm_summary", "No summary available"), filled("form_trend", "N/A"), known("injury_risk"),
+        known("fdr_next_3"))
 
 
 # --- X2 / X3 injected functions ------------------------------------------------------------
@@ -364,8 +288,4 @@ def embed(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[floa
             vecs = fn(s.tolist())
             yield pd.Series([v if v is not None and len(v) == dim else None for v in vecs])
 
-    if not df.isStreaming:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:  # few splits (small input): spread the model work
-            df = df.repartition(par)
     return df.select("*", _emb(F.col(text_col)).alias("embedding"))

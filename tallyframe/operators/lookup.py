@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from tallyframe.functions.text import any_field_contains
 from tallyframe.operators.enrich import containment_join
 
-MAX_BROADCAST_QUERIES = 10_000   # exact kNN / request lists shipped to every task
-
 
 # --- P18 criteria search ---------------------------------------------------------
 
@@ -20,29 +18,24 @@ def criteria_search(players: DataFrame, requests: DataFrame, order_col: str = "t
     """P18 batch form.  ``requests``: (request_id, position, max_price,
     min_form, team, lim) with nulls meaning "no constraint".
 
-    The request list is small and size-checked, so it is broadcast and the
-    (large) player table is never shuffled for the join: requests naming a
-    position probe a broadcast hash table on position (joining on a
-    four-valued key with a shuffle would put a quarter of all players in
-    one task), position-free requests a broadcast nested loop.  Per request
+    Every request is a query against all players, so the join has no limit
+    on either side and no hint: the planner broadcasts a request list below
+    its size threshold, and pairs blocks of requests with blocks of players
+    beyond it (joining on the four-valued position would put a quarter of
+    all players in one task, so position is a plain condition).  Per request
     the top ``lim`` by points, ties by id -- ``row_number() <= lim``, which
     Catalyst plans as a partial WindowGroupLimit before the shuffle."""
-    if requests.limit(MAX_BROADCAST_QUERIES + 1).count() > MAX_BROADCAST_QUERIES:
-        raise ValueError("too many criteria requests to broadcast; split the request list")
     p = players.select(id_col, "position", "price", "form", "team_name", order_col)
 
     def cond(r):
-        return ((r["max_price"].isNull() | (p["price"] <= r["max_price"]))
+        return ((r["_pos"].isNull() | (r["_pos"] == p["position"]))
+                & (r["max_price"].isNull() | (p["price"] <= r["max_price"]))
                 & (r["min_form"].isNull() | (p["form"] >= r["min_form"]))
                 & (r["team"].isNull() | F.lower(p["team_name"]).contains(F.lower(r["team"]))))
 
-    with_pos = requests.where(F.col("position").isNotNull()).select(
-        "request_id", F.upper("position").alias("_pos"), "max_price", "min_form", "team", "lim")
-    a = p.join(F.broadcast(with_pos), (with_pos["_pos"] == p["position"]) & cond(with_pos), "inner")
-    any_pos = requests.where(F.col("position").isNull())
-    b = p.join(F.broadcast(any_pos), cond(any_pos), "inner")
-    cols = ["request_id", "lim", id_col, order_col]
-    u = a.select(*cols).unionByName(b.select(*cols))
+    r = requests.select("request_id", F.upper("position").alias("_pos"), "max_price", "min_form", "team", "lim")
+    u = p.join(r, cond(r)).select("request_id", "lim", id_col, order_col)
+    cols = u.columns
     w = Window.partitionBy("request_id").orderBy(F.col(order_col).desc(), F.col(id_col).asc())
     r = u.select(*cols, F.row_number().over(w).alias("rank"))
     # A literal bound (the largest requested limit, read from the small
@@ -60,9 +53,8 @@ def name_lookup(players: DataFrame, requests: DataFrame, req_id: str = "request_
     """Best player per requested name (case-insensitive substring), by
     points then id; not-found requests are kept with ``found = false``.
 
-    The containment join is size-checked (broadcast of the request names or
-    lossless word/gram blocking) and the best match is a ``max_by``
-    partial aggregate."""
+    The containment join blocks on words and grams without loss, and the
+    best match is a ``max_by`` partial aggregate."""
     m = containment_join(requests, players, req_id, req_name, id_col, name_col)
     m = m.join(players.select(id_col, order_col), id_col, "inner")
     best = m.groupBy(req_id).agg(
@@ -94,15 +86,13 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int, q_id: str, b_id: str,
     """J11 exact: cosine similarity of every query against every base vector
     (self excluded), top-k per query by (similarity desc, id).
 
-    The query side is the small one and is broadcast behind a size check by
-    the caller; the base side streams; ``row_number() <= k`` is planned as a
-    partial WindowGroupLimit, so each map task ships only k rows per query."""
-    n_q = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
-    if n_q > MAX_BROADCAST_QUERIES:
-        raise ValueError(f"{n_q}+ query vectors: use knn_cells (exact kNN broadcasts the query side)")
+    Every query meets every base vector, with no limit on either side: the
+    planner broadcasts a query side below its size threshold and pairs blocks
+    of both beyond it.  ``row_number() <= k`` is planned as a partial
+    WindowGroupLimit, so each map task ships only k rows per query."""
     q = with_unit_vectors(queries.select(F.col(q_id).alias("_qid"), F.col(vec_col).alias("_qv")), "_qv", "_qu")
     b = with_unit_vectors(base.select(F.col(b_id).alias("_bid"), F.col(vec_col).alias("_bv")), "_bv", "_bu")
-    j = b.join(F.broadcast(q.select("_qid", "_qu")), F.col("_bid") != F.col("_qid"), "inner")
+    j = b.join(q.select("_qid", "_qu"), F.col("_bid") != F.col("_qid"), "inner")
     sim = F.bround(dot(F.col("_qu"), F.col("_bu")), digits)
     s = j.select("_qid", "_bid", sim.alias("similarity"))
     w = Window.partitionBy("_qid").orderBy(F.col("similarity").desc_nulls_last(), F.col("_bid").asc())

@@ -48,14 +48,14 @@ WHERE date > DATE '{AS_OF}' - INTERVAL {WINDOW_DAYS} DAY AND date <= DATE '{AS_O
 
 @query("article_match")
 def _(c: Context):
-    """Benchmark passages contained in documents (size-checked dispatch)."""
+    """Benchmark passages contained in documents."""
     return enrich.containment_join(c.t.benchmark, c.t.documents, "item_id", "text", "doc_id", "text")
 
 
 @query("article_match_blocked")
 def _(c: Context):
-    """J5 at scale: lossless rarest-trigram blocking + exact verification."""
-    return enrich.containment_join_blocked(c.t.benchmark, c.t.documents, "item_id", "text", "doc_id", "text")
+    """The same pairs with blocks on longer grams (four characters)."""
+    return enrich.containment_join(c.t.benchmark, c.t.documents, "item_id", "text", "doc_id", "text", k=4)
 
 
 _MATCH_SQL = """
@@ -192,18 +192,18 @@ def _(c: Context):
     return d.select("player_id", enrich.profile_text(d).alias("profile"))
 
 
-def _na(x):
-    return f"coalesce(CAST({x} AS VARCHAR), 'N/A')"
-
-
-oracle("profile_text", f"""
-SELECT player_id, concat_ws(chr(10),
-  {_na('web_name')} || ' (' || {_na('position')} || ', ' || {_na('team_name')} || ')',
-  'Price: £' || {_na('price')} || 'm | Points: ' || {_na('total_points')} || ' | Form: ' || {_na('form')},
-  'Goals: ' || {_na('goals_scored')} || ' | Assists: ' || {_na('assists')} || ' | Minutes: ' || {_na('minutes')},
-  'Trend: ' || {_na('form_trend')} || ' | Injury risk: ' || {_na('injury_risk')}
-     || ' | Fixture difficulty: ' || {_na('fdr_next_3')},
-  'Summary: ' || {_na('llm_summary')}) AS profile
+oracle("profile_text", """
+SELECT player_id,
+       coalesce(web_name, 'Unknown') || ' (' || coalesce(position, 'N/A') || ', ' || coalesce(team_name, 'N/A')
+       || '). Price: £' || coalesce(CAST(price AS VARCHAR), 'N/A') || 'm. Form: '
+       || coalesce(CAST(form AS VARCHAR), 'N/A') || '.' || chr(10)
+       || 'Points: ' || coalesce(CAST(total_points AS VARCHAR), 'N/A') || '. Goals: '
+       || coalesce(CAST(goals_scored AS VARCHAR), 'N/A') || ', Assists: '
+       || coalesce(CAST(assists AS VARCHAR), 'N/A') || '.' || chr(10)
+       || 'Summary: ' || coalesce(nullif(llm_summary, ''), 'No summary available') || chr(10)
+       || 'Form trend: ' || coalesce(nullif(form_trend, ''), 'N/A') || '. Injury risk: '
+       || coalesce(CAST(injury_risk AS VARCHAR), 'N/A') || '/10.' || chr(10)
+       || 'Fixture difficulty (next 3): ' || coalesce(CAST(fdr_next_3 AS VARCHAR), 'N/A') || '/5.' AS profile
 FROM v_dashboard""", "v_dashboard")
 
 # --- X3 X4 ---------------------------------------------------------------------------------

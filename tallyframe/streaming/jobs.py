@@ -131,30 +131,33 @@ def replace_keys(keys):
     return merge
 
 
+def per_batch_folders(stream: DataFrame, path: str, result: Callable[[DataFrame], DataFrame]):
+    """A writer whose micro-batches overwrite one folder each, named by the
+    batch id: a replayed batch replaces what a failed attempt left."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        result(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return stream.writeStream.foreachBatch(sink)
+
+
 # --- T1 ingest + quarantine ---------------------------------------------------------------------
 
 def ingest_with_quarantine(spark: SparkSession, landing: str, schema: T.StructType, exp, id_col: str,
                            clean_path: str, dlq_path: str, partition_cols, ckpt: str) -> None:
-    """Landing -> clean (append, partitioned) + dead-letter queue, one
-    checked projection per micro-batch; replays skip committed batches."""
-    done = f"{ckpt}/_committed"
+    """Landing -> clean (partitioned) + dead-letter queue, one checked
+    projection per micro-batch.  Both outputs of a batch go to a folder named
+    by its id and overwrite what is there, so a replay after a failure at any
+    point leaves each record once."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        marker = f"{done}/{batch_id}"
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(marker)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(p):
-            return
         checked = quality.record_checks(batch, exp, id_col).persist()
         ok = F.size("errors") == 0
-        checked.where(ok).drop("errors", "warnings").write.mode("append") \
-            .partitionBy(*partition_cols).parquet(clean_path)
+        checked.where(ok).drop("errors", "warnings").write.mode("overwrite") \
+            .partitionBy(*partition_cols).parquet(f"{clean_path}/batch={batch_id}")
         failed = checked.where(~ok)
         failed.select(F.col(id_col), F.to_json(F.struct(*batch.columns)).alias("record"), "errors",
-                      *partition_cols).write.mode("append").partitionBy(*partition_cols).json(dlq_path)
+                      *partition_cols).write.mode("overwrite").partitionBy(*partition_cols) \
+            .json(f"{dlq_path}/batch={batch_id}")
         checked.unpersist()
-        fs.mkdirs(p)
 
     w = stream_files(spark, landing, schema).writeStream.foreachBatch(sink) \
         .option("checkpointLocation", f"{ckpt}/stream")
