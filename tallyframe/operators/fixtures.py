@@ -80,21 +80,24 @@ def fixture_fdr(rows: DataFrame) -> DataFrame:
 
 def upcoming_fixtures(players: DataFrame, fixtures: DataFrame, teams: DataFrame,
                       gameweek: int, window: int = 5) -> DataFrame:
-    """Each player's fixtures with ``gameweek < event <= gameweek+window``.
+    """Each player with their team's fixtures of ``gameweek < event <=
+    gameweek + window``, sorted by (event, kickoff, id).
 
-    Long form (one row per player x fixture), sorted by (event, kickoff, id)
-    at read time; the team-level fixture list is tiny (window x matches per
-    team) and is joined on the equi key team_id.
+    The fixtures are gathered once per team (as many as it plays in the
+    window) and joined to the players as an array: as many rows out as
+    players, whatever the window.  A team without fixtures gives an empty
+    array.
     """
     f = fixtures.where(F.col("event").isNotNull() & (F.col("event") > gameweek)
                        & (F.col("event") <= gameweek + window))
     rows = unpivot_home_away(f)
     rows = with_team_names(rows, teams, "opp_id", "opp_")
-    p = players.select("player_id", "team_id")
-    return p.join(rows, "team_id", "inner").select(
-        "player_id", "team_id", "fixture_id", "gameweek",
-        F.col("opp_name").alias("opponent"), "is_home", F.col("fdr").cast("int").alias("fdr"),
-        "kickoff_time")
+    item = F.struct("gameweek", "kickoff_time", "fixture_id", F.col("opp_name").alias("opponent"), "is_home",
+                    F.col("fdr").cast("int").alias("fdr"))
+    per_team = rows.groupBy("team_id").agg(F.array_sort(F.collect_list(item)).alias("upcoming"))
+    joined = players.select("player_id", "team_id").join(per_team, "team_id", "left")
+    empty = F.array().cast(per_team.schema["upcoming"].dataType)
+    return joined.select("player_id", "team_id", F.coalesce("upcoming", empty).alias("upcoming"))
 
 
 def fixture_grid(rows: DataFrame, teams_df: DataFrame) -> DataFrame:

@@ -562,7 +562,8 @@ CROSS JOIN (SELECT max(gameweek) AS last_processed FROM v_history) h""", "v_fixt
 @query("coverage_stats")
 def _(c: Context):
     """Enrichment and fixture coverage counters in one aggregate."""
-    up = fx.upcoming_fixtures(c.players, c.fixtures_window(5), c.teams, c.gw, 5).select("player_id").distinct()
+    up = fx.upcoming_fixtures(c.players, c.fixtures_window(5), c.teams, c.gw, 5).where(F.size("upcoming") > 0)
+    up = up.select("player_id").distinct()
     p = c.players.join(up.select("player_id", F.lit(True).alias("_fx")), "player_id", "left")
     return p.agg(F.count(F.lit(1)).alias("players"),
                  F.count_if(F.col("summary").isNotNull()).alias("enriched"),

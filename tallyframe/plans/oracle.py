@@ -160,14 +160,17 @@ oracle("briefing_lists", "\nUNION ALL\n".join([
 ]), "v_picks", "v_dashboard", "v_team_fdr")
 
 oracle("upcoming_fixtures", f"""
-SELECT p.player_id, p.team_id, r.fixture_id, r.gameweek,
-       coalesce(o.team_name, 'Team ' || CAST(r.opp_id AS VARCHAR)) AS opponent, r.is_home,
-       CAST(r.fdr AS INTEGER) AS fdr, strftime(r.kickoff_time, '%Y-%m-%d %H:%M:%S.%f') AS kickoff_time
-FROM v_players p JOIN (
-  SELECT fixture_id, event AS gameweek, kickoff_time, team_h AS team_id, team_a AS opp_id, true AS is_home,
-         coalesce(team_h_difficulty, 3) AS fdr FROM v_fixtures WHERE event > {GW} AND event <= {GW + 5}
-  UNION ALL
-  SELECT fixture_id, event AS gameweek, kickoff_time, team_a AS team_id, team_h AS opp_id, false AS is_home,
-         coalesce(team_a_difficulty, 3) AS fdr FROM v_fixtures WHERE event > {GW} AND event <= {GW + 5}
-) r ON p.team_id = r.team_id
-LEFT JOIN v_teams o ON r.opp_id = o.team_id""", "v_players", "v_fixtures", "v_teams")
+SELECT p.player_id, p.team_id, coalesce(t.n, 0) AS n_fixtures, coalesce(t.shown, '') AS upcoming
+FROM v_players p LEFT JOIN (
+  SELECT r.team_id, CAST(count(*) AS BIGINT) AS n,
+         string_agg(r.gameweek || '|' || r.fixture_id || '|' || coalesce(o.team_name, 'Team ' || r.opp_id) || '|'
+                    || r.side || '|' || CAST(r.fdr AS INTEGER), ';'
+                    ORDER BY r.gameweek, r.kickoff_time NULLS FIRST, r.fixture_id) AS shown
+  FROM (
+    SELECT fixture_id, event AS gameweek, kickoff_time, team_h AS team_id, team_a AS opp_id, 'H' AS side,
+           coalesce(team_h_difficulty, 3) AS fdr FROM v_fixtures WHERE event > {GW} AND event <= {GW + 5}
+    UNION ALL
+    SELECT fixture_id, event AS gameweek, kickoff_time, team_a AS team_id, team_h AS opp_id, 'A' AS side,
+           coalesce(team_a_difficulty, 3) AS fdr FROM v_fixtures WHERE event > {GW} AND event <= {GW + 5}
+  ) r LEFT JOIN v_teams o ON r.opp_id = o.team_id GROUP BY r.team_id) t
+ON p.team_id = t.team_id""", "v_players", "v_fixtures", "v_teams")

@@ -47,11 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is always read from
-    the session.  Only when it is unset (unit tests, a laptop) do we set a
-    private folder of our own.
+    the session.  Only when it is unset in a local session (unit tests, a
+    laptop) do we set a private folder of our own; on a cluster, where other
+    machines could not read it, that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share (master is {master})")
         d = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
