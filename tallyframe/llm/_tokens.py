@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 END_ID = 1
-# Chunks kept by one Python worker; beyond it the table starts anew.
+# Chunks kept by one Python worker; beyond it those met once or twice go.
 CACHE_CHUNKS = 700_000
 _SLICE_CHARS = 1 << 22
 # How the tokenizer cuts a lower-case ASCII chunk: fixed by its file.
@@ -45,6 +45,17 @@ class Encoder:
         self._used = 0
         self._lens = np.zeros(1 << 14, np.int64)
         self._starts = np.zeros(1 << 14, np.int64)
+        self._met = np.zeros(1 << 14, np.int32)
+
+    def _thin_out(self, room: int) -> None:
+        """Keep the chunks met most often, so that ``room`` more fit."""
+        words = list(self._at)
+        often = np.flatnonzero(self._met[:len(words)] > 2)
+        if len(often) + room > self._max:
+            return self._clear()
+        ids, lens = self._gather(often)
+        self._clear()
+        self._put([words[i] for i in often.tolist()], lens, ids)
 
     def _grow(self, n_ids: int, n_words: int) -> None:
         if self._used + n_ids > len(self._ids):
@@ -52,6 +63,7 @@ class Encoder:
         if len(self._at) + n_words > len(self._lens):
             n = 2 * (len(self._at) + n_words)
             self._lens, self._starts = np.resize(self._lens, n), np.resize(self._starts, n)
+            self._met = np.concatenate([self._met, np.zeros(n - len(self._met), np.int32)])
 
     def _put(self, words: list[str], lens: np.ndarray, ids: np.ndarray) -> None:
         self._grow(len(ids), len(words))
@@ -130,8 +142,8 @@ class Encoder:
         new = set().union(*chunks) - self._at.keys()
         if new:
             if len(self._at) + len(new) > self._max:
-                self._clear()
-                new = set().union(*chunks)
+                self._thin_out(len(new))
+                new = set().union(*chunks) - self._at.keys()
             self._learn(new)
         # The end id closes each text: as a chunk of its own, the empty one.
         if "" not in self._at:
@@ -146,6 +158,7 @@ class Encoder:
             which[at] = end
             close.append(at)
             at += 1
+        self._met[:len(self._at)] += np.bincount(which, minlength=len(self._at)).astype(np.int32)
         ids, lens = self._gather(which)
         return ids, np.diff(np.cumsum(lens)[np.asarray(close, np.int64)], prepend=0)
 

@@ -22,11 +22,14 @@ tokens is needed.
 From the index to links, without all pairs of a list:
 
 1. every node of an index list is paired with the list's head (its smallest
-   node) and with the node before it by size; pairs are verified on the whole
-   sets, and verified links are joined to components;
+   node) and with the node before it by size; pairs are verified, and
+   verified links are joined to components;
 2. lists whose nodes fall into more than one component give all their pairs
    across components of admissible sizes, which are verified too.
 
+Verifying drops the pairs whose token bitmaps already rule out the threshold
+(an exact upper bound on the overlap) and compares the whole sets of the rest.
+
 After step 2 every candidate pair is verified or lies within a component, so
 components are exact; copies and near-copies are never expanded to all pairs.
 
@@ -83,6 +86,15 @@ def prefix_signatures(s: np.ndarray, frequent: np.ndarray, num: int = NUM, den:
     return np.concatenate(out)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's tokens over a power of two of at least two bits a
+    token, as 64-bit words.  Two sets' bitmaps differ in at most as many bits
+    as the sets differ in tokens; the larger one folds to the smaller's size."""
+    bits = max(256, 1 << (2 * len(s) - 1).bit_length())
+    count = np.bincount((mix64(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def node_key(s: np.ndarray) -> int:
     """Identity of a set: a digest of its hashes (their number included)."""
     return digest64(len(s).to_bytes(8, "little"), s.tobytes())
@@ -91,7 +103,8 @@ def node_key(s: np.ndarray) -> int:
 def _describe(shingle_words: int):
     """Rows of documents (``kind`` 0: id, size, key) and of tokens that repeat
     within the task (``kind`` 1: token, count)."""
-    names = ["kind", "doc_id", "n_shingles", "key", "token", "seen"]
+    names = ["kind", "doc_id", "n_shingles", "key", "bits", "token", "seen"]
+    words = pa.list_(pa.int64())
 
     def task(batches):
         held, size, known = [], 0, set()
@@ -102,7 +115,7 @@ def _describe(shingle_words: int):
             k = len(h)
             return pa.RecordBatch.from_arrays([
                 pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                pa.nulls(k, pa.int64()), pa.array(h.view(np.int64)), pa.array(c)], names)
+                pa.nulls(k, pa.int64()), pa.nulls(k, words), pa.array(h.view(np.int64)), pa.array(c)], names)
 
         for b in batches:
             col = text_column(b)
@@ -113,7 +126,7 @@ def _describe(shingle_words: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.zeros(k, np.int8)), b.column("doc_id").slice(lo, k),
                     pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
-                    pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+                    pa.array([bitmap(s) if len(s) else None for s in sets], words), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
                 for s, key in zip(sets, keys):
                     if key is not None and key not in known:  # copies count once
                         known.add(key)
@@ -125,7 +138,8 @@ def _describe(shingle_words: int):
         if held:
             yield counted()
 
-    return task, "kind byte, doc_id long, n_shingles long, key long, token long, seen long"
+    return task, ("kind byte, doc_id long, n_shingles long, key long, bits array<long>, "
+                  "token long, seen long")
 
 
 def _postings(frequent: np.ndarray, shingle_words: int):
@@ -212,14 +226,11 @@ def linked_documents(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
         F.struct(F.col("prev").alias("k"), F.col("prev_n").alias("n")))).alias("to"))
     pairs = _admissible(near.select(F.col("key").alias("a"), F.col("n").alias("an"),
                                     F.col("to.k").alias("b"), F.col("to.n").alias("bn")))
-    # Sets of the nodes in some index list, by one document of each.
-    nodes = shared.select("key").distinct()
-    chosen = (rows.where("key is not null").join(nodes, "key", "left_semi")
-              .groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    sets = stored(texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-                  .mapInArrow(_set_rows(shingle_words), "key long, tokens array<long>"), "sets")
-
-    links = stored(_verified(stored(pairs, "pairs-1"), sets), "links-1")
+    marks = stored(described.where("kind = 0 and key is not null").groupBy("key")
+                   .agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n"),
+                        F.min("doc_id").alias("doc_id")), "marks")
+    close = stored(_close(stored(pairs, "pairs-1"), marks), "close-1")
+    links = stored(_verified(close, texts, marks, shingle_words), "links-1")
     comp = stored(components(links), "components-1")
 
     # Lists that hold more than one component: pairs across components.
@@ -234,7 +245,8 @@ def linked_documents(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
         F.col("x.key").alias("a"), F.col("x.n").alias("an"), F.col("y.key").alias("b"), F.col("y.n").alias("bn"))
     tried = spark.read.parquet(f"{root}/pairs-1")
     fresh = stored(_admissible(across).join(tried, ["a", "b"], "left_anti"), "pairs-2")
-    more = stored(_verified(fresh, sets), "links-2")
+    close = stored(_close(fresh, marks), "close-2")
+    more = stored(_verified(close, texts, marks, shingle_words), "links-2")
     comp = components(links.union(more))
 
     low = (rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
@@ -281,11 +293,45 @@ def _set_rows(shingle_words: int):
     return task
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets reach the threshold."""
-    one = sets.dropDuplicates(["key"])
-    a = one.select(F.col("key").alias("_a"), F.col("tokens").alias("ta"))
-    b = one.select(F.col("key").alias("_b"), F.col("tokens").alias("tb"))
+def _close(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps leave the threshold possible.
+
+    With d differing bits the sets differ in at least d tokens, so they share
+    at most (an + bn - d) / 2.  The test never rejects a linked pair.
+    """
+    a = marks.select(F.col("key").alias("_a"), F.col("bits").alias("ab"), F.col("n").alias("an"))
+    b = marks.select(F.col("key").alias("_b"), F.col("bits").alias("bb"), F.col("n").alias("bn"))
+
+    def xor(x, y):
+        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def folded(x, y):  # sizes of admissible pairs differ by one power of two at most
+        half = F.size(x) / 2
+        half = half.cast("int")
+        return F.when(F.size(x) > F.size(y), xor(F.slice(x, 1, half), F.slice(x, half + 1, half))).otherwise(x)
+    apart = F.aggregate(xor(folded(F.col("ab"), F.col("bb")), folded(F.col("bb"), F.col("ab"))), F.lit(0),
+                        lambda t, w: t + F.bit_count(w))
+    most = F.col("an") + F.col("bn") - F.col("apart")  # twice the largest possible overlap
+    return (pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
+            .select("a", "b", "an", "bn", apart.alias("apart"))
+            .where((DEN + NUM) * most >= 2 * NUM * (F.col("an") + F.col("bn"))).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, shingle_words: int) -> DataFrame:
+    """The pairs whose whole sets reach the threshold.  Sets are made of one
+    document of each node; a set that is met twice gives the same link twice."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = marks.join(nodes, F.col("key") == F.col("node"), "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+    spark, root = pairs.sparkSession, scratch_path(pairs.sparkSession, "jaccard-sets")
+    # Written first: its size is then known to the planner, which spares the
+    # texts the exchange if the list of ids is short enough to broadcast.
+    chosen.write.parquet(f"{root}/chosen")
+    chosen = spark.read.parquet(f"{root}/chosen")
+    texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(
+        _set_rows(shingle_words), "key long, tokens array<long>").write.parquet(f"{root}/sets")
+    sets = spark.read.parquet(f"{root}/sets")
+    a = sets.select(F.col("key").alias("_a"), F.col("tokens").alias("ta"))
+    b = sets.select(F.col("key").alias("_b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     return (pairs.join(a, F.col("a") == F.col("_a")).drop("_a").join(b, F.col("b") == F.col("_b"))
             .where(DEN * both >= NUM * (F.size("ta") + F.size("tb") - both)).select("a", "b"))
