@@ -24,8 +24,9 @@ From the index to links, without all pairs of a list:
 1. every node of an index list is paired with the list's head (its smallest
    node) and with the node before it by size; pairs are verified, and
    verified links are joined to components;
-2. lists whose nodes fall into more than one component give all their pairs
-   across components of admissible sizes, which are verified too.
+2. lists whose nodes fall into more than one component give their pairs
+   across components, of admissible sizes and with folded bitmaps that leave
+   the threshold possible (tested in the join), which are verified too.
 
 Verifying drops the pairs whose token bitmaps already rule out the threshold
 (an exact upper bound on the overlap) and compares the whole sets of the rest.
@@ -44,7 +45,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm._text import digest64, mix64, runs, shingle_sets, text_column
@@ -55,6 +56,7 @@ NUM, DEN = 75, 100
 FREQUENT_CLASSES = 16
 MAX_FREQUENT = 1 << 18
 MIN_COUNT = 24
+LANES = 8  # words of a folded bitmap
 _COUNT_BLOCK = 2_000_000
 
 
@@ -88,9 +90,9 @@ def prefix_signatures(s: np.ndarray, frequent: np.ndarray, num: int = NUM, den:
 
 def bitmap(s: np.ndarray) -> np.ndarray:
     """Parities of a set's tokens over a power of two of at least two bits a
-    token, as 64-bit words.  Two sets' bitmaps differ in at most as many bits
+    token (and ``LANES`` words), as 64-bit words.  Two sets' bitmaps differ in at most as many bits
     as the sets differ in tokens; the larger one folds to the smaller's size."""
-    bits = max(256, 1 << (2 * len(s) - 1).bit_length())
+    bits = max(64 * LANES, 1 << (2 * len(s) - 1).bit_length())
     count = np.bincount((mix64(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -238,10 +240,14 @@ def linked_documents(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
         "sig", "key", "n", F.coalesce("root", "key").alias("root"))
     labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    left = stored(labelled.join(mixed.select("sig"), "sig", "left_semi"), "mixed")
+    lanes = marks.select(F.col("key").alias("_k"), *[_lane(i).alias(f"lane{i}") for i in range(LANES)])
+    left = stored(labelled.join(mixed.select("sig"), "sig", "left_semi").join(lanes, F.col("key") == F.col("_k"))
+                  .drop("_k"), "mixed")
     x, y = left.alias("x"), left.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.lane{i}").bitwiseXOR(F.col(f"y.lane{i}"))) for i in range(LANES)), F.lit(0))
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root"))
-                    & (DEN * F.least("x.n", "y.n") >= NUM * F.greatest("x.n", "y.n"))).select(
+                    & (DEN * F.least("x.n", "y.n") >= NUM * F.greatest("x.n", "y.n"))
+                    & _possible(F.col("x.n"), F.col("y.n"), apart)).select(
         F.col("x.key").alias("a"), F.col("x.n").alias("an"), F.col("y.key").alias("b"), F.col("y.n").alias("bn"))
     tried = spark.read.parquet(f"{root}/pairs-1")
     fresh = stored(_admissible(across).join(tried, ["a", "b"], "left_anti"), "pairs-2")
@@ -293,6 +299,18 @@ def _set_rows(shingle_words: int):
     return task
 
 
+def _lane(i: int) -> Column:
+    """Word ``i`` of a bitmap folded to ``LANES`` words."""
+    words = F.filter("bits", lambda _, at: at % LANES == i)
+    return F.aggregate(words, F.lit(0).cast("long"), lambda t, w: t.bitwiseXOR(w))
+
+
+def _possible(an: Column, bn: Column, apart: Column) -> Column:
+    """Whether sets whose bitmaps differ in ``apart`` bits can be linked: they
+    share at most (an + bn - apart) / 2 tokens."""
+    return (DEN + NUM) * (an + bn - apart) >= 2 * NUM * (an + bn)
+
+
 def _close(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The pairs whose bitmaps leave the threshold possible.
 
@@ -311,10 +329,9 @@ def _close(pairs: DataFrame, marks: DataFrame) -> DataFrame:
         return F.when(F.size(x) > F.size(y), xor(F.slice(x, 1, half), F.slice(x, half + 1, half))).otherwise(x)
     apart = F.aggregate(xor(folded(F.col("ab"), F.col("bb")), folded(F.col("bb"), F.col("ab"))), F.lit(0),
                         lambda t, w: t + F.bit_count(w))
-    most = F.col("an") + F.col("bn") - F.col("apart")  # twice the largest possible overlap
     return (pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
             .select("a", "b", "an", "bn", apart.alias("apart"))
-            .where((DEN + NUM) * most >= 2 * NUM * (F.col("an") + F.col("bn"))).select("a", "b"))
+            .where(_possible(F.col("an"), F.col("bn"), F.col("apart"))).select("a", "b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, shingle_words: int) -> DataFrame:
