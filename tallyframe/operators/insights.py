@@ -151,11 +151,20 @@ def quadrants(teams: DataFrame, med: DataFrame) -> DataFrame:
 
 # --- history views --------------------------------------------------------------------------
 
-def movers(history: DataFrame, first_gw, last_gw, k: int = 5) -> DataFrame:
-    """J13+O9: first-vs-last gameweek delta without a self-join (one
-    aggregate with conditional ``max``), players missing either end dropped;
-    the top-k risers and fallers."""
-    g = history.where(F.col("gameweek").isin(first_gw, last_gw)).groupBy("player_id").agg(
+def of_season(history: DataFrame, season: str | None) -> DataFrame:
+    """The rows of one season; the latest one when none is named (a one-row
+    aggregate is broadcast)."""
+    if season is not None:
+        return history.where(F.col("season") == season)
+    latest = history.agg(F.max("season").alias("_season"))
+    return history.join(F.broadcast(latest), F.col("season") == F.col("_season"), "left_semi")
+
+
+def movers(history: DataFrame, first_gw, last_gw, k: int = 5, season: str | None = None) -> DataFrame:
+    """J13+O9: first-vs-last gameweek delta within a season without a
+    self-join (one aggregate with conditional ``max``), players missing either
+    end dropped; the top-k risers and fallers."""
+    g = of_season(history, season).where(F.col("gameweek").isin(first_gw, last_gw)).groupBy("player_id").agg(
         F.max(F.when(F.col("gameweek") == first_gw, F.col("composite_score"))).alias("_f"),
         F.max(F.when(F.col("gameweek") == last_gw, F.col("composite_score"))).alias("_l"))
     d = g.where(F.col("_f").isNotNull() & F.col("_l").isNotNull()) \
@@ -175,23 +184,26 @@ def last_n(history: DataFrame, n: int = 10) -> DataFrame:
     return g.select("season", "player_id", F.col("_a").getField("composite_score").alias("last_scores"))
 
 
-def score_series(history: DataFrame, players: DataFrame, gw_lo: int, gw_hi: int) -> DataFrame:
-    """Dense (player x gameweek) series, missing -> 0.  The spine is an
-    ``explode(sequence)`` per selected player, joined to the history."""
+def score_series(history: DataFrame, players: DataFrame, gw_lo: int, gw_hi: int,
+                 season: str | None = None) -> DataFrame:
+    """Dense (player x gameweek) series of a season, missing -> 0.  The
+    spine is an ``explode(sequence)`` per selected player, joined to the
+    history."""
     spine = players.select("player_id", F.explode(F.sequence(F.lit(gw_lo), F.lit(gw_hi))).alias("gameweek"))
-    h = history.select("player_id", "gameweek", "composite_score")
+    h = of_season(history, season).select("player_id", "gameweek", "composite_score")
     return spine.join(h, ["player_id", "gameweek"], "left").select(
         "player_id", "gameweek", F.coalesce(F.col("composite_score"), F.lit(0.0)).alias("composite_score"))
 
 
-def momentum_matrix(history: DataFrame, latest_gw: int, gws, top: int = 50) -> DataFrame:
-    """Top players by latest rank x gameweek scores, pivoted with an
-    explicit value list (no extra job to discover the columns)."""
+def momentum_matrix(history: DataFrame, latest_gw: int, gws, top: int = 50, season: str | None = None) -> DataFrame:
+    """Top players of a season by latest rank x gameweek scores, pivoted
+    with an explicit value list (no extra job to discover the columns)."""
+    history = of_season(history, season)
     topn = (history.where(F.col("gameweek") == latest_gw)
                    .orderBy(F.col("composite_rank").asc(), F.col("player_id").asc()).limit(top)
                    .select("player_id"))
     h = history.join(topn, "player_id", "left_semi")
-    return h.groupBy("player_id").pivot("gameweek", list(gws)).agg(F.first("composite_score"))
+    return h.groupBy("player_id").pivot("gameweek", list(gws)).agg(F.max("composite_score"))
 
 
 # --- P30 P31 P32 ----------------------------------------------------------------------------

@@ -5,6 +5,7 @@ storage on a cluster)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,13 @@ def read_partitioned(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def existing_partitions(spark: SparkSession, path: str, partition_cols) -> DataFrame:
     """Partition values already present (the listing comes from the
-    file index; only the partition columns are read)."""
+    file index; only the partition columns are read).  A missing folder means
+    no table yet; any other failure to read is raised."""
     try:
         return read_partitioned(spark, path).select(*partition_cols).distinct()
-    except Exception:  # noqa: BLE001 - no table yet
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         schema = ", ".join(f"{c} string" for c in partition_cols)
         return spark.createDataFrame([], schema)
 
