@@ -272,6 +272,63 @@ def test_changed_notices_and_spans(make_docs):
         ls.Index({"x": "two words"})
 
 
+CC = "This work is licensed under a Creative Commons Attribution{} International License."
+GNU = "This work is licensed under the GNU {}."
+
+
+NAMED = [
+    ("Released under an MIT License.", ["MIT"]), ("Released the MIT License", ["MIT"]),
+    ("Released under the new MIT License.", ["MIT"]), ("Released under the MIT and Apache License", ["MIT"]),
+    ("Released under the BSD License.", []), ("Released under the foo License.", []),
+    ("Licensed under the Apache License, Version 1.1", ["Apache-1.1"]),
+    ("Licensed under the Apache License, Version 2", ["Apache-2.0"]),
+    ("Licensed under the Apache License, v2.0", ["Apache-2.0"]),
+    ("Licensed under the Apache License, Version 2.0.1", []),
+    (GNU.format("General Public License, version 2"), ["GPL-2.0"]),
+    (GNU.format("General Public License, version 2.0"), ["GPL-2.0"]),
+    (GNU.format("General Public License, version 3"), ["GPL-3.0"]),
+    (GNU.format("General Public Licence, version 3 (or later)"), ["GPL-3.0"]),
+    (GNU.format("General Public License, version 7"), []),
+    (GNU.format("Lesser General Public License, version 2.1"), ["LGPL-2.1"]),
+    (GNU.format("Lesser General Public License, version 3"), ["LGPL-3.0"]),
+    (GNU.format("Affero General Public License, version 3"), ["AGPL-3.0"]),
+    (GNU.format("Free Documentation License, version 1.3"), ["GFDL-1.3"]),
+    ("This work is licensed under the Mozilla Public License, version 2.0.", []),
+    (CC.format(" 4.0"), ["CC-BY-4.0"]), (CC.format("-NonCommercial 4.0"), ["CC-BY-NC-4.0"]),
+    (CC.format("-NonCommercial-ShareAlike 4.0"), ["CC-BY-NC-SA-4.0"]), (CC.format("-ShareAlike 4.0"), ["CC-BY-SA-4.0"]),
+    (CC.format("-NoDerivatives 4.0"), ["CC-BY-ND-4.0"]), (CC.format("-NoDerivs 4.0"), ["CC-BY-ND-4.0"]),
+    (CC.format("-Non-Commercial 4.0"), ["CC-BY-NC-4.0"]), (CC.format(" 3.0"), ["CC-BY-3.0"]), (CC.format(" 9.0"), []),
+    ("Licensed under CC BY-NC-SA 3.0", ["CC-BY-NC-SA-3.0"]), ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+    (ls.TEMPLATES["GPL-notice"].replace("GNU", "GNU Lesser"), ["LGPL-notice"]),
+    (ls.TEMPLATES["GPL-notice"].replace("GNU", "GNU Affero"), ["AGPL-notice"]),
+    (ls.TEMPLATES["GPL-notice"].replace("program", "library"), ["GPL-notice"]),
+    (ls.TEMPLATES["MIT-permission"].replace("Software", "Library"), ["MIT-permission"])]
+
+
+def test_names_need_their_own_words(make_docs):
+    rows = [(i, f"Version 2 of a page. {t}\nMore by the author, 3 pages.") for i, (t, _) in enumerate(NAMED)]
+    got = {}
+    for r in ls.scan(make_docs(rows).coalesce(2)).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert [(t, got.get(i, [])) for i, (t, _) in enumerate(NAMED)] == NAMED
+
+
+def test_every_text_of_enough_coverage_is_a_candidate():
+    """A quarter of the words lost or replaced, wherever it is, leaves a hit on the diagonal."""
+    r = np.random.default_rng(5)
+    index = ls.Index([*ls.TEMPLATES.items(), *ls.FORMS])
+    for t, w in enumerate(index.words):
+        n = len(w)
+        lost = n - math.ceil(ls.MIN_COVERAGE * n)
+        spread = np.unique(np.round(np.linspace(0, n - 1, lost + 2)[1:-1]).astype(int))
+        for at in [spread, spread[::-1][:lost], *(r.choice(n, lost, replace=False) for _ in range(20))]:
+            x = w.copy()
+            x[at] = np.arange(len(at), dtype=np.uint64)
+            g, first = ls.windows(x, np.zeros(n, np.int64), index.gram)
+            hit, owner, place = index.hits(g)
+            assert ((owner == t) & (first[hit] == place)).any(), index.names[t]
+
+
 def test_alignment_against_full_table():
     r = np.random.default_rng(2)
     for _ in range(60):
