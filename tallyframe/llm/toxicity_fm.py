@@ -11,9 +11,13 @@ sum, such as an insult beside the mention of a group.
 
 Learning: a bounded, repeatable sample of labelled documents outside the
 held-out fold.  The terms with the strongest association with the label
-(log-likelihood gain, at most ``max_terms``) form the hashed vocabulary; the model is
-``max_terms * (factors + 1)`` numbers whatever the corpus size, and is shipped
-to the tasks with the scoring function.  Scoring reads whole texts of all
+(log-likelihood gain, at most ``max_terms``), and those of the pairs with the
+strongest association with what a machine of these leaves unexplained (again
+at most ``max_terms``), form the hashed vocabulary: a term that tells nothing
+alone is learnt if it does together with another.  All pairs of terms with
+enough documents are compared, in blocks.  The model is at most
+``2 * max_terms * (factors + 1)`` numbers whatever the corpus size, and is
+shipped to the tasks with the scoring function.  Scoring reads whole texts of all
 documents in one pass without a shuffle.
 
 Defined cases: null and empty texts have no terms and score the bias alone; a
@@ -33,6 +37,7 @@ from tallyframe.llm._text import LOWER, Words, runs, span_hashes, text_bytes, te
 TRAIN_ROWS = 12_000
 MAX_TERMS = 4_096
 FACTORS = 8
+PAIR_BLOCK = 1_024
 MIN_DOCS = 4
 _BREAK = np.ones(256, bool)
 _BREAK[128:] = False
@@ -77,32 +82,115 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def choose_terms(h: np.ndarray, doc: np.ndarray, y: np.ndarray, max_terms: int, min_docs: int) -> np.ndarray:
-    """The terms most associated with the label: by the log-likelihood gain of
-    their own rate over the common one, and only those whose gain is beyond
-    what the best of as many unrelated terms would show."""
+def distinct_pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (term hash, document) pairs, ascending."""
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
+    return h[new], doc[new]
+
+
+def gains(n: np.ndarray, pos: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log-likelihood gain of the own rate ``pos / n`` over the rate ``p``."""
+    rate = np.clip(pos / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return n * (rate * np.log(rate / p) + (1 - rate) * np.log((1 - rate) / (1 - p)))
+
+
+def choose_terms(h: np.ndarray, doc: np.ndarray, y: np.ndarray, max_terms: int, min_docs: int) -> np.ndarray:
+    """The terms most associated with the label: by the log-likelihood gain of
+    their own rate over the common one, and only those whose gain is beyond
+    what the best of as many unrelated terms would show."""
+    h, doc = distinct_pairs(h, doc)
     known, inv, n = np.unique(h, return_inverse=True, return_counts=True)
     pos = np.bincount(inv, weights=y[doc], minlength=len(known))
-    p = y.mean()
-    rate = np.clip(pos / n, 1e-12, 1 - 1e-12)
-    gain = n * (rate * np.log(rate / p) + (1 - rate) * np.log((1 - rate) / (1 - p)))
+    gain = gains(n, pos, y.mean())
     often = n >= min_docs
     gain[~often] = 0
     best = np.lexsort((known, -gain))[:max_terms]
     return np.sort(known[best[gain[best] > np.log(max(often.sum(), 2))]])
 
 
+def choose_pairs(h: np.ndarray, doc: np.ndarray, y: np.ndarray, p: np.ndarray, max_terms: int,
+                 min_docs: int) -> np.ndarray:
+    """The terms of the pairs most associated with what single terms leave
+    unexplained (``p``: their probability for each document): by the gain of
+    the rate where both occur over the expected one, and only those beyond
+    what the best of as many unrelated pairs would show."""
+    h, doc = distinct_pairs(h, doc)
+    known, inv, n = np.unique(h, return_inverse=True, return_counts=True)
+    often = n >= min_docs
+    limit = np.log(max(often.sum() * (often.sum() - 1) / 2, 2))
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    # No pair can gain more than its positive documents, or all of them as negative ones, allow.
+    each = -np.log(p.min())
+    up = each * np.bincount(inv, weights=y[doc], minlength=len(known))
+    down = np.bincount(inv, weights=-np.log1p(-p)[doc], minlength=len(known))
+    able = np.flatnonzero(often & (np.maximum(up, down) > limit))
+    able = able[np.argsort(-down[able], kind="stable")]  # the rare ones together: few of their pairs are possible
+    down = down[able]
+    place = np.full(len(known), -1)
+    place[able] = np.arange(len(able))
+    # positive documents first
+    rank = np.empty(len(y), np.int64)
+    rank[np.argsort(-y, kind="stable")] = np.arange(len(y))
+    n_pos, p = int(y.sum()), p[np.argsort(-y, kind="stable")].astype(np.float32)
+    at = place[inv]
+    doc, at = rank[doc[at >= 0]], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    doc, at = doc[order], at[order]
+    cut = np.searchsorted(at, np.arange(len(able) + 1))
+
+    def block(lo, hi):
+        out = np.zeros((len(y), hi - lo), np.float32)
+        part = slice(cut[lo], cut[hi])
+        out[doc[part], at[part] - lo] = 1
+        return out
+
+    best = np.zeros(len(able))
+    for lo in range(0, len(able), PAIR_BLOCK):
+        left = block(lo, min(lo + PAIR_BLOCK, len(able)))
+        for low in range(lo, len(able), PAIR_BLOCK):
+            right = left if low == lo else block(low, min(low + PAIR_BLOCK, len(able)))
+            pos = left[:n_pos].T @ right[:n_pos]
+            can = (pos * each > limit) | np.logical_and.outer(
+                down[lo:lo + left.shape[1]] > limit, down[low:low + right.shape[1]] > limit)
+            i, j = np.flatnonzero(can.any(axis=1)), np.flatnonzero(can.any(axis=0))
+            if not len(i):
+                continue
+            some, other, pos = left[:, i], right[:, j], pos[np.ix_(i, j)]
+            both, due = some.T @ other, (some * p[:, None]).T @ other
+            # the gain is at most this chi-square, so few pairs need the logarithms
+            a, z = np.nonzero((both >= min_docs) & ((pos - due) ** 2 * both > 0.99 * limit * due * (both - due)))
+            a, z = (x[i[a] + lo != j[z] + low] for x in (a, z))
+            b = both[a, z].astype(float)
+            gain = gains(b, pos[a, z].astype(float), due[a, z] / b)
+            np.maximum.at(best, i[a] + lo, gain)
+            np.maximum.at(best, j[z] + low, gain)
+    order = np.lexsort((known[able], -best))[:max_terms]
+    return known[able[order[best[order] > limit]]]
+
+
 def fit(h: np.ndarray, doc: np.ndarray, y: np.ndarray, max_terms: int = MAX_TERMS, factors: int = FACTORS,
         min_docs: int = MIN_DOCS, epochs: int = 30, rate: float = 0.1, penalty: float = 1e-3,
         batch: int = 256, seed: int = 7) -> Machine:
-    """AdaGrad on the logistic loss over (term hash, document) pairs."""
-    rng = np.random.default_rng(seed)
+    """AdaGrad on the logistic loss over (term hash, document) pairs: with the
+    terms that tell alone, then with those that tell in pairs too."""
     known = choose_terms(h, doc, y, max_terms, min_docs)
+    m = descend(h, doc, y, known, factors, epochs, rate, penalty, batch, seed)
+    # Labels are never as sure as a fitted machine is of its own rows.
+    unsure = min(y.mean(), 1 - y.mean()) / 2
+    p = np.clip(sigmoid(m.margin(*m.active(h, doc), len(y))), unsure, 1 - unsure)
+    paired = np.setdiff1d(choose_pairs(h, doc, y, p, max_terms, min_docs), known)
+    if not len(paired):
+        return m
+    return descend(h, doc, y, np.union1d(known, paired), factors, epochs, rate, penalty, batch, seed)
+
+
+def descend(h, doc, y, known, factors, epochs, rate, penalty, batch, seed) -> Machine:
+    """``fit`` for given terms."""
+    rng = np.random.default_rng(seed)
     m = Machine(known, np.zeros(len(known)), rng.normal(0, 0.01, (len(known), factors)), 0.0)
     d, t = m.active(h, doc)
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -145,6 +146,44 @@ def test_learns_a_pair_that_single_terms_do_not_tell():
     assert m.factor[i] @ m.factor[g] > 0.5
 
 
+def test_learns_a_rare_term_that_tells_only_in_a_pair():
+    """A group in 3% of rows, toxic about as often as all rows, but always beside a partner."""
+    r = random.Random(11)
+    texts, y = [], []
+    for _ in range(5000):
+        a, b = r.random() < 0.03, r.random() < 0.1
+        c = r.random() < (0.03 if a else 0.1)
+        w = [f"f{r.randrange(3000)}" for _ in range(15)] + ["vile"] * c + ["group"] * a + ["partner"] * b
+        texts.append(" ".join(w))
+        y.append(float(a and b or c))
+    h, doc = fm.terms(pa.array(texts, pa.large_string()), 0, len(texts))
+    single = fm.choose_terms(h, doc, np.array(y), fm.MAX_TERMS, fm.MIN_DOCS)
+    assert hashes("vile")[0] in single and not {hashes("group")[0], hashes("partner")[0]} & set(single)
+    m = fm.fit(h, doc, np.array(y), epochs=120)
+    s = {t: fm.sigmoid(m.margin(*m.active(hashes(t), np.zeros(len(hashes(t)), np.int64)), 1))[0]
+         for t in ("f1 f2 group", "f1 f2 partner", "f1 f2", "f1 f2 vile", "f1 f2 group partner")}
+    assert min(s["f1 f2 group partner"], s["f1 f2 vile"]) > 0.5
+    assert max(s["f1 f2 group"], s["f1 f2 partner"], s["f1 f2"]) < 0.5
+
+
+def test_pairs_against_brute_force(monkeypatch):
+    monkeypatch.setattr(fm, "PAIR_BLOCK", 7)
+    r = np.random.default_rng(8)
+    x = r.random((400, 30)) < r.uniform(0.02, 0.6, 30)
+    p = r.uniform(0.05, 0.3, 400)
+    y = (r.random(400) < np.where(x[:, 3] & x[:, 20] | x[:, 5] & x[:, 6], 0.9, p)).astype(float)
+    doc, term = np.nonzero(x)
+    often = x.sum(0) >= 4
+    limit, want = math.log(often.sum() * (often.sum() - 1) / 2), set()
+    for i in range(30):
+        for j in range(i):
+            both = x[:, i] & x[:, j]
+            n = both.sum()
+            if n >= 4 and fm.gains(n, y[both].sum(), p[both].mean()) > limit:
+                want |= {i, j}
+    assert want and set(fm.choose_pairs(term.astype(np.uint64), doc, y, p, 100, 4).tolist()) == want
+
+
 def test_held_out_fold_is_crc32(spark):
     import zlib
     from pyspark.sql import functions as F
