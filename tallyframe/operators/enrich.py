@@ -154,7 +154,7 @@ def validate_output(json_col, schema: T.StructType, checks: Callable[[F.Column],
     return F.when(F.coalesce(ok, F.lit(False)), parsed)
 
 
-# Output contracts of the four enrichers.
+# Output contracts of two of the four enrichers.
 INJURY_SCHEMA = T.StructType([
     T.StructField("risk_score", T.IntegerType()), T.StructField("reasoning", T.StringType()),
     T.StructField("injury_type", T.StringType()), T.StructField("sources", T.ArrayType(T.StringType())),

@@ -97,7 +97,7 @@ MAX_CASES = 10
 
 @query("eval_case_filter")
 def _(c: Context):
-    """Case selection -- explicit ids win over categories, then the
+    """O10, in part: case selection by categories (no explicit ids), then the
     max-cases cap (the cap is the feature); an empty selection is an error."""
     from tallyframe.plans.group_ledger import cases_runs
     cases, _runs = cases_runs(c)
