@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import (
-    fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, quality_crf, token_files, toxicity_fm,
+    byte_bpe, fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, quality_crf, token_files, toxicity_fm,
     url_filter)
 from tallyframe.session import scratch_path
 
@@ -153,3 +153,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path)
     return token_files.token_digests(token_files.read_tokens(spark, path)).select(
         "doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@_query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the byte-level BPE ids of all documents and of the bytes decoded from them."""
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"))
