@@ -25,6 +25,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,11 @@ def model_proto(pieces: list[bytes]) -> bytes:
     return body + _bytes_field(2, trainer) + _bytes_field(3, normalizer)
 
 
+def _chunk(key: str) -> str:
+    """The chunk that a cache key stands for."""
+    return key[:-1] if key[-1] == " " else " " + key
+
+
 class Codec(Encoder):
     """Ids of texts and texts of ids.  The chunk cache is ``Encoder``'s; a key
     without a space stands for the chunk after a space, ``chunk + " "`` for a
@@ -151,21 +157,30 @@ class Codec(Encoder):
             return self._old_pattern.findall(text)
         return self._pattern.findall(text)
 
-    def _learn(self, keys: set[str]) -> None:
-        """Put the ids of new chunks into the cache, in slices."""
-        keys = list(keys)
-        for lo in range(0, len(keys), 20_000):
-            part = keys[lo:lo + 20_000]
-            words = [self.pre_tokens(k[:-1] if k[-1] == " " else " " + k) for k in part]
-            data = [w.encode() for ws in words for w in ws]
-            hard = [i for i, b in enumerate(data) if b not in self._rank]
-            ids = [[self._rank.get(b, 0)] for b in data]
-            for i, x in zip(hard, self._sp.encode([to_letters(data[i]) for i in hard], num_threads=1)):
-                ids[i] = x
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            n = np.fromiter(map(len, words), np.int64, len(words))
-            self._put(part, np.add.reduceat(lens, np.cumsum(n) - n) if len(n) else n,
-                      np.fromiter((x for i in ids for x in i), np.uint32, int(lens.sum())))
+    def _learn(self, keys: Iterable[str]) -> None:
+        """Put the ids of new chunks into the cache: those of their new
+        pre-tokens first, then those of chunks of several."""
+        parts = {k: [k] if k.isalpha() and k.isascii() else self._word_keys(_chunk(k)) for k in keys}
+        words = list({w for ws in parts.values() for w in ws if w not in self._at})
+        for lo in range(0, len(words), 20_000):
+            self._put_words(words[lo:lo + 20_000])
+        parts = {k: ws for k, ws in parts.items() if k not in self._at}
+        if parts:
+            n = np.fromiter(map(len, parts.values()), np.int64, len(parts))
+            ids, lens = self._gather(
+                np.fromiter((self._at[w] for ws in parts.values() for w in ws), np.int64, int(n.sum())))
+            self._put(list(parts), np.add.reduceat(lens, np.cumsum(n) - n), ids)
+
+    def _put_words(self, words: list[str]) -> None:
+        data = [_chunk(w).encode() for w in words]
+        ids = [self._rank.get(b) for b in data]
+        hard = [i for i, x in enumerate(ids) if x is None]
+        ends = np.cumsum([len(data[i]) for i in hard]).tolist()
+        text = to_letters(b"".join(data[i] for i in hard))
+        found = iter(self._sp.encode([text[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends)], num_threads=1))
+        ids = [next(found) if x is None else (x,) for x in ids]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._put(words, lens, np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())))
 
     def _keys(self, text: str) -> list[str]:
         """Cache keys whose chunks, in order, are the text."""
@@ -184,7 +199,7 @@ class Codec(Encoder):
         if max(map(len, out), default=0) > CHUNK_CHARS:
             out = [k for key in out for k in (
                 (key,) if len(key) <= CHUNK_CHARS else
-                self._word_keys(key[:-1] if key[-1] == " " else " " + key))]
+                self._word_keys(_chunk(key)))]
         return out
 
     def _word_keys(self, text: str) -> list[str]:
@@ -208,27 +223,35 @@ class Codec(Encoder):
         """All ids of the texts and each text's offset in them (one more entry
         at the end)."""
         out, counts = [], np.zeros(len(texts) + 1, np.int64)
+        keys: list[str] = []
+        ends: list[tuple[int, int]] = []
         for i, t in enumerate(texts):
             for part in self._segments(t):
-                if part:
-                    ids = self._ids_of(part)
-                    out.append(ids)
-                    counts[i + 1] += len(ids)
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.cumsum(counts)
-
-    def _ids_of(self, text: str) -> np.ndarray:
-        keys = self._keys(text)
+                keys += self._keys(part) if part else ()
+                ends.append((i + 1, len(keys)))
+                if len(keys) > SEGMENT_CHARS // 8:
+                    out.append(self._ids_of(keys, ends, counts))
+                    keys, ends = [], []
+        out.append(self._ids_of(keys, ends, counts))
+        return np.concatenate(out), np.cumsum(counts)
+
+    def _ids_of(self, keys: list[str], ends: list[tuple[int, int]], counts: np.ndarray) -> np.ndarray:
+        """Ids of the chunks; ``ends`` lists texts with the chunks up to their
+        ends, and the ids of each are added to its count."""
         try:
             which = np.fromiter(map(self._at.__getitem__, keys), np.int64, len(keys))
         except KeyError:
             new = {k for k in keys if k not in self._at}
-            if len(self._at) + len(new) > self._max or self._used > 8 * self._max:
-                self._thin_out(len(new))
+            if len(self._at) + 2 * len(new) > self._max or self._used > 8 * self._max:
+                self._thin_out(2 * len(new))
                 new = {k for k in keys if k not in self._at}
             self._learn(new)
             which = np.fromiter(map(self._at.__getitem__, keys), np.int64, len(keys))
         np.add.at(self._met, which, 1)
-        return self._gather(which)[0]
+        ids, lens = self._gather(which)
+        upto = np.concatenate([[0], np.cumsum(lens)])[[0, *[e for _, e in ends]]]
+        np.add.at(counts, [i for i, _ in ends], np.diff(upto))
+        return ids
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids, and each text's offset in them."""
