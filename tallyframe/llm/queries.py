@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import (
-    byte_bpe, fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, quality_crf, token_files, toxicity_fm,
+    byte_bpe, fingerprint, hard_negatives, jaccard_join, license_scan, line_dedup, mixing, packing, quality_crf, token_files, toxicity_fm,
     url_filter)
 from tallyframe.session import scratch_path
 
@@ -159,3 +159,36 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the byte-level BPE ids of all documents and of the bytes decoded from them."""
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among all vectors."""
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS al, b.r AS br, b.vec_id, b.label,
+         CAST(coalesce(list_sum([p[1] * p[2] FOR p IN list_zip(a.c, b.c)]), 0) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT * FROM (
+    SELECT ar, anchor_id, al, vec_id AS positive_id, score AS positive_score,
+           row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST, br) AS place
+    FROM scored WHERE label = al AND br <> ar) WHERE place <= 5),
+neg AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ar, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST, s.br) AS rank
+  FROM pos p JOIN scored s ON s.ar = p.ar AND s.label <> p.al
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM neg WHERE rank <= 10
+"""
