@@ -4,10 +4,13 @@ contracts, and pinned-name presence/absence checks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import word_match  # noqa: F401 - re-exported
+from tallyframe.operators import contracts
+from tallyframe.operators.calls import call_in_batches
+from tallyframe.operators.contracts import checked_json
 from tallyframe.operators.enrich import containment_join
 
 # Fixed value: proper-name pattern used to find names in free text.
@@ -70,12 +73,93 @@ def tool_success(results: DataFrame, map_col: str = "results") -> DataFrame:
                           F.bround(rate, 6).alias("success_rate"))
 
 
-def judge_contract(runs: DataFrame) -> DataFrame:
+# --- keys of tool calls, one fold per run (F-str9, A15) ----------------------------------------
+
+KEY_CHARS = 80
+
+
+def canonical_text(value: Column, depth: int = 4) -> Column:
+    """Readable text of a VARIANT that does not depend on the order of keys:
+    keys sorted at every level, ``{k=v,...}`` and ``[v,...]``; scalars as the
+    product's labels print them (True, False, None).  Levels below ``depth``
+    are printed as JSON, whose keys a VARIANT holds in sorted order."""
+    kind = F.schema_of_variant(value)
+    plain = (F.when(F.is_variant_null(value), "None")
+             .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(value, "$", "string")))
+             .otherwise(F.try_variant_get(value, "$", "string")))
+    if not depth:
+        return plain
+    pairs = F.transform(F.array_sort(F.map_entries(F.transform_values(
+        F.try_variant_get(value, "$", "map<string,variant>"), lambda _, v: canonical_text(v, depth - 1)))),
+        lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: canonical_text(v, depth - 1))
+    return (F.when(kind.startswith("OBJECT<"), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+            .when(kind.startswith("ARRAY<"), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+            .otherwise(plain))
+
+
+def result_key(name: Column, args: Column) -> Column:
+    """F-str9: ``name(k=v,...)`` with sorted arguments, ``name`` without any,
+    ``name#dddd`` (of a digest, the same in every run) beyond 80 characters."""
+    text = F.regexp_replace(canonical_text(args), r"^\{|\}$", "")
+    short = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(10_000))
+    none = args.isNull() | (F.coalesce(text, F.lit("")) == "")
+    return (F.when(none, name).when(F.length(text) > KEY_CHARS, F.concat(name, F.lit("#"), short.cast("string")))
+            .otherwise(F.concat(name, F.lit("("), text, F.lit(")"))))
+
+
+def run_scores(calls: DataFrame, runs: DataFrame) -> DataFrame:
+    """The three scores of every run and its repeated calls.
+
+    ``calls``: ``case_id``, ``seq``, ``name``, ``args`` (JSON text or null),
+    ``error`` (of the call's result).  A call with the key of an earlier one
+    replaces its result.  ``runs``: ``case_id``, ``answered``, ``error``,
+    ``iterations``.  Both aggregates are partial before they are exchanged, so
+    a run with very many calls is no hot group.
+    """
+    keyed = calls.select("case_id", "seq", "error", result_key(
+        F.col("name"), F.try_parse_json("args")).alias("key"))
+    last = keyed.groupBy("case_id", "key").agg(
+        F.count("*").alias("_n"), F.max_by(F.struct("error"), "seq").alias("_last"))
+    fold = last.groupBy("case_id").agg(
+        F.sum("_n").alias("calls"), F.count("*").alias("results"),
+        F.count_if(F.col("_last.error").isNotNull()).alias("failed"))
+    n = F.coalesce("results", F.lit(0))
+    rate = F.when(n > 0, 1.0 - F.col("failed") / n).otherwise(1.0)
+    return runs.join(fold, "case_id", "left").select(
+        "case_id", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), n.cast("long").alias("results"),
+        (F.coalesce("calls", F.lit(0)) - n).cast("long").alias("repeated"),
+        F.when(F.col("answered") & F.col("error").isNull(), 1.0).otherwise(0.0).alias("output_valid"),
+        F.coalesce("iterations", F.lit(0)).cast("double").alias("iterations_used"),
+        F.bround(rate, 4).alias("tool_success_rate"))
+
+
+def judge_runs(runs: DataFrame, judge, fields, batch_size: int = 10) -> DataFrame:
+    """An injected judge over stored runs (``case_id``, ``rubric_size`` and
+    ``fields``), in batches; its answers checked against the verdict contract
+    and by Q11.  ``count_ok`` and ``drift_flag`` are null without a valid
+    verdict, ``error`` says why the judge gave none."""
+    asked = call_in_batches(runs, judge, fields, ["case_id", "rubric_size"], batch_size)
+    checked = checked_json(asked.where("error IS NULL"), "answer", contracts.JUDGE_VERDICT)
+    verdict = F.when(F.col("is_valid"), F.try_parse_json("answer"))
+    scores = F.transform(F.try_variant_get(verdict, "$.scores", "array<variant>"),
+                         lambda x: F.try_variant_get(x, "$.score", "double"))
+    judged = checked.select(
+        "case_id", "error", "is_valid", F.array_join("broken", "|").alias("broken"), "rubric_size",
+        scores.alias("judge_scores"), F.try_variant_get(verdict, "$.overall", "double").alias("judge_overall"))
+    rules = judge_contract(judged, keep=["error", "is_valid", "broken"])
+    failed = asked.where("error IS NOT NULL").select(
+        "case_id", "error", F.lit(False).alias("is_valid"), F.lit("").alias("broken"),
+        F.lit(None).cast("boolean").alias("count_ok"), F.lit(None).cast("boolean").alias("drift_flag"))
+    return rules.select(*failed.columns).unionByName(failed)
+
+
+def judge_contract(runs: DataFrame, keep=()) -> DataFrame:
     """Q11: the verdict must score every rubric bullet; flag an overall that
     drifts more than 0.5 from the mean of the scores."""
     n = F.size("judge_scores")
     mean = F.aggregate("judge_scores", F.lit(0.0), lambda a, x: a + x) / n
-    return runs.select("case_id", (n == F.col("rubric_size")).alias("count_ok"),
+    return runs.select("case_id", *keep, (n == F.col("rubric_size")).alias("count_ok"),
                        F.when(n > 0, F.abs(F.col("judge_overall") - mean) > 0.5).alias("drift_flag"))
 
 
