@@ -31,6 +31,7 @@ ZONE_OFFSETS = {
 # Layouts tried in this order, on text that ends with a numeric offset.
 DATE_LAYOUTS = (
     ("mail", "d MMM yyyy HH:mm:ss Z"), ("mail", "d MMM yy HH:mm:ss Z"), ("mail", "d MMM yyyy HH:mm Z"),
+    ("mail", "d MMM yy HH:mm Z"),
     ("iso", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]Z"), ("iso", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]Z"),
     ("iso", "yyyy-MM-dd'T'HH:mmZ"), ("date", "yyyy-MM-ddZ"), ("date", "d MMM yyyy Z"),
 )
