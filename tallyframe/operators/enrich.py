@@ -8,7 +8,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,8 @@ PL_KEYWORDS = [
     "nottingham forest", "southampton", "tottenham", "spurs", "west ham", "wolves", "wolverhampton",
 ]
 
-_WORD = r"[\p{L}\p{N}]+"       # a word = a maximal run of letters/digits (lossless word blocking)
+_IN, _OUT = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
+_WORD = _IN + "+"       # a word = a maximal run of letters/digits (lossless word blocking)
 
 
 def keyword_pattern(keywords) -> str:
@@ -53,28 +54,51 @@ def _grams(col, n: int):
                                         lambda i: F.substring(col, i, n)))
 
 
-def containment_join(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
-                             doc_id: str, text_col: str, k: int = 3, freq_sample: float = 0.05) -> DataFrame:
-    """Pairs (name, text) where the text contains the name, ignoring
-    case: lossless blocking, then exact verification.  One way for any number
-    of names and any id types, batch or micro-batch.
-
-    If a name is a substring of a text, every k-gram of the name is a k-gram
-    of the text, so joining on ONE chosen gram per name loses nothing.  Each
-    name picks its rarest gram (document frequency), which keeps candidate
-    lists short and spreads hot grams.  Names shorter than k use the whole
-    name as the gram (texts also emit their 1..k-1-grams only for those
-    lengths actually present among the names).
+def _by_grams(needles: DataFrame, hay: DataFrame, k: int) -> DataFrame:
+    """Pairs (``_key``, ``_nid``, ``_name``) whose ``_h`` contains ``_s``, by the
+    rarest k-gram of ``_s`` (all of it when shorter: only the lengths present
+    among the needles are made)."""
+    out = None
+    n = F.length("_s")
+    for m in [r[0] for r in needles.select(F.least(n, F.lit(k))).distinct().collect()]:  # at most k lengths
+        some = needles.where(F.least(n, F.lit(k)) == m)
+        ng = some.select("_nid", "_name", "_s", F.explode(_grams(F.col("_s"), m)).alias("_g"))
+        grams = hay.select("_key", "_h", F.explode(_grams(F.col("_h"), m)).alias("_g")) \
+            .join(ng.select("_g").distinct(), "_g", "left_semi")
+        df = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+        pick = ng.join(df, "_g").groupBy("_nid", "_name", "_s").agg(F.min_by("_g", F.struct("_df", "_g")).alias("_g"))
+        found = grams.join(pick, "_g").where(F.col("_h").contains(F.col("_s"))).select("_key", "_nid", "_name")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def containment_matches(names: DataFrame, docs: DataFrame, entity: str, name: str, text: Column, k: int = 3,
+                        freq_sample: float = 0.05) -> DataFrame:
+    """Rows of ``docs`` (columns of ``docs`` plus ``_entity``) whose text
+    contains a name of the entity, ignoring case: one row per entity and row of
+    ``docs``, whichever and however many of its names occur (OR).  Lossless
+    blocking, then exact verification; one way for any number of names, any
+    ids (null and repeated ones too), batch or micro-batch.
+
+    Names of three words and more meet the texts by an inner word, of two by
+    what stands around their separator, of one by the words that hold it, and
+    others by a character gram; each names ONE key that every text with the
+    name has, the rarest where there is a choice.
+
+    Candidates carry a digest of the whole row in place of its id: rows without
+    an id spread like any other, and a digest that two rows share costs a
+    comparison, not a result, since every row is verified by its own text.
     """
-    nm = names.select(F.col(name_id).alias("_nid"), F.lower(F.col(name_col)).alias("_name")) \
+    nm = names.select(F.col(entity).alias("_nid"), F.lower(F.col(name)).alias("_name")) \
               .where(F.length("_name") > 0)
     # The names are read by every branch below: made once, in shared storage.
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "names")
     nm.write.parquet(path)
     nm = spark.read.schema(nm.schema).parquet(path)
-    dl = docs.select(F.col(doc_id).alias("_did"), F.lower(F.col(text_col)).alias("_text"))
-    # One exchange of the texts by id serves the tokenising (spread over all
-    # tasks, whatever the files' splits) and the verification join.
+    dl = docs.select("*", F.lower(text).alias("_text"))
+    dl = dl.withColumn("_did", F.xxhash64(*[F.col(f"`{c}`") for c in dl.columns]))
+    # One exchange of the texts serves the tokenising (spread over all tasks,
+    # whatever the files' splits) and the verification join.
     dl = dl.repartition("_did")
     # (1) Word blocking.  A word strictly inside a name (not its first or
     # last token) is bounded by separators inside the name, so wherever the
@@ -98,32 +122,87 @@ def containment_join(names: DataFrame, docs: DataFrame, name_id: str, name_col:
                  .groupBy("_nid", "_name")
                  .agg(F.min_by("_g", F.struct(F.coalesce(F.col("_df"), F.lit(0)), F.col("_g"))).alias("_g")))
     cand = dwords.join(pick, "_g", "inner").select("_did", "_nid", "_name")
-    # (2) Names without an interior word: rarest character k-gram (or the
-    # whole name when shorter than k) -- grams of texts are only generated
-    # for these few names' grams.
-    few = nt.where(F.size("_t") < 3).select("_nid", "_name")
-    # Texts are only cut into character grams when such names exist (one
-    # cheap existence probe on the name side per branch).
-    longf = few.where(F.length("_name") >= k)
-    if longf.limit(1).count() > 0:
-        ng = longf.select("_nid", "_name", F.explode(_grams(F.col("_name"), k)).alias("_g"))
-        dgrams = dl.select("_did", F.explode(_grams(F.col("_text"), k)).alias("_g")) \
-                   .join(ng.select("_g").distinct(), "_g", "left_semi")
-        gfreq = dgrams.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-        gpick = (ng.join(gfreq, "_g", "inner")
-                   .groupBy("_nid", "_name").agg(F.min_by("_g", F.struct("_df", "_g")).alias("_g")))
-        cand = cand.unionByName(dgrams.join(gpick, "_g", "inner").select("_did", "_nid", "_name"))
-    short = few.where(F.length("_name") < k)
-    for m in range(1, k):
-        sm = short.where(F.length("_name") == m).select("_nid", "_name", F.col("_name").alias("_g"))
-        if sm.limit(1).count() == 0:
-            continue
-        dm = dl.select("_did", F.explode(_grams(F.col("_text"), m)).alias("_g")).join(
-            sm.select("_g").distinct(), "_g", "left_semi")
-        cand = cand.unionByName(dm.join(sm, "_g", "inner").select("_did", "_nid", "_name"))
-    # (3) Exact verification on the candidate pairs only.
-    v = cand.join(dl, "_did", "inner").where(F.col("_text").contains(F.col("_name")))
-    return v.select(F.col("_nid").alias(name_id), F.col("_did").alias(doc_id)).distinct()
+    # (2) Two words: where "ab cd" occurs, a word of the text ends in "ab" and
+    # the next one, behind the same separators, begins with "cd".  The key is
+    # what stands around the separators, up to k characters on either side;
+    # only the few pairs of side lengths present among the names are made.
+    two = nt.where(F.size("_t") == 2).select(
+        "_nid", "_name", F.least(F.length(F.get("_t", 0)), F.lit(k)).alias("_i"),
+        F.least(F.length(F.get("_t", 1)), F.lit(k)).alias("_j"))
+    for i, j in sorted(two.select("_i", "_j").distinct().collect()):  # at most k * k pairs of lengths
+        around = F.lit(f"(?=({_IN}{{{i}}}{_OUT}+{_IN}{{{j}}}))")
+        want = two.where((F.col("_i") == i) & (F.col("_j") == j)).select(
+            "_nid", "_name", F.regexp_extract("_name", f"({_IN}{{{i}}}{_OUT}+{_IN}{{{j}}})", 1).alias("_g"))
+        have = dl.select("_did", F.explode(F.array_distinct(F.regexp_extract_all("_text", around, 1))).alias("_g"))
+        cand = cand.unionByName(have.join(want, "_g").select("_did", "_nid", "_name"))
+    # (3) One word: it lies inside a word of the text.  Words that hold it are
+    # found once in the vocabulary, which is much smaller than the texts.
+    one = nt.where(F.size("_t") == 1).select("_nid", "_name", F.get("_t", 0).alias("_s"))
+    if not one.isEmpty():
+        hold = _by_grams(one, dwords.select(F.col("_g").alias("_key"), F.col("_g").alias("_h")).distinct(), k)
+        cand = cand.unionByName(dwords.join(hold.withColumnRenamed("_key", "_g"), "_g")
+                                .select("_did", "_nid", "_name"))
+    # (4) No word at all (separators only): character grams of the texts.
+    none = nt.where(F.size("_t") == 0).select("_nid", "_name", F.col("_name").alias("_s"))
+    if not none.isEmpty():
+        cand = cand.unionByName(_by_grams(none, dl.select(F.col("_did").alias("_key"), F.col("_text").alias("_h")), k)
+                                .withColumnRenamed("_key", "_did"))
+    # (5) Exact verification: a row and an entity meet once, with the few
+    # names of the entity that are candidates there.
+    met = cand.groupBy("_did", "_nid").agg(F.collect_set("_name").alias("_names"))
+    v = met.join(dl, "_did", "inner").where(F.exists("_names", lambda n: F.col("_text").contains(n)))
+    return v.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_nid").alias("_entity"))
+
+
+def containment_join(names: DataFrame, docs: DataFrame, name_id: str, name_col: str,
+                     doc_id: str, text_col: str, k: int = 3, freq_sample: float = 0.05) -> DataFrame:
+    """Distinct pairs (name id, document id) where the text contains the
+    name; see ``containment_matches``."""
+    d = docs.select(F.col(doc_id).alias("_doc"), F.col(text_col).alias("_body"))
+    m = containment_matches(names, d, name_id, name_col, F.col("_body"), k, freq_sample)
+    return m.select(F.col("_entity").alias(name_id), F.col("_doc").alias(doc_id)).distinct()
+
+
+def numbered(df: DataFrame, out: str = "_row") -> DataFrame:
+    """``df`` with a number for every row, fixed by writing it once to the
+    shared folder: rows without an id, or with a repeated one, stay apart."""
+    path = scratch_path(df.sparkSession, "numbered")
+    t = df.withColumn(out, F.monotonically_increasing_id())
+    t.write.parquet(path)
+    return df.sparkSession.read.schema(t.schema).parquet(path)
+
+
+def entity_articles(entities: DataFrame, articles: DataFrame, short: str, first: str, second: str,
+                    title: str = "title", summary: str = "summary") -> tuple[DataFrame, DataFrame]:
+    """Articles that mention an entity by its short name OR by its first
+    and second name, in ``title + " " + summary``, ignoring case.
+
+    Returns the numbered entities (``_row``) and the matches in long form: the
+    articles' columns with ``_entity`` = ``_row``, one row per entity and
+    article however many of its names occur.  A missing part counts as empty;
+    a name of blanks alone names nobody.
+    """
+    ent = numbered(entities)
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    both = F.concat(part(first), F.lit(" "), part(second))
+    names = ent.select("_row", F.explode(F.array_distinct(F.array(F.lower(part(short)), F.lower(both)))).alias("_n")) \
+        .where(F.trim("_n") != "")
+    text = F.concat(part(title), F.lit(" "), part(summary))
+    return ent, containment_matches(names, articles, "_row", "_n", text)
+
+
+def attach_articles(entities: DataFrame, matches: DataFrame, order, fields) -> DataFrame:
+    """Every entity with ``news_articles``, the array of its articles'
+    ``fields`` in ``order`` (empty when nothing mentions it).  The array is the
+    product's output; for an entity that a large share of all articles
+    mentions, use the long form that it is made from."""
+    row = F.struct(*order, F.struct(*fields).alias("_article"))
+    lists = matches.groupBy("_entity").agg(F.array_sort(F.collect_list(row)).alias("_l"))
+    article = entities.join(lists, F.col("_row") == F.col("_entity"), "left")
+    found = F.transform("_l", lambda x: x["_article"])
+    return article.withColumn("news_articles", F.coalesce(found, F.filter(F.array(F.struct(
+        *[F.lit(None).cast(matches.schema[f].dataType).alias(f) for f in fields])), lambda x: F.lit(False)))) \
+        .drop("_l", "_entity", "_row")
 
 
 # --- J7 merge, Q7 contracts, Q8 pass rate ------------------------------------------

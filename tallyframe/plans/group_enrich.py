@@ -262,3 +262,58 @@ SELECT b.item_id, CAST(count(d.doc_id) AS BIGINT) AS articles
 FROM benchmark b LEFT JOIN documents d
   ON length(b.text) > 0 AND strpos(lower(d.text), lower(b.text)) > 0
 GROUP BY b.item_id""")
+
+
+# --- J5: news by short or full name --------------------------------------------------------------
+
+view("v_entities", (), r"""
+SELECT CASE WHEN item_id % 13 <> 0 THEN item_id END AS item_id, item_id AS no,
+       CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 7 = 0 THEN ' ' END AS web_name,
+       CASE WHEN item_id % 5 <> 0 THEN w[2] END AS first_name, CASE WHEN item_id % 10 <> 0 THEN w[3] END AS second_name
+FROM (SELECT item_id, text, regexp_extract_all(text, '\p{L}+') AS w FROM benchmark)
+UNION ALL SELECT NULL, -1, 'No Such Name', NULL, ''""")
+view("v_news", (), """
+SELECT CASE WHEN doc_id % 17 <> 0 THEN doc_id END AS doc_id, doc_id AS no, source || ' ' || doc_id AS title,
+       text AS summary, source FROM documents
+UNION ALL
+SELECT CASE WHEN doc_id % 17 <> 0 THEN doc_id END, doc_id, source || ' ' || doc_id, text, source
+FROM documents WHERE doc_id % 20 = 0""")
+
+
+@query("entity_news")
+def _(c: Context):
+    """Articles by short OR full name over title + summary; entities and
+    articles without an id and repeated articles are kept, an entity that no
+    article mentions has an empty array."""
+    k = F.col("item_id")
+    w = F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
+    ent = c.t.benchmark.select(
+        F.when(k % 13 != 0, k).alias("item_id"), k.alias("no"),
+        F.when(k % 3 == 0, F.col("text")).when(k % 7 == 0, " ").alias("web_name"),
+        F.when(k % 5 != 0, F.get(w, 1)).alias("first_name"), F.when(k % 10 != 0, F.get(w, 2)).alias("second_name"))
+    ent = ent.unionByName(c.spark.createDataFrame(
+        [(None, -1, "No Such Name", None, "")], ent.schema))
+    d = c.t.documents
+    news = d.unionByName(d.where(F.col("doc_id") % 20 == 0)).select(
+        F.when(F.col("doc_id") % 17 != 0, F.col("doc_id")).alias("doc_id"),
+        F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("title"),
+        F.col("text").alias("summary"), "source")
+    numbered, matches = enrich.entity_articles(ent, news, "web_name", "first_name", "second_name")
+    e = enrich.attach_articles(numbered, matches, ["title"], ["doc_id", "title", "source"])
+    titles = F.transform("news_articles", lambda x: x["title"])
+    return e.select("item_id", "no", F.size("news_articles").alias("articles"),
+                    F.size(F.filter("news_articles", lambda x: x["doc_id"].isNull())).alias("without_id"),
+                    F.md5(F.array_join(titles, "|")).alias("titles_md5"))
+
+
+oracle("entity_news", """
+SELECT e.item_id, e.no, CAST(count(n.no) AS INTEGER) AS articles,
+       CAST(count(n.no) FILTER (WHERE n.doc_id IS NULL) AS INTEGER) AS without_id,
+       md5(coalesce(string_agg(n.title, '|' ORDER BY n.title), '')) AS titles_md5
+FROM v_entities e LEFT JOIN v_news n
+  ON (trim(coalesce(e.web_name, '')) <> ''
+      AND strpos(lower(n.title || ' ' || coalesce(n.summary, '')), lower(e.web_name)) > 0)
+  OR (trim(coalesce(e.first_name, '') || coalesce(e.second_name, '')) <> ''
+      AND strpos(lower(n.title || ' ' || coalesce(n.summary, '')),
+                 lower(coalesce(e.first_name, '') || ' ' || coalesce(e.second_name, ''))) > 0)
+GROUP BY e.item_id, e.no""", "v_entities", "v_news")
