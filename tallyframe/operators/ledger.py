@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.ranking import prefix_sum_within_key, range_count_within_key
+from tallyframe.operators.ranking import prefix_sum_within_key, idle_pieces, range_count_within_key
 
 # USD per million tokens (input, output).  Two price lists
 # exist in the product: the enrichment report (unknown model -> 0) and the
@@ -104,24 +104,24 @@ def rate_admission(requests: DataFrame, short_s: float = 60, short_n: int = 5,
                    long_s: float = 3600, long_n: int = 20) -> DataFrame:
     """W9 batch form over (session_id, request_id, t seconds).
 
-    Sessions are hash-partitioned and each partition is sorted by
-    (session, t, id); one streaming pass per partition (``mapInPandas``)
-    carries only the current session's state -- at most ``long_n``
-    accepted timestamps -- across Arrow batches.  No session is ever
-    materialised as one group: a session holding a third of all requests
-    is scanned in constant memory (the scan itself is sequential by
-    definition, since a rejection changes every later decision).
+    Sessions are cut where nothing was attempted for more than the long window:
+    whatever was accepted before such a gap is out of both windows after it, so
+    the pieces are independent and exact (``idle_pieces``).  Pieces are
+    hash-partitioned, sorted, and passed once (``mapInPandas``) with at most
+    ``long_n`` accepted timestamps as state, carried across Arrow batches.  A
+    session holding a third of all requests is spread over many tasks; a
+    stretch without a gap is sequential by definition, since a rejection
+    changes every later decision, and is passed in constant memory.
     """
     from collections import deque
 
     def run(batches):
         cur, win = None, deque()
         for pdf in batches:
-            sid = pdf["session_id"].to_numpy()
-            rid = pdf["request_id"].to_numpy()
+            sid, rid = pdf["session_id"], pdf["request_id"].to_numpy()
             ts = pdf["t"].to_numpy(dtype="float64")
             allowed, retry = [], []
-            for s, now in zip(sid, ts):
+            for s, now in zip(zip(sid.where(sid.notna(), None), pdf["_piece"]), ts):
                 if s != cur:
                     cur, win = s, deque()
                 while win and win[0] < now - long_s:
@@ -137,13 +137,13 @@ def rate_admission(requests: DataFrame, short_s: float = 60, short_n: int = 5,
                     win.append(now)
                     allowed.append(True)
                     retry.append(None)
-            yield pd.DataFrame({"session_id": sid, "request_id": rid, "allowed": allowed,
+            yield pd.DataFrame({"session_id": sid.array, "request_id": rid, "allowed": allowed,
                                 "retry_after": pd.array(retry, dtype="Int64")})
 
     schema = "session_id bigint, request_id bigint, allowed boolean, retry_after bigint"
-    r = requests.select("session_id", "request_id", "t")
+    r = idle_pieces(requests.select("session_id", "request_id", "t"), ["session_id"], "t", ["request_id"], long_s)
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (r.repartition(n, "session_id").sortWithinPartitions("session_id", "t", "request_id")
+    return (r.repartition(n, "session_id", "_piece").sortWithinPartitions("session_id", "_piece", "t", "request_id")
              .mapInPandas(run, schema))
 
 

@@ -149,3 +149,28 @@ def range_count_within_key(df: DataFrame, key_cols, ts_col: str, id_col: str, sp
         (F.max(F.when(F.col("_kind") == 2, F.col("_before"))) - F.max(F.when(F.col("_kind") == 0, F.col("_before"))))
         .cast("bigint").alias(out))
     return df.join(probes.withColumnRenamed("_id", id_col), id_col, "inner")
+
+
+def idle_pieces(df: DataFrame, key_cols, ts_col: str, tie_cols, gap, out: str = "_piece") -> DataFrame:
+    """Number (from 1) the stretches of each key that lie more than ``gap``
+    after the row before, WITHOUT putting a key's rows into one task.
+
+    One numbered table by ranges of (key, time); a gap between two of its
+    pieces shows in the small table of each piece's first and last time, all
+    other gaps within a piece.
+    """
+    key_cols = list(key_cols)
+    t = _numbered_pieces(df, key_cols, [ts_col, *tie_cols], None)
+    inside = Window.partitionBy("_pid", *key_cols).orderBy("_mid")
+    new = F.coalesce(F.col(ts_col) - F.lag(ts_col).over(inside) > gap, F.lit(False)).cast("long")
+    local = t.withColumn("_new", new)
+    stats = local.groupBy("_pid", *key_cols).agg(
+        F.min(ts_col).alias("_t0"), F.max(ts_col).alias("_t1"), F.sum("_new").alias("_gaps"))
+    pieces = Window.partitionBy(*key_cols).orderBy("_pid")
+    first = F.coalesce(F.col("_t0") - F.lag("_t1").over(pieces) > gap, F.lit(True)).cast("long")
+    stats = stats.withColumn("_first", first)
+    before = F.sum(F.col("_gaps") + F.col("_first")).over(pieces.rowsBetween(Window.unboundedPreceding, -1))
+    stats = stats.select("_pid", *key_cols, (F.coalesce(before, F.lit(0)) + F.col("_first")).alias("_off"))
+    run = local.withColumn("_loc", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    j = _with_piece_totals(run, stats, key_cols)
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_off") + F.col("_loc")).alias(out))

@@ -150,11 +150,31 @@ EVENT_EXPECT = quality.Expectations(not_null=("event_id", "user_id", "event_type
                                     value_ranges={"value": {"min": 0, "max": 400}})
 
 
-def _landed_events(c: Context, d: dict, repeat: int | None = None):
-    ev = c.t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",
-                           "value", "props")
-    chunk = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)).cast("int")
-    jobs.land_in_chunks(ev, d["landing"], chunk, 3, repeat)
+LATE_DAY = 10          # faulty deliveries below concern rows up to this day of the month
+DELAY = "7 days"       # watermark of the event streams: the input spans 30 days
+N_CHUNKS = 10          # deliveries of three days each
+# Rows that arrive one delivery after their own, and rows that arrive last of
+# all, far behind the watermark.
+_DELAYED, _LATE = "event_id % 10 = 3", f"event_id % 50 = 7 AND dayofmonth(ts) <= {LATE_DAY}"
+_LATE_SQL = f"event_id % 50 = 7 AND day(ts) <= {LATE_DAY}"
+
+
+def _events(c: Context):
+    return c.t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",
+                             "value", "props")
+
+
+def _chunk():
+    return F.least(F.floor((F.dayofmonth("ts") - 1) / 3), F.lit(N_CHUNKS - 1)).cast("int")
+
+
+def _landed_events(c: Context, d: dict, order=None, disordered: bool = False):
+    """Events as deliveries of three days; disordered: with rows that come one
+    delivery late (within the watermark) and rows that come last (behind it)."""
+    chunk = _chunk()
+    if disordered:
+        chunk = F.when(F.expr(_LATE), N_CHUNKS + 1).when(F.expr(_DELAYED), chunk + 1).otherwise(chunk)
+    jobs.land_in_chunks(_events(c), d["landing"], chunk, N_CHUNKS + 2 * disordered, order=order)
 
 
 def _ev_out(df):
@@ -164,27 +184,47 @@ def _ev_out(df):
 _EV_SQL = "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, user_id, event_type, value FROM events"
 
 
+# Faults put into the ingested events: nulls in required columns.
+_INGEST_FAULTS = {"user_id": 37, "event_type": 41}
+
+
 @query("stream_ingest")
 def _(c: Context):
     """Landing zone -> clean table + dead-letter queue (foreachBatch,
-    checkpointed, idempotent by batch id)."""
+    checkpointed, idempotent by batch id), both read back."""
     d = jobs.fresh_dirs(c.spark, "t1")
-    _landed_events(c, d)
+    e = _events(c)
+    for col, n in _INGEST_FAULTS.items():
+        e = e.withColumn(col, F.when(F.col("event_id") % n != 0, F.col(col)))
+    jobs.land_in_chunks(e, d["landing"], _chunk(), N_CHUNKS)
     jobs.ingest_with_quarantine(c.spark, d["landing"], EVENT_SCHEMA, EVENT_EXPECT, "event_id", d["out"],
                                 d["dlq"], [], d["ckpt"])
-    return _ev_out(c.spark.read.schema(EVENT_SCHEMA).parquet(d["out"]))
+    clean = _ev_out(c.spark.read.schema(EVENT_SCHEMA).parquet(d["out"])).withColumn("errors", F.lit(""))
+    dlq = c.spark.read.schema("event_id long, record string, errors array<string>").json(d["dlq"])
+    bad = dlq.select("*", F.from_json("record", EVENT_SCHEMA.simpleString()).alias("r")).select(
+        "event_id", F.date_format("r.ts", "yyyy-MM-dd").alias("day"), "r.user_id", "r.event_type", "r.value",
+        F.array_join("errors", "|").alias("errors"))
+    return clean.unionByName(bad)
 
 
-oracle("stream_ingest", _EV_SQL)
+oracle("stream_ingest", """
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 37 <> 0 THEN user_id END AS user_id,
+       CASE WHEN event_id % 41 <> 0 THEN event_type END AS event_type, value,
+       array_to_string(list_filter([
+         CASE WHEN event_id % 37 = 0 THEN 'null value in required column ' || chr(39) || 'user_id' || chr(39) END,
+         CASE WHEN event_id % 41 = 0 THEN 'null value in required column ' || chr(39) || 'event_type' || chr(39) END],
+         lambda x: x IS NOT NULL), '|') AS errors FROM events""")
 
 
 @query("stream_dedupe")
 def _(c: Context):
-    """A re-delivered chunk removed by dropDuplicatesWithinWatermark."""
+    """Re-delivered chunks removed by dropDuplicatesWithinWatermark: one
+    comes again at once (known in the state), one comes again weeks later
+    (behind the watermark); state is kept for a week of 30 days."""
     d = jobs.fresh_dirs(c.spark, "t2")
-    _landed_events(c, d, repeat=1)
-    s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA)
-    s = s.withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["event_id"])
+    _landed_events(c, d, order=[0, 1, 1, *range(2, N_CHUNKS), 0])
+    s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=1)
+    s = s.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(["event_id"])
     w = s.writeStream.format("parquet").option("path", d["out"]).option("checkpointLocation", d["ckpt"])
     jobs.run_available_now(w, "dedupe")
     return _ev_out(c.spark.read.schema(EVENT_SCHEMA).parquet(d["out"]))
@@ -193,30 +233,49 @@ def _(c: Context):
 oracle("stream_dedupe", _EV_SQL)
 
 
+@query("stream_session_windows")
+def _(c: Context):
+    """T5: session windows as a stream: sessions that grow over deliveries,
+    rows that bridge two of them a delivery later, late rows dropped.  A last
+    marker row moves the watermark past every session."""
+    from tallyframe.plans.group_ledger import SESSION_GAP
+    d = jobs.fresh_dirs(c.spark, "t5s")
+    _landed_events(c, d, disordered=True)
+    marker = c.spark.createDataFrame([(-1, None, None, None, None, None)], EVENT_SCHEMA).withColumn(
+        "ts", F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    marker.write.mode("append").parquet(d["landing"])
+    s = jobs.session_stream(jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=1),
+                            "user_id", SESSION_GAP, DELAY)
+    w = jobs.per_batch_folders(s, d["out"], lambda batch: batch).outputMode("append") \
+        .option("checkpointLocation", d["ckpt"])
+    jobs.run_available_now(w, "session_windows")
+    return c.spark.read.parquet(d["out"]).select("user_id", "session_start", "session_end", "attempts")
+
+
 @query("stream_ledger")
 def _(c: Context):
-    """Tokens per (day window, model); update mode with watermark into a
-    keyed, versioned upsert table."""
+    """Tokens per (day window, model); update mode into a keyed log of
+    runs; rows that arrive behind the watermark do not change a closed day."""
     from tallyframe.plans.group_ledger import EVENT_MODEL
     d = jobs.fresh_dirs(c.spark, "t3")
-    _landed_events(c, d)
-    s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA)
+    _landed_events(c, d, disordered=True)
+    s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=1)
     model = F.lit("unknown-model")
     for k, v in reversed(list(EVENT_MODEL.items())):
         model = F.when(F.col("event_type") == k, F.lit(v)).otherwise(model)
     u = s.select("ts", model.alias("model"), F.round(F.col("value") * 100).cast("bigint").alias("tokens"))
-    g = (u.withWatermark("ts", "15 days").groupBy(F.window("ts", "1 day"), "model")
+    g = (u.withWatermark("ts", DELAY).groupBy(F.window("ts", "1 day"), "model")
           .agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("calls")))
     g = g.select(F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("day"), "model", "tokens", "calls")
-    sink = jobs.VersionedUpsert(d["out"], jobs.replace_keys(["day", "model"]))
+    sink = jobs.KeyedRuns(d["out"], ["day", "model"])
     w = g.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", d["ckpt"])
     jobs.run_available_now(w, "ledger")
     return sink.latest(c.spark)
 
 
-oracle("stream_ledger", """
+oracle("stream_ledger", f"""
 SELECT day, model, CAST(sum(input_tokens) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS calls
-FROM v_usage GROUP BY day, model""", "v_usage")
+FROM v_usage WHERE NOT ({_LATE_SQL}) GROUP BY day, model""", "v_usage")
 
 
 @query("stream_sessions")
@@ -225,10 +284,10 @@ def _(c: Context):
     d = jobs.fresh_dirs(c.spark, "t5")
     _landed_events(c, d)
     s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA)
-    g = (s.withWatermark("ts", "15 days").groupBy("user_id", F.window("ts", "60 minutes", "30 minutes"))
+    g = (s.withWatermark("ts", DELAY).groupBy("user_id", F.window("ts", "60 minutes", "30 minutes"))
           .agg(F.count(F.lit(1)).alias("attempts")))
     g = g.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "attempts")
-    sink = jobs.VersionedUpsert(d["out"], jobs.replace_keys(["user_id", "window_start"]))
+    sink = jobs.KeyedRuns(d["out"], ["user_id", "window_start"])
     w = g.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", d["ckpt"])
     jobs.run_available_now(w, "sessions")
     return sink.latest(c.spark)
@@ -248,16 +307,18 @@ def _(c: Context):
     timeout); rows-only check, equal to the batch ``rate_admission``."""
     from tallyframe.plans.group_ledger import LONG_N, LONG_S, SHORT_N, SHORT_S
     d = jobs.fresh_dirs(c.spark, "t4")
-    _landed_events(c, d)
-    s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=1000)
     secs = (F.unix_date(F.to_date("ts")).cast("bigint") * 86400 + F.hour("ts") * 3600
             + F.minute("ts") * 60 + F.second("ts"))
-    r = s.select("ts", F.col("user_id").alias("session_id"), F.col("event_id").alias("request_id"),
-                 secs.alias("t"))
-    a = jobs.admission_stream(r, SHORT_S, SHORT_N, LONG_S, LONG_N)
-    w = a.writeStream.format("parquet").option("path", d["out"]).option("checkpointLocation", d["ckpt"]) \
-         .outputMode("append")
-    jobs.run_available_now(w, "admission")
+    period = F.floor((F.dayofmonth("ts") - 1) / 8).cast("int")
+    for i in range(4):  # each delivery is one batch of a stream that restarts from its checkpoint
+        _events(c).where(period == i).write.mode("append").parquet(d["landing"])
+        s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=1_000_000)
+        r = s.select("ts", F.col("user_id").alias("session_id"), F.col("event_id").alias("request_id"),
+                     secs.alias("t"))
+        a = jobs.admission_stream(r, SHORT_S, SHORT_N, LONG_S, LONG_N)
+        w = a.writeStream.format("parquet").option("path", d["out"]).option("checkpointLocation", d["ckpt"]) \
+             .outputMode("append")
+        jobs.run_available_now(w, "admission")
     return c.spark.read.schema(jobs.ADMIT_OUT).parquet(d["out"])
 
 
@@ -283,12 +344,12 @@ SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d
 
 @query("stream_upsert")
 def _(c: Context):
-    """Latest event per (user, type) kept in a versioned table; each
-    micro-batch reduces itself (max_by) and merges last-wins."""
+    """Latest event per (user, type) kept in a log of sorted runs; each
+    micro-batch reduces itself (max_by), runs are compacted level by level."""
     d = jobs.fresh_dirs(c.spark, "t7")
     _landed_events(c, d)
     s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA)
-    sink = jobs.VersionedUpsert(d["out"], jobs.last_wins(["user_id", "event_type"], ["ts", "event_id"]))
+    sink = jobs.KeyedRuns(d["out"], ["user_id", "event_type"], ["ts", "event_id"])
     w = s.writeStream.foreachBatch(sink).option("checkpointLocation", d["ckpt"])
     jobs.run_available_now(w, "upsert")
     return _ev_out(sink.latest(c.spark))

@@ -10,9 +10,12 @@ executor or driver loss cannot double-apply).
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections import deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +29,15 @@ from tallyframe.session import scratch_path
 
 # --- landing zone -------------------------------------------------------------------------
 
-def land_in_chunks(df: DataFrame, path: str, chunk_col, n_chunks: int, repeat_chunk: int | None = None) -> None:
+def land_in_chunks(df: DataFrame, path: str, chunk_col, n_chunks: int, repeat_chunk: int | None = None,
+                   order=None) -> None:
     """Write ``df`` into a landing folder as ``n_chunks`` successive appends
     (files arrive in time order, as a feed would deliver them); optionally
-    re-deliver one chunk at the end (duplicates for T2)."""
+    re-deliver one chunk at the end (duplicates for T2), or deliver the chunks
+    of ``order``, one after the other."""
     c = df.select("*", chunk_col.alias("_chunk"))
-    order = list(range(n_chunks)) + ([repeat_chunk] if repeat_chunk is not None else [])
+    if order is None:
+        order = list(range(n_chunks)) + ([repeat_chunk] if repeat_chunk is not None else [])
     for i in order:
         c.where(F.col("_chunk") == i).drop("_chunk").write.mode("append").parquet(path)
 
@@ -49,86 +55,100 @@ def run_available_now(writer, name: str) -> None:
         raise q.exception()
 
 
-# --- versioned keyed upsert sink (foreachBatch) -------------------------------------------------
+# --- keyed table as a log of sorted runs (foreachBatch) -----------------------------------------
 
-class VersionedUpsert:
-    """A keyed table maintained by ``foreachBatch``: stored as Parquet
-    partitioned by a hash bucket of the key, each micro-batch reads ONLY the
-    buckets its keys fall into, merges, and overwrites just those buckets
-    (dynamic partition overwrite) -- the cost of a batch follows the batch,
-    not the table.
+class KeyedRuns:
+    """A keyed table maintained by ``foreachBatch`` as a log of runs.
 
-    ``merge(old, new) -> DataFrame`` defines the semantics (last-wins,
-    replace, ...); merges are idempotent, and a committed batch id is
-    skipped, so a replay after a failure cannot double-apply.  The merged
-    buckets are staged first because Spark cannot overwrite a path it is
-    reading in the same job."""
+    Each micro-batch writes ONE run: its rows reduced to the last one of each
+    key, hash-partitioned and sorted by key.  ``fan_in`` runs of a level are
+    compacted to one of the next, so what a batch writes follows the batch (a
+    row is rewritten once per level, log of the number of batches), not the
+    table.  A manifest per batch lists the runs that make up the table; it is
+    written last, and a batch that has one is skipped, so a replay after a
+    failure at any point leaves the same table: half-written runs of an
+    attempt are overwritten by the next and named by no manifest.
 
-    def __init__(self, root: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame],
-                 keys=None, buckets: int = 64):
+    The last row of a key is the one largest by ``order``, then by batch;
+    without ``order`` a later batch replaces earlier ones (update mode).
+    ``vacuum`` deletes runs that no kept manifest names.
+    """
+
+    def __init__(self, root: str, keys, order=(), fan_in: int = 4):
         self.root = root.rstrip("/")
-        self.merge = merge
-        self.keys = list(keys or getattr(merge, "keys", []))
-        self.buckets = buckets
+        self.keys, self.order, self.fan_in = list(keys), list(order), fan_in
 
     def _fs(self, spark: SparkSession, path: str):
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _exists(self, spark: SparkSession, path: str) -> bool:
-        fs, p = self._fs(spark, path)
-        return fs.exists(p)
-
-    def latest(self, spark: SparkSession) -> DataFrame | None:
-        state = f"{self.root}/state"
-        if not self._exists(spark, state):
-            return None
-        return spark.read.parquet(state).drop("_bucket")
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+    def _batches(self, spark: SparkSession) -> list[int]:
+        """Ids of the batches whose manifest is complete, ascending."""
+        fs, p = self._fs(spark, f"{self.root}/manifest")
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        done = [n for n in names if fs.exists(self._fs(spark, f"{self.root}/manifest/{n}/_SUCCESS")[1])]
+        return sorted(int(n) for n in done)
+
+    def runs(self, spark: SparkSession, batch_id: int | None = None) -> list[dict]:
+        """Runs (``path``, ``level``) of the table as of a batch (the last)."""
+        done = self._batches(spark)
+        if not done:
+            return []
+        at = done[-1] if batch_id is None else batch_id
+        return json.loads(spark.read.text(f"{self.root}/manifest/{at:012d}").first()[0])["runs"]
+
+    def _last(self, df: DataFrame) -> DataFrame:
+        return latest_per_key(df, self.keys, [*self.order, "_batch"])
+
+    def _read(self, spark: SparkSession, runs: list[dict]) -> DataFrame:
+        return spark.read.parquet(*[f"{self.root}/{r['path']}" for r in runs])
+
+    def _write(self, df: DataFrame, path: str, partitions: int | None = None) -> None:
+        by = [F.col(k) for k in self.keys]
+        spread = df.repartition(partitions, *by) if partitions else df.repartition(*by)
+        spread.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{self.root}/{path}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        marker = f"{self.root}/_commits/{batch_id}"
-        if self._exists(spark, marker):
+        done = self._batches(spark)
+        if done and batch_id <= done[-1]:
             return  # already committed: replay after a failure
-        b = batch.select("*", self._bucket().alias("_bucket"))
-        touched = [r[0] for r in b.select("_bucket").distinct().collect()]  # <= self.buckets values
-        if not touched:
-            fs, p = self._fs(spark, marker)
-            fs.mkdirs(p)
-            return
-        state = f"{self.root}/state"
-        old = None
-        if self._exists(spark, state):
-            old = spark.read.parquet(state).where(F.col("_bucket").isin(touched)).drop("_bucket")
-        merged = self.merge(old, batch).select("*", self._bucket().alias("_bucket"))
-        staging = f"{self.root}/_staging/{batch_id}"
-        merged.write.mode("overwrite").parquet(staging)
-        (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("_bucket").parquet(state))
-        fs, p = self._fs(spark, marker)
-        fs.mkdirs(p)
-
-
-def last_wins(keys, order_cols):
-    def merge(old, new):
-        u = new if old is None else old.unionByName(new.select(*old.columns))
-        return latest_per_key(u, keys, order_cols)
-    merge.keys = list(keys)
-    return merge
-
-
-def replace_keys(keys):
-    """Update-mode aggregates: the batch carries the new value of each key."""
-    def merge(old, new):
-        if old is None:
-            return new
-        return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
-    merge.keys = list(keys)
-    return merge
+        runs = self.runs(spark)
+        if not batch.isEmpty():
+            path = f"runs/{batch_id:012d}-0"
+            self._write(self._last(batch.withColumn("_batch", F.lit(batch_id).cast("long"))), path)
+            runs = [*runs, {"path": path, "level": 0}]
+        level = 0
+        while len(full := [r for r in runs if r["level"] == level]) >= self.fan_in:
+            level += 1
+            path = f"runs/{batch_id:012d}-{level}"
+            self._write(self._last(self._read(spark, full)), path)
+            runs = [r for r in runs if r not in full] + [{"path": path, "level": level}]
+        text = json.dumps({"batch": batch_id, "runs": runs})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(
+            f"{self.root}/manifest/{batch_id:012d}")
+
+    def latest(self, spark: SparkSession) -> DataFrame | None:
+        """The table: the last row of every key over the runs in force."""
+        runs = self.runs(spark)
+        return self._last(self._read(spark, runs)).drop("_batch") if runs else None
+
+    def vacuum(self, spark: SparkSession, keep: int = 1) -> list[str]:
+        """Delete the manifests but the last ``keep``, and all runs of committed
+        batches that none of those names; returns the deleted runs' paths."""
+        done = self._batches(spark)
+        if not done:
+            return []
+        kept = {r["path"] for b in done[-keep:] for r in self.runs(spark, b)}
+        fs, p = self._fs(spark, f"{self.root}/runs")
+        there = [f"runs/{s.getPath().getName()}" for s in fs.listStatus(p)] if fs.exists(p) else []
+        old = [r for r in there if r not in kept and int(r.split("/")[1].split("-")[0]) <= done[-1]]
+        for path in [*old, *[f"manifest/{b:012d}" for b in done[:-keep]]]:
+            fs.delete(self._fs(spark, f"{self.root}/{path}")[1], True)
+        return sorted(old)
 
 
 def per_batch_folders(stream: DataFrame, path: str, result: Callable[[DataFrame], DataFrame]):
@@ -171,39 +191,55 @@ ADMIT_OUT = T.StructType([T.StructField("session_id", T.LongType()), T.StructFie
 ADMIT_STATE = T.StructType([T.StructField("accepted", T.ArrayType(T.LongType()))])
 
 
-def admission_stream(events: DataFrame, short_s: int, short_n: int, long_s: int, long_n: int) -> DataFrame:
+def admission_stream(events: DataFrame, short_s: int, short_n: int, long_s: int, long_n: int,
+                     delay: str = "2 days") -> DataFrame:
     """T4: per-session sliding admission with state = accepted timestamps
-    (at most ``long_n``); the event-time timeout drops a session's state
-    once the watermark passes its last accepted time + the long window."""
+    (at most ``long_n``), carried from batch to batch; the event-time timeout
+    drops a session's state once the watermark passes its last accepted time +
+    the long window.  Requests are decided batch by batch, by time within a
+    batch: batches in time order give what ``ledger.rate_admission`` gives.  A
+    session's rows of ONE batch are two columns of numbers in memory."""
 
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        acc = list(state.get[0]) if state.exists else []
-        rows = []
-        for pdf in pdfs:
-            rows.append(pdf)
-        pdf = pd.concat(rows).sort_values(["t", "request_id"])
-        out_ok = []
-        for now in pdf["t"].tolist():
-            acc = [x for x in acc if x >= now - long_s]
-            if sum(1 for x in acc if x >= now - short_s) >= short_n or len(acc) >= long_n:
-                out_ok.append(False)
-            else:
-                acc.append(int(now))
-                out_ok.append(True)
-        state.update((acc,))
+        acc = deque(state.get[0]) if state.exists else deque()
+        # Two narrow columns of the session's rows in this micro-batch.
+        t, ids = map(np.concatenate, zip(*[(p["t"].to_numpy(np.int64), p["request_id"].to_numpy(np.int64)) for p in pdfs]))
+        turn = np.lexsort((ids, t))
+        ok = np.zeros(len(t), bool)
+        for i in turn:
+            now = int(t[i])
+            while acc and acc[0] < now - long_s:
+                acc.popleft()
+            if len(acc) < long_n and sum(x >= now - short_s for x in acc) < short_n:
+                acc.append(now)
+                ok[i] = True
+        state.update((list(acc),))
         if acc:
-            state.setTimeoutTimestamp(int((max(acc) + long_s) * 1000))
-        yield pd.DataFrame({"session_id": pdf["session_id"].to_numpy(), "request_id": pdf["request_id"].to_numpy(),
-                            "allowed": out_ok})
+            state.setTimeoutTimestamp(max(int((acc[-1] + long_s) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"session_id": key[0], "request_id": ids, "allowed": ok})
 
-    return (events.withWatermark("ts", "15 days")
+    return (events.withWatermark("ts", delay)
                   .groupBy("session_id")
                   .applyInPandasWithState(fn, ADMIT_OUT, ADMIT_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
+# --- T5 session windows -----------------------------------------------------------------------------
+
+def session_stream(events: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
+    """T5: sessions per key in the state store: rows closer than ``gap`` are
+    one session, also when they arrive in different micro-batches, in any
+    order, or when a row that comes later joins two sessions.  Append mode
+    gives a session once, when the watermark (``delay`` behind the newest row)
+    has passed its end; rows whose own session would end before it are late
+    and dropped."""
+    return (events.withWatermark("ts", delay).groupBy(key, F.session_window("ts", gap).alias("s"))
+            .agg(F.count(F.lit(1)).alias("attempts"))
+            .select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "attempts"))
+
+
 def fresh_dirs(spark: SparkSession, name: str) -> dict:
     base = scratch_path(spark, name)
     return {k: f"{base}/{k}" for k in ("landing", "out", "ckpt", "dlq")}

@@ -197,3 +197,32 @@ def test_grouped_bounded_rank_matches_window(spark):
     a = min_rank_desc_bounded(df, "score", "r", ["g"])
     b = df.select("id", F.rank().over(Window.partitionBy("g").orderBy(F.col("score").desc())).alias("r"))
     assert rows(a, "id", "r") == rows(b, "id", "r")
+
+
+def test_hot_session_is_cut_at_idle_gaps(spark):
+    """A session with most rows, in many tasks, equals the sequential scan."""
+    import random
+
+    from tallyframe.operators import ledger
+    from tallyframe.operators.ranking import idle_pieces
+    r = random.Random(4)
+    t, reqs = 0, []
+    for i in range(900):
+        t += r.choice([1, 1, 2, 5, 0, 0, 9, 30, 400])
+        reqs.append((1 if i % 3 else None, i, t))
+    df = spark.createDataFrame(reqs, "session_id long, request_id long, t long").repartition(7)
+    want, acc = {}, {}
+    for s, i, t in reqs:
+        a = acc[s] = [x for x in acc.get(s, []) if x >= t - 300]
+        want[i] = sum(x >= t - 60 for x in a) < 5 and len(a) < 20
+        if want[i]:
+            a.append(t)
+    got = {x.request_id: x.allowed for x in ledger.rate_admission(df, 60, 5, 300, 20).collect()}
+    assert got == want and not all(want.values())
+    pieces = {x.request_id: x._piece for x in idle_pieces(df, ["session_id"], "t", ["request_id"], 300).collect()}
+    number, last = {}, {}
+    for s, i, t in reqs:
+        number[s] = number.get(s, 0) + (s not in last or t - last[s] > 300)
+        last[s] = t
+        assert pieces[i] == number[s]
+    assert len(set(pieces.values())) > 20

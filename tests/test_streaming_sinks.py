@@ -27,16 +27,59 @@ def test_ingest_with_quarantine_splits_clean_and_dlq(spark):
     assert spark.read.schema(SCHEMA).parquet(d["out"]).count() == 2
 
 
-def test_versioned_upsert_replay_is_idempotent_and_touches_only_its_buckets(spark):
+def _size(path):
+    import os
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs)
+
+
+def test_keyed_runs_replays_compacts_and_writes_by_the_batch(spark):
     root = scratch_path(spark, "t-upsert")
-    sink = jobs.VersionedUpsert(root, jobs.last_wins(["id"], ["v"]), buckets=4)
-    b0 = spark.createDataFrame([(i, f"n{i}", 1) for i in range(20)], SCHEMA)
-    sink(b0, 0)
-    b1 = spark.createDataFrame([(3, "new", 2), (4, "old", 0), (25, "x", 1)], SCHEMA)
-    sink(b1, 1)
+    sink = jobs.KeyedRuns(root, ["id"], ["v"], fan_in=3)
+    sink(spark.createDataFrame([(i, f"n{i}", 1) for i in range(20_000)], SCHEMA), 0)
+    first = _size(root)
+    b1 = spark.createDataFrame([(3, "new", 2), (4, "old", 0), (25_000, "x", 1), (3, "twice", 2)], SCHEMA)
+    sink(b1.where("name <> 'twice'"), 1)
+    assert _size(root) - first < first / 10  # a small batch writes little, whatever the table's size
     sink(b1, 1)  # replay of a committed batch: skipped
+    before = rows(sink.latest(spark), "id", "name")
+    assert len(before) == 20_001 and dict(before)[3] == "new" and dict(before)[4] == "n4"
+    # a batch that failed before its manifest: its run is there, the table is not changed
+    sink._write(b1.withColumn("_batch", F.lit(2).cast("long")), "runs/000000000002-0")
+    assert rows(sink.latest(spark), "id", "name") == before
+    sink(spark.createDataFrame([(7, "seven", 5), (None, "none", 1), (None, "null", 2)], SCHEMA), 2)  # third run: compacted
+    assert [r["level"] for r in sink.runs(spark)] == [1]
+    for b in range(3, 6):
+        sink(spark.createDataFrame([(8, f"b{b}", b)], SCHEMA), b)
+    sink(b1.limit(0), 6)
     got = {r.id: r.name for r in sink.latest(spark).collect()}
-    assert len(got) == 21 and got[3] == "new" and got[4] == "n4" and got[25] == "x"
+    assert got[7] == "seven" and got[8] == "b5" and got[None] == "null" and len(got) == 20_002
+    assert sorted(r["level"] for r in sink.runs(spark)) == [1, 1]
+    old = sink.vacuum(spark)
+    assert len(old) >= 6 and {r.id: r.name for r in sink.latest(spark).collect()} == got
+    sink(spark.createDataFrame([(8, "again", 9)], SCHEMA), 5)  # replay of an old batch after vacuum
+    assert {r.id: r.name for r in sink.latest(spark).collect()} == got
+
+
+def test_sessions_merge_across_batches(spark):
+    d = jobs.fresh_dirs(spark, "t-sessions")
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("ts", T.TimestampType())])
+
+    def land(*minutes):
+        spark.createDataFrame([(k, m) for k, m in minutes], "k string, m int").select(
+            "k", F.timestamp_seconds(F.col("m") * 60 + 1_700_000_000).alias("ts")).coalesce(1) \
+            .write.mode("append").parquet(d["landing"])
+        s = jobs.session_stream(jobs.stream_files(spark, d["landing"], schema), "k", "10 minutes", "60 minutes")
+        w = jobs.per_batch_folders(s, d["out"], lambda b: b).outputMode("append").option("checkpointLocation", d["ckpt"])
+        jobs.run_available_now(w, "t_sessions")
+
+    land(("a", 0), ("a", 15), ("b", 3), (None, 1))      # two sessions of a
+    land(("a", 8), ("b", 40))                            # bridges them
+    land(("c", 200))                                     # closes all of the above
+    land(("a", 9), ("c", 205))                           # late: dropped
+    land(("z", 1000))
+    out = spark.read.parquet(d["out"])
+    got = sorted((r.k or "", int((r.session_start.timestamp() - 1_700_000_000) / 60), r.attempts) for r in out.collect())
+    assert got == [("", 1, 1), ("a", 0, 3), ("b", 3, 1), ("b", 40, 1), ("c", 200, 2)]
 
 
 def test_write_if_absent_skips_existing_partitions(spark):
@@ -78,7 +121,7 @@ def test_late_rows_after_watermark_are_dropped_in_stream_but_counted_in_batch(sp
     g = (s.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("w"))
           .agg(F.sum("tokens").alias("tokens"))
           .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "tokens"))
-    sink = jobs.VersionedUpsert(d["out"], jobs.replace_keys(["day"]))
+    sink = jobs.KeyedRuns(d["out"], ["day"])
     w = g.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", d["ckpt"])
     jobs.run_available_now(w, "t_late1")
     jobs.land_in_chunks(late, d["landing"], F.lit(0), 1)   # arrives after the watermark moved on
