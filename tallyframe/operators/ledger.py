@@ -121,7 +121,7 @@ def rate_admission(requests: DataFrame, short_s: float = 60, short_n: int = 5,
             sid, rid = pdf["session_id"], pdf["request_id"].to_numpy()
             ts = pdf["t"].to_numpy(dtype="float64")
             allowed, retry = [], []
-            for s, now in zip(zip(sid.where(sid.notna(), None), pdf["_piece"]), ts):
+            for s, now in zip(zip(sid.astype(object).where(sid.notna(), None), pdf["_piece"]), ts):
                 if s != cur:
                     cur, win = s, deque()
                 while win and win[0] < now - long_s:
@@ -137,7 +137,7 @@ def rate_admission(requests: DataFrame, short_s: float = 60, short_n: int = 5,
                     win.append(now)
                     allowed.append(True)
                     retry.append(None)
-            yield pd.DataFrame({"session_id": sid.array, "request_id": rid, "allowed": allowed,
+            yield pd.DataFrame({"session_id": sid.astype("Int64"), "request_id": rid, "allowed": allowed,
                                 "retry_after": pd.array(retry, dtype="Int64")})
 
     schema = "session_id bigint, request_id bigint, allowed boolean, retry_after bigint"
