@@ -40,6 +40,18 @@ def hard_checks(cases: DataFrame, runs: DataFrame) -> DataFrame:
     return out.select("*", passed.alias("passed"))
 
 
+def filter_cases(cases: DataFrame, ids=None, categories=None, max_cases: int | None = None) -> DataFrame:
+    """Explicit ids win over categories; then the first ``max_cases`` by
+    id.  A filter that selects nothing is an error."""
+    if ids:
+        cases = cases.where(F.col("case_id").isin(list(ids)))
+    elif categories:
+        cases = cases.where(F.col("category").isin(list(categories)))
+    if (ids or categories) and cases.isEmpty():
+        raise ValueError(f"no cases match {'ids' if ids else 'categories'} {sorted(ids or categories)}")
+    return cases.orderBy("case_id").limit(max_cases) if max_cases else cases
+
+
 def summary(checked: DataFrame) -> DataFrame:
     """Total, passed, pass rate and mean judge score overall, by
     category and by difficulty -- ONE pass with GROUPING SETS (cube over

@@ -163,12 +163,18 @@ def of_season(history: DataFrame, season: str | None) -> DataFrame:
 def movers(history: DataFrame, first_gw, last_gw, k: int = 5, season: str | None = None) -> DataFrame:
     """J13+O9: first-vs-last gameweek delta within a season without a
     self-join (one aggregate with conditional ``max``), players missing either
-    end dropped; the top-k risers and fallers."""
-    g = of_season(history, season).where(F.col("gameweek").isin(first_gw, last_gw)).groupBy("player_id").agg(
-        F.max(F.when(F.col("gameweek") == first_gw, F.col("composite_score"))).alias("_f"),
-        F.max(F.when(F.col("gameweek") == last_gw, F.col("composite_score"))).alias("_l"))
-    d = g.where(F.col("_f").isNotNull() & F.col("_l").isNotNull()) \
-         .select("player_id", F.bround(F.col("_l") - F.col("_f"), 1).alias("delta"))
+    end dropped; the top-k risers and fallers by score, with the deltas of
+    price and ownership."""
+    measures = {"composite_score": "delta", "price": "price_delta", "ownership_pct": "ownership_delta"}
+    ends = [F.max(F.when(F.col("gameweek") == gw, F.col(m))).alias(f"_{side}_{m}")
+            for side, gw in (("f", first_gw), ("l", last_gw)) for m in measures]
+    seen = [F.count_if(F.col("gameweek") == gw).alias(f"_{side}") for side, gw in (("f", first_gw), ("l", last_gw))]
+    g = of_season(history, season).where(F.col("gameweek").isin(first_gw, last_gw)).groupBy("player_id") \
+        .agg(*ends, *seen)
+    d = g.where((F.col("_f") > 0) & (F.col("_l") > 0) & F.col("_f_composite_score").isNotNull()
+                & F.col("_l_composite_score").isNotNull()) \
+         .select("player_id", *[F.bround(F.col(f"_l_{m}") - F.col(f"_f_{m}"), 1).alias(out)
+                                for m, out in measures.items()])
     up = d.orderBy(F.col("delta").desc(), F.col("player_id")).limit(k).select(F.lit("riser").alias("kind"), "*")
     dn = d.orderBy(F.col("delta").asc(), F.col("player_id")).limit(k).select(F.lit("faller").alias("kind"), "*")
     return up.unionByName(dn)
@@ -255,6 +261,17 @@ def score_breakdown(dash: DataFrame) -> DataFrame:
     return u.where(F.col("value") > 0)
 
 
+def score_pyramid(pairs: DataFrame, dash: DataFrame) -> DataFrame:
+    """P32 for a swap: all seven components of both players, the sell side
+    mirrored below zero; a missing component is 0.  ``pairs``: sell_id, buy_id."""
+    side = lambda s: dash.select(F.col("player_id").alias(f"{s}_id"), *[
+        F.coalesce(F.col(c), F.lit(0.0)).alias(f"_{s}_{c}") for c in COMPONENTS])
+    j = pairs.select("sell_id", "buy_id").join(side("sell"), "sell_id").join(side("buy"), "buy_id")
+    parts = F.array(*[F.struct(F.lit(c).alias("component"), (0.0 - F.col(f"_sell_{c}")).alias("sell"),
+                               F.col(f"_buy_{c}").alias("buy")) for c in COMPONENTS])
+    return j.select("sell_id", "buy_id", F.inline(parts))
+
+
 # --- J12 J16 J17 P29 ------------------------------------------------------------------------
 
 H2H_METRICS = [("composite_score", True), ("form", True), ("total_points", True), ("price", False),
@@ -331,12 +348,18 @@ def buy_candidates(sells: DataFrame, dash: DataFrame, k: int = 50) -> DataFrame:
     j = s.join(F.broadcast(b), "_pos", "inner").where(F.col("sell_id") != F.col("buy_id"))
     w = Window.partitionBy("sell_id").orderBy(F.col("b_composite_score").desc(), F.col("buy_id").asc())
     r = j.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
-    return r.select("sell_id", "rank", "buy_id", verdict().alias("verdict"))
-
-
-def transfer_hub(picks: DataFrame, sort_key: str, k: int = 30) -> DataFrame:
-    """P29+O8: sort by a chosen key with null FDR treated as 3 and other
-    nulls as 0; the first k rows."""
+    return r.select("sell_id", "rank", "buy_id", verdict().alias("verdict"),
+                    F.bround(F.col("s_price") - F.col("b_price"), 1).alias("price_delta"))
+
+
+def transfer_hub(picks: DataFrame, sort_key: str, k: int = 30, recommendation: str | None = None,
+                 position: str | None = None) -> DataFrame:
+    """P29+O8: picks of a recommendation and a position (None: all), sorted by
+    a chosen key with null FDR treated as 3 and other nulls as 0; the first k
+    rows."""
+    for column, wanted in (("recommendation", recommendation), ("position", position)):
+        if wanted is not None:
+            picks = picks.where(F.col(column) == wanted)
     key = F.coalesce(F.col(sort_key), F.lit(3.0 if sort_key.startswith("fdr") else 0.0))
     asc = sort_key.startswith("fdr") or sort_key == "price"
     o = key.asc() if asc else key.desc()

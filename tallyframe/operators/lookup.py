@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.text import any_field_contains
 from tallyframe.operators.enrich import containment_join
+from tallyframe.session import scratch_path
 
 
 # --- P18 criteria search ---------------------------------------------------------
@@ -101,19 +102,27 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int, q_id: str, b_id: str,
 
 
 def knn_cells(queries: DataFrame, base: DataFrame, k: int, q_id: str, b_id: str, vec_col: str,
-              n_cells: int, probes: int, seed: int = 7, digits: int = 6,
+              n_cells: int, probes: int | None = None, seed: int = 7, digits: int = 6,
               train_fraction: float = 1.0) -> DataFrame:
-    """J11 approximate (IVF-style): k-means cells over the unit vectors,
-    every query probes its ``probes`` nearest cells (equi-join on cell id),
-    exact re-rank inside the candidates.  Recall is measured against
-    ``knn_exact`` in the tests.
-
-    At scale the cell centres are trained on a fixed-seed sample
-    (``train_fraction``), as IVF indexes are; EVERY vector is still assigned
-    to a cell and searchable -- the sample only places the centres."""
+    """J11 without all pairs: k-means cells over the unit vectors, each with
+    its radius (the farthest member's distance from the centre).
+
+    A member of a cell is at least ``d(query, centre) - radius`` away
+    (triangle inequality), which bounds its similarity from above.  A query
+    first visits its nearest cells until they hold k vectors; the k-th
+    similarity found there rules out every cell whose bound is lower, and all
+    others are visited.  The result is that of ``knn_exact``, ties and rounding
+    included (vectors without a direction, all zero, take no part).
+
+    With ``probes``, each query visits its ``probes`` nearest cells and no
+    others: approximate, with recall to be measured against ``knn_exact``.
+    At scale the centres are trained on a fixed-seed sample
+    (``train_fraction``); EVERY vector is assigned to a cell, the sample only
+    places the centres."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    spark = base.sparkSession
     b = with_unit_vectors(base.select(F.col(b_id).alias("_bid"), F.col(vec_col).alias("_bv")), "_bv", "_bu") \
         .where(F.col("_bu").isNotNull())
     feats = b.select("_bid", "_bu", array_to_vector("_bu").alias("features"))
@@ -122,17 +131,58 @@ def knn_cells(queries: DataFrame, base: DataFrame, k: int, q_id: str, b_id: str,
     # n_cells x dim centres: bounded by the parameter, carried as a literal.
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     lit_centers = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers])
-    cells = model.transform(feats).select("_bid", "_bu", "cell")
-    q = with_unit_vectors(queries.select(F.col(q_id).alias("_qid"), F.col(vec_col).alias("_qv")), "_qv", "_qu")
-    scored = F.transform(lit_centers, lambda c, i: F.struct((-dot(F.col("_qu"), c)).alias("neg"), i.alias("cell")))
-    probe = q.select("_qid", "_qu", F.explode(F.slice(F.array_sort(scored), 1, probes)).alias("_c")) \
-             .select("_qid", "_qu", F.col("_c.cell").alias("cell"))
-    cand = cells.join(probe, "cell", "inner").where(F.col("_bid") != F.col("_qid"))
-    sim = F.bround(dot(F.col("_qu"), F.col("_bu")), digits)
-    s = cand.select("_qid", "_bid", sim.alias("similarity"))
+
+    def distance(u, c):
+        return F.sqrt(F.aggregate(F.zip_with(u, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda m, x: m + x))
+
+    path = scratch_path(spark, "cells")
+    model.transform(feats).select("_bid", "_bu", "cell").write.parquet(path)
+    cells = spark.read.parquet(path)
+    # One row per cell: radius and size.
+    found = {r.cell: (r.radius, r.n) for r in cells.groupBy("cell").agg(
+        F.max(distance(F.col("_bu"), F.element_at(lit_centers, F.col("cell") + 1))).alias("radius"),
+        F.count("*").alias("n")).collect()}
+    radius, size = zip(*[found.get(i, (0.0, 0)) for i in range(len(centers))])
+    q = with_unit_vectors(queries.select(F.col(q_id).alias("_qid"), F.col(vec_col).alias("_qv")), "_qv", "_qu") \
+        .where(F.col("_qu").isNotNull()).select("_qid", "_qu")
+    far = F.transform(lit_centers, lambda c, i: F.struct(distance(F.col("_qu"), c).alias("d"), i.alias("cell")))
+    near = F.transform(F.array_sort(far), lambda x: F.struct(
+        x["cell"].alias("cell"), F.get(F.array(*map(F.lit, size)), x["cell"]).cast("long").alias("n"),
+        (1 - F.pow(F.greatest(x["d"] - F.get(F.array(*map(F.lit, radius)), x["cell"]), F.lit(0.0)), 2) / 2)
+        .alias("bound")))
+    q = q.withColumn("_near", near)
+
+    def met(wanted: DataFrame) -> DataFrame:
+        """Similarities of queries and the members of one cell per row."""
+        j = cells.join(wanted, "cell").where(~F.col("_bid").eqNullSafe(F.col("_qid")))
+        return j.select("_qid", "_bid", F.bround(dot(F.col("_qu"), F.col("_bu")), digits).alias("similarity"))
+
     w = Window.partitionBy("_qid").orderBy(F.col("similarity").desc(), F.col("_bid").asc())
-    r = s.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
-    return r.select(F.col("_qid").alias("query_id"), "rank", F.col("_bid").alias(b_id), "similarity")
+
+    def top(s: DataFrame) -> DataFrame:
+        return s.select("_qid", "_bid", "similarity", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+
+    if probes is not None:
+        best = top(met(q.select("_qid", "_qu", F.explode(F.slice("_near", 1, probes)).alias("c"))
+                       .select("_qid", "_qu", "c.cell")))
+    else:
+        # Cells before the first at which k + 1 vectors (one may be the query) are reached.
+        held = lambda i: F.aggregate(F.slice("_near", 1, i), F.lit(0).cast("long"), lambda m, x: m + x["n"])
+        first = F.size(F.filter(F.sequence(F.lit(1), F.lit(len(centers))), lambda i: held(i) <= k)) + 1
+        q = q.withColumn("_first", first)
+        path = scratch_path(spark, "near")
+        top(met(q.select("_qid", "_qu", F.explode(F.expr("slice(_near, 1, _first)")).alias("c"))
+                .select("_qid", "_qu", "c.cell"))).write.parquet(path)
+        near_best = spark.read.parquet(path)
+        kth = near_best.where(F.col("rank") == k).select(F.col("_qid").alias("_q"), F.col("similarity").alias("_s"))
+        # Half a unit of the rounding, and room for the floats of the bound.
+        slack = 10.0 ** -digits
+        rest = (q.join(kth, F.col("_qid").eqNullSafe(F.col("_q")), "left")
+                .select("_qid", "_qu", "_s", F.explode(F.expr("slice(_near, _first + 1, size(_near))")).alias("c"))
+                .where(F.col("_s").isNull() | (F.col("c.bound") >= F.col("_s") - slack))
+                .select("_qid", "_qu", "c.cell"))
+        best = top(near_best.drop("rank").unionByName(met(rest)))
+    return best.select(F.col("_qid").alias("query_id"), "rank", F.col("_bid").alias(b_id), "similarity")
 
 
 # --- S14 S16 --------------------------------------------------------------------------------
@@ -247,3 +297,38 @@ def split_squad(picks: DataFrame, id_col: str = "squad_id") -> DataFrame:
                     names(lambda x: x["position"] > 11).alias("bench"),
                     names(lambda x: x["is_captain"]).alias("captain"),
                     names(lambda x: x["is_vice_captain"]).alias("vice_captain"))
+
+
+# --- S17: one squad document, two outputs -----------------------------------------------------------
+
+SQUAD_SCHEMA = (f"picks {PICKS_SCHEMA.replace(':', ' ')}, entry_history struct<bank int, value int, "
+                "total_points int, overall_rank bigint>, active_chip string")
+
+
+def squad_documents(squads: DataFrame, players: DataFrame, id_col: str = "squad_id",
+                    doc: str = "squad_json") -> tuple[DataFrame, DataFrame]:
+    """A squad document read once into its picks (``enrich_picks``) and
+    its totals.
+
+    Totals: money in millions (the document counts tenths), chip, rank and
+    points; a missing ``entry_history`` counts as 0 and leaves the rank null.
+    ``status`` is ``not found`` for a squad without picks (a manager without a
+    team, a later week), ``unreadable`` for text that is no such document,
+    else ``ok``.  ``value_ok``: the total value is the priced picks and the
+    bank; null where a pick is unknown or the history is missing."""
+    read = squads.select(id_col, F.from_json(F.col(doc), SQUAD_SCHEMA).alias("_s"))
+    picks = enrich_picks(read.select(id_col, F.to_json("_s.picks").alias("picks_json")), players, id_col)
+    priced = picks.groupBy(id_col).agg(
+        F.count("*").alias("_n"), F.count_if(F.col("team_name") == "Unknown").alias("_unknown"),
+        F.sum(F.bround(F.col("price") * 10).cast("long")).alias("_tenths"))
+    h = F.col("_s.entry_history")
+    money = lambda f: F.coalesce(h[f], F.lit(0)) / 10.0
+    known = h["value"].isNotNull() & (F.col("_unknown") == 0)
+    totals = read.join(priced, id_col, "left").select(
+        id_col, F.when(F.col("_s").isNull() | (F.col("_s.picks").isNull() & h.isNull()), "unreadable")
+        .when(F.coalesce(F.col("_n"), F.lit(0)) == 0, "not found").otherwise("ok").alias("status"),
+        F.coalesce(F.col("_n"), F.lit(0)).cast("int").alias("n_picks"), money("bank").alias("bank"),
+        money("value").alias("total_value"), F.col("_s.active_chip").alias("active_chip"),
+        h["overall_rank"].alias("overall_rank"), F.coalesce(h["total_points"], F.lit(0)).alias("total_points"),
+        F.when(known, F.col("_tenths") + F.coalesce(h["bank"], F.lit(0)) == h["value"]).alias("value_ok"))
+    return picks, totals

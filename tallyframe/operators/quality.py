@@ -25,7 +25,7 @@ class Expectations:
     value_ranges: dict = field(default_factory=dict)
 
 
-# Expectation sets of the clean player and fixture tables.
+# Expectation sets of the clean and the raw player and fixture tables.
 PLAYER_SCHEMA = Expectations(
     column_presence=("id", "web_name", "team", "element_type", "total_points", "minutes", "now_cost"),
     not_null=("id", "web_name", "team", "element_type"),
@@ -37,6 +37,25 @@ PLAYER_SCHEMA = Expectations(
         "now_cost": {"min": 30, "max": 200},
     },
 )
+RAW_PLAYER_SCHEMA = Expectations(
+    column_presence=("id", "web_name", "team", "element_type", "total_points", "minutes"),
+    not_null=("id", "web_name", "team"),
+    unique=("id",),
+    value_ranges={
+        "total_points": {"min": -10, "max": 300},
+        "minutes": {"min": 0, "max": 5000},
+        "element_type": {"allowed": [1, 2, 3, 4]},
+    },
+)
+RAW_FIXTURE_SCHEMA = Expectations(
+    column_presence=("id", "event", "team_h", "team_a", "team_h_difficulty", "team_a_difficulty"),
+    not_null=("id", "team_h", "team_a"),
+    unique=("id",),
+    value_ranges={
+        "team_h_difficulty": {"min": 1, "max": 5},
+        "team_a_difficulty": {"min": 1, "max": 5},
+    },
+)
 FIXTURE_SCHEMA = Expectations(
     column_presence=("id", "gameweek", "home_team", "away_team", "home_difficulty", "away_difficulty"),
     not_null=("id", "gameweek", "home_team", "away_team"),

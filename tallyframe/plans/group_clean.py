@@ -311,3 +311,93 @@ def _contract_sql():
 
 
 oracle("contract_report", _contract_sql(), "v_dashboard")
+
+
+# --- Q12: the raw sets ---------------------------------------------------------------------------
+
+@query("raw_expectations")
+def _(c: Context):
+    """Q12: raw players and raw fixtures, with faults put in, against their
+    expectation sets (allowed values, bounds, required columns)."""
+    players = _clean_players(c).drop("now_cost")
+    players = players.withColumn("web_name", F.when(F.col("id") % 53 != 0, F.col("web_name")))
+    f = c.fixtures.withColumnRenamed("fixture_id", "id")
+    fixtures = f.select(
+        "id", "event", F.when(F.col("id") % 47 != 0, F.col("team_h")).alias("team_h"), "team_a",
+        (F.col("team_h_difficulty") + F.when(F.col("id") % 43 == 0, 4).otherwise(0)).alias("team_h_difficulty"),
+        (F.col("team_a_difficulty") - F.when(F.col("id") % 41 == 0, 4).otherwise(0)).alias("team_a_difficulty"))
+    out = None
+    for name, df, exp in (("players", players, quality.RAW_PLAYER_SCHEMA),
+                          ("fixtures", fixtures, quality.RAW_FIXTURE_SCHEMA)):
+        assert not quality.missing_columns(df, exp)
+        part = quality.record_checks(df, exp, "id").select(
+            F.lit(name).alias("dataset"), "id", F.explode(F.concat("errors", "warnings")).alias("message"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _says(dataset: str, src: str, col: str, bad: str, text: str) -> str:
+    return (f"SELECT '{dataset}' AS dataset, id, 'Record ' || CAST(id AS VARCHAR) || ': {col}=' || CAST({col} AS VARCHAR) "
+            f"|| ' {text}' AS message FROM {src} WHERE {bad}")
+
+
+def _null(dataset: str, src: str, col: str) -> str:
+    return (f"SELECT '{dataset}', id, 'null value in required column ' || chr(39) || '{col}' || chr(39) FROM {src} "
+            f"WHERE {col} IS NULL")
+
+
+oracle("raw_expectations", """
+SELECT * FROM (WITH p AS (
+  SELECT player_id AS id, CASE WHEN player_id % 53 <> 0 THEN web_name END AS web_name, team_id AS team, element_type,
+         total_points, minutes FROM v_players),
+f AS (
+  SELECT fixture_id AS id, CASE WHEN fixture_id % 47 <> 0 THEN team_h END AS team_h, team_a,
+         team_h_difficulty + CASE WHEN fixture_id % 43 = 0 THEN 4 ELSE 0 END AS team_h_difficulty,
+         team_a_difficulty - CASE WHEN fixture_id % 41 = 0 THEN 4 ELSE 0 END AS team_a_difficulty FROM v_fixtures)
+""" + "\nUNION ALL\n".join(
+    [_says("players", "p", "total_points", "total_points < -10", "below min -10"),
+     _says("players", "p", "total_points", "total_points > 300", "above max 300"),
+     _says("players", "p", "minutes", "minutes < 0", "below min 0"),
+     _says("players", "p", "minutes", "minutes > 5000", "above max 5000"),
+     _says("players", "p", "element_type", "element_type NOT IN (1, 2, 3, 4)", "not in allowed values [1, 2, 3, 4]")]
+    + [_null("players", "p", x) for x in ("id", "web_name", "team")]
+    + [_says("fixtures", "f", x, f"{x} < 1", "below min 1") for x in ("team_h_difficulty", "team_a_difficulty")]
+    + [_says("fixtures", "f", x, f"{x} > 5", "above max 5") for x in ("team_h_difficulty", "team_a_difficulty")]
+    + [_null("fixtures", "f", x) for x in ("id", "team_h", "team_a")]) + ")", "v_players", "v_fixtures")
+
+
+# --- X1: names with accents -------------------------------------------------------------------------
+
+# Fixed values of the stand-in: letters of one source and how the fold reads
+# them (letters without a decomposition are dropped).
+ACCENTED = {"u": "\u00fc", "o": "\u00f6", "e": "\u00e9", "n": "\u00f1", "c": "\u00e7"}
+
+
+def _accented(name):
+    for plain, letter in ACCENTED.items():
+        name = F.replace(name, F.lit(plain), F.lit(letter))
+    return name
+
+
+@query("accented_names")
+def _(c: Context):
+    """Second-source stats joined to names written with accents, with
+    an \u00d8 in front (dropped by the fold) and as one ligature letter."""
+    ss = clean.coerce(standins.second_source(c.t), {"xG": "DOUBLE", "shots": "DOUBLE"})
+    k = F.col("player_id")
+    p = c.players.select(
+        "player_id", F.when(k % 3 == 0, _accented(F.col("web_name"))).otherwise(F.col("web_name")).alias("web_name"),
+        F.concat(F.when(k % 5 == 0, "\u00d8").otherwise(""), _accented(F.col("first_name")), F.lit(" "),
+                 F.col("second_name"), F.when(k % 7 == 0, "\ufb01").otherwise("")).alias("full_name"))
+    j = clean.fallback_name_join(p, ss, "full_name", "web_name", "player_name", "src_pos", ["xG"])
+    return j.select("player_id", "matched_on", clean.normalise_name("full_name").alias("full_key"),
+                    clean.normalise_name("web_name").alias("short_key"), F.col("xG").alias("xg"))
+
+
+oracle("accented_names", f"""
+SELECT p.player_id, CASE WHEN f.xg IS NOT NULL THEN 'full' WHEN s.xg IS NOT NULL THEN 'short' END AS matched_on,
+       p.nf AS full_key, p.ns AS short_key, CASE WHEN f.xg IS NOT NULL THEN f.xg ELSE s.xg END AS xg
+FROM (SELECT player_id, {_NORM.format('web_name')} AS ns,
+             {_NORM.format("first_name || ' ' || second_name || CASE WHEN player_id % 7 = 0 THEN 'fi' ELSE '' END")} AS nf
+      FROM v_players) p
+LEFT JOIN v_ss_dedup f ON p.nf = f.key LEFT JOIN v_ss_dedup s ON p.ns = s.key""", "v_players", "v_ss_dedup")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators import quality
+from tallyframe.operators import evals, quality
 from tallyframe.plans.catalog import query
 from tallyframe.plans.context import Context
 from tallyframe.plans.oracle import oracle
@@ -97,15 +97,11 @@ MAX_CASES = 10
 
 @query("eval_case_filter")
 def _(c: Context):
-    """O10, in part: case selection by categories (no explicit ids), then the
-    max-cases cap (the cap is the feature); an empty selection is an error."""
+    """Case selection by categories, then the max-cases cap (the cap is
+    the feature); an empty selection is an error."""
     from tallyframe.plans.group_ledger import cases_runs
     cases, _runs = cases_runs(c)
-    sel = cases.where(F.col("category").isin(CASE_CATEGORIES))
-    out = sel.orderBy("case_id").limit(MAX_CASES).select("case_id", "category")
-    if out.limit(1).count() == 0:
-        raise ValueError("no eval cases selected")
-    return out
+    return evals.filter_cases(cases, categories=CASE_CATEGORIES, max_cases=MAX_CASES).select("case_id", "category")
 
 
 oracle("eval_case_filter", f"""
@@ -114,6 +110,23 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
 WHERE 'cat' || CAST(conv_id % 11 AS VARCHAR) IN ({", ".join(f"'{x}'" for x in CASE_CATEGORIES)})
 ORDER BY conv_id LIMIT {MAX_CASES}""")
 
+# Ids of the explicit selection; those above the table's are not found.
+CASE_IDS = [3, 5, 8, 12, 999_999_999]
+
+
+@query("eval_case_ids")
+def _(c: Context):
+    """Explicit ids win over categories."""
+    from tallyframe.plans.group_ledger import cases_runs
+    cases, _runs = cases_runs(c)
+    return evals.filter_cases(cases, ids=CASE_IDS, categories=CASE_CATEGORIES, max_cases=MAX_CASES).select(
+        "case_id", "category")
+
+
+oracle("eval_case_ids", f"""
+SELECT DISTINCT conv_id AS case_id, 'cat' || CAST(conv_id % 11 AS VARCHAR) AS category FROM conversations
+WHERE conv_id IN ({", ".join(map(str, CASE_IDS))})""")
+
 # Fixed values of the export gate: columns the snapshot must carry and
 # names that must be present.
 EXPORT_COLUMNS = ["player_id", "web_name", "team_name", "position", "price", "composite_score", "form_trend"]

@@ -377,13 +377,17 @@ def _(c: Context):
 
 view("v_deltas", ("v_history",), """
 SELECT player_id, round_even(max(CASE WHEN gameweek = 30 THEN composite_score END)
-                           - max(CASE WHEN gameweek = 1 THEN composite_score END), 1) AS delta
+                           - max(CASE WHEN gameweek = 1 THEN composite_score END), 1) AS delta,
+       round_even(max(CASE WHEN gameweek = 30 THEN price END)
+                  - max(CASE WHEN gameweek = 1 THEN price END), 1) AS price_delta,
+       round_even(max(CASE WHEN gameweek = 30 THEN ownership_pct END)
+                  - max(CASE WHEN gameweek = 1 THEN ownership_pct END), 1) AS ownership_delta
 FROM v_history WHERE gameweek IN (1, 30) GROUP BY player_id
 HAVING count(CASE WHEN gameweek = 1 THEN 1 END) > 0 AND count(CASE WHEN gameweek = 30 THEN 1 END) > 0""")
 oracle("movers", """
-SELECT * FROM (SELECT 'riser' AS kind, player_id, delta FROM v_deltas ORDER BY delta DESC, player_id LIMIT 5)
+SELECT * FROM (SELECT 'riser' AS kind, * FROM v_deltas ORDER BY delta DESC, player_id LIMIT 5)
 UNION ALL
-SELECT * FROM (SELECT 'faller' AS kind, player_id, delta FROM v_deltas ORDER BY delta ASC, player_id LIMIT 5)""",
+SELECT * FROM (SELECT 'faller' AS kind, * FROM v_deltas ORDER BY delta ASC, player_id LIMIT 5)""",
        "v_deltas")
 
 # --- breakdown, radar, banding -------------------------------------------------------------------
@@ -489,7 +493,7 @@ view("v_buy_cands", ("v_picks", "v_dashboard"), f"""
 SELECT * FROM (
   SELECT s.player_id AS sell_id, b.player_id AS buy_id,
          CAST(row_number() OVER (PARTITION BY s.player_id ORDER BY b.composite_score DESC, b.player_id) AS INTEGER) AS rank,
-         {_verdict_sql('s', 'b')} AS verdict
+         {_verdict_sql('s', 'b')} AS verdict, round_even(s.price - b.price, 1) AS price_delta
   FROM v_picks s JOIN v_dashboard b ON s.position = b.position AND s.player_id <> b.player_id
   WHERE s.recommendation = 'sell') x
 WHERE rank <= 50""")
@@ -507,16 +511,31 @@ def _(c: Context):
     return _cands_buy(c)
 
 
-oracle("buy_candidates", "SELECT sell_id, rank, buy_id, verdict FROM v_buy_cands", "v_buy_cands")
+oracle("buy_candidates", "SELECT sell_id, rank, buy_id, verdict, price_delta FROM v_buy_cands", "v_buy_cands")
 
 
 @query("transfer_verdict")
 def _(c: Context):
-    """The verdict for each sell and its best replacement."""
-    return _cands_buy(c).where(F.col("rank") == 1).select("sell_id", "buy_id", "verdict")
+    """The verdict and the price delta for each sell and its best
+    replacement."""
+    return _cands_buy(c).where(F.col("rank") == 1).select("sell_id", "buy_id", "verdict", "price_delta")
 
 
-oracle("transfer_verdict", "SELECT sell_id, buy_id, verdict FROM v_buy_cands WHERE rank = 1", "v_buy_cands")
+oracle("transfer_verdict", "SELECT sell_id, buy_id, verdict, price_delta FROM v_buy_cands WHERE rank = 1",
+       "v_buy_cands")
+
+
+@query("score_pyramid")
+def _(c: Context):
+    """Score components of each sell (mirrored) and its best replacement."""
+    return ins.score_pyramid(_cands_buy(c).where(F.col("rank") == 1), c.dashboard_shared)
+
+
+oracle("score_pyramid", "\nUNION ALL\n".join(
+    f"SELECT v.sell_id, v.buy_id, '{x}' AS component, 0.0::DOUBLE - coalesce(s.{x}, 0.0::DOUBLE) AS sell, "
+    f"coalesce(b.{x}, 0.0::DOUBLE) AS buy FROM v_buy_cands v JOIN v_dashboard s ON v.sell_id = s.player_id "
+    f"JOIN v_dashboard b ON v.buy_id = b.player_id WHERE v.rank = 1" for x in ins.COMPONENTS),
+    "v_buy_cands", "v_dashboard")
 
 
 @query("transfer_hub")
@@ -530,6 +549,19 @@ SELECT CAST(row_number() OVER (ORDER BY coalesce(fdr_next_3, 3.0::DOUBLE), playe
        player_id, recommendation, coalesce(fdr_next_3, 3.0::DOUBLE) AS sort_value
 FROM v_picks ORDER BY coalesce(fdr_next_3, 3.0::DOUBLE), player_id LIMIT 30""", "v_picks")
 
+
+@query("transfer_hub_filtered")
+def _(c: Context):
+    """The 30 best-scored midfielders to sell."""
+    return ins.transfer_hub(c.picks_shared, "composite_score", 30, recommendation="sell", position="MID")
+
+
+oracle("transfer_hub_filtered", """
+SELECT CAST(row_number() OVER (ORDER BY coalesce(composite_score, 0.0::DOUBLE) DESC, player_id) AS INTEGER) AS rank,
+       player_id, recommendation, coalesce(composite_score, 0.0::DOUBLE) AS sort_value
+FROM v_picks WHERE recommendation = 'sell' AND position = 'MID'
+ORDER BY coalesce(composite_score, 0.0::DOUBLE) DESC, player_id LIMIT 30""", "v_picks")
+
 # --- gameweek resolve, coverage, profile, distribution, ownership, headline ----------------------
 
 

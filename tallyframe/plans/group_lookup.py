@@ -151,21 +151,21 @@ FROM embeddings e JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROU
 
 view("v_knn_b", (), f"""SELECT vec_id AS bid, {_UNIT.format(e='embedding')} AS bu FROM embeddings""")
 
-oracle("knn_exact", f"""
+_KNN_SQL = f"""
 SELECT query_id, rank, vec_id, similarity FROM (
   SELECT q.qid AS query_id, b.bid AS vec_id, round_even({_DOT.format(a='q.qu', b='b.bu')}, 6) AS similarity,
          CAST(row_number() OVER (PARTITION BY q.qid ORDER BY round_even({_DOT.format(a='q.qu', b='b.bu')}, 6) DESC,
                                  b.bid) AS INTEGER) AS rank
   FROM v_knn_q q JOIN v_knn_b b ON q.qid <> b.bid) x
-WHERE rank <= 5""", "v_knn_q", "v_knn_b")
+WHERE rank <= 5"""
+oracle("knn_exact", _KNN_SQL, "v_knn_q", "v_knn_b")
+oracle("knn_cells", _KNN_SQL, "v_knn_q", "v_knn_b")
 
 
 @query("knn_cells")
 def _(c: Context):
-    """J11 approximate: k-means cells (about sqrt(n)), 3 probes, exact re-rank
-    (rows-only; recall against knn_exact is tested)."""
-    return lookup.knn_cells(knn_queries(c), c.t.embeddings, 5, "vec_id", "vec_id", "embedding",
-                            n_cells=16, probes=3)
+    """J11 by cells with radius bounds: the same neighbours as knn_exact."""
+    return lookup.knn_cells(knn_queries(c), c.t.embeddings, 5, "vec_id", "vec_id", "embedding", n_cells=16)
 
 
 # --- S14 S16 --------------------------------------------------------------------------------
@@ -314,3 +314,46 @@ SELECT squad_id,
        coalesce(string_agg(web_name, ', ' {_ORD}) FILTER (WHERE is_captain), '') AS captain,
        coalesce(string_agg(web_name, ', ' {_ORD}) FILTER (WHERE is_vice_captain), '') AS vice_captain
 FROM v_picks_long GROUP BY squad_id""", "v_picks_long")
+
+
+# --- S17: whole squad documents ----------------------------------------------------------------------
+
+@query("squad_totals")
+def _(c: Context):
+    """Squad documents read into picks and totals; the totals, with the
+    picks' value held against the document's."""
+    k = F.col("squad_id")
+    priced = c.t.lineitem.select(
+        F.col("l_orderkey").alias("squad_id"), (F.col("l_suppkey") * 15 + F.col("l_linenumber")).alias("player_id")) \
+        .join(c.players.select("player_id", "now_cost"), "player_id").groupBy("squad_id").agg(
+            F.sum("now_cost").alias("cost"))
+    docs = squads(c).join(priced, "squad_id", "left")
+    bank = (k % 50).cast("int")
+    history = F.struct(bank.alias("bank"), (F.coalesce("cost", F.lit(0)) + bank + F.when(k % 9 == 0, 1).otherwise(0))
+                       .cast("int").alias("value"), (k % 900).cast("int").alias("total_points"),
+                       F.when(k % 8 != 0, k * 3).alias("overall_rank"))
+    text = F.concat(
+        F.lit('{"picks":'), F.when(k % 21 == 0, "[]").otherwise(F.col("picks_json")),
+        F.when(k % 11 == 0, "").otherwise(F.concat(F.lit(',"entry_history":'), F.to_json(history))),
+        F.when(k % 5 == 0, ',"active_chip":"bboost"').otherwise(""), F.lit("}"))
+    docs = docs.select("squad_id", F.when(k % 31 == 0, "<html>").otherwise(text).alias("squad_json"))
+    return lookup.squad_documents(docs, _squad_players(c))[1]
+
+
+oracle("squad_totals", """
+SELECT * FROM (WITH li AS (
+  SELECT l_orderkey AS k, count(*) AS n, count(*) - count(p.player_id) AS unknown, sum(p.now_cost) AS cost,
+         sum(round_even(p.now_cost / 10.0::DOUBLE, 1) * 10) AS tenths, count(t.team_id) AS teams
+  FROM lineitem l LEFT JOIN v_players p ON l.l_suppkey * 15 + l.l_linenumber = p.player_id
+  LEFT JOIN v_teams t ON p.team_id = t.team_id GROUP BY l_orderkey),
+s AS (SELECT *, k % 31 = 0 AS bad, k % 21 = 0 AS none, k % 11 = 0 AS bare, k % 50 AS b,
+             coalesce(cost, 0) + k % 50 + CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END AS v FROM li)
+SELECT k AS squad_id, CASE WHEN bad THEN 'unreadable' WHEN none THEN 'not found' ELSE 'ok' END AS status,
+       CAST(CASE WHEN bad OR none THEN 0 ELSE n END AS INTEGER) AS n_picks,
+       CASE WHEN bad OR bare THEN 0.0::DOUBLE ELSE b / 10.0::DOUBLE END AS bank,
+       CASE WHEN bad OR bare THEN 0.0::DOUBLE ELSE v / 10.0::DOUBLE END AS total_value,
+       CASE WHEN NOT bad AND k % 5 = 0 THEN 'bboost' END AS active_chip,
+       CASE WHEN NOT bad AND NOT bare AND k % 8 <> 0 THEN k * 3 END AS overall_rank,
+       CAST(CASE WHEN bad OR bare THEN 0 ELSE k % 900 END AS INTEGER) AS total_points,
+       CASE WHEN NOT bad AND NOT none AND NOT bare AND n = teams THEN tenths + b = v END AS value_ok
+FROM s)""", "v_players", "v_teams")

@@ -12,7 +12,7 @@ import __spark_entry__ as E
 from tallyframe.sources.tables import TABLE_NAMES
 from tests.conftest import SF_SMALL
 
-ROWS_ONLY = {"knn_cells"}
+ROWS_ONLY: set = set()
 
 
 def core(names):
