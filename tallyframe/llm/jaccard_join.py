@@ -45,7 +45,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm._text import digest64, mix64, runs, shingle_sets, text_column
@@ -239,7 +239,13 @@ def linked_documents(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     labelled = shared.select("sig", "key", "n").join(comp, F.col("key") == F.col("node"), "left").select(
         "sig", "key", "n", F.coalesce("root", "key").alias("root"))
     labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    # Lists with the same members give the same pairs (documents that share a
+    # passage share a list for each of its tokens): one of each such set stays.
+    # Sets are told apart by size and two 64-bit digests.
+    mixed = (labelled.groupBy("sig").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("two"))
+        .where("lo <> hi").groupBy("size", "one", "two").agg(F.min("sig").alias("sig")))
     lanes = marks.select(F.col("key").alias("_k"), *[_lane(i).alias(f"lane{i}") for i in range(LANES)])
     left = stored(labelled.join(mixed.select("sig"), "sig", "left_semi").join(lanes, F.col("key") == F.col("_k"))
                   .drop("_k"), "mixed")
@@ -266,16 +272,29 @@ def linked_documents(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """The document with the smallest ``doc_id`` of each component, with all
-    columns.  Rows alike in ``doc_id`` and text stay once; a null ``doc_id``
-    counts as the largest."""
-    found = linked_documents(docs, shingle_words)
-    kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_jj_id")).distinct())
-    number = Window.partitionBy("doc_id", "_jj_text").orderBy(F.lit(0))
-    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_jj_id")), "left_semi")
-            .withColumn("_jj_text", F.xxhash64("text")).withColumn("_jj_n", F.row_number().over(number))
-            .where("_jj_n = 1").select(docs.columns))
+    """One row of each component, with all columns: that of the smallest
+    ``doc_id`` (null last), of rows alike in it the one of the smallest text
+    digest and number.  Rows without any words are linked with nothing; of
+    those alike in ``doc_id`` and text one stays.
+
+    Rows are numbered in a written table and components found over the
+    numbers, so repeated and null ids decide nothing but which row stays.
+    """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "numbered-documents")
+    # The texts are written once, with a number for every row.
+    docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                F.monotonically_increasing_id().alias("no")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    found = linked_documents(rows.select(F.col("no").alias("doc_id"), F.col("row.text").alias("text")), shingle_words)
+    found = found.select(F.col("doc_id").alias("no"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"))
+    ids = spark.read.parquet(path).select("no", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text"))
+    alone = lambda x: F.when(F.col("c").isNull(), F.col(x))  # noqa: E731 - only rows without words are told by id and text
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text", "no")
+    # A partial aggregate: a component of any size is one row a task.
+    stays = (found.join(ids, "no").groupBy("c", alone("id").alias("i"), alone("text").alias("t"))
+             .agg(F.min(order).alias("least")).select(F.col("least.no").alias("no")))
+    return rows.join(stays, "no", "left_semi").select("row.*")
 
 
 def _admissible(pairs: DataFrame) -> DataFrame:

@@ -290,8 +290,7 @@ def filter_quality(docs: DataFrame, field: Field, min_words: int = MIN_WORDS,
     def task(batches):
         for b in batches:
             col = text_column(b)
-            keep = [judge(col, lo, hi)["kept"] for lo, hi in runs(col)]
-            if keep:
-                yield b.filter(pa.array(np.concatenate(keep)))
+            for lo, hi in runs(col):  # small batches out: one run is held beside its input
+                yield b.slice(lo, hi - lo).filter(pa.array(judge(col, lo, hi)["kept"]))
 
     return docs.mapInArrow(task, docs.schema)

@@ -85,12 +85,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def kept(make_docs, rows):
+    return sorted(((r.doc_id, r.text) for r in jj.keep_one(make_docs(rows)).collect()), key=repr)
+
+
 def test_keep_one_and_empty(make_docs):
-    rows = [(5, text_of(1, 40)), (3, text_of(1, 40)), (3, text_of(1, 40)), (9, text_of(2, 40)), (8, None), (None, "a")]
-    kept = jj.keep_one(make_docs(rows))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted([r.doc_id for r in kept.collect()], key=repr) == sorted([3, 9, 8, None], key=repr)
-    assert jj.linked_documents(make_docs([])).count() == 0
+    one, two = text_of(1, 40), text_of(2, 40)
+    rows = [(5, one), (3, one), (3, one), (9, two), (8, None), (None, "a")]
+    docs = make_docs(rows).withColumnRenamed("lang", "no").withColumnRenamed("source", "row")
+    assert jj.keep_one(docs).columns == ["doc_id", "text", "no", "row", "n_chars"]
+    assert kept(make_docs, rows) == sorted([(3, one), (9, two), (8, None), (None, "a")], key=repr)
+    assert jj.linked_documents(make_docs([])).count() == 0 and jj.keep_one(make_docs([])).count() == 0
+
+
+def test_keep_one_with_repeated_and_null_ids(make_docs):
+    a, b = text_of(1, 40), text_of(2, 40)
+    near = a.replace("x.", "x.", 1) + " tail"  # linked with a, another text
+    assert kept(make_docs, [(1, a), (None, a), (None, b)]) == [(1, a), (None, b)]
+    assert kept(make_docs, [(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept(make_docs, [(5, b), (5, a), (5, a), (7, near)]) == sorted([(5, a), (5, b)], key=repr)
+    assert len(kept(make_docs, [(None, a), (None, near), (None, b)])) == 2
+    blank = [(4, ""), (4, ""), (4, None), (6, " "), (None, ""), (None, "")]
+    assert kept(make_docs, blank) == sorted([(4, ""), (4, None), (6, " "), (None, "")], key=repr)
 
 
 def test_query_against_brute_force(spark):

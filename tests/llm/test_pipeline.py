@@ -12,7 +12,7 @@ from tests.llm import brute
 def test_catalogue():
     import __spark_entry__ as E
     names = E.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality rules", "line dedup", "n-gram Jaccard join", "mixing sources", "packing"]
 
