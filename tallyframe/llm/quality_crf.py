@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._text import Words, mix64, runs, span_hashes, text_bytes, text_column, windows
+from tallyframe.llm._text import RUN_BYTES, Words, mix64, runs, span_hashes, text_bytes, text_column, windows
 
 MIN_WORDS = 50
 MIN_CONTENT = 0.5
@@ -290,7 +290,9 @@ def filter_quality(docs: DataFrame, field: Field, min_words: int = MIN_WORDS,
     def task(batches):
         for b in batches:
             col = text_column(b)
-            for lo, hi in runs(col):  # small batches out: one run is held beside its input
+            # Whole rows pass through here beside the measures: runs of 1 MB take
+            # about 100 MB of working memory, of 4 MB 350.
+            for lo, hi in runs(col, RUN_BYTES // 4):
                 yield b.slice(lo, hi - lo).filter(pa.array(judge(col, lo, hi)["kept"]))
 
     return docs.mapInArrow(task, docs.schema)
