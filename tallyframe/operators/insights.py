@@ -164,8 +164,9 @@ def movers(history: DataFrame, first_gw, last_gw, k: int = 5, season: str | None
     """J13+O9: first-vs-last gameweek delta within a season without a
     self-join (one aggregate with conditional ``max``), players missing either
     end dropped; the top-k risers and fallers by score, with the deltas of
-    price and ownership."""
+    price and ownership where the history has them."""
     measures = {"composite_score": "delta", "price": "price_delta", "ownership_pct": "ownership_delta"}
+    measures = {m: out for m, out in measures.items() if m in history.columns}
     ends = [F.max(F.when(F.col("gameweek") == gw, F.col(m))).alias(f"_{side}_{m}")
             for side, gw in (("f", first_gw), ("l", last_gw)) for m in measures]
     seen = [F.count_if(F.col("gameweek") == gw).alias(f"_{side}") for side, gw in (("f", first_gw), ("l", last_gw))]
