@@ -9,15 +9,23 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tallyframe.llm._text import runs
 
 END_ID = 1
 # Chunks kept by one Python worker; beyond it those met once or twice go.
 CACHE_CHUNKS = 700_000
-_SLICE_CHARS = 1 << 22
-# How the tokenizer cuts a lower-case ASCII chunk: fixed by its file.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_SLICE_BYTES = 1 << 22
+# Chunks of these characters alone are cut before they are learnt: none of them
+# joins a neighbour when normalised.
+_PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+# How the tokenizer cuts such a chunk in lower case: fixed by its file.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 def default_tokenizer() -> str:
@@ -95,76 +103,89 @@ class Encoder:
             return self._put_each(words)
         self._put(words, np.diff(close, prepend=-1), ids)
 
-    def _learn(self, words: set[str]) -> None:
-        letters = {w for w in words if w.isalpha()}
-        odd, parts = [], {}
-        for w in words - letters:
-            if w.isascii() and w.isprintable() and "<" not in w and w == w.lower():
-                parts[w] = _PIECES.findall(w)
+    def _learn(self, words: list[str]) -> None:
+        letters, odd, plain, flat, counts = [], [], [], [], []
+        for w in words:
+            if w.isalpha():
+                letters.append(w)
+            elif "<" not in w and _PLAIN.fullmatch(w):
+                found = _PIECES.findall(w.lower())
+                plain.append(w)
+                flat += found
+                counts.append(len(found))
             else:
                 odd.append(w)
-        pieces = {p for x in parts.values() for p in x} - self._at.keys()
-        letters |= {p for p in pieces if p.isalpha()}
+        pieces = set(flat).difference(letters) - self._at.keys()
+        letters += [p for p in pieces if p.isalpha()]
         odd += [p for p in pieces if not p.isalpha()]
-        letters = list(letters)
         for i in range(0, len(letters), 5_000):
             self._put_letters(letters[i:i + 5_000])
         for i in range(0, len(odd), 5_000):
             self._put_each(odd[i:i + 5_000])
-        parts = {w: x for w, x in parts.items() if w not in self._at}
-        if parts:
-            n = np.fromiter(map(len, parts.values()), np.int64, len(parts))
-            ids, lens = self._gather(np.fromiter((self._at[p] for x in parts.values() for p in x), np.int64, n.sum()))
-            self._put(list(parts), np.add.reduceat(lens, np.cumsum(n) - n), ids)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if plain:  # one made of a single piece is known by now and gets the same ids
+            n = np.asarray(counts)
+            ids, lens = self._gather(np.fromiter(map(self._at.__getitem__, flat), np.int64, len(flat)))
+            fresh = [w not in self._at for w in plain]
+            keep = np.asarray(fresh)
+            ids = ids[np.repeat(np.repeat(keep, n), lens)]
+            self._put([w for w, f in zip(plain, fresh) if f], np.add.reduceat(lens, np.cumsum(n) - n)[keep], ids)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one end id after each, and each text's offset
         in them (one more entry at the end)."""
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         out, counts = [], []
-        lo, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= _SLICE_CHARS or i == len(texts) - 1:
-                ids, n = self._slice(texts[lo:i + 1])
-                out.append(ids)
-                counts.append(n)
-                lo, size = i + 1, 0
-        off = np.zeros(len(texts) + 1, np.int64)
+        for lo, hi in runs(col, _SLICE_BYTES):
+            ids, n = self._slice(col.slice(lo, hi - lo))
+            out.append(ids)
+            counts.append(n)
+        off = np.zeros(len(col) + 1, np.int64)
         if not out:
             return np.zeros(0, np.uint32), off
         np.cumsum(np.concatenate(counts), out=off[1:])
         return (out[0] if len(out) == 1 else np.concatenate(out)), off
 
-    def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _known(self, words: list[str]) -> np.ndarray:
+        """Places of the chunks in the cache, -1 for those not in it."""
+        return np.fromiter(map(self._at.get, words, repeat(-1)), np.int64, len(words))
+
+    def _slice(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # "<|" may start a special token, whose letters must stay as they are.
-        chunks = [list(filter(None, (t if "<|" in t else _ascii_lower(t)).replace("\n", " ").split(" ")))
-                  for t in texts]
-        new = set().union(*chunks) - self._at.keys()
-        if new:
-            if len(self._at) + len(new) > self._max:
-                self._thin_out(len(new))
-                new = set().union(*chunks) - self._at.keys()
-            self._learn(new)
+        # A-Z are lower-cased; other letters are left to the tokenizer.
+        lower = pc.if_else(pc.match_substring(col, "<|"), col, pc.ascii_lower(col))
+        chunks = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+        off = np.asarray(chunks.offsets)
+        coded = chunks.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         # The end id closes each text: as a chunk of its own, the empty one.
         if "" not in self._at:
             self._put([""], np.ones(1, np.int64), np.asarray([END_ID], np.uint32))
-        get, end = self._at.__getitem__, self._at[""]
-        n_words = sum(map(len, chunks)) + len(texts)
-        which = np.empty(n_words, np.int64)
-        at, close = 0, []
-        for c in chunks:
-            which[at:at + len(c)] = list(map(get, c))
-            at += len(c)
-            which[at] = end
-            close.append(at)
-            at += 1
+        known = self._known(words)
+        fresh = np.flatnonzero(known < 0)
+        if len(self._at) + len(fresh) > self._max:
+            self._thin_out(len(fresh))
+            if "" not in self._at:
+                self._put([""], np.ones(1, np.int64), np.asarray([END_ID], np.uint32))
+            known = self._known(words)
+            fresh = np.flatnonzero(known < 0)
+        if len(fresh):
+            new = [words[i] for i in fresh.tolist()]
+            self._learn(new)
+            known[fresh] = self._known(new)
+        end = self._at[""]
+        # Chunks between separators that follow each other are empty and go.
+        which = known[code]
+        full = which != end
+        n_chunks = np.concatenate([[0], np.cumsum(full)])[off - off[0]]
+        which = np.insert(which[full], n_chunks[1:], end)
         self._met[:len(self._at)] += np.bincount(which, minlength=len(self._at)).astype(np.int32)
         ids, lens = self._gather(which)
-        return ids, np.diff(np.cumsum(lens)[np.asarray(close, np.int64)], prepend=0)
+        close = n_chunks[1:] + np.arange(len(col))
+        return ids, np.diff(np.cumsum(lens)[close], prepend=0)
 
 
 def _ascii_lower(t: str) -> str:
-    """A-Z lower-cased; other letters are left to the tokenizer."""
+    """A-Z lower-cased; other letters stay."""
     return t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 

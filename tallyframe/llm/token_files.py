@@ -61,7 +61,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         for b in batches:
             col = text_column(b)
             for lo, hi in runs(col):  # small results: few ids are held at a time
-                ids, off = encoder(tokenizer).encode(col.slice(lo, hi - lo).to_pylist())
+                ids, off = encoder(tokenizer).encode(col.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(lo, hi - lo),
                      pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.view(np.int32))),
