@@ -18,10 +18,14 @@ tier are then dealt, by descending attention cost (sum of squared piece
 lengths), back and forth over step groups of equal token counts.
 
 A packing group is the documents of one Spark task, closed whenever it
-reaches ``group_tokens``: the work is one pass over the input with no
-shuffle, memory is bounded by the group, no key can be hot, and a redone task
-gives the same pieces and sequence ids.  Padding is below ``2048 /
-group_tokens`` for each full group.
+reaches ``group_tokens``: one pass over the input, memory bounded by the
+group, no key that can be hot, and a redone task gives the same pieces and
+sequence ids.  Of a task's last group the one short window is not padded: its
+pieces (below a longest window of ids a task) are packed again together with
+those of as many tasks as make up ``group_tokens``.  So padding is below
+``2048 / group_tokens`` of the ids, and one window more, however the input is
+split into tasks.  The pieces are written to shared storage between the two
+passes.
 
 Defined cases: a null text is the empty text (its end id alone); null
 ``doc_id`` is carried through; repeated rows are packed as often as they
@@ -37,9 +41,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyframe.llm._text import runs, text_column
 from tallyframe.llm._tokens import encoder
+from tallyframe.session import scratch_path
 
 TIERS = (256, 512, 1024, 2048)
 GROUP_TOKENS = 8_000_000
@@ -136,6 +142,30 @@ def _laid_out(seqs: list, step_tokens: int) -> dict[str, np.ndarray]:
             "offset": ends - flat[:, 2] - (ends - flat[:, 2])[first], "tier": tier[seq], "step": step[seq]}
 
 
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+_SCHEMA = ", ".join(f"{c} long" for c in _NAMES) + ", ids array<int>"
+# Above the numbers of all tasks: sequences of the second pass.
+_SECOND = 1 << 62
+
+
+def _piece_rows(plan: dict[str, np.ndarray], doc_ids: pa.Array, ids: np.ndarray, off: np.ndarray, before: np.ndarray,
+                doc_tokens: np.ndarray, seq0: int, step0: int, with_ids: np.ndarray) -> list[pa.Array]:
+    """Columns of ``_SCHEMA``.  Of each packed item: its ids (between the
+    offsets ``off``), how many of its document come ``before``, and the
+    document's ``doc_tokens``.  ``with_ids``: the pieces that carry their ids."""
+    doc, length = plan["doc"], plan["length"]
+    lo = off[doc] + plan["start"]
+    crc = [zlib.crc32(ids[a:b]) for a, b in zip(lo.tolist(), (lo + length).tolist())]
+    n = np.where(with_ids, length, 0)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(lo - ends[:-1], n) + np.arange(ends[-1])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[at].view(np.int32)),
+                                     mask=pa.array(~with_ids))
+    return [doc_ids.take(pa.array(doc)), pa.array(before[doc] + plan["start"]), pa.array(length),
+            pa.array(crc, pa.int64()), pa.array(doc_tokens[doc]), pa.array(seq0 + plan["seq"]),
+            pa.array(plan["offset"]), pa.array(plan["tier"]), pa.array(step0 + plan["step"]), lists]
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS,
          group_tokens: int = GROUP_TOKENS, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``,
@@ -143,47 +173,55 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
     the piece's ``ids`` if asked for.  Sequence and step ids are unique over
     the whole result (the task's number in the high bits)."""
 
-    def rows(doc_ids, ids, off, seq0, step0):
-        p = plan_group(np.diff(off), tiers, step_tokens)
-        lo = off[p["doc"]] + p["start"]
-        hi = lo + p["length"]
-        crc = [zlib.crc32(ids[a:b]) for a, b in zip(lo.tolist(), hi.tolist())]
-        cols = [doc_ids.take(pa.array(p["doc"])), pa.array(p["start"]), pa.array(p["length"]),
-                pa.array(crc, pa.int64()), pa.array(np.diff(off)[p["doc"]]), pa.array(seq0 + p["seq"]),
-                pa.array(p["offset"]), pa.array(p["tier"]), pa.array(step0 + p["step"])]
-        if with_ids:
-            ends = np.concatenate([[0], np.cumsum(p["length"])])
-            at = np.repeat(lo - ends[:-1], p["length"]) + np.arange(ends[-1])
-            cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[at].view(np.int32))))
-        return p["seq"].max() + 1, p["step"].max() + 1, pa.RecordBatch.from_arrays(cols, names)
-
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
-    names += ["ids"] * with_ids
-
     def pack_task(batches):
         seq = step = TaskContext.get().partitionId() << 40
         held, tokens = [], 0
 
-        def close():
+        def close(last):
             nonlocal seq, step
-            off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, _, o in held]))])
-            n, m, out = rows(pa.concat_arrays([d for d, _, _ in held]),
-                             np.concatenate([i for _, i, _ in held]).astype("<u4", copy=False), off, seq, step)
-            seq, step = seq + int(n), step + int(m)
-            return out
+            n = np.concatenate([np.diff(o) for _, _, o in held])
+            p = plan_group(n, tiers, step_tokens)
+            short = np.bincount(p["seq"], weights=p["length"])[p["seq"]] < p["tier"]
+            left = short if last else np.zeros(len(short), bool)
+            out = _piece_rows(p, pa.concat_arrays([d for d, _, _ in held]),
+                              np.concatenate([i for _, i, _ in held]).astype("<u4", copy=False),
+                              np.concatenate([[0], np.cumsum(n)]), np.zeros(len(n), np.int64), n, seq, step,
+                              left | with_ids)
+            seq, step = seq + int(p["seq"].max()) + 1, step + int(p["step"].max()) + 1
+            return pa.RecordBatch.from_arrays([*out, pa.array(left)], [*_NAMES, "ids", "left_over"])
 
         for b in batches:
             col = text_column(b)
             for lo, hi in runs(col):
-                ids, off = encoder(tokenizer).encode(col.slice(lo, hi - lo).to_pylist())
-                held.append((b.column("doc_id").slice(lo, hi - lo), ids, off))
-                tokens += len(ids)
                 if tokens >= group_tokens:
-                    yield close()
+                    yield close(False)
                     held, tokens = [], 0
+                ids, off = encoder(tokenizer).encode(col.slice(lo, hi - lo))
+                held.append((b.column("doc_id").slice(lo, hi - lo), ids, off))
+                tokens += len(ids)
         if held:
-            yield close()
-
-    schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-              "offset long, tier long, step_group long" + ", ids array<int>" * with_ids)
-    return docs.select("doc_id", "text").mapInArrow(pack_task, schema)
+            yield close(True)
+
+    def pack_left(key, table):
+        # The same order in a redone task, whichever way the rows arrive.
+        table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).combine_chunks()
+        n = table.column("length").to_numpy()
+        base = _SECOND + (key[0].as_py() << 40)
+        p = plan_group(n, tiers, step_tokens)
+        ids = table.column("ids").combine_chunks().flatten().to_numpy().view("<u4")
+        out = _piece_rows(p, table.column("doc_id").combine_chunks(), ids, np.concatenate([[0], np.cumsum(n)]),
+                          table.column("start").to_numpy(), table.column("doc_tokens").to_numpy(), base, base,
+                          np.full(len(p["doc"]), with_ids))
+        return pa.Table.from_arrays(out, [*_NAMES, "ids"])
+
+    spark = docs.sparkSession
+    path = scratch_path(spark, "packed")
+    docs.select("doc_id", "text").mapInArrow(pack_task, _SCHEMA + ", left_over boolean").write.parquet(path)
+    pieces = spark.read.schema(_SCHEMA + ", left_over boolean").parquet(path)
+    # A group of tasks leaves at most ``group_tokens`` ids.
+    together = max(1, group_tokens // max(tiers))
+    task = F.shiftright("sequence_id", 40)
+    left = (pieces.where("left_over").drop("left_over")
+            .groupBy(F.floor(task / together).cast("long").alias("tasks")).applyInArrow(pack_left, _SCHEMA))
+    out = pieces.where("not left_over").drop("left_over").unionByName(left)
+    return out if with_ids else out.drop("ids")

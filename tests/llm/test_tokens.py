@@ -166,3 +166,34 @@ def test_packing_odd_rows(make_docs):
     assert all(len(r.ids) == r.length and crc(r.ids) == r.ids_crc32 for r in got)
     assert {r.doc_id for r in got} == {1, 2, 4, None}
     assert packing.pack(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_padding_does_not_follow_the_split(make_docs, parts):
+    rows = [(i, text_of(i, 20 + i % 90)) for i in range(200)] + [(None, text_of(7, 3000))]
+    got = packing.pack(make_docs(rows).repartition(parts), with_ids=True).collect()
+    total, cover = {}, {}
+    for r in got:
+        assert len(r.ids) == r.length and crc(r.ids) == r.ids_crc32
+        total.setdefault(r.sequence_id, []).append((r.offset, r.length, r.tier))
+        cover.setdefault(r.doc_id, []).append((r.start, list(r.ids)))
+    for (d, _), ids in zip(rows, library_ids([t for _, t in rows])):
+        pieces = sorted(cover[d])
+        assert [x for _, p in pieces for x in p] == ids
+        assert [a for a, _ in pieces] == [0, *np.cumsum([len(p) for _, p in pieces])[:-1].tolist()]
+    short = 0
+    for c in total.values():
+        c.sort()
+        assert [a for a, _, _ in c] == [0, *np.cumsum([n for _, n, _ in c])[:-1].tolist()]
+        short += sum(n for _, n, _ in c) < c[0][2]
+    assert short <= 1
+
+
+def test_short_windows_of_many_tasks_are_packed_in_bounded_groups(make_docs):
+    rows = [(i, text_of(i, 60)) for i in range(64)]
+    got = packing.pack(make_docs(rows).repartition(32), group_tokens=4 * 2048).collect()
+    total = {}
+    for r in got:
+        total[r.sequence_id, r.tier] = total.get((r.sequence_id, r.tier), 0) + r.length
+    assert sum(r.length for r in got) == sum(map(len, library_ids([t for _, t in rows])))
+    assert sum(n < tier for (_, tier), n in total.items()) <= 32 // 4
