@@ -12,7 +12,8 @@ that rules allow or block).  A character's probability after the last
 t(ctx) being the number of different characters seen after the context, down
 to a uniform distribution.  A URL's figure is the mean log-ratio of the two
 models over its characters, so long URLs are not favoured.  The cut is
-calibrated on a fold of the judged URLs that the models have not seen: it lies
+calibrated on a fold of the judged URLs that the models have not seen (one at
+least of each group that has two different URLs): it lies
 between the two groups' means, at the same number of standard deviations from
 both.
 
@@ -123,8 +124,8 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, folds: int = FOLDS)
     texts = (urls.withColumn("text", model_text(F.col("host"), F.col("path"), order))
              .groupBy("text").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("allowed"),
                                   F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked"))
-             .withColumn("unseen", F.pmod(F.xxhash64("text"), F.lit(folds)) == 0))
-    texts = stored(texts, "texts")
+             .withColumn("hash", F.xxhash64("text")))
+    texts = stored(with_fold(stored(texts, "texts"), folds), "folds")
     learn = grams(texts.where(~F.col("unseen") & (F.col("allowed") + F.col("blocked") > 0)), order)
     counts = stored(learn.groupBy("gram").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")),
                     "counts")
@@ -147,16 +148,33 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, folds: int = FOLDS)
             .select("page_id", "host", "path", "rule", F.coalesce("ruled", "_v").alias("verdict"), "ratio"))
 
 
+def with_fold(texts: DataFrame, folds: int) -> DataFrame:
+    """``unseen`` in place of ``hash``: the texts kept from the models, one of
+    ``folds`` by hash.  Of each group the first text by (hash modulo folds,
+    hash) is always unseen and the last never, so that a group of two texts or
+    more has both kinds."""
+    place = F.struct(F.pmod("hash", F.lit(folds)).alias("fold"), "hash", "text")
+    held = {g: F.when(F.col(g) > 0, place) for g in ("allowed", "blocked")}
+    ends = texts.agg(*[f(c).getField("text").alias(f"{n}_{g}") for g, c in held.items()
+                       for n, f in (("first", F.min), ("last", F.max))])
+
+    def one_of(n):
+        return F.coalesce(*[F.nullif(F.col("text") == F.col(f"{n}_{g}"), F.lit(False)) for g in held], F.lit(False))
+    unseen = ((F.pmod("hash", F.lit(folds)) == 0) | one_of("first")) & ~one_of("last")
+    return texts.crossJoin(F.broadcast(ends)).select("text", "allowed", "blocked", unseen.alias("unseen"))  # one row
+
+
 def calibrated_cut(rated: DataFrame) -> DataFrame:
     """One row, ``cut``: as many standard deviations below the mean ratio of
-    unseen accepted URLs as above that of unseen rejected ones; null if either
-    is missing."""
-    def moments(weight: str):
-        w = F.when(F.col("unseen"), F.col(weight)).otherwise(0)
-        n = F.sum(w)
-        mean = F.sum(w * F.col("ratio")) / F.nullif(n, F.lit(0))
-        square = F.sum(w * F.col("ratio") * F.col("ratio")) / F.nullif(n, F.lit(0))
-        return mean, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))) + 1e-6
+    unseen accepted URLs as above that of unseen rejected ones.  A group with
+    no unseen URL counts with all it has; null if a group has none."""
+    def moments(group: str):
+        def over(w):
+            n = F.nullif(F.sum(w), F.lit(0))
+            mean = F.sum(w * F.col("ratio")) / n
+            return mean, F.sqrt(F.greatest(F.sum(w * F.col("ratio") * F.col("ratio")) / n - mean * mean, F.lit(0.0)))
+        kept, every = over(F.when(F.col("unseen"), F.col(group)).otherwise(0)), over(F.col(group))
+        return F.coalesce(kept[0], every[0]), F.coalesce(kept[1], every[1]) + 1e-6
     (m_a, s_a), (m_b, s_b) = moments("allowed"), moments("blocked")
     return rated.agg(m_a.alias("m_a"), s_a.alias("s_a"), m_b.alias("m_b"), s_b.alias("s_b")).select(
         ((F.col("m_a") * F.col("s_b") + F.col("m_b") * F.col("s_a")) / (F.col("s_a") + F.col("s_b"))).alias("cut"))

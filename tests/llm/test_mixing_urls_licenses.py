@@ -210,6 +210,20 @@ def test_ratios_and_cut_against_brute_force(spark):
     assert ma > cut > mb
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_few_judged_urls_still_give_a_cut(spark, n):
+    rows = ([(i, f"http://wiki{i}.org/fr/science/history/{i}") for i in range(n)]
+            + [(10 + i, f"http://casino{i}.net/win/poker/bonus{i}") for i in range(n)]
+            + [(20, "http://pokerwin.com/win/poker/bonus"), (21, "http://wiki.com/fr/science/history")])
+    got = {r.page_id: r.verdict for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[20] == "block" and got[21] == "allow"
+    texts = spark.createDataFrame([(f"t{i}", int(i % 2), int(1 - i % 2), h) for i, h in enumerate([5, 10, 6, 15, 7, 1])],
+                                  "text string, allowed long, blocked long, hash long")
+    fold = {r.text: r.unseen for r in uf.with_fold(texts, 5).collect()}
+    # Accepted: 10, 15, 1; rejected: 5, 6, 7.
+    assert fold == {"t0": True, "t1": True, "t2": False, "t3": True, "t4": False, "t5": False}
+
+
 def test_urls_without_both_groups_and_empty(spark):
     one = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.com/y")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in uf.judge(one).collect()} == {1: "block", 2: "allow"}
