@@ -125,13 +125,14 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, folds: int = FOLDS)
              .groupBy("text").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("allowed"),
                                   F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked"))
              .withColumn("hash", F.xxhash64("text")))
-    texts = stored(with_fold(stored(texts, "texts"), folds), "folds")
+    texts = with_fold(stored(texts, "texts"), folds)
     learn = grams(texts.where(~F.col("unseen") & (F.col("allowed") + F.col("blocked") > 0)), order)
     counts = stored(learn.groupBy("gram").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")),
                     "counts")
     wanted = stored(grams(texts.select("text"), order).distinct(), "grams")
-    side = {g: log_probabilities(counts.where(F.col(g) > 0).select("gram", F.col(g).alias("n")), wanted, order)
-            .withColumnRenamed("logp", g) for g in ("allowed", "blocked")}
+    # Written one after the other: the driver holds the plan of one model at a time.
+    side = {g: stored(log_probabilities(counts.where(F.col(g) > 0).select("gram", F.col(g).alias("n")), wanted, order)
+                      .withColumnRenamed("logp", g), f"model-{g}") for g in ("allowed", "blocked")}
     ratio = stored(side["allowed"].join(side["blocked"], "gram").select(
         F.col("gram").alias("_gram"), (F.col("allowed") - F.col("blocked")).alias("step")), "ratios")
     rated = (grams(texts.select("text", F.col("text").alias("url_text")), order)
@@ -153,15 +154,15 @@ def with_fold(texts: DataFrame, folds: int) -> DataFrame:
     ``folds`` by hash.  Of each group the first text by (hash modulo folds,
     hash) is always unseen and the last never, so that a group of two texts or
     more has both kinds."""
-    place = F.struct(F.pmod("hash", F.lit(folds)).alias("fold"), "hash", "text")
-    held = {g: F.when(F.col(g) > 0, place) for g in ("allowed", "blocked")}
-    ends = texts.agg(*[f(c).getField("text").alias(f"{n}_{g}") for g, c in held.items()
-                       for n, f in (("first", F.min), ("last", F.max))])
+    place = F.struct(F.pmod("hash", F.lit(folds)).alias("fold"), "hash")
+    # One row of four hashes comes to the driver.
+    ends = texts.agg(*[f(F.when(F.col(g) > 0, place)).getField("hash").alias(f"{n}_{g}")
+                       for g in ("allowed", "blocked") for n, f in (("first", F.min), ("last", F.max))]).first()
 
     def one_of(n):
-        return F.coalesce(*[F.nullif(F.col("text") == F.col(f"{n}_{g}"), F.lit(False)) for g in held], F.lit(False))
+        return F.col("hash").isin([v for k, v in ends.asDict().items() if k.startswith(n) and v is not None])
     unseen = ((F.pmod("hash", F.lit(folds)) == 0) | one_of("first")) & ~one_of("last")
-    return texts.crossJoin(F.broadcast(ends)).select("text", "allowed", "blocked", unseen.alias("unseen"))  # one row
+    return texts.select("text", "allowed", "blocked", unseen.alias("unseen"))
 
 
 def calibrated_cut(rated: DataFrame) -> DataFrame:
