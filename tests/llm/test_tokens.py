@@ -45,6 +45,12 @@ def test_any_text(texts):
     assert split(*encoder().encode(texts)) == library_ids(texts)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aZé ÀÿßñÓ×÷µª9',.<|>\n\t\u0301\xa0", max_size=40), min_size=1, max_size=5))
+def test_latin_letters_and_marks(texts):
+    assert split(*Encoder(cache_chunks=200).encode(texts)) == library_ids(texts)
+
+
 def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
