@@ -4,7 +4,9 @@ averages, upcoming-fixture attachment, difficulty grid and rolling swing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Default difficulty and the unknown-team placeholders.
@@ -78,8 +80,13 @@ def fixture_fdr(rows: DataFrame) -> DataFrame:
         F.avg("fdr").alias("fdr_next_6"))
 
 
+# Parts of a team's players: a team's fixtures are joined to each part apart.
+PLAYER_PARTS = 16
+
+
 def upcoming_fixtures(players: DataFrame, fixtures: DataFrame, teams: DataFrame,
-                      gameweek: int, window: int = 5) -> DataFrame:
+                      gameweek: int, window: int = 5,
+                      shown: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
     """Each player with their team's fixtures of ``gameweek < event <=
     gameweek + window``, sorted by (event, kickoff, id).
 
@@ -87,6 +94,9 @@ def upcoming_fixtures(players: DataFrame, fixtures: DataFrame, teams: DataFrame,
     window) and joined to the players as an array: as many rows out as
     players, whatever the window.  A team without fixtures gives an empty
     array.
+
+    ``shown`` makes other columns of that array in its place; they are made
+    once per team, not for each of its players.
     """
     f = fixtures.where(F.col("event").isNotNull() & (F.col("event") > gameweek)
                        & (F.col("event") <= gameweek + window))
@@ -95,9 +105,14 @@ def upcoming_fixtures(players: DataFrame, fixtures: DataFrame, teams: DataFrame,
     item = F.struct("gameweek", "kickoff_time", "fixture_id", F.col("opp_name").alias("opponent"), "is_home",
                     F.col("fdr").cast("int").alias("fdr"))
     per_team = rows.groupBy("team_id").agg(F.array_sort(F.collect_list(item)).alias("upcoming"))
-    joined = players.select("player_id", "team_id").join(per_team, "team_id", "left")
-    empty = F.array().cast(per_team.schema["upcoming"].dataType)
-    return joined.select("player_id", "team_id", F.coalesce("upcoming", empty).alias("upcoming"))
+    cols = shown or (lambda c: {"upcoming": c})
+    none = cols(F.array().cast(per_team.schema["upcoming"].dataType))
+    per_team = per_team.select("team_id", *[c.alias(name) for name, c in cols(F.col("upcoming")).items()])
+    # A few teams have all the players: each team's are spread over PLAYER_PARTS.
+    per_team = per_team.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PLAYER_PARTS - 1).cast("long"))))
+    p = players.select("player_id", "team_id", F.pmod(F.xxhash64("player_id"), F.lit(PLAYER_PARTS)).alias("_part"))
+    joined = p.join(per_team, ["team_id", "_part"], "left")
+    return joined.select("player_id", "team_id", *[F.coalesce(name, c).alias(name) for name, c in none.items()])
 
 
 def fixture_grid(rows: DataFrame, teams_df: DataFrame) -> DataFrame:

@@ -124,9 +124,9 @@ def _(c: Context):
 def _(c: Context):
     """Each player with their team's fixtures of the next 5 gameweeks
     (the sorted array shown as text)."""
-    up = fx.upcoming_fixtures(c.players, c.fixtures_window(5), c.teams, c.gw, 5)
-    shown = F.transform("upcoming", lambda x: F.concat_ws(
-        "|", x["gameweek"].cast("string"), x["fixture_id"].cast("string"), x["opponent"],
-        F.when(x["is_home"], "H").otherwise("A"), x["fdr"].cast("string")))
-    return up.select("player_id", "team_id", F.size("upcoming").cast("bigint").alias("n_fixtures"),
-                     F.array_join(shown, ";").alias("upcoming"))
+    def shown(upcoming):
+        text = F.transform(upcoming, lambda x: F.concat_ws(
+            "|", x["gameweek"].cast("string"), x["fixture_id"].cast("string"), x["opponent"],
+            F.when(x["is_home"], "H").otherwise("A"), x["fdr"].cast("string")))
+        return {"n_fixtures": F.size(upcoming).cast("bigint"), "upcoming": F.array_join(text, ";")}
+    return fx.upcoming_fixtures(c.players, c.fixtures_window(5), c.teams, c.gw, 5, shown)
