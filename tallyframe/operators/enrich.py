@@ -97,8 +97,8 @@ def containment_matches(names: DataFrame, docs: DataFrame, entity: str, name: st
     nm = spark.read.schema(nm.schema).parquet(path)
     dl = docs.select("*", F.lower(text).alias("_text"))
     dl = dl.withColumn("_did", F.xxhash64(*[F.col(f"`{c}`") for c in dl.columns]))
-    # One exchange of the texts serves the tokenising (spread over all tasks,
-    # whatever the files' splits) and the verification join.
+    # The texts are spread over all tasks, whatever the files' splits, for the
+    # tokenising and the verification join.
     dl = dl.repartition("_did")
     # (1) Word blocking.  A word strictly inside a name (not its first or
     # last token) is bounded by separators inside the name, so wherever the
@@ -107,41 +107,62 @@ def containment_matches(names: DataFrame, docs: DataFrame, entity: str, name: st
     nt = nm.select("_nid", "_name", toks.alias("_t"))
     inner = nt.where(F.size("_t") >= 3).select(
         "_nid", "_name", F.explode(F.array_distinct(F.slice("_t", 2, F.size("_t") - 2))).alias("_g"))
-    def words(d):
-        return d.select("_did", F.explode(F.array_distinct(
-            F.regexp_extract_all(F.col("_text"), F.lit(_WORD), 0))).alias("_g"))
-
-    dwords = words(dl)
+    # (2) needs what stands around a separator: up to k characters of the words
+    # on either side.  Both lists are made once for each text, and written: the
+    # joins below read them, not the texts.
+    tail = f"(?:{_IN}{{{k}}}|(?<!{_IN}){_IN}{{1,{max(k - 1, 1)}}})"
+    path = scratch_path(spark, "words")
+    dl.select("_did", F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(_WORD), 0)).alias("_words"),
+              F.array_distinct(F.regexp_extract_all(
+                  F.col("_text"), F.lit(f"(?=({tail}{_OUT}+{_IN}{{1,{k}}}))"), 1)).alias("_around")).write.parquet(path)
+    parts = spark.read.schema("_did long, _words array<string>, _around array<string>").parquet(path)
+    dwords = parts.select("_did", F.explode("_words").alias("_g"))
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        """Names by key, written first: the planner then knows their size, which
+        spares the texts' words an exchange if the list is short enough."""
+        at = scratch_path(spark, name)
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
     wanted = inner.select("_g").distinct()
     # Word rarity only steers the choice (any interior word is lossless), so
-    # it is estimated on a fixed-seed sample of the texts: the full texts are
-    # tokenised once, for the candidate join below.
-    freq = words(dl.sample(fraction=freq_sample, seed=17)).join(wanted, "_g", "left_semi") \
+    # it is estimated on a fixed-seed sample of the texts.
+    freq = parts.sample(fraction=freq_sample, seed=17).select(F.explode("_words").alias("_g")) \
+        .join(wanted, "_g", "left_semi") \
         .groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
     pick = (inner.join(freq, "_g", "left")
                  .groupBy("_nid", "_name")
                  .agg(F.min_by("_g", F.struct(F.coalesce(F.col("_df"), F.lit(0)), F.col("_g"))).alias("_g")))
-    cand = dwords.join(pick, "_g", "inner").select("_did", "_nid", "_name")
+    cand = dwords.join(stored(pick, "inner-words"), "_g", "inner").select("_did", "_nid", "_name")
     # (2) Two words: where "ab cd" occurs, a word of the text ends in "ab" and
     # the next one, behind the same separators, begins with "cd".  The key is
-    # what stands around the separators, up to k characters on either side;
-    # only the few pairs of side lengths present among the names are made.
+    # what stands around the separators, up to k characters on either side; the
+    # few pairs of side lengths present among the names are looked for in the
+    # vocabulary of what stands there.
     two = nt.where(F.size("_t") == 2).select(
         "_nid", "_name", F.least(F.length(F.get("_t", 0)), F.lit(k)).alias("_i"),
         F.least(F.length(F.get("_t", 1)), F.lit(k)).alias("_j"))
-    for i, j in sorted(two.select("_i", "_j").distinct().collect()):  # at most k * k pairs of lengths
-        around = F.lit(f"(?=({_IN}{{{i}}}{_OUT}+{_IN}{{{j}}}))")
-        want = two.where((F.col("_i") == i) & (F.col("_j") == j)).select(
-            "_nid", "_name", F.regexp_extract("_name", f"({_IN}{{{i}}}{_OUT}+{_IN}{{{j}}})", 1).alias("_g"))
-        have = dl.select("_did", F.explode(F.array_distinct(F.regexp_extract_all("_text", around, 1))).alias("_g"))
-        cand = cand.unionByName(have.join(want, "_g").select("_did", "_nid", "_name"))
+    lengths = [tuple(r) for r in sorted(two.select("_i", "_j").distinct().collect())]  # at most k * k pairs
+    if lengths:
+        key_of = lambda c, i, j: F.regexp_extract(c, f"({_IN}{{{i}}}{_OUT}+{_IN}{{{j}}})", 1)
+        want = two.select("_nid", "_name", F.coalesce(*[
+            F.when((F.col("_i") == i) & (F.col("_j") == j), key_of("_name", i, j)) for i, j in lengths]).alias("_g"))
+        around = parts.select("_did", F.explode("_around").alias("_a"))
+        hold = around.select("_a").distinct().select("_a", F.explode(F.array(
+            *[key_of("_a", i, j) for i, j in lengths])).alias("_g")).where("_g <> ''").join(want, "_g")
+        hold = stored(hold.select("_a", "_nid", "_name").distinct(), "around")
+        cand = cand.unionByName(around.join(hold, "_a").select("_did", "_nid", "_name"))
     # (3) One word: it lies inside a word of the text.  Words that hold it are
-    # found once in the vocabulary, which is much smaller than the texts.
+    # found once in the vocabulary, which is much smaller than the texts.  Where
+    # the name has a separator before (behind) its word, the text has it too:
+    # its word begins (ends) with the name's.
     one = nt.where(F.size("_t") == 1).select("_nid", "_name", F.get("_t", 0).alias("_s"))
     if not one.isEmpty():
         hold = _by_grams(one, dwords.select(F.col("_g").alias("_key"), F.col("_g").alias("_h")).distinct(), k)
-        cand = cand.unionByName(dwords.join(hold.withColumnRenamed("_key", "_g"), "_g")
-                                .select("_did", "_nid", "_name"))
+        word, key, name_ = F.regexp_extract("_name", f"({_WORD})", 1), F.col("_key"), F.col("_name")
+        hold = hold.where((name_.startswith(word) | key.startswith(word)) & (name_.endswith(word) | key.endswith(word)))
+        hold = stored(hold.withColumnRenamed("_key", "_g"), "one-word")
+        cand = cand.unionByName(dwords.join(hold, "_g").select("_did", "_nid", "_name"))
     # (4) No word at all (separators only): character grams of the texts.
     none = nt.where(F.size("_t") == 0).select("_nid", "_name", F.col("_name").alias("_s"))
     if not none.isEmpty():

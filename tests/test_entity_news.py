@@ -44,3 +44,24 @@ def test_short_or_full_name_over_title_and_summary(spark):
                    (("Nobody", 0), []), (("Saka", 1), saka), (("Saka", 1), saka)]
     empty, none = enrich.entity_articles(ent, art.where(F.lit(False)), "short", "first", "second")
     assert [r.news_articles for r in enrich.attach_articles(empty, none, ["source"], ["aid"]).collect()] == [[]] * 6
+
+
+def test_names_with_separators_on_a_side(spark):
+    names = [" an", "an ", " an ", "an", "o c", "ab  de", "xab de", "ab dex", "a-1", "ß é"]
+    docs = ["ban", "an x", "x an", "x an y", "xan y", "y anx", "foo cab de", "ab  de", "xxab dexx", "qab de", "a b", "b a-1",
+            "1a-12", "Maß élan", "ß  é", "o c", "oo cc", ""]
+    nm = spark.createDataFrame(list(enumerate(names)), "nid int, name string")
+    dd = spark.createDataFrame(list(enumerate(docs)), "did int, body string")
+    want = {(n, d) for n, a in enumerate(names) for d, t in enumerate(docs) if a in t.lower()}
+    for k in (1, 2, 3):
+        assert {tuple(r) for r in enrich.containment_join(nm, dd, "nid", "name", "did", "body", k=k).collect()} == want
+
+
+def test_the_texts_are_read_for_their_words_once(spark, monkeypatch):
+    asked = []
+    real = enrich.F.regexp_extract_all
+    monkeypatch.setattr(enrich.F, "regexp_extract_all", lambda c, *a: (asked.append(str(c)), real(c, *a))[1])
+    nm = spark.createDataFrame(list(enumerate(NAMES)), "nid int, name string")
+    dd = spark.createDataFrame(list(enumerate(texts(20))), "did int, body string")
+    enrich.containment_join(nm, dd, "nid", "name", "did", "body")
+    assert sum("_text" in c for c in asked) == 2  # the words, and what stands around the separators
