@@ -61,13 +61,35 @@ def _count(values: str, broken: str) -> str:
     return f"size(filter({values}, x -> {broken}))"
 
 
-def _walk(rule: Rule, path: str, values: str, out: list) -> None:
-    filled = f"filter({values}, x -> not is_variant_null(x))"
-    good = f"filter({values}, x -> not is_variant_null(x) and {_is_kind('x', rule.kind)})"
+class _Nodes:
+    """Array columns of a contract's nodes, in layers: each layer is made from
+    the columns of those before, so a node's values are taken from the document
+    once, however many rules look at them."""
+
+    def __init__(self, document: str):
+        self.document, self.layers, self.rules = document, [], []
+
+    def column(self, depth: int, text: str) -> str:
+        while len(self.layers) <= depth:
+            self.layers.append([])
+        name = f"{self.document}_{sum(map(len, self.layers))}"
+        self.layers[depth].append((name, text))
+        return name
+
+    def add_to(self, df: DataFrame) -> DataFrame:
+        for layer in self.layers:
+            df = df.select("*", *[F.expr(text).alias(name) for name, text in layer])
+        return df
+
+
+def _walk(rule: Rule, path: str, values: str, nodes: _Nodes, depth: int = 0) -> None:
+    values = nodes.column(depth, values)
+    good = nodes.column(depth + 1, f"filter({values}, x -> not is_variant_null(x) and {_is_kind('x', rule.kind)})")
     number, text = _get("x", "double"), _get("x", "string")
+    out = nodes.rules
     if not rule.nullable:
         out.append((path, "null", _count(values, "is_variant_null(x)")))
-    out.append((path, "type", _count(filled, f"not {_is_kind('x', rule.kind)}")))
+    out.append((path, "type", f"size(filter({values}, x -> not is_variant_null(x))) - size({good})"))
     if rule.minimum is not None:
         out.append((path, "minimum", _count(good, f"{number} < {float(rule.minimum)!r}D")))
     if rule.maximum is not None:
@@ -80,7 +102,8 @@ def _walk(rule: Rule, path: str, values: str, out: list) -> None:
         size = f"size({_get('x', 'array<variant>')})" if rule.kind == "list" else f"length({text})"
         out.append((path, "min_length", _count(good, f"{size} < {rule.min_length}")))
     if rule.items is not None:
-        _walk(rule.items, f"{path}[]", f"flatten(transform({good}, x -> {_get('x', 'array<variant>')}))", out)
+        _walk(rule.items, f"{path}[]", f"flatten(transform({good}, x -> {_get('x', 'array<variant>')}))",
+              nodes, depth + 2)
     if rule.closed:
         names = ", ".join(map(_text, rule.fields))
         out.append((path, "unknown_key", _count(good, f"size(array_except(map_keys("
@@ -88,28 +111,30 @@ def _walk(rule: Rule, path: str, values: str, out: list) -> None:
     for name, child in rule.fields.items():
         quote = '"' if "'" in name else "'"
         value = _get("x", "variant", f"$[{quote}{name}{quote}]")
+        held = nodes.column(depth + 2, f"filter(transform({good}, x -> {value}), x -> x is not null)")
         if child.required:
-            out.append((f"{path}.{name}", "missing", _count(good, f"{value} is null")))
-        _walk(child, f"{path}.{name}", f"filter(transform({good}, x -> {value}), x -> x is not null)", out)
+            out.append((f"{path}.{name}", "missing", f"size({good}) - size({held})"))
+        _walk(child, f"{path}.{name}", held, nodes, depth + 3)
 
 
-def broken_rules(document: str, contract: Rule) -> list[tuple[str, str, Column]]:
-    """(path, rule, number of values that break it) of the VARIANT column
-    ``document``.  A document that is no JSON breaks (``$``, ``document``)
-    once and no other rule."""
-    out: list[tuple[str, str, str]] = [("$", "document", f"cast({document} is null as int)")]
-    _walk(contract, "$", f"filter(array({document}), x -> x is not null)", out)
-    return [(path, rule, F.expr(text)) for path, rule, text in out]
+def broken_rules(df: DataFrame, document: str, contract: Rule) -> tuple[DataFrame, list[tuple[str, str, Column]]]:
+    """``df`` with the arrays of the contract's nodes, and (path, rule, number
+    of values that break it) of the VARIANT column ``document``.  A document
+    that is no JSON breaks (``$``, ``document``) once and no other rule."""
+    nodes = _Nodes(document)
+    nodes.rules.append(("$", "document", f"cast({document} is null as int)"))
+    _walk(contract, "$", f"filter(array({document}), x -> x is not null)", nodes)
+    return nodes.add_to(df), [(path, rule, F.expr(text)) for path, rule, text in nodes.rules]
 
 
 def checked_json(df: DataFrame, json_col: str, contract: Rule) -> DataFrame:
     """``df`` with ``broken`` (``path:rule`` of every broken rule, in order)
     and ``is_valid``."""
-    found = [F.when(n > 0, F.lit(f"{path}:{rule}"))
-             for path, rule, n in broken_rules("_document", contract)]
-    out = (df.withColumn("_document", F.try_parse_json(json_col))
-             .withColumn("broken", F.filter(F.array(*found), lambda x: x.isNotNull())))
-    return out.withColumn("is_valid", F.size("broken") == 0).drop("_document")
+    parsed, rules = broken_rules(df.withColumn("_document", F.try_parse_json(json_col)), "_document", contract)
+    found = [F.when(n > 0, F.lit(f"{path}:{rule}")) for path, rule, n in rules]
+    out = parsed.withColumn("broken", F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("broken", "is_valid")], "broken",
+                      (F.size("broken") == 0).alias("is_valid"))
 
 
 def contract_counts(df: DataFrame, contract: Rule, name: str) -> DataFrame:
@@ -118,7 +143,7 @@ def contract_counts(df: DataFrame, contract: Rule, name: str) -> DataFrame:
     from one aggregate; rules that nothing breaks are left out."""
     cols = [f for f in contract.fields if f in df.columns]
     rows = df.select(F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("_document"))
-    rules = broken_rules("_document", contract)
+    rows, rules = broken_rules(rows, "_document", contract)
     per_row = rows.select(*[n.alias(f"r{i}") for i, (_, _, n) in enumerate(rules)])
     sums = per_row.agg(*[F.sum(f"r{i}").cast("long").alias(f"v{i}") for i in range(len(rules))],
                        *[F.count_if(F.col(f"r{i}") > 0).alias(f"d{i}") for i in range(len(rules))])
