@@ -168,13 +168,13 @@ def _chunk():
     return F.least(F.floor((F.dayofmonth("ts") - 1) / 3), F.lit(N_CHUNKS - 1)).cast("int")
 
 
-def _landed_events(c: Context, d: dict, order=None, disordered: bool = False):
+def _deliveries(c: Context, d: dict, order=None, disordered: bool = False):
     """Events as deliveries of three days; disordered: with rows that come one
     delivery late (within the watermark) and rows that come last (behind it)."""
     chunk = _chunk()
     if disordered:
         chunk = F.when(F.expr(_LATE), N_CHUNKS + 1).when(F.expr(_DELAYED), chunk + 1).otherwise(chunk)
-    jobs.land_in_chunks(_events(c), d["landing"], chunk, N_CHUNKS + 2 * disordered, order=order)
+    return jobs.chunk_deliveries(_events(c), d["landing"], chunk, order or range(N_CHUNKS + 2 * disordered))
 
 
 def _ev_out(df):
@@ -196,9 +196,11 @@ def _(c: Context):
     e = _events(c)
     for col, n in _INGEST_FAULTS.items():
         e = e.withColumn(col, F.when(F.col("event_id") % n != 0, F.col(col)))
-    jobs.land_in_chunks(e, d["landing"], _chunk(), N_CHUNKS)
-    jobs.ingest_with_quarantine(c.spark, d["landing"], EVENT_SCHEMA, EVENT_EXPECT, "event_id", d["out"],
-                                d["dlq"], [], d["ckpt"])
+    for n, land in enumerate(jobs.chunk_deliveries(e, d["landing"], _chunk(), range(N_CHUNKS)), 1):
+        land()
+        if n % 4 == 0 or n == N_CHUNKS:  # four deliveries are one batch
+            jobs.ingest_with_quarantine(c.spark, d["landing"], EVENT_SCHEMA, EVENT_EXPECT, "event_id", d["out"],
+                                        d["dlq"], [], d["ckpt"])
     clean = _ev_out(c.spark.read.schema(EVENT_SCHEMA).parquet(d["out"])).withColumn("errors", F.lit(""))
     dlq = c.spark.read.schema("event_id long, record string, errors array<string>").json(d["dlq"])
     bad = dlq.select("*", F.from_json("record", EVENT_SCHEMA.simpleString()).alias("r")).select(
@@ -222,11 +224,13 @@ def _(c: Context):
     comes again at once (known in the state), one comes again weeks later
     (behind the watermark); state is kept for a week of 30 days."""
     d = jobs.fresh_dirs(c.spark, "t2")
-    _landed_events(c, d, order=[0, 1, 1, *range(2, N_CHUNKS), 0])
-    s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=1)
-    s = s.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(["event_id"])
-    w = s.writeStream.format("parquet").option("path", d["out"]).option("checkpointLocation", d["ckpt"])
-    jobs.run_available_now(w, "dedupe")
+    deliveries = _deliveries(c, d, order=[0, 1, 1, *range(2, N_CHUNKS), 0])
+
+    def start():
+        s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=None)
+        s = s.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(["event_id"])
+        return s.writeStream.format("parquet").option("path", d["out"]).option("checkpointLocation", d["ckpt"])
+    jobs.run_deliveries(c.spark, deliveries, start, "dedupe")
     return _ev_out(c.spark.read.schema(EVENT_SCHEMA).parquet(d["out"]))
 
 
@@ -240,15 +244,16 @@ def _(c: Context):
     marker row moves the watermark past every session."""
     from tallyframe.plans.group_ledger import SESSION_GAP
     d = jobs.fresh_dirs(c.spark, "t5s")
-    _landed_events(c, d, disordered=True)
     marker = c.spark.createDataFrame([(-1, None, None, None, None, None)], EVENT_SCHEMA).withColumn(
         "ts", F.lit("2025-01-01 00:00:00").cast("timestamp"))
-    marker.write.mode("append").parquet(d["landing"])
-    s = jobs.session_stream(jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=1),
-                            "user_id", SESSION_GAP, DELAY)
-    w = jobs.per_batch_folders(s, d["out"], lambda batch: batch).outputMode("append") \
-        .option("checkpointLocation", d["ckpt"])
-    jobs.run_available_now(w, "session_windows")
+    deliveries = [*_deliveries(c, d, disordered=True), lambda: marker.write.mode("append").parquet(d["landing"])]
+
+    def start():
+        s = jobs.session_stream(jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=None),
+                                "user_id", SESSION_GAP, DELAY)
+        return jobs.per_batch_folders(s, d["out"], lambda batch: batch).outputMode("append") \
+            .option("checkpointLocation", d["ckpt"])
+    jobs.run_deliveries(c.spark, deliveries, start, "session_windows")
     return c.spark.read.parquet(d["out"]).select("user_id", "session_start", "session_end", "attempts")
 
 
@@ -258,18 +263,20 @@ def _(c: Context):
     runs; rows that arrive behind the watermark do not change a closed day."""
     from tallyframe.plans.group_ledger import EVENT_MODEL
     d = jobs.fresh_dirs(c.spark, "t3")
-    _landed_events(c, d, disordered=True)
-    s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=1)
+    deliveries = _deliveries(c, d, disordered=True)
     model = F.lit("unknown-model")
     for k, v in reversed(list(EVENT_MODEL.items())):
         model = F.when(F.col("event_type") == k, F.lit(v)).otherwise(model)
-    u = s.select("ts", model.alias("model"), F.round(F.col("value") * 100).cast("bigint").alias("tokens"))
-    g = (u.withWatermark("ts", DELAY).groupBy(F.window("ts", "1 day"), "model")
-          .agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("calls")))
-    g = g.select(F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("day"), "model", "tokens", "calls")
     sink = jobs.KeyedRuns(d["out"], ["day", "model"])
-    w = g.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", d["ckpt"])
-    jobs.run_available_now(w, "ledger")
+
+    def start():
+        s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=None)
+        u = s.select("ts", model.alias("model"), F.round(F.col("value") * 100).cast("bigint").alias("tokens"))
+        g = (u.withWatermark("ts", DELAY).groupBy(F.window("ts", "1 day"), "model")
+              .agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("calls")))
+        g = g.select(F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("day"), "model", "tokens", "calls")
+        return g.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", d["ckpt"])
+    jobs.run_deliveries(c.spark, deliveries, start, "ledger")
     return sink.latest(c.spark)
 
 
@@ -282,14 +289,15 @@ FROM v_usage WHERE NOT ({_LATE_SQL}) GROUP BY day, model""", "v_usage")
 def _(c: Context):
     """T5: attempts per user in sliding 1-hour windows every 30 minutes."""
     d = jobs.fresh_dirs(c.spark, "t5")
-    _landed_events(c, d)
-    s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA)
-    g = (s.withWatermark("ts", DELAY).groupBy("user_id", F.window("ts", "60 minutes", "30 minutes"))
-          .agg(F.count(F.lit(1)).alias("attempts")))
-    g = g.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "attempts")
     sink = jobs.KeyedRuns(d["out"], ["user_id", "window_start"])
-    w = g.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", d["ckpt"])
-    jobs.run_available_now(w, "sessions")
+
+    def start():
+        s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=None)
+        g = (s.withWatermark("ts", DELAY).groupBy("user_id", F.window("ts", "60 minutes", "30 minutes"))
+              .agg(F.count(F.lit(1)).alias("attempts")))
+        g = g.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "attempts")
+        return g.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", d["ckpt"])
+    jobs.run_deliveries(c.spark, _deliveries(c, d), start, "sessions", per_batch=4)
     return sink.latest(c.spark)
 
 
@@ -328,12 +336,14 @@ def _(c: Context):
     each micro-batch runs the batch join and writes a folder of its own."""
     d = jobs.fresh_dirs(c.spark, "t6")
     docs = c.t.documents.select("doc_id", "text")
-    jobs.land_in_chunks(docs, d["landing"], (F.col("doc_id") % 3).cast("int"), 3)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
-    s = jobs.stream_files(c.spark, d["landing"], schema)
-    w = jobs.per_batch_folders(s, d["out"], lambda batch: enrich.containment_join(
-        c.t.benchmark, batch, "item_id", "text", "doc_id", "text")).option("checkpointLocation", d["ckpt"])
-    jobs.run_available_now(w, "article_match")
+
+    def start():
+        s = jobs.stream_files(c.spark, d["landing"], schema, files_per_batch=None)
+        return jobs.per_batch_folders(s, d["out"], lambda batch: enrich.containment_join(
+            c.t.benchmark, batch, "item_id", "text", "doc_id", "text")).option("checkpointLocation", d["ckpt"])
+    deliveries = jobs.chunk_deliveries(docs, d["landing"], (F.col("doc_id") % 3).cast("int"), range(3))
+    jobs.run_deliveries(c.spark, deliveries, start, "article_match", per_batch=4)
     return c.spark.read.parquet(d["out"]).select("item_id", "doc_id")
 
 
@@ -347,11 +357,12 @@ def _(c: Context):
     """Latest event per (user, type) kept in a log of sorted runs; each
     micro-batch reduces itself (max_by), runs are compacted level by level."""
     d = jobs.fresh_dirs(c.spark, "t7")
-    _landed_events(c, d)
-    s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA)
     sink = jobs.KeyedRuns(d["out"], ["user_id", "event_type"], ["ts", "event_id"])
-    w = s.writeStream.foreachBatch(sink).option("checkpointLocation", d["ckpt"])
-    jobs.run_available_now(w, "upsert")
+
+    def start():
+        s = jobs.stream_files(c.spark, d["landing"], EVENT_SCHEMA, files_per_batch=None)
+        return s.writeStream.foreachBatch(sink).option("checkpointLocation", d["ckpt"])
+    jobs.run_deliveries(c.spark, _deliveries(c, d), start, "upsert", per_batch=4)
     return _ev_out(sink.latest(c.spark))
 
 

@@ -29,21 +29,40 @@ from tallyframe.session import scratch_path
 
 # --- landing zone -------------------------------------------------------------------------
 
+def chunk_deliveries(df: DataFrame, path: str, chunk_col, order) -> list[Callable[[], None]]:
+    """The deliveries of ``df`` to a landing folder, one call for each chunk of
+    ``order`` (a chunk may come twice).  The rows are dealt to their chunks in
+    one pass; a delivery then reads its own chunk, not the whole table."""
+    c = df.select("*", chunk_col.alias("_chunk"))
+    spark, staged = df.sparkSession, scratch_path(df.sparkSession, "deliveries")
+    c.write.partitionBy("_chunk").parquet(staged)
+    rows = spark.read.schema(c.schema).parquet(staged)
+
+    def deliver(i: int) -> Callable[[], None]:
+        return lambda: rows.where(F.col("_chunk") == i).drop("_chunk").write.mode("append").parquet(path)
+    return [deliver(i) for i in order]
+
+
 def land_in_chunks(df: DataFrame, path: str, chunk_col, n_chunks: int, repeat_chunk: int | None = None,
                    order=None) -> None:
     """Write ``df`` into a landing folder as ``n_chunks`` successive appends
     (files arrive in time order, as a feed would deliver them); optionally
     re-deliver one chunk at the end (duplicates for T2), or deliver the chunks
     of ``order``, one after the other."""
-    c = df.select("*", chunk_col.alias("_chunk"))
     if order is None:
         order = list(range(n_chunks)) + ([repeat_chunk] if repeat_chunk is not None else [])
-    for i in order:
-        c.where(F.col("_chunk") == i).drop("_chunk").write.mode("append").parquet(path)
+    for land in chunk_deliveries(df, path, chunk_col, order):
+        land()
 
 
-def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 4) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream_files(spark: SparkSession, path: str, schema: T.StructType,
+                 files_per_batch: int | None = 4) -> DataFrame:
+    """A stream of the files in ``path``; without ``files_per_batch`` a
+    micro-batch takes all that have landed."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def run_available_now(writer, name: str) -> None:
@@ -55,6 +74,30 @@ def run_available_now(writer, name: str) -> None:
         raise q.exception()
 
 
+def run_deliveries(spark: SparkSession, deliveries, start: Callable[[], object], name: str,
+                   per_batch: int = 1) -> None:
+    """Land ``deliveries`` one after the other; behind every ``per_batch`` of
+    them, and the last, the stream (``start`` makes its writer) goes on from
+    its checkpoint and takes what has landed as ONE micro-batch.  The number of
+    batches follows the deliveries, however many files one of them has.
+
+    Batches without data, which only move on the state, run behind the last."""
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    try:
+        for n, land in enumerate(deliveries, 1):
+            land()
+            if n == len(deliveries):
+                spark.conf.set(setting, before)
+            elif n % per_batch == 0:
+                spark.conf.set(setting, "false")
+            else:
+                continue
+            run_available_now(start(), name)
+    finally:
+        spark.conf.set(setting, before)
+
+
 # --- keyed table as a log of sorted runs (foreachBatch) -----------------------------------------
 
 class KeyedRuns:
@@ -106,10 +149,9 @@ class KeyedRuns:
     def _read(self, spark: SparkSession, runs: list[dict]) -> DataFrame:
         return spark.read.parquet(*[f"{self.root}/{r['path']}" for r in runs])
 
-    def _write(self, df: DataFrame, path: str, partitions: int | None = None) -> None:
-        by = [F.col(k) for k in self.keys]
-        spread = df.repartition(partitions, *by) if partitions else df.repartition(*by)
-        spread.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{self.root}/{path}")
+    def _write(self, df: DataFrame, path: str) -> None:
+        """Rows of a run; those of ``_last`` are already hash-partitioned by key."""
+        df.sortWithinPartitions(*map(F.col, self.keys)).write.mode("overwrite").parquet(f"{self.root}/{path}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -117,9 +159,11 @@ class KeyedRuns:
         if done and batch_id <= done[-1]:
             return  # already committed: replay after a failure
         runs = self.runs(spark)
-        if not batch.isEmpty():
-            path = f"runs/{batch_id:012d}-0"
-            self._write(self._last(batch.withColumn("_batch", F.lit(batch_id).cast("long"))), path)
+        path = f"runs/{batch_id:012d}-0"
+        last = self._last(batch.withColumn("_batch", F.lit(batch_id).cast("long")))
+        self._write(last, path)
+        # The batch is computed once, by the write; an empty run is not listed.
+        if not spark.read.schema(last.schema).parquet(f"{self.root}/{path}").isEmpty():
             runs = [*runs, {"path": path, "level": 0}]
         level = 0
         while len(full := [r for r in runs if r["level"] == level]) >= self.fan_in:
@@ -179,7 +223,7 @@ def ingest_with_quarantine(spark: SparkSession, landing: str, schema: T.StructTy
             .json(f"{dlq_path}/batch={batch_id}")
         checked.unpersist()
 
-    w = stream_files(spark, landing, schema).writeStream.foreachBatch(sink) \
+    w = stream_files(spark, landing, schema, files_per_batch=None).writeStream.foreachBatch(sink) \
         .option("checkpointLocation", f"{ckpt}/stream")
     run_available_now(w, "ingest")
 

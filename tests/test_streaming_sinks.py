@@ -129,3 +129,24 @@ def test_late_rows_after_watermark_are_dropped_in_stream_but_counted_in_batch(sp
     streamed = sum(r.tokens for r in sink.latest(spark).collect())
     batch = on_time.unionByName(late).agg(F.sum("tokens")).first()[0]
     assert streamed == 60 and batch == 1060
+
+
+def test_batches_follow_the_deliveries_not_their_files(spark):
+    import os
+    d = jobs.fresh_dirs(spark, "t-deliveries")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType())])
+    df = spark.range(60).repartition(6).select("id", F.timestamp_seconds(F.col("id") * 3600 + 1_700_000_000).alias("ts"))
+    chunk = F.when(F.col("id") == 1, 3).otherwise(F.floor(F.col("id") / 20)).cast("int")  # row 1 comes last: late
+    deliveries = jobs.chunk_deliveries(df, d["landing"], chunk, [0, 1, 1, 2, 3])
+
+    def start():
+        s = jobs.stream_files(spark, d["landing"], schema, files_per_batch=None)
+        s = s.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["id"])
+        return s.writeStream.format("parquet").option("path", d["out"]).option("checkpointLocation", d["ckpt"])
+    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    jobs.run_deliveries(spark, deliveries, start, "t_deliveries")
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == before
+    files = [f for f in os.listdir(d["landing"]) if f.startswith("part-")]
+    batches = [f for f in os.listdir(d["ckpt"] + "/commits") if f.isdigit()]
+    assert len(files) > 8 and len(batches) <= 6  # five deliveries and one batch without data
+    assert sorted(r.id for r in spark.read.parquet(d["out"]).collect()) == [0, *range(2, 60)]
