@@ -108,9 +108,8 @@ def test_a_node_is_taken_from_the_document_once(spark):
     df = spark.range(2).select(F.to_variant_object(F.struct("id")).alias("_document"))
     out, rules = contracts.broken_rules(df, "_document", contracts.PICK_ROW)
     made = [text for layer in contracts_layers(contracts.PICK_ROW) for _, text in layer]
-    assert sum("$['price']" in t for t in made) == 1 and len(out.columns) == 1 + len(made)
-    # no rule goes back to the document, but the one that asks for it
-    assert [r for _, r, n in rules if "get" in str(n) and r not in ("allowed", "minimum", "maximum")] == []
+    assert sum("price" in t for t in made) == 1 and len(out.columns) == 1 + len(made)
+    assert len(rules) > 40 and not any("schema_of_variant" in str(n) for _, _, n in rules)  # kinds are told once a node
 
 
 def contracts_layers(rule):
