@@ -239,6 +239,22 @@ def test_native_plans(spark, make_docs):
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_url_models_are_planned_in_small_steps(spark, monkeypatch):
+    """The driver never holds more than one order of the models in a plan."""
+    from pyspark.sql import DataFrameWriter
+    plans, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, path, *args, **kwargs)
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.org/fr/y"), (3, "http://c.com/z")],
+                                  "page_id long, url string")
+    plans.append(uf.judge(pages)._jdf.queryExecution().optimizedPlan().toString())
+    assert len(plans) > uf.ORDER
+    assert max(p.count("Join ") for p in plans) <= 2 and max(p.count("Aggregate ") for p in plans) <= 3
+
+
 # --- licenses ---------------------------------------------------------------------------
 
 def naive_hits(text, names=None):
