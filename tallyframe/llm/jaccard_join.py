@@ -26,7 +26,8 @@ From the index to links, without all pairs of a list:
    verified links are joined to components;
 2. lists whose nodes fall into more than one component give their pairs
    across components, of admissible sizes and with folded bitmaps that leave
-   the threshold possible (tested in the join), which are verified too.
+   the threshold possible (tested in the join), each by the first list that
+   both nodes are in, which are verified too.
 
 Verifying drops the pairs whose token bitmaps already rule out the threshold
 (an exact upper bound on the overlap) and compares the whole sets of the rest.
@@ -57,6 +58,7 @@ FREQUENT_CLASSES = 16
 MAX_FREQUENT = 1 << 18
 MIN_COUNT = 24
 LANES = 8  # words of a folded bitmap
+FIRST = 16  # smallest signatures kept with a node
 _COUNT_BLOCK = 2_000_000
 
 
@@ -246,15 +248,15 @@ def linked_documents(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"),
         F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("two"))
         .where("lo <> hi").groupBy("size", "one", "two").agg(F.min("sig").alias("sig")))
-    lanes = marks.select(F.col("key").alias("_k"), *[_lane(i).alias(f"lane{i}") for i in range(LANES)])
-    left = stored(labelled.join(mixed.select("sig"), "sig", "left_semi").join(lanes, F.col("key") == F.col("_k"))
-                  .drop("_k"), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.lane{i}").bitwiseXOR(F.col(f"y.lane{i}"))) for i in range(LANES)), F.lit(0))
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root"))
-                    & (DEN * F.least("x.n", "y.n") >= NUM * F.greatest("x.n", "y.n"))
-                    & _possible(F.col("x.n"), F.col("y.n"), apart)).select(
-        F.col("x.key").alias("a"), F.col("x.n").alias("an"), F.col("y.key").alias("b"), F.col("y.n").alias("bn"))
+    kept = stored(labelled.join(mixed.select("sig"), "sig", "left_semi"), "mixed")
+    # A node's smallest signatures, by which a pair is given once only: at the
+    # first list that both are in.
+    low = kept.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, FIRST).alias("low"))
+    lanes = marks.select("key", *[_lane(i).alias(f"lane{i}") for i in range(LANES)])
+    node = lanes.join(low, "key").withColumnRenamed("key", "_k")
+    left = stored(kept.join(node, F.col("key") == F.col("_k")).drop("_k")
+                  .withColumn("low", F.filter("low", lambda s: s < F.col("sig"))), "sides")
+    across = _across(left)
     tried = spark.read.parquet(f"{root}/pairs-1")
     fresh = stored(_admissible(across).join(tried, ["a", "b"], "left_anti"), "pairs-2")
     close = stored(_close(fresh, marks), "close-2")
@@ -297,6 +299,24 @@ def keep_one(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     return rows.join(stays, "no", "left_semi").select("row.*")
 
 
+def _across(left: DataFrame) -> DataFrame:
+    """Pairs of one list's nodes of different ``root``, of admissible sizes and
+    with folded bitmaps that leave the threshold possible.
+
+    ``low`` are those of the node's ``FIRST`` smallest signatures that are
+    smaller than the row's.  If the two sides share one, the pair is given
+    there, so it is given once; a pair whose first common signature is not
+    among the smallest of both is given by every list that it shares, and
+    never by none.
+    """
+    x, y = left.alias("x"), left.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.lane{i}").bitwiseXOR(F.col(f"y.lane{i}"))) for i in range(LANES)), F.lit(0))
+    return x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root"))
+                  & (DEN * F.least("x.n", "y.n") >= NUM * F.greatest("x.n", "y.n"))
+                  & _possible(F.col("x.n"), F.col("y.n"), apart) & ~F.arrays_overlap("x.low", "y.low")).select(
+        F.col("x.key").alias("a"), F.col("x.n").alias("an"), F.col("y.key").alias("b"), F.col("y.n").alias("bn"))
+
+
 def _admissible(pairs: DataFrame) -> DataFrame:
     """Distinct pairs in one order whose sizes can reach the threshold."""
     ok = (F.col("a") != F.col("b")) & (DEN * F.least("an", "bn") >= NUM * F.greatest("an", "bn"))

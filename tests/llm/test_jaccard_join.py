@@ -61,6 +61,29 @@ def test_signatures_meet_for_every_linked_pair(seed):
             assert len(np.intersect1d(a, b)), (n, len(x), len(y), both, len(frequent))
 
 
+@pytest.mark.parametrize("first", [16, 0])
+def test_pairs_across_components_are_given_once(make_docs, monkeypatch, first):
+    """Texts just below the threshold share very many lists, yet each pair is
+    given by one; what is kept of a node's signatures never loses a pair."""
+    import random
+    monkeypatch.setattr(jj, "FIRST", first, raising=False)
+    base, rows = text_of(3, 800, 10 ** 6).split(), []
+    for i in range(14):
+        w, r = list(base), random.Random(i)
+        for j in r.sample(range(0, 800, 5), 13):
+            w[j] = f"own{i}x{j}"
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w) + " one more")]
+    given, admissible = [], jj._admissible
+
+    def counted(pairs):
+        given.append((pairs.count(), pairs.distinct().count()))
+        return admissible(pairs)
+    monkeypatch.setattr(jj, "_admissible", counted)
+    assert result(jj.linked_documents(make_docs(rows))) == sorted(brute.jaccard(rows), key=repr)
+    made, distinct = given[1]
+    assert distinct > 50 and (made == distinct if first else made > distinct)
+
+
 def test_lists_survive_batch_borders():
     """The same rows in batches of any size give the same index rows."""
     import pyarrow as pa
