@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tallyframe.operators import curate, fixtures as fx
 from tallyframe.plans.context import Context, flat
+from tallyframe.session import long_values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -129,4 +130,6 @@ def _(c: Context):
             "|", x["gameweek"].cast("string"), x["fixture_id"].cast("string"), x["opponent"],
             F.when(x["is_home"], "H").otherwise("A"), x["fdr"].cast("string")))
         return {"n_fixtures": F.size(upcoming).cast("bigint"), "upcoming": F.array_join(text, ";")}
+    # A team's text grows with its fixtures and every player of the team has it.
+    long_values(c.spark, "upcoming")
     return fx.upcoming_fixtures(c.players, c.fixtures_window(5), c.teams, c.gw, 5, shown)

@@ -76,6 +76,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Parquet's writer by default looks at sizes after 100 rows, and keeps distinct
+# values of 1 MB in all before it writes every row's value out in full.
+_LONG_VALUES = {
+    "parquet.page.size.row.check.min": "16",
+    "parquet.block.size.row.check.min": "16",
+    "parquet.dictionary.page.size": str(32 << 20),
+}
+
+
+def long_values(spark: SparkSession, column: str) -> None:
+    """Have this session's Parquet writers take long values of ``column`` (a MB
+    each and more) that neighbouring rows share: a value is written once for
+    each file, by the dictionary, and a page holds 16 of them, not 100, where
+    the dictionary is full.  Its least and greatest values are not kept (the
+    footer leaves out long ones anyway).  What the session has set stays; the
+    rows written are the same."""
+    for k, v in {**_LONG_VALUES, f"parquet.column.statistics.enabled#{column}": "false"}.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+
+
 def is_local_path(path: str) -> bool:
     return "://" not in path or path.startswith("file:")
 
