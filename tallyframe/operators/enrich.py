@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ PL_KEYWORDS = [
 
 _IN, _OUT = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 _WORD = _IN + "+"       # a word = a maximal run of letters/digits (lossless word blocking)
+RUN_WORDS = 4           # inner words of a name that are looked for together, at most
+SIEVE = 1 << 20         # buckets of keys: bounds the broadcast of ``_sifted``
 
 
 def keyword_pattern(keywords) -> str:
@@ -54,6 +57,22 @@ def _grams(col, n: int):
                                         lambda i: F.substring(col, i, n)))
 
 
+def _sifted(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``key`` is not in ``wanted``: the buckets
+    of the wanted keys, SIEVE at most, are broadcast.  Some other rows stay; the
+    join that follows drops them, but they alone take part in its exchange."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(SIEVE)).alias("_b")
+    return df.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_b", "left_semi").drop("_b")
+
+
+def _runs(df: DataFrame, words: str, n: int) -> DataFrame:
+    """Rows of ``df`` with ``_g``, the digest of ``n`` words that follow each
+    other in the array ``words``: one row for each place."""
+    at = df.select("*", F.posexplode(words).alias("_p", "_w")).where(F.col("_p") + n <= F.size(words))
+    return at.withColumn("_g", F.xxhash64("_w", *[F.get(words, F.col("_p") + i) for i in range(1, n)])) \
+        .drop("_p", "_w", words)
+
+
 def _by_grams(needles: DataFrame, hay: DataFrame, k: int) -> DataFrame:
     """Pairs (``_key``, ``_nid``, ``_name``) whose ``_h`` contains ``_s``, by the
     rarest k-gram of ``_s`` (all of it when shorter: only the lengths present
@@ -80,10 +99,10 @@ def containment_matches(names: DataFrame, docs: DataFrame, entity: str, name: st
     blocking, then exact verification; one way for any number of names, any
     ids (null and repeated ones too), batch or micro-batch.
 
-    Names of three words and more meet the texts by an inner word, of two by
-    what stands around their separator, of one by the words that hold it, and
-    others by a character gram; each names ONE key that every text with the
-    name has, the rarest where there is a choice.
+    Names of three words and more meet the texts by a run of inner words (up
+    to RUN_WORDS), of two by what stands around their separator, of one by the
+    words that hold it, and others by a character gram; each names ONE key that
+    every text with the name has, the rarest where there is a choice.
 
     Candidates carry a digest of the whole row in place of its id: rows without
     an id spread like any other, and a digest that two rows share costs a
@@ -100,23 +119,27 @@ def containment_matches(names: DataFrame, docs: DataFrame, entity: str, name: st
     # The texts are spread over all tasks, whatever the files' splits, for the
     # tokenising and the verification join.
     dl = dl.repartition("_did")
-    # (1) Word blocking.  A word strictly inside a name (not its first or
-    # last token) is bounded by separators inside the name, so wherever the
-    # name occurs it is a complete word of the text too: lossless.
+    # (1) Word blocking.  Words strictly inside a name (not its first or last
+    # token) are bounded by separators inside the name, so wherever the name
+    # occurs they are complete words of the text too, in the same order:
+    # lossless.  Up to RUN_WORDS of them are looked for together: a word that
+    # many texts have says little about a name of many words.
     toks = F.regexp_extract_all(F.col("_name"), F.lit(_WORD), 0)
     nt = nm.select("_nid", "_name", toks.alias("_t"))
-    inner = nt.where(F.size("_t") >= 3).select(
-        "_nid", "_name", F.explode(F.array_distinct(F.slice("_t", 2, F.size("_t") - 2))).alias("_g"))
+    inner = nt.where(F.size("_t") >= 3).select("_nid", "_name", F.slice("_t", 2, F.size("_t") - 2).alias("_i"))
+    run = F.least(F.size("_i"), F.lit(RUN_WORDS))
+    runs = [r[0] for r in sorted(inner.select(run).distinct().collect())]  # at most RUN_WORDS lengths
     # (2) needs what stands around a separator: up to k characters of the words
     # on either side.  Both lists are made once for each text, and written: the
     # joins below read them, not the texts.
     tail = f"(?:{_IN}{{{k}}}|(?<!{_IN}){_IN}{{1,{max(k - 1, 1)}}})"
     path = scratch_path(spark, "words")
-    dl.select("_did", F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(_WORD), 0)).alias("_words"),
+    dl.select("_did", F.regexp_extract_all(F.col("_text"), F.lit(_WORD), 0).alias("_words"),
               F.array_distinct(F.regexp_extract_all(
-                  F.col("_text"), F.lit(f"(?=({tail}{_OUT}+{_IN}{{1,{k}}}))"), 1)).alias("_around")).write.parquet(path)
+                  F.col("_text"), F.lit(f"(?=({tail}{_OUT}+{_IN}{{1,{k}}}))"), 1)).alias("_around")) \
+        .write.option("compression", "zstd").parquet(path)
     parts = spark.read.schema("_did long, _words array<string>, _around array<string>").parquet(path)
-    dwords = parts.select("_did", F.explode("_words").alias("_g"))
+    dwords = parts.select("_did", F.explode(F.array_distinct("_words")).alias("_g"))
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         """Names by key, written first: the planner then knows their size, which
@@ -124,16 +147,21 @@ def containment_matches(names: DataFrame, docs: DataFrame, entity: str, name: st
         at = scratch_path(spark, name)
         df.write.parquet(at)
         return spark.read.schema(df.schema).parquet(at)
-    wanted = inner.select("_g").distinct()
-    # Word rarity only steers the choice (any interior word is lossless), so
+    cands = [nm.select(F.lit(0).cast("long").alias("_did"), "_nid", "_name").limit(0)]
+
+    def add(df: DataFrame) -> None:
+        cands.append(df.select("_did", "_nid", "_name"))
+    # A run's rarity only steers the choice (any inner run is lossless), so
     # it is estimated on a fixed-seed sample of the texts.
-    freq = parts.sample(fraction=freq_sample, seed=17).select(F.explode("_words").alias("_g")) \
-        .join(wanted, "_g", "left_semi") \
-        .groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    pick = (inner.join(freq, "_g", "left")
-                 .groupBy("_nid", "_name")
-                 .agg(F.min_by("_g", F.struct(F.coalesce(F.col("_df"), F.lit(0)), F.col("_g"))).alias("_g")))
-    cand = dwords.join(stored(pick, "inner-words"), "_g", "inner").select("_did", "_nid", "_name")
+    for n in runs:
+        keys = _runs(inner.where(run == n), "_i", n).distinct()
+        freq = _sifted(_runs(parts.select("_did", "_words").sample(fraction=freq_sample, seed=17), "_words", n), "_g", keys) \
+            .distinct().groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+        pick = (keys.join(freq, "_g", "left")
+                    .groupBy("_nid", "_name")
+                    .agg(F.min_by("_g", F.struct(F.coalesce(F.col("_df"), F.lit(0)), F.col("_g"))).alias("_g")))
+        pick = stored(pick, "inner-words")
+        add(_sifted(_runs(parts.select("_did", "_words"), "_words", n), "_g", pick).distinct().join(pick, "_g"))
     # (2) Two words: where "ab cd" occurs, a word of the text ends in "ab" and
     # the next one, behind the same separators, begins with "cd".  The key is
     # what stands around the separators, up to k characters on either side; the
@@ -151,7 +179,7 @@ def containment_matches(names: DataFrame, docs: DataFrame, entity: str, name: st
         hold = around.select("_a").distinct().select("_a", F.explode(F.array(
             *[key_of("_a", i, j) for i, j in lengths])).alias("_g")).where("_g <> ''").join(want, "_g")
         hold = stored(hold.select("_a", "_nid", "_name").distinct(), "around")
-        cand = cand.unionByName(around.join(hold, "_a").select("_did", "_nid", "_name"))
+        add(_sifted(around, "_a", hold).join(hold, "_a"))
     # (3) One word: it lies inside a word of the text.  Words that hold it are
     # found once in the vocabulary, which is much smaller than the texts.  Where
     # the name has a separator before (behind) its word, the text has it too:
@@ -162,15 +190,15 @@ def containment_matches(names: DataFrame, docs: DataFrame, entity: str, name: st
         word, key, name_ = F.regexp_extract("_name", f"({_WORD})", 1), F.col("_key"), F.col("_name")
         hold = hold.where((name_.startswith(word) | key.startswith(word)) & (name_.endswith(word) | key.endswith(word)))
         hold = stored(hold.withColumnRenamed("_key", "_g"), "one-word")
-        cand = cand.unionByName(dwords.join(hold, "_g").select("_did", "_nid", "_name"))
+        add(_sifted(dwords, "_g", hold).join(hold, "_g"))
     # (4) No word at all (separators only): character grams of the texts.
     none = nt.where(F.size("_t") == 0).select("_nid", "_name", F.col("_name").alias("_s"))
     if not none.isEmpty():
-        cand = cand.unionByName(_by_grams(none, dl.select(F.col("_did").alias("_key"), F.col("_text").alias("_h")), k)
-                                .withColumnRenamed("_key", "_did"))
+        add(_by_grams(none, dl.select(F.col("_did").alias("_key"), F.col("_text").alias("_h")), k)
+            .withColumnRenamed("_key", "_did"))
     # (5) Exact verification: a row and an entity meet once, with the few
     # names of the entity that are candidates there.
-    met = cand.groupBy("_did", "_nid").agg(F.collect_set("_name").alias("_names"))
+    met = reduce(DataFrame.unionByName, cands).groupBy("_did", "_nid").agg(F.collect_set("_name").alias("_names"))
     v = met.join(dl, "_did", "inner").where(F.exists("_names", lambda n: F.col("_text").contains(n)))
     return v.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_nid").alias("_entity"))
 
